@@ -30,11 +30,15 @@ def fold_of(doc_id) -> F.Column:
 def per_class_sample(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
     """The `rows` rows of each label whose hashed key is smallest.
 
-    The ranking filter becomes a per-task group limit, so a task ships at most
-    `rows` rows of a label, whatever the label's share of the table.
+    Labels are counted first, so that only about four times the rows wanted of each label
+    pass a cut on the hashed key and meet in the ranking, whatever the table's size.
     """
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank")
+    unit = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(unit))
+    counts = df.groupBy(label).agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count(F.lit(1))).alias("_share"))
+    cut = df.join(counts, label).filter(place <= F.col("_share") * unit)
+    w = Window.partitionBy(label).orderBy(place, key)
+    return cut.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank", "_share")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import language_id, toxicity
+from pivotloom.llm import language_id, packing, simhash_dedup, toxicity
 from pivotloom.llm.common import fold_of
 
 
+try:
+    import public_tokenizers
+
+    TOKENIZERS = public_tokenizers.path
+except ImportError:  # the folder of vocabulary files is then named directly
+    TOKENIZERS = "/opt/tokenizers/{}".format
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,11 +31,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZERS("word_bpe_49k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return _held_out(found).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
