@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import language_id, packing, simhash_dedup, toxicity
+from pivotloom.llm import chat_format, language_id, packing, simhash_dedup, toxicity
 from pivotloom.llm.common import fold_of
 
 
@@ -50,5 +50,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op9_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+#: What both rows of conversation -7 say.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digest(chat_format.format_conversations(rows))
+
+
+OP10_SQL = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{TRICKY}'
+  union all select -7, 1, 'assistant', '{TRICKY}'),
+sized as (
+  select *, length(text) + length(text) - length(replace(text, '\', ''))
+      + length(text) - length(regexp_replace(text, '##(#+)', '##', 'g'))
+      + (length(text) - length(replace(text, '</turn>', ''))) // 7 as t,
+    length(role) + length(role) - length(regexp_replace(role, '[\\:\n]', '', 'g'))
+      + length(role) - length(regexp_replace(role, '##(#+)', '##', 'g'))
+      + (length(role) - length(replace(role, '</turn>', ''))) // 7 as r
+  from turns)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(r + t + 14) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op9_toxicity, op10_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
