@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import chat_format, language_id, packing, simhash_dedup, toxicity
+from pivotloom.llm import chat_format, imatch, language_id, packing, simhash_dedup, toxicity
 from pivotloom.llm.common import fold_of
 
 
@@ -44,6 +44,42 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZERS("word_bpe_49k.json"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    def hashes(t: str) -> str:
+        subsets = [f"list_filter(k, lambda s: substring(md5(s), {a}, {n}) < '{b}')" for a, n, b in imatch.SUBSETS]
+        parts = ["substring(md5(array_to_string(k, ' ')), 1, 8)"]
+        parts += [f"case when len({p}) > 0 then substring(md5(array_to_string({p}, ' ')), 1, 8) else '{imatch.EMPTY}' end" for p in subsets]
+        return f"list_transform([{t}], lambda k: [{', '.join(parts)}])[1]"
+
+    def terms(t: str) -> str:
+        return f"list_sort(list_distinct(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))"
+
+    def near(a: str, b: str) -> str:
+        at = f"list_filter(range(1, {len(imatch.SUBSETS) + 2}), lambda i: {a}[i] <> '{imatch.EMPTY}' or {b}[i] <> '{imatch.EMPTY}')"
+        return f"len(list_filter({at}, lambda i: {a}[i] = {b}[i])) / len({at})::double"
+
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+own as (select doc_id, t, coalesce(lead(t) over w, first_value(t) over w) as nt from d window w as (order by doc_id desc rows between unbounded preceding and unbounded following)),
+ed as (select doc_id, t, nt, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) as e from own),
+tt as (select *, {terms('t')} as a, {terms('nt')} as b, {terms('e')} as c from ed),
+lex as (select list(term) as l from (select term, count(*) as df from (select unnest(a) as term from tt) x group by term) y, (select count(*) as n from d) z
+  where df between greatest(2, ceil(n * {imatch.LOW})) and greatest(2, floor(n * {imatch.HIGH}))),
+k as (select doc_id, t, e, a, b, c, list_intersect(a, l) as ia, list_intersect(b, l) as ib, list_intersect(c, l) as ic from tt, lex),
+f as (select doc_id, t, e,
+  {hashes("case when len(ia) > 0 then list_sort(ia) else a end")} as fa,
+  {hashes("case when len(ib) > 0 then list_sort(ib) else b end")} as fb,
+  {hashes("case when len(ic) > 0 then list_sort(ic) else c end")} as fc from k)
+select doc_id, length(t) as n_chars, sha256(e) as edited_sha256, array_to_string(fa, '') as fingerprint,
+  array_to_string(fc, '') as edited_fingerprint, {near('fa', 'fc')} as near_edited, {near('fa', 'fb')} as near_next
+from f
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -81,5 +117,5 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op9_toxicity, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL}
