@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import chat_format, imatch, language_id, packing, simhash_dedup, toxicity
+from pivotloom.llm import chat_format, imatch, language_id, packing, simhash_dedup, toxicity, url_filter
 from pivotloom.llm.common import fold_of
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -117,5 +121,5 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL}
