@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,27 @@ def per_class_sample(df: DataFrame, label: str, key: str, rows: int) -> DataFram
     return cut.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank", "_share")
 
 
+class HashTable:
+    """A set of hashes as one constant array: slots of equal width, filled up with 0."""
+
+    def __init__(self, hashes: list[int]):
+        self.slots = 1 << max(4, (2 * len(hashes)).bit_length())
+        slots: list[list[int]] = [[] for _ in range(self.slots)]
+        for h in sorted(hashes):
+            slots[h % self.slots].append(h)
+        self.width = max(1, max(map(len, slots)))
+        self.cells = [h for s in slots for h in s + [0] * (self.width - len(s))]
+
+    def holds(self, h: Column) -> Column:
+        at = (F.pmod(h, F.lit(self.slots)) * self.width + 1).cast("int")
+        return F.array_contains(F.slice(longs(self.cells), at, F.lit(self.width)), h)
+
+
+def longs(values: list[int]) -> Column:
+    """A constant array; it is folded to a value when the query is optimised."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root) of every node of an edge, root being the smallest node reachable.
 

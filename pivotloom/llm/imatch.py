@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pivotloom.llm.common import HashTable, longs
+
 LOW, HIGH = 0.002, 0.01
 RANGE_ROWS = 4000
 MAX_RANGES = 20_000
@@ -59,27 +61,6 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return counted.filter(F.col("df").between(bound["low"], bound["high"]))
 
 
-class HashTable:
-    """Term hashes as one constant array: slots of equal width, filled up with 0."""
-
-    def __init__(self, hashes: list[int]):
-        self.slots = 1 << max(4, (2 * len(hashes)).bit_length())
-        slots: list[list[int]] = [[] for _ in range(self.slots)]
-        for h in sorted(hashes):
-            slots[h % self.slots].append(h)
-        self.width = max(1, max(map(len, slots)))
-        self.cells = [h for s in slots for h in s + [0] * (self.width - len(s))]
-
-    def holds(self, h: Column) -> Column:
-        at = (F.pmod(h, F.lit(self.slots)) * self.width + 1).cast("int")
-        return F.array_contains(F.slice(longs(self.cells), at, F.lit(self.width)), h)
-
-
-def longs(values: list[int]) -> Column:
-    """A constant array; it is folded to a value when the query is optimised."""
-    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
-
-
 def hash_table(lex: DataFrame) -> HashTable:
     """The lexicon's term hashes; its size is bounded, see above."""
     return HashTable([r["h"] for r in lex.select("h").collect()])

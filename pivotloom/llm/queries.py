@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import chat_format, imatch, language_id, packing, simhash_dedup, toxicity, url_filter
+from pivotloom.llm import chat_format, imatch, language_id, license_scan, multi_index, packing, simhash_dedup, toxicity, url_filter
 from pivotloom.llm.common import fold_of
 
 
@@ -25,6 +25,21 @@ def _held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    best = F.array_max(F.transform(sure, lambda x: F.struct(x["probability"], x["family"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("licences"),
+        best["family"].alias("licence"), best["probability"].alias("score"),
+    )
+
+
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
@@ -121,5 +136,5 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_multi_index, op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL}
