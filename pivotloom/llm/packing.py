@@ -9,7 +9,7 @@ but a few windows unfilled. Rows are small here: the texts don't leave the map s
 
 Ids of a text are the ids of its blank-separated words in turn, as the tokenizer's
 patterns never reach over a blank. Words are therefore encoded once per Python worker and
-kept up to `CACHE_WORDS`; words beyond that are encoded in every batch that has them.
+remembered; when more than `CACHE_WORDS` are, those of the present batch alone are kept.
 
 Results for odd rows: a null, empty or blank text has the end id only; very long texts
 yield many full windows; repeated rows are packed each; ties in length go by document and
@@ -19,6 +19,7 @@ the window, except where its use is a power of two already.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 GROUP_ROWS = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, padding long"
 
@@ -39,26 +40,48 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, with words remembered."""
+    """Ids of texts as little-endian 32-bit bytes, with words remembered.
+
+    A new word of letters with ASCII punctuation behind it is coded as its lower-cased
+    letters and its punctuation, since the tokenizer lower-cases and parts the two.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def split_word(word: str) -> tuple[str, str]:
+        core = word.rstrip(string.punctuation)
+        if not core.isalpha() or max(core) > "\xff":
+            return word, ""
+        return core.lower(), word[len(core) :]
+
+    def code(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def new_words(self, words: list[str]) -> dict[str, bytes]:
+        split = [self.split_word(w) for w in words]
+        parts = self.parts
+        fresh = list({p for pair in split for p in pair if p not in parts})
+        if len(parts) + len(fresh) > CACHE_WORDS:
+            self.parts = parts = {**{p: parts[p] for pair in split for p in pair if p in parts}, "": b""}
+        parts.update(zip(fresh, self.code(fresh)))
+        return {w: parts[a] + parts[b] for w, (a, b) in zip(words, split)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known, fresh = self.known, set()
         for words in split:
             fresh.update(words)
-        fresh = [w for w in fresh if w not in known]
-        coded = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        room = CACHE_WORDS - len(known)
-        known.update(zip(fresh[:room], coded[:room]))
-        rest = dict(zip(fresh[max(0, room) :], coded[max(0, room) :]))
-        if rest:
-            return [b"".join([known[w] if w in known else rest[w] for w in words]) for words in split]
+        coded = self.new_words([w for w in fresh if w not in known])
+        if len(known) + len(coded) > CACHE_WORDS:
+            self.known = known = {w: known[w] for w in fresh if w in known}
+        known.update(coded)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
