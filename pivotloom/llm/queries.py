@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import chat_format, imatch, language_id, license_scan, multi_index, packing, simhash_dedup, toxicity, url_filter
+from pivotloom.llm import chat_format, imatch, language_id, license_scan, multi_index, packing, sentencepiece_unigram, simhash_dedup, toxicity, url_filter
 from pivotloom.llm.common import fold_of
 
 
@@ -36,6 +36,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_unigram.round_trip(table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
+
+
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
@@ -136,5 +140,5 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_multi_index, op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_multi_index, op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL}
