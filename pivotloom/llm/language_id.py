@@ -29,6 +29,8 @@ SLICE = 1 << 20
 #: Rows of each language that training reads at most.
 TRAIN_ROWS = 300
 CENTROIDS = 3
+#: A text is rejected under this share of the first percentile of the training cosines.
+THRESHOLD = 0.15
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -144,7 +146,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         model.languages += [name] * len(c)
     if columns:
         model.centroids = np.ascontiguousarray(np.array(columns, np.float32).T)
-        model.threshold = 0.5 * float(np.quantile(own, 0.01))
+        model.threshold = THRESHOLD * float(np.quantile(own, 0.01))
     return model
 
 

@@ -7,7 +7,7 @@ the balanced sample to the share of toxic rows among all training labels.
 
 Results for odd rows: a null or empty text has the score of a text without features, the
 training prior; very long texts are read in slices; repeated rows get the same score; a
-table without labels of both classes gives every text the score 0. Columns of the input
+table without labels of both classes gives every text a score of about 0. Columns of the input
 other than the key and the text are never read.
 """
 
@@ -65,7 +65,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by accelerated gradient steps."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     step = 1.0 / (0.25 * max(1e-9, float((x * x).sum(1).mean())) + penalty)
