@@ -15,7 +15,7 @@ SECONDS = "decimal(20,6)"
 
 
 def seconds(at: Column) -> Column:
-    return (F.unix_micros(at.cast("timestamp")).cast(SECONDS) / F.lit(1_000_000)).cast(SECONDS)
+    return (F.unix_micros(at.cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000)).cast(SECONDS)
 
 
 def interval(lo: Column, hi: Column, lo_inc: Column | bool = True, hi_inc: Column | bool = False) -> Column:

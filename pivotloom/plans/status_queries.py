@@ -164,8 +164,8 @@ def stix_timestamps(spark, d):
     return table(spark, d, "events").select("event_id", T.stix_timestamp(text).alias("stix"))
 
 
-@query(f"""with {_SPANS}, e as (select e.event_id, e.user_id, epoch_us(e.ts) - 883612800000000 as at from events e)
-select event_id, o_orderkey, case when at < lo or at > hi then 'no_match' else case when at >= epoch_us(timestamp '1996-01-01') and at < epoch_us(timestamp '1997-01-01') then 'match' else 'no_match' end end as within_at
+@query(f"""with {_SPANS}, e as (select e.event_id, e.user_id, epoch_us(e.ts) - 883612800000000 as tt from events e)
+select event_id, o_orderkey, case when tt < lo or tt > hi then 'no_match' else case when tt >= epoch_us(timestamp '1996-01-01') and tt < epoch_us(timestamp '1997-01-01') then 'match' else 'no_match' end end as within_at
 from e join spans on o_custkey = user_id where lo <= hi and event_id % 10 = 0""")
 def event_in_state(spark, d):
     e = table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.col("user_id").alias("o_custkey"), (T.seconds(F.col("ts")) - 883612800).cast(T.SECONDS).alias("at"))
