@@ -116,3 +116,8 @@ def stix_timestamp(text: Column) -> Column:
     full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00.000Z"))).otherwise(text)
     good = full.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3,}Z$")
     return F.when(good & F.to_date(F.try_to_timestamp(F.substring(full, 1, 10), F.lit("yyyy-MM-dd"))).isNotNull(), full)
+
+
+def compare_if_present(present: Column, a: Column, b: Column, how: str) -> Column:
+    """A wholly absent left time passes as undated; a present one is compared."""
+    return F.when(~present, YES).otherwise(compare(a, b, how))

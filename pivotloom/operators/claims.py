@@ -80,3 +80,26 @@ def ranked_results(rows: DataFrame, seed: str, order: list[Column], limit: int)
     total = rows.groupBy(seed).agg(F.count(F.lit(1)).alias("candidates"))
     kept = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).filter(F.col("place") <= limit)
     return kept.join(total, seed).withColumn("partial", F.col("candidates") > limit)
+
+
+def later_equivalents(chosen: DataFrame, open_rows: DataFrame, key: str) -> DataFrame:
+    """chosen (key, hi) with match if every open equivalent (key, lo) is provably later, else unresolved."""
+    first_open = open_rows.groupBy(key).agg(F.min("lo").alias("open_lo"))
+    j = chosen.join(first_open, key, "left")
+    return j.withColumn("status", F.when(F.col("open_lo").isNull() | (F.col("hi") < F.col("open_lo")), "match").otherwise("unresolved")).drop("open_lo")
+
+
+def supported_amendments(amendments: DataFrame, claims: DataFrame, key: str) -> DataFrame:
+    """amendments (publisher, issued, superseded_issued) with a status against their claims (publisher, published).
+
+    Another publisher is no match; a missing publisher or date leaves it open; one issued
+    before its claim or before what it supersedes is invalid.
+    """
+    j = amendments.join(claims.select(key, F.col("publisher").alias("_p"), "published"), key)
+    status = (
+        F.when(F.col("publisher").isNull() | F.col("_p").isNull() | F.col("issued").isNull(), "unresolved")
+        .when(F.col("publisher") != F.col("_p"), "no_match")
+        .when((F.col("issued") < F.col("published")) | F.coalesce(F.col("issued") < F.col("superseded_issued"), F.lit(False)), "invalid")
+        .otherwise("match")
+    )
+    return j.withColumn("status", status).drop("_p", "published")

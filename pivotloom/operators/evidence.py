@@ -66,3 +66,20 @@ def received_claims(claims: DataFrame, receipts: DataFrame, key: str, cutoff: Co
     """Claims with their first receipt between publication and the cutoff."""
     good = claims.join(receipts, key).filter((F.col("received") >= F.col("published")) & (F.col("received") <= cutoff))
     return good.groupBy(key, "published").agg(F.min("received").alias("received"))
+
+
+def path_supported(supports: list[Column], evidence: Column) -> Column:
+    """Whether every bound record of a path is supported and there is any evidence at all."""
+    whole = evidence > 0
+    for s in supports:
+        whole = whole & F.coalesce(s, F.lit(False))
+    return whole
+
+
+def full_backing(witnesses: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """Per witness match if one linked source has its revision, publisher and method, more unresolved."""
+    on = [key, "revision", "publisher"]
+    hits = witnesses.join(links.select(*on, "source_id", F.col("method").alias("_m")), on, "left")
+    fits = F.col("source_id").isNotNull() & (F.col("_m").eqNullSafe(F.col("method")))
+    n = hits.groupBy(*witnesses.columns).agg(F.count_distinct(F.when(fits, F.col("source_id"))).alias("sources"))
+    return n.withColumn("status", F.when(F.col("sources") == 1, YES).when(F.col("sources") == 0, NO).otherwise(UNRESOLVED))

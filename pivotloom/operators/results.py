@@ -50,3 +50,11 @@ def establishment_supported(claims: DataFrame, support: DataFrame, key: str, at:
     """Claims whose whole support was available by their establishment."""
     late = support.join(claims, key).groupBy(key).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("available") > at).alias("late"))
     return late.withColumn("status", F.when(F.col("late") == 0, S.YES).otherwise(S.NO))
+
+
+def snapshot_consistency(entries: DataFrame, key: str, path: str, declared: DataFrame) -> DataFrame:
+    """Per snapshot whether its paths are unique and its commit and number agree with the declaration."""
+    seen = entries.groupBy(key).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct(path).alias("paths"), F.count_distinct("commit").alias("commits"), F.max("commit").alias("commit"))
+    j = declared.join(seen, key, "left")
+    same = (F.col("entries") == F.col("paths")) & (F.col("commits") == 1) & (F.col("commit") == F.col("declared_commit"))
+    return j.withColumn("status", F.when(F.col("entries").isNull() | F.col("declared_commit").isNull(), S.UNRESOLVED).when(same, S.YES).otherwise(S.NO))

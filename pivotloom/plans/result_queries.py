@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pivotloom.operators import claims as G
+from pivotloom.operators import evidence as E
 from pivotloom.operators import results as R
 from pivotloom.sources.views import EDGES_SQL, edges, table
 
@@ -69,3 +71,57 @@ def establishment_support(spark, d):
     c = table(spark, d, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 60).alias("established"))
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("available"))
     return R.establishment_supported(c, s, "o_orderkey", F.col("established")).select("o_orderkey", "support", "late", "status")
+
+
+@query("""with e as (select user_id, event_id, event_type, epoch_us(ts) as lo, epoch_us(ts) + 60000000 as hi from events), c as (select user_id, min(hi) as hi from e where event_type <> 'error' group by 1),
+o as (select user_id, min(lo) as open_lo from e where event_type = 'error' group by 1) select user_id, hi, case when open_lo is null or hi < open_lo then 'match' else 'unresolved' end as status from c left join o using (user_id)""")
+def later_equivalents(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("user_id", "event_type", us.alias("lo"), (us + 60_000_000).alias("hi"))
+    chosen = e.filter("event_type <> 'error'").groupBy("user_id").agg(F.min("hi").alias("hi"))
+    return G.later_equivalents(chosen, e.filter("event_type = 'error'"), "user_id")
+
+
+@query("""select l_orderkey, l_linenumber, case when l_linenumber % 6 = 0 then 'unresolved' when l_linestatus <> o_orderstatus then 'no_match' when l_shipdate < o_orderdate + interval 10 day or l_quantity > 45 then 'invalid' else 'match' end as status, count(*) as n
+from lineitem join orders on o_orderkey = l_orderkey where l_returnflag <> 'N' group by all""")
+def supported_amendments(spark, d):
+    day = F.to_date("l_shipdate")
+    a = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(F.col("l_linenumber") % 6 != 0, F.col("l_linestatus")).alias("publisher"), day.alias("issued"), F.when(F.col("l_quantity") > 45, F.date_add(day, 1)).alias("superseded_issued"))
+    c = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("publisher"), F.date_add(F.to_date("o_orderdate"), 10).alias("published"))
+    found = G.supported_amendments(a, c, "o_orderkey")
+    return found.groupBy(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select o_orderkey, count(l_linenumber) as evidence, o_orderstatus <> 'P' and count(l_linenumber) > 0 and coalesce(min(l_quantity) > 3, false) as supported from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderstatus""")
+def path_support(spark, d):
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), (F.min("l_quantity") > 3).alias("ok"))
+    j = table(spark, d, "orders").join(l, "o_orderkey", "left").withColumn("evidence", F.coalesce("n", F.lit(0)))
+    return j.select("o_orderkey", "evidence", E.path_supported([F.col("o_orderstatus") != "P", F.col("ok")], F.col("evidence")).alias("supported"))
+
+
+@query("""with w as (select o_orderkey, o_orderstatus as revision, 'A' as publisher, 1 as method from orders)
+select o_orderkey, count(distinct l_suppkey) filter (l_linenumber % 3 = 1) as sources, case count(distinct l_suppkey) filter (l_linenumber % 3 = 1) when 1 then 'match' when 0 then 'no_match' else 'unresolved' end as status
+from w left join lineitem on l_orderkey = o_orderkey and l_linestatus = revision and l_returnflag = publisher group by 1""")
+def full_backing(spark, d):
+    w = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("revision"), F.lit("A").alias("publisher"), F.lit(1).alias("method"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("revision"), F.col("l_returnflag").alias("publisher"), F.col("l_suppkey").alias("source_id"), (F.col("l_linenumber") % 3).alias("method"))
+    return E.full_backing(w, links, "o_orderkey").select("o_orderkey", "sources", "status")
+
+
+@query("""with e as (select l_orderkey, count(*) as n, count(distinct l_partkey) as p, count(distinct l_linestatus) as c, max(l_linestatus) as m from lineitem group by 1)
+select o_orderkey, case when n is null then 'unresolved' when n = p and c = 1 and m = o_orderstatus then 'match' else 'no_match' end as status from orders left join e on l_orderkey = o_orderkey""")
+def snapshot_consistency(spark, d):
+    entries = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.col("l_linestatus").alias("commit"))
+    return R.snapshot_consistency(entries, "o_orderkey", "l_partkey", table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("declared_commit"))).select("o_orderkey", "status")
+
+
+@query("""with n as (select event_id, event_id % 3 <> 0 as present, epoch_us(ts) as lo, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) as lo2 from events)
+select event_id, case when not present then 'match' when lo2 is null then 'unresolved' when lo < lo2 then 'match' else 'no_match' end as status from n""")
+def time_compare_if_present(spark, d):
+    from pyspark.sql import Window
+
+    from pivotloom.functions import timeops as T
+
+    x = T.bounds(F.col("ts"), F.lit("instant"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", x.alias("x")).withColumn("y", F.lead("x").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return e.select("event_id", T.compare_if_present(F.col("event_id") % 3 != 0, F.col("x"), F.col("y"), "lt").alias("status"))
