@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose document frequency lies in a band: in at least `LOW` of
 all documents (and two of them) and at most `HIGH`. A text's terms in the lexicon are
-sorted and hashed whole, and once for each of 16 randomised subsets of the lexicon that
+sorted and hashed whole, and once for each of 66 randomised subsets of the lexicon that
 keep a quarter down to a 256th of it, chosen by digits of the term's MD5. The fingerprint
 is the row of these hashes; the likeness of two is the share of equal ones among those
 that are not empty on both sides. A text without a term in the lexicon uses all its terms.
@@ -32,14 +32,13 @@ from pivotloom.llm.common import HashTable, longs
 LOW, HIGH = 0.002, 0.01
 RANGE_ROWS = 4000
 MAX_RANGES = 20_000
-EMPTY = "--------"
-#: For each subset the digits of a term's MD5 (from 1) and the strings they must be under.
-SUBSETS = (
-    [(1, 1, "4")]
-    + [(i, 1, "1") for i in (2, 3)]
-    + [(i, 2, "04") for i in range(4, 14, 2)]
-    + [(i, 2, "01") for i in range(14, 30, 2)]
-)
+WIDTH = 6
+EMPTY = "-" * WIDTH
+#: Nested subsets: the digit of a term's MD5 (from 1) that must be under a bound.
+NESTED = [(1, "4"), (2, "1"), (3, "1")]
+#: Families of disjoint subsets: a term is in the one numbered by where its MD5 first has the digits.
+FAMILIES = [("0", 32), ("00", 31)]
+HASHES = 1 + len(NESTED) + sum(n for _, n in FAMILIES)
 
 
 def words(text: Column) -> Column:
@@ -67,23 +66,29 @@ def hash_table(lex: DataFrame) -> HashTable:
 
 
 def hashes(text: Column, table: HashTable) -> Column:
-    """The fingerprint of a text as an array of strings."""
+    """The fingerprint of a text: `HASHES` hashes of `WIDTH` digits in a row."""
 
     def known(t: Column) -> Column:
         return table.holds(F.xxhash64(t))
 
-    def digest(marked: Column, keep=None) -> Column:
-        part = marked if keep is None else F.filter(marked, keep)
-        joined = F.array_join(F.transform(part, lambda s: s["t"]), " ")
-        value = F.substring(F.md5(joined.cast("binary")), 1, 8)
-        return value if keep is None else F.when(F.size(part) > 0, value).otherwise(EMPTY)
+    def digest(part: Column, whole: bool = False) -> Column:
+        value = F.substring(F.md5(F.array_join(F.transform(part, lambda s: s["t"]), " ").cast("binary")), 1, WIDTH)
+        return value if whole else F.when(F.size(part) > 0, value).otherwise(EMPTY)
 
-    def under(at: int, digits: int, bound: str):
-        return lambda s: F.substring(s["m"], at, digits) < bound
+    def under(at: int, bound: str):
+        return lambda s: F.substring(s["m"], at, 1) < bound
+
+    def numbered(j: int):
+        return lambda s: s["k"] == j
+
+    def family(m: Column, digits: str, n: int) -> Column:
+        own = F.filter(F.transform(m, lambda s: F.struct(s["t"].alias("t"), F.instr(s["m"], digits).alias("k"))), lambda s: s["k"] > 0)
+        return F.transform(F.array(own), lambda o: F.concat(*[digest(F.filter(o, numbered(j))) for j in range(1, n + 1)]))[0]
 
     def all_digests(kept: Column) -> Column:
         marked = F.transform(kept, lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("m")))
-        return F.transform(F.array(marked), lambda m: F.array(digest(m), *[digest(m, under(*x)) for x in SUBSETS]))[0]
+        parts = lambda m: [digest(m, True), *[digest(F.filter(m, under(*x))) for x in NESTED], *[family(m, *f) for f in FAMILIES]]
+        return F.transform(F.array(marked), lambda m: F.concat(*parts(m)))[0]
 
     both = F.transform(F.array(terms(text)), lambda all_terms: F.struct(all_terms.alias("all"), F.filter(all_terms, known).alias("in")))
     return all_digests(F.transform(both, lambda s: F.when(F.size(s["in"]) > 0, s["in"]).otherwise(s["all"]))[0])
@@ -91,8 +96,9 @@ def hashes(text: Column, table: HashTable) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among those not empty on both sides."""
-    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    return F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / F.size(pairs)
+    cut = lambda x, i: F.substring(x, i, F.lit(WIDTH))
+    places = F.filter(F.sequence(F.lit(1), F.lit(WIDTH * (HASHES - 1) + 1), F.lit(WIDTH)), lambda i: (cut(a, i) != EMPTY) | (cut(b, i) != EMPTY))
+    return F.transform(F.array(places), lambda p: F.size(F.filter(p, lambda i: cut(a, i) == cut(b, i))) / F.size(p))[0]
 
 
 def with_next(rows: DataFrame, key: str, text: str, columns: list[str]) -> DataFrame:
@@ -135,6 +141,6 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", low
     done = pairs.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("e", 256).alias("edited_sha256"), hashes(F.col("e"), table).alias("edited_fp"))
     return done.select(
         "doc_id", "n_chars", "edited_sha256",
-        F.array_join("fp", "").alias("fingerprint"), F.array_join("edited_fp", "").alias("edited_fingerprint"),
+        F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

@@ -73,16 +73,18 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     def hashes(t: str) -> str:
-        subsets = [f"list_filter(k, lambda s: substring(md5(s), {a}, {n}) < '{b}')" for a, n, b in imatch.SUBSETS]
-        parts = ["substring(md5(array_to_string(k, ' ')), 1, 8)"]
-        parts += [f"case when len({p}) > 0 then substring(md5(array_to_string({p}, ' ')), 1, 8) else '{imatch.EMPTY}' end" for p in subsets]
+        w = imatch.WIDTH
+        subsets = [f"list_filter(k, lambda s: substring(md5(s), {at}, 1) < '{bound}')" for at, bound in imatch.NESTED]
+        subsets += [f"list_filter(k, lambda s: instr(md5(s), '{d}') = {j})" for d, n in imatch.FAMILIES for j in range(1, n + 1)]
+        parts = [f"substring(md5(array_to_string(k, ' ')), 1, {w})"]
+        parts += [f"case when len({p}) > 0 then substring(md5(array_to_string({p}, ' ')), 1, {w}) else '{imatch.EMPTY}' end" for p in subsets]
         return f"list_transform([{t}], lambda k: [{', '.join(parts)}])[1]"
 
     def terms(t: str) -> str:
         return f"list_sort(list_distinct(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))"
 
     def near(a: str, b: str) -> str:
-        at = f"list_filter(range(1, {len(imatch.SUBSETS) + 2}), lambda i: {a}[i] <> '{imatch.EMPTY}' or {b}[i] <> '{imatch.EMPTY}')"
+        at = f"list_filter(range(1, {imatch.HASHES + 1}), lambda i: {a}[i] <> '{imatch.EMPTY}' or {b}[i] <> '{imatch.EMPTY}')"
         return f"len(list_filter({at}, lambda i: {a}[i] = {b}[i])) / len({at})::double"
 
     return f"""
