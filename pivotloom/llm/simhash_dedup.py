@@ -43,6 +43,8 @@ RADIUS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 CROWD = 256
 SLICE = 1 << 15
+#: A fingerprint of more than 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE such.
+HOT_SHARE = 1000
 #: Ids of dropped documents that are broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -171,13 +173,17 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def classes(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
     """key, fp and component of every row of `marks` (key, fp), which should be cheap to read."""
-    distinct = marks.groupBy("fp").agg(F.min("key").alias("first"))
+    distinct = marks.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(links(distinct.select("fp"), crowd))
     joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     low = joined.groupBy("root").agg(F.min("first").alias("low"))
     linked = joined.join(low, "root").select("fp", "low")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component"))
-    return marks.join(named, "fp").select("key", "fp", "component")
+    named = checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component"), "n"))
+    hot = F.col("n") > marks.count() / HOT_SHARE
+    often = F.broadcast(named.filter(hot).select("fp", "component"))
+    rare = named.filter(~hot).select("fp", "component")
+    rows = marks.join(often, "fp").unionByName(marks.join(often.select("fp"), "fp", "left_anti").join(rare, "fp"))
+    return rows.select("key", "fp", "component")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, crowd: int = CROWD) -> DataFrame:
