@@ -1,11 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line of a text. Its features are the word uni- and bigrams of the
-training vocabulary that occur in it; a softmax regression gives each licence family and
-the class `unknown` a score, scores are calibrated by a temperature fitted on held-out
-variants, and a family is predicted where its probability beats all others, including
-unknown's. A prediction is confirmed if at least `CONFIRM` of the bigrams of one of the
-family's templates occur in the paragraph.
+A paragraph is a line of a text, or a run of lines joined by spaces. Its features are the
+word uni- and bigrams of the training vocabulary that occur in it; a softmax regression
+gives each licence family and the class `unknown` a score, scores are calibrated by a
+temperature fitted on held-out variants, and a family is predicted where its probability
+beats all others, including unknown's. A prediction is confirmed if at least `CONFIRM` of
+the bigrams of one of the family's templates occur in the paragraph.
+
+Every line is classified. Notices are mostly wrapped, so runs of lines are too, where the
+first and the last line add a bigram of a template (others can't begin or end a notice) and
+the lines between hold at most `BETWEEN` words, which no notice exceeds that could be
+confirmed by its own words. Marks of comments are no words, and lines without a word are
+passed over. A run counts if it is confirmed, holds a bigram that no other family's
+templates have (half of a GPL notice is close to an LGPL one), and no line or shorter run
+within it is so confirmed for the same family.
 
 Training runs on the driver over variants that a fixed rule makes of `TEMPLATES` and
 `OTHER_TEXT` (a few thousand rows, whatever the data). Scanning is one expression over
@@ -18,6 +26,7 @@ family named first; an empty table gives no row. Only the key and the text are r
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -80,6 +89,8 @@ TEMPLATES = {
         "All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
 }
+#: Most words between the first and the last line of a notice: those of the longest template, and one for each bigram that it may miss.
+BETWEEN = math.ceil((2 - CONFIRM) * max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts))
 UNKNOWN = "unknown"
 # Function words; they, and pairs of them, are no features.
 STOP = set("a an and are as at be for from in is it may not of on or that the this to with you your".split())
@@ -118,6 +129,12 @@ def grams_of(paragraph: str) -> set[int]:
     return {hashed(x) for x in words_of(paragraph) if len(x) >= SHORTEST_UNIGRAM and x not in STOP} | bigrams_of(paragraph)
 
 
+def bigrams_of_one_family(family: str) -> set[int]:
+    """Bigrams of a family's templates that are in no other family's."""
+    other = {h for f, ts in TEMPLATES.items() if f != family for t in ts for h in bigrams_of(t)}
+    return {h for t in TEMPLATES[family] for h in bigrams_of(t)} - other
+
+
 def vocabulary_of_templates() -> list[int]:
     """Only grams of templates are features; other words count for nothing."""
     return sorted({h for ts in TEMPLATES.values() for t in ts for h in grams_of(t)})
@@ -215,28 +232,51 @@ def perfect_table(hashes: list[int]) -> tuple[int, list[int]]:
     return slots, out
 
 
-def paragraph_result(paragraph: Column, model: LicenceModel) -> Column:
-    """struct<family, probability, confirmed> of one paragraph."""
+def let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def words_column(paragraph: Column) -> Column:
+    return F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def feature_column(model: LicenceModel):
+    """A column function: the place of a hash in the vocabulary, or 0."""
     slots, places = perfect_table(model.vocabulary)
     table, hashes = longs(places), longs(model.vocabulary)
-    place = {h: i + 1 for i, h in enumerate(model.vocabulary)}
-    weights = [numbers([0.0, *model.weights[:, c].tolist()]) for c in range(len(model.classes))]
-    names = F.expr("array({})".format(", ".join(f"'{c}'" for c in model.classes)))
-    shapes = {f: [sorted(b) for t in ts if (b := bigrams_of(t))] for f, ts in TEMPLATES.items()}
-
-    def let(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
 
     def feature(h: Column) -> Column:
-        """The place of a hash in the vocabulary, or 0."""
         at = F.element_at(table, (F.pmod(h, F.lit(slots)) + 1).cast("int"))
         return F.when((at > 0) & (F.get(hashes, (at - 1).cast("int")) == h), at).otherwise(F.lit(0))
 
+    return feature
+
+
+def line_column(line: Column, number: Column, model: LicenceModel) -> Column:
+    """struct<i, n, first, last, hits, paired>: words, distinct features, and whether a bigram is among them."""
+    feature = feature_column(model)
+
     def after_words(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
         pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: feature(F.xxhash64(a, b)))
-        hits = F.filter(F.concat(F.transform(w, lambda x: feature(F.xxhash64(x))), pairs), lambda f: f > 0)
-        return let(F.array_distinct(hits), after_hits)
+        return let(F.filter(pairs, lambda f: f > 0), lambda found: after_pairs(w, found))
+
+    def after_pairs(w: Column, found: Column) -> Column:
+        single = F.filter(F.transform(w, lambda x: feature(F.xxhash64(x))), lambda f: f > 0)
+        return F.struct(
+            number.alias("i"), F.size(w).alias("n"), F.get(w, F.lit(0)).alias("first"), F.get(w, F.size(w) - 1).alias("last"),
+            F.array_distinct(F.concat(single, found)).alias("hits"), (F.size(found) > 0).alias("paired"),
+        )
+
+    return let(words_column(line), after_words)
+
+
+def hits_result(hits: Column, model: LicenceModel, run: bool = False) -> Column:
+    """struct<family, probability, confirmed> of a line or run with these features; null for too few."""
+    place = {h: i + 1 for i, h in enumerate(model.vocabulary)}
+    weights = [numbers([0.0, *model.weights[:, c].tolist()]) for c in range(len(model.classes))]
+    names = F.expr("array({})".format(", ".join(f"'{c}'" for c in model.classes)))
+    shapes = {f: [sorted(b) for t in ts if (b := bigrams_of(t))] for f, ts in TEMPLATES.items()}
 
     def after_hits(hits: Column) -> Column:
         z = F.array(*[_sum(hits, weights[c], float(model.bias[c])) for c in range(len(model.classes))])
@@ -255,19 +295,73 @@ def paragraph_result(paragraph: Column, model: LicenceModel) -> Column:
             fits = own[0]
             for o in own[1:]:
                 fits = fits | o
+            if run:
+                fits = fits & F.arrays_overlap(hits, longs([place[h] for h in sorted(bigrams_of_one_family(f))]))
             confirmed = F.when(family == f, fits).otherwise(confirmed)
         return F.struct(family.alias("family"), probability.alias("probability"), confirmed.alias("confirmed"))
 
-    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda x: x != "")
-    return let(words, after_words)
+    return let(hits, after_hits)
+
+
+def runs_column(lines: Column, cross: Column) -> Column:
+    """array<struct<a, b>>: first and last place in `lines` (with words) of the runs that could be a notice.
+
+    `cross` has, for each line but the last, the feature of its last and the next line's first word, or 0.
+    """
+    n = F.size(lines)
+
+    def begins(k: Column) -> Column:
+        return lines[k]["paired"] | (cross[k] > 0)
+
+    def ends(k: Column) -> Column:
+        return lines[k]["paired"] | (cross[k - 1] > 0)
+
+    def between(a: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(lines, a + 2, b - a - 1), F.lit(0), lambda s, x: s + x["n"])
+
+    def of(a: Column) -> Column:
+        last = F.sequence(a + 1, F.least(a + 1 + BETWEEN, n - 1))
+        return F.transform(F.filter(last, lambda b: ends(b) & (between(a, b) <= BETWEEN)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+
+    first = F.when(n > 1, F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), begins)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.flatten(F.transform(first, of))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_paragraphs and found: the licensed paragraphs of every row, with their places."""
+    """key, n_paragraphs (lines) and found: the licensed lines and runs of lines of every row.
+
+    Of `found`, `paragraph` is the first line's number and `last` the last one's.
+    """
     model = model or train()
+    feature = feature_column(model)
     paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[\r\n]+"), lambda p: p != "")
-    rows = docs.select(F.col(key), paragraphs.alias("p"))
-    results = F.transform("p", lambda p, i: F.struct(i.alias("paragraph"), paragraph_result(p, model).alias("r")))
-    found = F.filter(results, lambda x: F.coalesce(x["r"]["family"] != UNKNOWN, F.lit(False)))
-    flat = F.transform(found, lambda x: F.struct(x["paragraph"], x["r"]["family"].alias("family"), x["r"]["probability"].alias("probability"), x["r"]["confirmed"].alias("confirmed")))
-    return rows.select(key, F.size("p").alias("n_paragraphs"), flat.alias("found"))
+    rows = docs.select(F.col(key), paragraphs.alias("_p"))
+    rows = rows.select(key, F.size("_p").alias("n_paragraphs"), F.transform("_p", lambda p, i: line_column(p, i, model)).alias("_lines"))
+
+    def entry(a: Column, b: Column, r: Column) -> Column:
+        return F.struct(a.alias("paragraph"), b.alias("last"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed"))
+
+    def licensed(found: Column) -> Column:
+        return F.filter(found, lambda x: F.coalesce(x["family"] != UNKNOWN, F.lit(False)))
+
+    alone = licensed(F.transform("_lines", lambda x: let(hits_result(x["hits"], model), lambda r: entry(x["i"], x["i"], r))))
+
+    def joined(lines: Column) -> Column:
+        m = F.greatest(F.size(lines) - 1, F.lit(0))
+        cross = F.zip_with(F.slice(lines, F.lit(1), m), F.slice(lines, F.lit(2), m), lambda x, y: feature(F.xxhash64(x["last"], y["first"])))
+        return let(cross, lambda c: F.transform(runs_column(lines, c), lambda r: of_run(lines, c, r)))
+
+    def of_run(lines: Column, cross: Column, r: Column) -> Column:
+        own = F.flatten(F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: x["hits"]))
+        hits = F.array_distinct(F.concat(own, F.filter(F.slice(cross, r["a"] + 1, r["b"] - r["a"]), lambda f: f > 0)))
+        return let(hits_result(hits, model, run=True), lambda x: entry(lines[r["a"]]["i"], lines[r["b"]]["i"], x))
+
+    rows = rows.select(key, "n_paragraphs", alone.alias("_alone"), let(F.filter("_lines", lambda x: x["n"] > 0), joined).alias("_runs"))
+    sure = F.filter("_runs", lambda x: F.coalesce(x["confirmed"], F.lit(False)))
+    rows = rows.select(key, "n_paragraphs", "_alone", sure.alias("_runs"))
+
+    def within(x: Column, y: Column) -> Column:
+        return y["confirmed"] & (y["family"] == x["family"]) & (y["paragraph"] >= x["paragraph"]) & (y["last"] <= x["last"]) & (y["last"] - y["paragraph"] < x["last"] - x["paragraph"])
+
+    least = F.filter("_runs", lambda x: ~F.exists(F.concat("_alone", "_runs"), lambda y: within(x, y)))
+    return rows.select(key, "n_paragraphs", F.concat("_alone", least).alias("found"))

@@ -1,6 +1,8 @@
 """Each operator on odd rows, and against brute force, a round trip or held-out labels."""
 
 import hashlib
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -101,6 +103,58 @@ def test_licence_expression_equals_plain_python(spark, odd):
     assert {r["doc_id"]: [x["family"] for x in r["found"]] for r in license_scan.scan(odd, model).collect()}[9] == ["proprietary"]
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+}
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    model = license_scan.train()
+    rows = []
+    for family, notice in WRAPPED.items():
+        for width in (None, 40, 25):
+            for mark in ("", "# ", " * ", "// "):
+                lines = notice.split("\n") if width is None else textwrap.wrap(notice, width)
+                rows.append((family, "\r\n".join(f"{mark}{x}" for x in ["Copyright 2020 Some One", "", *lines, "", "int main() { return 0; }"])))
+    both = f"{WRAPPED['MIT']}\n{WRAPPED['GPL']}\n{WRAPPED['BSD']}"
+    rows += [("BSD,GPL,MIT", both), ("", "the driver lost the license\nafter the second accident\non the road")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in license_scan.scan(df, model).collect():
+        found = [x for x in r["found"] if x["confirmed"]]
+        assert ",".join(sorted({x["family"] for x in found})) == rows[r["doc_id"]][0], rows[r["doc_id"]]
+
+
+def test_runs_equal_all_runs_by_brute_force(spark):
+    model = license_scan.train()
+    texts = [f"x y\n# {a}\n --\n{b}\nend" for a in WRAPPED.values() for b in WRAPPED.values()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan.scan(df, model).collect():
+        lines = [x for x in re.split("[\r\n]+", texts[r["doc_id"]]) if x]
+        worded = [i for i, x in enumerate(lines) if license_scan.words_of(x)]
+        runs = {(i, j): " ".join(lines[i : j + 1]) for i in worded for j in worded if i <= j}
+        sure = {(i, j): f for (i, j), p in runs.items() for f, _, c in [model.predict(p)] if c and (i == j or license_scan.bigrams_of(p) & license_scan.bigrams_of_one_family(f))}
+        want = {(i, j, f) for (i, j), f in sure.items() if not any(g == f and i <= a <= b <= j and b - a < j - i for (a, b), g in sure.items())}
+        assert {(x["paragraph"], x["last"], x["family"]) for x in r["found"] if x["confirmed"]} == want
+
+
 def test_unigram_cut_equals_brute_force_and_reads_back():
     c = sentencepiece_unigram.codec(TOKENIZERS("piece_bpe_32k.model"))
     ids_of = {p: i for i, p in enumerate(b.decode("utf-8", "replace").replace(" ", "▁") for b in c.bytes_of) if np.isfinite(c.score[i])}
