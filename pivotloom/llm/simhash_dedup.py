@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pivotloom.llm import shingle_links
 from pivotloom.llm.common import checkpoint, connected_components
 
 SEED = 42
@@ -171,10 +172,14 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return own if crowded.isEmpty() else own.unionByName(crowded_links(crowded))
 
 
-def classes(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """key, fp and component of every row of `marks` (key, fp), which should be cheap to read."""
+def classes(marks: DataFrame, crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
+    """key, fp and component of every row of `marks` (key, fp), which should be cheap to read.
+
+    `more` has further links (src, dst) between fingerprints.
+    """
     distinct = marks.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = connected_components(links(distinct.select("fp"), crowd))
+    found = links(distinct.select("fp"), crowd)
+    roots = connected_components(found if more is None else found.unionByName(more))
     joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     low = joined.groupBy("root").agg(F.min("first").alias("low"))
     linked = joined.join(low, "root").select("fp", "low")
@@ -191,12 +196,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return classes(checkpoint(fingerprints(docs, text, key, width)), crowd)
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, crowd: int = CROWD) -> DataFrame:
+    """As near_duplicates, also linking documents of a five-word Jaccard of 0.8 or more."""
+    marks = checkpoint(fingerprints(docs, text, key, width))
+    return classes(marks, crowd, shingle_links.links(docs, marks, text, key))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, classes_of=near_duplicates) -> DataFrame:
     """The rows without the near-duplicates: of each component the row of its smallest key.
 
     Of rows that repeat a key one stays; rows with a null key all stay.
     """
-    found = checkpoint(near_duplicates(docs, text, key, width).select("key", "component"))
+    found = checkpoint(classes_of(docs, text, key, width).select("key", "component"))
     gone = found.filter("key <> component").select("key").distinct()
     repeated = found.filter("key is not null").groupBy("key").count().filter("count > 1")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone

@@ -1,7 +1,7 @@
 """The pipeline's stages on whole small tables."""
 
 import corpus_pipeline
-from pivotloom.llm import language_id, simhash_dedup, toxicity
+from pivotloom.llm import language_id, shingle_links, simhash_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +46,26 @@ def test_stages_against_their_operators(spark, tmp_path):
 
 def test_run_gives_pieces(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_copies_by_five_words_are_dropped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r["doc_id"]: set(shingle_links.shingles(r["text"]).tolist()) for r in rows}
+    holders = {}
+    for d, own in sets.items():
+        for g in own:
+            holders.setdefault(g, []).append(d)
+    met = {(a, b) for v in holders.values() for a in v for b in v if a < b}
+    near = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, None).select("doc_id").collect()}
+    assert near and not any(a in kept and b in kept for a, b in near)
+
+
+def test_large_group_of_near_copies_leaves_one(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[: 7 * i], f"x{i}", *words[7 * i + 1 :]]) for i in range(57)]
+    texts += ["", "a b", None, *(" ".join(f"o{i}x{j}" for j in range(60)) for i in range(5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, None).collect()}
+    assert kept == {0, 57, 58, *range(60, 65)}
