@@ -3,7 +3,10 @@
 A text becomes a normalised TF-IDF vector of hashed character 1- to 3-grams over its
 letters. Each language has several centroids, found by spherical k-means on a bounded
 sample; the language of the centroid with the largest cosine is the answer, and a text
-whose best cosine is under the calibrated threshold is rejected.
+whose best cosine is under the calibrated threshold is rejected. A short text scores lower
+than a long one of its language, so the threshold follows the number of distinct grams: it
+is `THRESHOLD` of the least cosine that held-out texts, and their beginnings of the lengths
+`STARTS`, have at that number. The held-out fifth of the sample fits nothing else.
 
 Results for odd rows: a null text, or one without a letter, has language `und`, score 0
 and is rejected; every other row gets a learned language, however short or long it is
@@ -14,6 +17,7 @@ are passed through by `keep_identified` and never read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +33,12 @@ SLICE = 1 << 20
 #: Rows of each language that training reads at most.
 TRAIN_ROWS = 300
 CENTROIDS = 3
-#: A text is rejected under this share of the first percentile of the training cosines.
-THRESHOLD = 0.15
+#: A text is rejected under this share of the least held-out cosine of texts with as many grams.
+THRESHOLD = 0.3
+#: Letters of the beginnings that stand for short texts.
+STARTS = (8, 16, 32, 64, 128, 256, 512)
+#: Held-out texts have a class for each doubling of distinct grams; one with fewer texts isn't used.
+LEAST_HELD = 20
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -67,12 +75,18 @@ def gram_counts(text: str, bits: int = BITS) -> np.ndarray | None:
 
 @dataclass
 class LanguageModel:
-    """idf: per gram; centroids: one column each; languages: the language of each column."""
+    """idf: per gram; centroids: one column each; languages: the language of each column.
+
+    limits: (log2 of distinct grams, least cosine) points, between which it is interpolated.
+    """
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    threshold: float
+    limits: list[tuple[float, float]]
+
+    def limit(self, grams: int) -> float:
+        return float(np.interp(np.log2(grams), *zip(*self.limits))) if self.limits else 0.0
 
     def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts)
@@ -87,7 +101,7 @@ class LanguageModel:
         cosine = value @ self.centroids[at]
         best = int(cosine.argmax())
         score = float(min(1.0, max(0.0, cosine[best])))
-        return self.languages[best], score, score < self.threshold
+        return self.languages[best], score, score < self.limit(len(at))
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -119,19 +133,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         for b in batches:
             out = []
             for l, t in zip(b["l"], b["t"]):
-                if (c := gram_counts(t)) is not None:
-                    at = np.flatnonzero(c)
-                    out.append((l, at.astype("<i4").tobytes(), c[at].astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["l", "at", "n"])
-
-    found = sample.mapInPandas(count, "l string, at binary, n binary").collect()
+                held = zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0
+                for part in [t, *(t[:n] for n in STARTS if n < len(t))] if held else [t]:
+                    if (c := gram_counts(part)) is not None:
+                        at = np.flatnonzero(c)
+                        out.append((l, held, at.astype("<i4").tobytes(), c[at].astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["l", "held", "at", "n"])
+
+    rows_of_sample = sample.mapInPandas(count, "l string, held boolean, at binary, n binary").collect()
     size = 1 << BITS
+    fitted = {r["l"] for r in rows_of_sample if not r["held"]}
+    found = [r for r in rows_of_sample if not r["held"] or r["l"] not in fitted]
     found.sort(key=lambda r: (r["l"], bytes(r["at"]), bytes(r["n"])))
     df = np.ones(size)
     for r in found:
         df[np.frombuffer(r["at"], "<i4")] += 1
-    model = LanguageModel((np.log((len(found) + 1) / df) + 1).astype(np.float32), np.zeros((size, 0), np.float32), [], 0.0)
-    columns, own = [], []
+    model = LanguageModel((np.log((len(found) + 1) / df) + 1).astype(np.float32), np.zeros((size, 0), np.float32), [], [])
+    columns = []
     for name in sorted({r["l"] for r in found}):
         rows_of = [r for r in found if r["l"] == name]
         x = np.zeros((len(rows_of), size), np.float32)
@@ -141,15 +159,34 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             at, value = model.vector(counts)
             x[i, at] = value
         c = cluster(x, centroids)
-        own += list((x @ c.T).max(1))
         columns += list(c)
         model.languages += [name] * len(c)
     if columns:
         model.centroids = np.ascontiguousarray(np.array(columns, np.float32).T)
-        model.threshold = THRESHOLD * float(np.quantile(own, 0.01))
+        held = []
+        for r in rows_of_sample:
+            if r["held"]:
+                counts = np.zeros(size)
+                counts[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
+                at, value = model.vector(counts)
+                held.append((len(at), float((value @ model.centroids[at]).max())))
+        model.limits = limits_of(held)
     return model
 
 
+def limits_of(held: list[tuple[int, float]]) -> list[tuple[float, float]]:
+    """Points of `LanguageModel.limits` from (distinct grams, cosine) of held-out texts.
+
+    A text of one gram says too little to be rejected; beyond the last class its limit holds.
+    """
+    points = [(0.0, 0.0)]
+    for k in range(1, BITS + 1):
+        own = [(n, c) for n, c in held if k <= np.log2(n) < k + 1]
+        if len(own) >= LEAST_HELD:
+            points.append((float(np.median(np.log2([n for n, _ in own]))), THRESHOLD * min(c for _, c in own)))
+    return points if len(points) > 1 else []
+
+
 def predictor(model: LanguageModel):
     """A column function: text to struct<lang_pred, score, rejected>."""
 

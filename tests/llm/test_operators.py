@@ -1,5 +1,6 @@
 """Each operator on odd rows, and against brute force, a round trip or held-out labels."""
 
+import base64
 import hashlib
 import re
 import textwrap
@@ -339,3 +340,19 @@ def _digest_here(module, df):
     ordered = pa.Table.from_pylist(rows, schema=table.schema).drop(["turn"])
     out = [r for b in module.digest_stream(module.format_stream(iter(ordered.to_batches(max_chunksize=17)))) for r in b.to_pylist()]
     return {r["conv_id"]: r for r in out}
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(docs)
+    held = [r["text"] for r in docs.filter((fold_of(F.col("doc_id")) == 0) & (F.length("text") >= 20)).select("text").collect()]
+    rng = np.random.default_rng(3)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 600)) for _ in range(200)]
+    coded = [base64.b64encode(rng.bytes(450)).decode() for _ in range(200)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    share = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    print("rejected: held out", share(held), len(held), "letters", share(letters), "base64", share(coded), model.predict(polish), model.predict(turkish), model.limits)
+    assert share(held) <= 0.005
+    assert share(letters) >= 0.95 and share(coded) >= 0.95
+    assert model.predict(polish)[2] and model.predict(turkish)[2]
