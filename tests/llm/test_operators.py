@@ -277,6 +277,31 @@ def test_packing_is_whole_and_equal_to_direct_encoding(spark, odd):
     assert got.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_word_encoder_equals_whole_texts(spark):
+    coder = packing.WordEncoder(TOKENIZERS("word_bpe_49k.json"))
+    assert coder.by_words and not packing.WordEncoder(TOKENIZERS("byte_bpe_50k.json")).by_words
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(2)
+    places = list("aB é'.,!#\u0301²٣Ⅷ_<|— \n日ß9sÀ…´`^")
+    texts += ["".join(rng.choice(places, rng.integers(1, 9))) for _ in range(5000)] + ["a<|endoftext|>B", "<|ENDOFTEXT|>", "x" * 300_000]
+    assert all(np.array_equal(a, b) for a, b in zip(coder.encode(texts), coder.whole(texts)))
+
+
+def test_word_tables_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    coder = packing.WordEncoder(TOKENIZERS("word_bpe_49k.json"))
+    for i in range(30):
+        texts = [" ".join(f"w{chr(97 + (i * j) % 26)}{j}" for j in range(50)), "y" * 5000]
+        assert all(np.array_equal(a, b) for a, b in zip(coder.encode(texts), coder.whole(texts)))
+        assert coder.held <= 20_000 + 2 * 5000 + 52 * 300
+
+
+def test_packing_deals_equal_rows_to_many_groups(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"))
+    got = packing.pack_documents(docs, TOKENIZERS("word_bpe_49k.json"), group_rows=100).toPandas()
+    assert len(got) == 3000 and (got.sequence_id // (1 << 32)).value_counts().max() < 200
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(5)
     lengths = np.sort(rng.integers(1, 65, 400))[::-1]
