@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pivotloom.functions.status import NO, UNRESOLVED, YES
+from pivotloom.functions.status import NO, UNRESOLVED, UNSUPPORTED, YES
 
 # Hex lengths of digests.
 DIGEST_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64, "sha384": 96, "sha512": 128}
@@ -81,11 +81,59 @@ def suffixes(name: Column) -> Column:
 
 
 def serial_hex(value: Column, radix: int) -> Column:
-    """A certificate serial as lower-case hex without leading zeros."""
-    text = F.lower(value) if radix == 16 else F.lower(F.conv(value, radix, 16))
+    """A certificate serial as lower-case hex without leading zeros; null if it isn't a number of that radix.
+
+    Decimal serials of any length are read three digits at a time into 24-bit limbs, the
+    least first, so no number leaves 64 bits.
+    """
+    if radix == 16:
+        text = F.when(value.rlike("^[0-9A-Fa-f]+$"), F.lower(value))
+    else:
+        padded = F.lpad(value, F.ceil(F.length(value) / 3).cast("int") * 3, "0")
+        groups = F.regexp_extract_all(padded, F.lit("[0-9]{3}"), F.lit(0))
+        limbs = F.array(F.lit(0).cast("long"))
+
+        def times_and_add(number: Column, digits: Column) -> Column:
+            start = F.struct(F.array().cast("array<bigint>").alias("out"), digits.cast("long").alias("carry"))
+            done = F.aggregate(number, start, lambda s, x: F.struct(
+                F.concat(s["out"], F.array((x * 1000 + s["carry"]) % (1 << 24))).alias("out"), F.floor((x * 1000 + s["carry"]) / (1 << 24)).alias("carry")))
+            return F.transform(F.array(done), lambda d: F.when(d["carry"] > 0, F.concat(d["out"], F.array(d["carry"]))).otherwise(d["out"]))[0]
+
+        number = F.aggregate(groups, limbs, times_and_add)
+        text = F.when(value.rlike("^[0-9]+$"), F.array_join(F.transform(F.reverse(number), lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), ""))
     return F.regexp_replace(text, "^0+(?=.)", "")
 
 
+def der_bytes(pem: Column) -> Column:
+    """The DER bytes of a PEM block, or of its base64 text alone."""
+    return F.unbase64(F.regexp_replace(pem, r"-----[A-Z ]+-----|\s+", ""))
+
+
+def material(kind: Column, recipe: Column, content: Column) -> Column:
+    """struct<kind, recipe, value>: the SHA-256 of bytes with how they were made."""
+    return F.struct(kind.alias("kind"), recipe.alias("recipe"), F.sha2(content, 256).alias("value"))
+
+
+def content_matches(content: Column, reported: Column, length: Column, scope: Column) -> Column:
+    """Preserved bytes against a reported digest and length: a contradiction is invalid."""
+    return (
+        F.when(content.isNull() | reported.isNull(), UNRESOLVED).when(scope != "exact_source_bytes", UNSUPPORTED)
+        .when((F.sha2(content, 256) != reported) | F.coalesce(F.octet_length(content) != length, F.lit(False)), "invalid").otherwise(YES)
+    )
+
+
+def equality_classes(rows: DataFrame, key: str, recipe: str, value: str) -> DataFrame:
+    """Each row with its class (the smallest key of its value) and its links within it.
+
+    `matches` counts other rows of the value and recipe, `unresolved` those of another
+    recipe; copies aren't paired off.
+    """
+    own = rows.groupBy(value, recipe).agg(F.count(F.lit(1)).alias("_own"), F.min(key).alias("_low"))
+    every = own.groupBy(value).agg(F.sum("_own").alias("_all"), F.min("_low").alias("class_id"))
+    j = rows.join(own.drop("_low"), [value, recipe]).join(every, value)
+    return j.withColumn("matches", F.col("_own") - 1).withColumn("unresolved", F.col("_all") - F.col("_own")).drop("_own", "_all")
+
+
 def file_uuid(namespace_hex: str, name: Column) -> Column:
     """A version 5 UUID of a name in a namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), name.cast("binary")))

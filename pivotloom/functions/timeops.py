@@ -6,7 +6,7 @@ interval is struct<lo, hi, lo_inc, hi_inc>; a point has equal, included ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pivotloom.functions.status import NO, UNRESOLVED, UNSUPPORTED, YES
@@ -34,9 +34,10 @@ def bounds(at: Column, precision: Column) -> Column:
     return out
 
 
-def widen(x: Column, uncertainty: Column) -> Column:
-    """A clock's uncertainty in seconds spreads an occurrence."""
-    return F.struct((x["lo"] - uncertainty).cast(SECONDS).alias("lo"), (x["hi"] + uncertainty).cast(SECONDS).alias("hi"), x["lo_inc"].alias("lo_inc"), x["hi_inc"].alias("hi_inc"))
+def widen(x: Column, uncertainty: Column, state: Column | None = None) -> Column:
+    """A clock's uncertainty in seconds spreads an occurrence; an uncertain state is null, so open."""
+    out = F.struct((x["lo"] - uncertainty).cast(SECONDS).alias("lo"), (x["hi"] + uncertainty).cast(SECONDS).alias("hi"), x["lo_inc"].alias("lo_inc"), x["hi_inc"].alias("hi_inc"))
+    return F.when(x.isNotNull() & (~state | (uncertainty == 0)), out) if state is not None else F.when(x.isNotNull(), out)
 
 
 def well_formed(x: Column) -> Column:
@@ -54,8 +55,11 @@ def subset(a: Column, b: Column) -> Column:
     return low & high
 
 
-def compare(a: Column, b: Column, how: str) -> Column:
-    """lt, lte or eq of two occurrences: match if true of all instants, no_match if of none."""
+def compare(a: Column, b: Column, how: str, state: Column | None = None) -> Column:
+    """lt, lte or eq of two occurrences: match if true of all instants, no_match if of none.
+
+    `state` says that either is a state, whose end must be chosen first: unsupported.
+    """
     touch = (a["hi"] == b["lo"]) & a["hi_inc"] & b["lo_inc"]
     always_lt = (a["hi"] < b["lo"]) | ((a["hi"] == b["lo"]) & ~(a["hi_inc"] & b["lo_inc"]))
     never_lt = (a["lo"] > b["hi"]) | (a["lo"] == b["hi"])
@@ -65,7 +69,8 @@ def compare(a: Column, b: Column, how: str) -> Column:
         yes, no = always_lt | touch, (a["lo"] > b["hi"]) | ((a["lo"] == b["hi"]) & ~(a["lo_inc"] & b["hi_inc"]))
     else:
         yes, no = (a["lo"] == a["hi"]) & (b["lo"] == b["hi"]) & (a["lo"] == b["lo"]), disjoint(a, b)
-    return F.when(a.isNull() | b.isNull(), UNRESOLVED).when(yes, YES).when(no, NO).otherwise(UNRESOLVED)
+    open_ = F.when(a.isNull() | b.isNull(), UNRESOLVED)
+    return (open_ if state is None else open_.when(state, UNSUPPORTED)).when(yes, YES).when(no, NO).otherwise(UNRESOLVED)
 
 
 def within(x: Column, period: Column, mode: str, role: str = "occurrence") -> Column:
@@ -94,12 +99,34 @@ def query_period(start: str, end: str) -> Column:
     return interval(seconds(F.lit(start).cast("date").cast("timestamp")), seconds(F.date_add(F.lit(end).cast("date"), 1).cast("timestamp")))
 
 
-def coexistence(state: Column) -> Column:
-    """Aggregate: whether all states of a group share an instant."""
+def coexistence(state: Column, period: Column | None = None, occurrence: Column | None = None) -> Column:
+    """Aggregate: whether all states of a group share an instant, within a period if one is given.
+
+    A missing state leaves it open; an occurrence among them is unsupported.
+    """
     low = F.max(F.struct(state["lo"].alias("at"), (~state["lo_inc"]).alias("open")))
     high = F.min(F.struct(state["hi"].alias("at"), state["hi_inc"].alias("closed")))
+    if period is not None:
+        low = F.greatest(low, F.struct(period["lo"].alias("at"), (~period["lo_inc"]).alias("open")))
+        high = F.least(high, F.struct(period["hi"].alias("at"), period["hi_inc"].alias("closed")))
     shared = (low["at"] < high["at"]) | ((low["at"] == high["at"]) & ~low["open"] & high["closed"])
-    return F.when(shared, YES).otherwise(NO)
+    out = F.when(F.count_if(state.isNull()) > 0, UNRESOLVED)
+    if occurrence is not None:
+        out = out.when(F.max(occurrence), UNSUPPORTED)
+    return out.when(shared, YES).otherwise(NO)
+
+
+def overlaps(rows: DataFrame, key: str, order: str, x: str, bucket: int) -> DataFrame:
+    """Pairs of rows of one key whose intervals share an instant: the key, a, b, xa and xb.
+
+    Intervals stand in each bucket of so many seconds that they touch, and rows meet on key
+    and bucket; a pair is taken in the first bucket both touch, so it comes once.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    side = lambda name, own: rows.select(key, F.col(order).alias(name), F.col(x).alias(own), at(f"{x}.lo").alias(f"{own}_from"), F.explode(F.sequence(at(f"{x}.lo"), at(f"{x}.hi"))).alias("_bucket"))
+    j = side("a", "xa").join(side("b", "xb"), [key, "_bucket"])
+    first = F.col("_bucket") == F.greatest("xa_from", "xb_from")
+    return j.filter(first & (F.col("a") < F.col("b")) & ~disjoint(F.col("xa"), F.col("xb"))).select(key, "a", "b", "xa", "xb")
 
 
 def metadata_gate(value: Column, clock: Column, zone: Column, precision: Column) -> Column:

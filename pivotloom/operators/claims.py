@@ -5,48 +5,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pivotloom.sources.shared import checkpoint
+
 
 def amendment_state(claims: DataFrame, amendments: DataFrame, key: str) -> DataFrame:
     """Per claim reported, withdrawn, corrected, contested or unresolved_amendment_context.
 
-    Amendments that another one supersedes don't count; an unknown operation leaves the
-    claim open, and both operations contest it.
+    amendments has amendment_id, the claim's key, operation (withdraw, correct, dispute or
+    reinstate), supersedes (an amendment_id or null) and the statuses `support` and
+    `available`. One counts if both match; one received later is no gap, any other open
+    status is one. Those that a counting one supersedes fall away. A dispute contests a
+    claim, as does a reinstatement beside a standing withdrawal or correction.
+    """
+    active = amendments.filter("support = 'match' and available = 'match'")
+    gone = active.select(F.col("supersedes").alias("amendment_id")).filter("amendment_id is not null").distinct()
+    has = lambda *ops: F.max(F.col("operation").isin(*ops))
+    standing = active.join(gone, "amendment_id", "left_anti").groupBy(key).agg(
+        has("dispute").alias("d"), has("reinstate").alias("r"), has("withdraw").alias("w"), has("correct").alias("c"))
+    open_ = amendments.filter("support <> 'match' or support is null or available in ('unresolved', 'unsupported') or available is null").select(key).distinct()
+    j = claims.join(standing, key, "left").join(open_.withColumn("u", F.lit(True)), key, "left")
+    d, r, w, c = (F.coalesce(x, F.lit(False)) for x in "drwc")
+    state = (
+        F.when(F.col("u"), "unresolved_amendment_context").when(d | (r & (w | c)), "contested")
+        .when(c, "corrected").when(w, "withdrawn").otherwise("reported")
+    )
+    return j.withColumn("state", state).drop("d", "r", "w", "c", "u")
+
+
+OPEN_STATES, ENDED_STATES = ("unresolved_amendment_context", "contested"), ("corrected", "withdrawn")
+
+
+def amendment_support(states: DataFrame, path: str) -> DataFrame:
+    """Per path of several claims whether its support is unwithdrawn, and whether there are gaps."""
+    gaps, ended = F.max(F.col("state").isin(*OPEN_STATES)), F.max(F.col("state").isin(*ENDED_STATES))
+    out = states.groupBy(path).agg(gaps.alias("has_gaps"), ended.alias("_ended"))
+    return out.select(path, "has_gaps", F.when(F.col("has_gaps"), "unresolved").when(F.col("_ended"), "no_match").otherwise("match").alias("support_status"))
+
+
+def amendment_filter(rows: DataFrame, mode: str, enabled: Column, excluded: tuple[str, ...] = ENDED_STATES) -> DataFrame:
+    """rows (state, support_status) with disposition and returned.
+
+    Mode retain_reports keeps every report, require_unwithdrawn_in_scope only those whose
+    support matches. Of what is kept, an enabled exclusion suppresses the excluded states and
+    leaves open ones unresolved.
     """
-    current = amendments.join(amendments.select(F.col("supersedes").alias("amendment_id")).filter("amendment_id is not null").distinct(), "amendment_id", "left_anti")
-    seen = current.groupBy(key).agg(F.count_if(F.expr("operation = 'withdraw'")).alias("w"), F.count_if(F.expr("operation = 'correct'")).alias("c"), F.count_if(F.expr("operation is null or operation not in ('withdraw', 'correct')")).alias("u"))
-    state = F.when(F.col("u") > 0, "unresolved_amendment_context").when((F.col("w") > 0) & (F.col("c") > 0), "contested").when(F.col("c") > 0, "corrected").when(F.col("w") > 0, "withdrawn").otherwise("reported")
-    return claims.join(seen, key, "left").withColumn("state", state).drop("w", "c", "u")
+    kept = F.lit(True) if mode == "retain_reports" else F.col("support_status") == "match"
+    chosen = (
+        F.when(~enabled, "not_selected").when(F.col("state").isin(*OPEN_STATES), "unresolved")
+        .when(F.col("state").isin(*excluded), "suppressed").otherwise("retained_in_supplied_scope")
+    )
+    rows = rows.withColumn("disposition", F.when(kept, chosen).otherwise(F.col("support_status")))
+    return rows.withColumn("returned", F.col("disposition").isin("not_selected", "retained_in_supplied_scope"))
 
 
-def supersession_cycles(pairs: DataFrame, max_depth: int) -> DataFrame:
-    """Ids that reach themselves within so many steps of (id, supersedes)."""
-    found = None
-    frontier = pairs.select(F.col("id").alias("start"), F.col("supersedes").alias("at"))
-    step = pairs.select(F.col("id").alias("at"), F.col("supersedes").alias("next"))
-    for _ in range(max_depth):
-        hit = frontier.filter("start = at").select(F.col("start").alias("id"))
-        found = hit if found is None else found.unionByName(hit)
-        frontier = frontier.filter("start <> at").join(step, "at").select("start", F.col("next").alias("at")).distinct()
-    return found.distinct()
+def supersession_cycles(amendments: DataFrame, claim: str) -> DataFrame:
+    """Claims of which an amendment supersedes itself, directly or through others: claim and rows on the way.
+
+    amendments has the claim, id and supersedes. Each round drops rows that lead to no other
+    row of the claim or to which none leads; what is left when nothing changes holds a cycle.
+    Rounds are as many as the longest chain, and each is checkpointed.
+    """
+    left = checkpoint(amendments.select(claim, "id", "supersedes").filter("supersedes is not null").distinct())
+    before, n = None, left.count()
+    while n and n != before:
+        starts = left.select(claim, F.col("id").alias("supersedes")).distinct()
+        ends = left.select(claim, F.col("supersedes").alias("id")).distinct()
+        left = checkpoint(left.join(starts, [claim, "supersedes"], "left_semi").join(ends, [claim, "id"], "left_semi").select(claim, "id", "supersedes"))
+        before, n = n, left.count()
+    return left.groupBy(claim).agg(F.count(F.lit(1)).alias("rows_left"))
+
 
+def policy_statuses(rows: DataFrame) -> DataFrame:
+    """rows with applied, when, allow and conflict as an enabled policy sees them.
 
-def resolve_policies(rows: DataFrame, group: str, scope: str) -> DataFrame:
+    Rows of a disabled policy go. One that doesn't apply excludes nothing and clears nothing;
+    an open application leaves when and allow open; an unknown partition leaves all open.
+    """
+    rows = rows.filter("enabled")
+    no_part, applies = F.col("part_key").isNull(), F.col("applies")
+    when = F.when(applies == "no_match", "no_match").when(no_part, "unresolved").when(applies != "match", applies).otherwise(F.col("when"))
+    allow = F.when(applies == "no_match", "match").when(no_part, "unresolved").when(applies != "match", applies).otherwise(F.col("allow"))
+    conflict = F.when(applies == "no_match", "no_match").when(no_part, "unresolved").otherwise(F.col("conflict"))
+    return rows.withColumns({"when": when, "allow": allow, "conflict": conflict, "applied": applies != "no_match"})
+
+
+def resolve_policies(rows: DataFrame, group: str, scope: str, partial: str | None = None) -> DataFrame:
     """rows with decision kept, suppressed, contested or unresolved.
 
     Columns when, allow and conflict hold statuses. A group is contested if both sides or a
-    conflict match, and unresolved if its decision is open. One suppressing group removes
-    every row of its scope, in other groups too.
+    conflict match, and unresolved if its decision is open or a search for it was cut
+    (`partial`). One suppressing group removes every row of its scope, in other groups too.
     """
     has = lambda c, *values: F.count_if(F.col(c).isin(*values)) > 0
     open_ = ("unresolved", "unsupported")
-    groups = rows.groupBy(group, scope).agg(has("when", "match").alias("w"), has("allow", "match").alias("a"), has("conflict", "match").alias("x"), has("when", *open_).alias("u"))
-    verdict = F.when(F.col("x") | (F.col("w") & F.col("a")), "contested").when(F.col("w"), "suppress").when(F.col("u"), "unresolved").otherwise("keep")
+    cut = F.coalesce(F.max(partial), F.lit(False)) if partial else F.max(F.lit(False))
+    groups = rows.groupBy(group, scope).agg(has("when", "match").alias("w"), has("allow", "match").alias("a"), has("conflict", "match").alias("x"), has("when", *open_).alias("u"), cut.alias("p"))
+    verdict = F.when(F.col("x") | (F.col("w") & F.col("a")), "contested").when(F.col("p"), "unresolved").when(F.col("w"), "suppress").when(F.col("u"), "unresolved").otherwise("keep")
     groups = groups.withColumn("verdict", verdict)
     scopes = groups.groupBy(scope).agg((F.count_if(F.expr("verdict = 'suppress'")) > 0).alias("gone"))
-    decided = rows.join(groups.select(group, scope, "verdict"), [group, scope]).join(scopes, scope)
+    same = groups.select(F.col(group).alias("_g"), F.col(scope).alias("_s"), "verdict")
+    decided = rows.join(same, F.col(group).eqNullSafe(F.col("_g")) & (F.col(scope) == F.col("_s"))).drop("_g", "_s").join(scopes, scope)
     return decided.withColumn("decision", F.when(F.col("gone"), "suppressed").when(F.col("verdict") == "keep", "kept").otherwise(F.col("verdict"))).drop("verdict", "gone")
 
 
+def required_controls(decided: DataFrame) -> DataFrame:
+    """decided rows with `control`: withheld (unsupported or unresolved) where a required policy isn't cleared.
+
+    Cleared means that its decision is no match and its allowance a match; a contested or cut
+    group has an open decision. Suppressed rows are out before that.
+    """
+    decision = F.when(F.col("decision").isin("contested", "unresolved"), "unresolved").otherwise(F.col("when"))
+    whole = (decision == "no_match") & (F.col("allow") == "match")
+    open_ = F.when((decision == "unsupported") | (F.col("allow") == "unsupported"), "unsupported").otherwise("unresolved")
+    return decided.withColumn("control", F.when(F.col("decision") == "suppressed", "suppressed").when(~F.col("required") | whole, "returned").otherwise(open_))
+
+
 def earliest(rows: DataFrame, key: str, lo: str, hi: str, order: str) -> DataFrame:
     """Per claim the establishment no later than every other, or a row marked unresolved.
 
@@ -67,11 +140,34 @@ def novelty(rows: DataFrame, key: str, at: str, start: Column, end: Column) -> D
     return seen.withColumn("novel", F.col("first_seen").between(start, end))
 
 
-def set_digests(members: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Per set the number and the digest of its distinct members, in order."""
+#: Members whose hashes one array holds, about.
+LEAF = 4096
+
+
+def set_digests(members: DataFrame, key: str, fields: list[str], leaf: int = LEAF) -> DataFrame:
+    """Per set the number and the digest of its distinct members."""
     row = F.sha2(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in fields]), 256)
-    distinct = members.select(key, row.alias("h")).distinct()
-    return distinct.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    return digest_tree(members.select(key, row.alias("h")).distinct(), key, leaf).withColumnRenamed("n", "members")
+
+
+def digest_tree(hashes: DataFrame, key: str, leaf: int = LEAF) -> DataFrame:
+    """key, n and digest over hashes (key, h), in their order and in levels.
+
+    Hashes meet by as many leading digits as leave about `leaf` of their set together; then
+    groups meet sixteen at a time until one is left. So no task holds a set, and a digest
+    follows from its own set alone. A set of up to `leaf` has the digest of its joined hashes.
+    """
+    sizes = hashes.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    digits = F.greatest(F.lit(0), F.ceil(F.round(F.log(16.0, F.col("n") / leaf), 9))).cast("int")
+    most = sizes.agg(F.max(digits).alias("d")).first()["d"] or 0
+    level = hashes.join(sizes.select(key, digits.alias("d")), key).select(key, "d", F.expr("substring(h, 1, d)").alias("b"), "h", F.lit(1).alias("n"))
+    joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
+    level = level.groupBy(key, "d", "b").agg(joined.alias("h"), F.sum("n").alias("n"))
+    for left in range(most, 0, -1):
+        deep = F.col("d") >= left
+        up = level.select(key, "d", F.when(deep, F.substring("b", 1, left - 1)).otherwise(F.col("b")).alias("b"), F.when(deep, F.concat("b", F.lit(":"), "h")).otherwise(F.col("h")).alias("h"), "n")
+        level = up.groupBy(key, "d", "b").agg(F.when(deep, joined).otherwise(F.min("h")).alias("h"), F.sum("n").alias("n"))
+    return level.select(key, "n", F.col("h").alias("digest"))
 
 
 def ranked_results(rows: DataFrame, seed: str, order: list[Column], limit: int) -> DataFrame:

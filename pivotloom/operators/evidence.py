@@ -45,21 +45,43 @@ def backed_value(values: DataFrame, links: DataFrame, record: str = "record_id")
     return hits.withColumn("status", F.when(F.col("revision").isNull() | (F.col("n") > 1), UNRESOLVED).when(F.col("n") == 1, YES).otherwise(NO))
 
 
-def in_prefix(addresses: DataFrame, ip: str, prefixes: DataFrame, prefix: str, bits: int = 8) -> DataFrame:
-    """Address rows with each prefix that holds them: a range join bucketed by leading bits.
+def in_prefix(addresses: DataFrame, ip: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Address rows with each prefix that holds them: an equi join on the masked address.
 
-    A prefix shorter than the bucket stands in each bucket it spans, at most 2^bits.
+    An address stands once for each prefix length that occurs, of which there are at most 33.
     """
-    width = 1 << (32 - bits)
     p = prefixes.withColumn("_r", cidr(F.col(prefix))).filter("_r is not null")
-    p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_r.first") / width), F.floor(F.col("_r.last") / width))))
-    a = addresses.withColumn("_b", F.floor(F.col(ip) / width))
-    return a.join(p, "_b").filter(F.col(ip).between(F.col("_r.first"), F.col("_r.last"))).drop("_b", "_r")
+    p = p.withColumn("_size", F.col("_r.last") - F.col("_r.first") + 1).withColumn("_base", F.col("_r.first")).drop("_r")
+    sizes = [r["_size"] for r in p.select("_size").distinct().collect()]
+    a = addresses.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<bigint>"))) if sizes else addresses.withColumn("_size", F.lit(None).cast("long"))
+    return a.withColumn("_base", F.col(ip) - F.pmod(F.col(ip), F.col("_size"))).join(p, ["_size", "_base"]).drop("_size", "_base")
 
 
 def in_scope(names: DataFrame, name: str, scopes: DataFrame, scope: str) -> DataFrame:
-    """Name rows with each scope they are or lie under: an equi join on parent names."""
-    return names.withColumn(scope, F.explode(suffixes(F.col(name)))).join(scopes, scope)
+    """Name rows with each scope they are or lie under: an equi join on parent names.
+
+    A name whose leftmost label is `*` is a wildcard, kept apart in `wildcard`; its scopes are
+    those of what stands behind the star.
+    """
+    star = F.startswith(F.col(name), F.lit("*."))
+    bare = F.when(star, F.substring(F.col(name), F.lit(3), F.length(F.col(name)))).otherwise(F.col(name))
+    return names.withColumn("wildcard", star).withColumn(scope, F.explode(suffixes(bare))).join(scopes, scope)
+
+
+def profile_matches(entities: DataFrame, key: str, values: DataFrame, criteria: DataFrame) -> DataFrame:
+    """key, profile and status of every entity and profile: all criteria of the profile must match.
+
+    values has key, field, value; criteria profile, field, kind (text: one of `allowed`;
+    range: a number between low and high). A field without a value leaves it open; an entity
+    without any value of a profile's fields has no row.
+    """
+    profiles = criteria.groupBy("profile").agg(F.count(F.lit(1)).alias("_wanted"))
+    number = F.col("value").try_cast("double")
+    test = F.when(F.col("kind") == "range", number.between(F.col("low"), F.col("high"))).otherwise(F.array_contains("allowed", F.col("value")))
+    met = values.join(criteria, "field").withColumn("_t", test).groupBy(key, "profile").agg(F.count("_t").alias("_known"), F.count_if(~F.col("_t")).alias("_no"))
+    j = met.join(profiles, "profile")
+    status = F.when(F.col("_no") > 0, NO).when(F.col("_known") < F.col("_wanted"), UNRESOLVED).otherwise(YES)
+    return j.join(entities.select(key).distinct(), key, "left_semi").select(key, "profile", status.alias("status"))
 
 
 def received_claims(claims: DataFrame, receipts: DataFrame, key: str, cutoff: Column) -> DataFrame:

@@ -28,11 +28,15 @@ def listed_counterparties(relations: DataFrame, listings: DataFrame, party: str,
 
 
 def named_in_exchange(messages: DataFrame, names: DataFrame, exchange: list[str], at: str, seconds: int) -> DataFrame:
-    """Messages with the names of the same exchange and leg, no further apart than so many seconds."""
+    """Messages with the names of the same exchange and leg, no further apart than so many seconds.
+
+    An equi join on the exchange and a time bucket, so that a busy exchange is split.
+    """
+    width = seconds * 1_000_000
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    m = messages.withColumn("_m", us(at)).drop(at)
-    n = names.withColumn("_n", us(at)).drop(at)
-    return m.join(n, exchange).filter(F.abs(F.col("_m") - F.col("_n")) <= seconds * 1_000_000).drop("_m", "_n")
+    m = messages.withColumn("_m", us(at)).drop(at).withColumn("_bucket", F.floor(F.col("_m") / width))
+    n = names.withColumn("_n", us(at)).drop(at).withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("_n") / width) + i for i in (-1, 0, 1)])))
+    return m.join(n, [*exchange, "_bucket"]).filter(F.abs(F.col("_m") - F.col("_n")) <= width).drop("_m", "_n", "_bucket")
 
 
 def presentations(subjects: DataFrame, observations: DataFrame, key: str, period: Column) -> DataFrame:
@@ -54,6 +58,43 @@ def listing_assertions(addresses: DataFrame, prefixes: DataFrame, assertions: Da
     return held.join(assertions.filter("applies_to = 'all_addresses_in_prefix'"), "prefix_id")
 
 
+def package_infrastructure(declared: DataFrame, used: DataFrame, key: str, as_of: Column, days: int) -> DataFrame:
+    """Declarations that match with the infrastructure of their repository seen within the window.
+
+    used has the repository, infrastructure and seen (date). Rows outside the window are kept
+    apart by `inside`; a repository without any has one row without infrastructure.
+    """
+    found = declared.filter(F.col("status") == S.YES).join(used, key, "left")
+    return found.withColumn("inside", F.coalesce(F.col("seen").between(F.date_sub(as_of, days), as_of), F.lit(False)))
+
+
+def expanded_certificates(certificates: DataFrame, seeds: DataFrame, profiles: DataFrame, key: str, name: str, limit: int) -> DataFrame:
+    """Certificates in a seed's scope whose profile matches, once for each seed: key, scope, wildcard, profile.
+
+    Of each seed at most `limit` distinct ones come, in order of their key, with the number there are.
+    """
+    scoped = E.in_scope(certificates, name, seeds, "scope").select(key, "scope", "wildcard").distinct()
+    kept = scoped.join(profiles.filter(F.col("status") == S.YES).select(key, "profile"), key)
+    from pivotloom.operators.claims import ranked_results
+
+    return ranked_results(kept, "scope", [F.col(key), F.col("profile"), F.col("wildcard")], limit)
+
+
+def signing_reports(files: DataFrame, signatures: DataFrame, key: str, at: Column) -> DataFrame:
+    """Per file absent, present, reported or verified: the best of its signatures.
+
+    A signature counts as present if its image digest is the file's by the same recipe, as
+    reported if it names a signer, as verified if a report on it was valid at the time.
+    """
+    same = (F.col("image_recipe") == F.col("recipe")) & (F.col("image") == F.col("digest"))
+    valid = F.col("signer").isNotNull() & F.coalesce((F.col("valid_from") <= at) & (at <= F.col("valid_to")), F.lit(False))
+    rank = F.when(valid, 3).when(F.col("signer").isNotNull(), 2).otherwise(1)
+    best = files.join(signatures, key).filter(same).groupBy(key).agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("signatures"))
+    j = files.select(key).join(best, key, "left")
+    names = F.array(*[F.lit(x) for x in ("absent", "present", "reported", "verified")])
+    return j.select(key, F.coalesce("signatures", F.lit(0)).alias("signatures"), F.element_at(names, F.coalesce("rank", F.lit(0)) + 1).alias("signing"))
+
+
 def observed_once(observations: DataFrame, scope: list[str], endpoints: list[str]) -> DataFrame:
     """Per scope match if all observations agree on endpoints and time, else unresolved."""
     same = observations.groupBy(*scope).agg(F.count_distinct(*endpoints).alias("endpoints"), F.count_distinct("x").alias("times"), F.count(F.lit(1)).alias("n"))

@@ -20,13 +20,15 @@ class Hop:
 
 @dataclass(frozen=True)
 class PivotSpec:
-    """Source forms, hops, a window of days, and (form, list) pairs that suppress."""
+    """Source forms, hops, a window of days, and (form, list) pairs that suppress.
+
+    A path is suppressed if its seed or its target stands on a list declared for its form.
+    """
 
     source: str
     hops: tuple[Hop, ...]
     window_days: int | None = None
     negative_lists: tuple[tuple[str, str], ...] = field(default=())
-    suppression_side: str = "target"
 
 
 def relation_name(name: Column) -> Column:
@@ -55,13 +57,19 @@ def listed(form: Column, lists: Column, pairs: tuple[tuple[str, str], ...]) -> C
     return hit
 
 
-def step(edges: DataFrame, hop: Hop, as_of: str, days: int | None) -> DataFrame:
-    """at, to, seen, source, relation of the edges one hop may use, oriented along it."""
-    chosen = edges.filter(F.col("relation").isin(alternatives(hop.relation)) & in_window(F.col("seen"), as_of, days))
+def step(nodes: DataFrame, edges: DataFrame, hop: Hop, as_of: str, days: int | None, keep_outside: bool = False) -> DataFrame:
+    """at, to, relation, seen, source, inside, form, negative_lists of the edges one hop may use, oriented along it.
+
+    The form is that of the node, whatever its id looks like. Edges outside the window are
+    left out, or kept with inside false; undated ones are in no window and always go.
+    """
+    inside = in_window(F.col("seen"), as_of, days)
+    chosen = edges.filter(F.col("relation").isin(alternatives(hop.relation))).withColumn("inside", inside)
+    chosen = chosen.filter("inside" if not keep_outside or days is None else "seen is not null")
     ends = ("src", "dst") if hop.direction == "out" else ("dst", "src")
-    out = chosen.select(F.col(ends[0]).alias("at"), F.col(ends[1]).alias("to"), "relation", "seen", "source")
-    forms = alternatives(hop.form)
-    out = out.filter(F.substring_index("to", ":", 1).isin(forms))
+    out = chosen.select(F.col(ends[0]).alias("at"), F.col(ends[1]).alias("to"), "relation", "seen", "source", "inside")
+    reached = nodes.filter(F.col("form").isin(alternatives(hop.form))).select(F.col("id").alias("to"), "form", "negative_lists")
+    out = out.join(reached, "to")
     return out if hop.cap is None else cap_degree(out, hop.cap).filter("not capped").drop("degree", "capped")
 
 
@@ -74,29 +82,36 @@ def cap_degree(steps: DataFrame, cap: int) -> DataFrame:
     return steps.join(degree, ["at", "relation"]).withColumn("capped", F.col("degree") > cap)
 
 
+def cut_starts(nodes: DataFrame, edges: DataFrame, hop: Hop, as_of: str, days: int | None) -> DataFrame:
+    """at, relation and degree of the starts that a hop's cap cuts."""
+    steps = step(nodes, edges, Hop(hop.relation, hop.direction, hop.form), as_of, days)
+    return steps.groupBy("at", "relation").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") > hop.cap)
+
+
 def pivot(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, spec: PivotSpec, as_of: str) -> DataFrame:
     """seed, target, path, seens, sources, included of every path; multiplicity is kept.
 
     Each hop is an equi join on the frontier; caps cut hubs before the next hop. A path
-    doesn't come back to its seed.
+    doesn't come back to its seed. A last hop outside the window makes a suppressed path;
+    earlier hops outside it make none.
     """
     start = nodes.filter(F.col("form").isin(alternatives(spec.source))).join(seeds.select(F.col("id")).distinct(), "id", "left_semi")
     at = start.select(
         F.col("id").alias("seed"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<date>").alias("seens"),
-        F.array().cast("array<string>").alias("sources"), listed(F.col("form"), F.col("negative_lists"), spec.negative_lists).alias("seed_listed"),
+        F.array().cast("array<string>").alias("sources"), listed(F.col("form"), F.col("negative_lists"), spec.negative_lists).alias("noisy"), F.lit(True).alias("inside"),
     )
-    for hop in spec.hops:
+    for i, hop in enumerate(spec.hops):
+        last = i == len(spec.hops) - 1
+        noisy = F.col("noisy") | listed(F.col("form"), F.col("negative_lists"), spec.negative_lists) if last else F.col("noisy")
         at = (
-            at.join(step(edges, hop, as_of, spec.window_days), "at")
+            at.drop("inside").join(step(nodes, edges, hop, as_of, spec.window_days, last), "at")
             .filter(F.col("to") != F.col("seed"))
             .select(
                 "seed", F.col("to").alias("at"), F.concat("path", F.array("relation", "to")).alias("path"), F.concat("seens", F.array("seen")).alias("seens"),
-                F.concat("sources", F.array("source")).alias("sources"), "seed_listed",
+                F.concat("sources", F.array("source")).alias("sources"), noisy.alias("noisy"), "inside",
             )
         )
-    ends = nodes.filter(F.col("form").isin(alternatives(spec.hops[-1].form))).select(F.col("id").alias("at"), "form", "negative_lists")
-    noisy = listed(F.col("form"), F.col("negative_lists"), spec.negative_lists) if spec.suppression_side == "target" else F.col("seed_listed")
-    return at.join(ends, "at").select("seed", F.col("at").alias("target"), "path", "seens", "sources", (~noisy).alias("included"))
+    return at.select("seed", F.col("at").alias("target"), "path", "seens", "sources", (F.col("inside") & ~F.col("noisy")).alias("included"))
 
 
 def target_sets(paths: DataFrame) -> DataFrame:
@@ -118,17 +133,35 @@ def top_paths(paths: DataFrame, k: int) -> DataFrame:
 
 
 def path_features(paths: DataFrame, as_of: str, top: int, novelty_days: int) -> DataFrame:
-    """One row of features per seed and target."""
+    """One row of features per seed and target, over the included paths.
+
+    multi_source_ratio is the share of hops (by place) that have two or more sources.
+    """
     end = F.lit(as_of).cast("date")
     kept = hop_order_kept(F.col("seens"))
-    return paths.groupBy("seed", "target").agg(
+    own = paths.filter("included")
+    hops = own.select("seed", "target", F.posexplode("sources").alias("hop", "source")).groupBy("seed", "target", "hop").agg((F.min("source") < F.max("source")).cast("int").alias("several"))
+    ratio = hops.groupBy("seed", "target").agg(F.round(F.avg("several"), 6).alias("multi_source_ratio"))
+    return own.groupBy("seed", "target").agg(
         F.max((F.size("path") - 1) / 2).cast("int").alias("path_length"),
         F.least(F.count(F.lit(1)), F.lit(top)).alias("path_count_capped"),
         F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("vendor_diversity"),
         F.datediff(end, F.max(F.array_max("seens"))).alias("days_since_support"),
         (F.min(F.array_min("seens")) >= F.date_sub(end, novelty_days)).alias("novelty_flag"),
         F.round(F.sum(kept.cast("int")) / F.count(kept), 6).alias("temporal_consistency"),
-    )
+    ).join(ratio, ["seed", "target"])
+
+
+def degree_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, form, relation, degree, rarity_idf and popular_penalty of nodes with outgoing edges.
+
+    Rarity is over the nodes of the node's own form, whose number is a small aggregate.
+    """
+    n = F.col("degree")
+    of_form = nodes.groupBy("form").agg(F.count(F.lit(1)).alias("nodes"))
+    degree = edges.groupBy(F.col("src").alias("id"), "relation").agg(F.count(F.lit(1)).alias("degree"))
+    known = degree.join(nodes.select("id", "form"), "id").join(of_form, "form")
+    return known.select("id", "form", "relation", "degree", F.round(F.log(F.col("nodes") / n), 6).alias("rarity_idf"), F.round(1 / (1 + F.log(n)), 6).alias("popular_penalty"))
 
 
 def sequences(events: DataFrame, key: str, at: str, max_gap_seconds: int, min_events: int) -> DataFrame:
@@ -144,7 +177,8 @@ def sequences(events: DataFrame, key: str, at: str, max_gap_seconds: int, min_ev
 def co_occurrences(events: DataFrame, key: str, place: str, at: str, seconds: int) -> DataFrame:
     """Pairs of keys at one place within so many seconds, counted: a, b, meetings.
 
-    An equi join on place and time bucket, each event standing also in the next bucket.
+    An equi join on place and time bucket, one side standing in the buckets next to its own
+    too; AQE splits a bucket that is hot. Pairs are as many as meetings.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
     a = events.select(F.col(key).alias("a"), F.col(place).alias("p"), us.alias("ta"), F.floor(us / (seconds * 1_000_000)).alias("bucket"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pivotloom.functions import status as S
+from pivotloom.operators.claims import digest_tree
 
 
 def construct(rows: DataFrame, prefix: str, form: str, identity: list[str]) -> DataFrame:
@@ -32,6 +33,12 @@ def open_references(objects: DataFrame) -> DataFrame:
     return wanted.join(objects.select(F.col("id").alias("ref")).distinct(), "ref", "left_anti").select("id", "ref")
 
 
+def identity_faults(objects: DataFrame) -> DataFrame:
+    """id and fault of exported objects: `repeated` ids with different content, and `open` references."""
+    twice = objects.groupBy("id").agg((F.min(F.sha2("json", 256)) < F.max(F.sha2("json", 256))).alias("differ")).filter("differ").select("id", F.lit("repeated").alias("fault"))
+    return twice.unionByName(open_references(objects).select("id", F.lit("open").alias("fault")).distinct())
+
+
 def declarations(declared: DataFrame, packages: DataFrame, repositories: DataFrame) -> DataFrame:
     """Package to repository declarations with a status: the versions must agree, a missing one leaves it open."""
     j = declared.join(packages, "package").join(repositories, "repository")
@@ -39,17 +46,36 @@ def declarations(declared: DataFrame, packages: DataFrame, repositories: DataFra
 
 
 def history_gate(establishments: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """Per claim whether its history is whole: count and digest as declared, all times inside the coverage."""
-    listed = establishments.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ","), 256).alias("digest"))
-    j = manifest.join(listed, key, "left")
+    """Per claim whether its declared history is whole, with n and digest of its establishments.
+
+    establishments has the claim, item and at; manifest one row a claim with coverage, the
+    digest of its listed items, origin and through. `invalid`: the declared digest isn't that
+    of the establishments, though their number is as declared, or the coverage ends before its
+    origin; unresolved: no establishment is there, some are unlisted or missing, or the
+    coverage isn't declared complete; no_match: one lies outside origin and through.
+    """
+    items = establishments.select(key, F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h"))
+    times = establishments.groupBy(key).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    j = manifest.join(digest_tree(items, key), key, "left").join(times, key, "left")
     inside = (F.col("low") >= F.col("origin")) & (F.col("high") <= F.col("through"))
-    return j.withColumn("status", F.when(F.col("n").isNull(), S.UNRESOLVED).when((F.col("n") == F.col("declared")) & inside, S.YES).otherwise(S.NO))
-
-
-def establishment_supported(claims: DataFrame, support: DataFrame, key: str, at: Column) -> DataFrame:
-    """Claims whose whole support was available by their establishment."""
-    late = support.join(claims, key).groupBy(key).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("available") > at).alias("late"))
-    return late.withColumn("status", F.when(F.col("late") == 0, S.YES).otherwise(S.NO))
+    status = (
+        F.when(F.col("origin") > F.col("through"), "invalid").when(F.col("n").isNull() | (F.col("n") != F.col("declared")), S.UNRESOLVED)
+        .when(F.col("digest") != F.col("declared_digest"), "invalid").when(F.col("coverage") != "complete_declared_scope", S.UNRESOLVED)
+        .when(inside, S.YES).otherwise(S.NO)
+    )
+    return j.withColumn("status", status)
+
+
+def establishment_supported(claims: DataFrame, support: DataFrame, qualified: DataFrame, key: str, item: str, at: Column) -> DataFrame:
+    """Claims whose support is just the qualified set, and was all available by their establishment.
+
+    Another set, or a support without a known availability, leaves it open.
+    """
+    both = support.select(key, item, "available", F.lit(1).alias("s")).join(qualified.select(key, item).distinct().withColumn("q", F.lit(1)), [key, item], "full").join(claims, key)
+    seen = both.groupBy(key).agg(
+        F.count("s").alias("support"), F.count_if(F.col("s").isNull() | F.col("q").isNull()).alias("differing"), F.count_if(F.col("s").isNotNull() & (F.col("available") > at)).alias("late"),
+        F.count_if(F.col("s").isNotNull() & F.col("available").isNull()).alias("open"))
+    return seen.withColumn("status", F.when((F.col("differing") > 0) | (F.col("open") > 0), S.UNRESOLVED).when(F.col("late") == 0, S.YES).otherwise(S.NO))
 
 
 def snapshot_consistency(entries: DataFrame, key: str, path: str, declared: DataFrame) -> DataFrame:

@@ -84,11 +84,11 @@ def _hosts(spark, d):
     return table(spark, d, "pages").select("page_id", I.dns_name(I.authority_host(I.uri_parts(F.col("url"))["authority"])).alias("host"))
 
 
-@query(f"""with {_HOSTS}, s as (select distinct regexp_replace(host, '^[^.]*\\.', '') as scope from hosts where page_id % 10 = 0)
+@query(f"""with {_HOSTS}, s as (select distinct regexp_replace(host, '^[^.]*\\.', '') as scope from hosts)
 select page_id, host, scope from hosts join s on host = scope or ends_with(host, '.' || scope)""")
 def name_in_scope(spark, d):
     h = _hosts(spark, d)
-    scopes = h.filter("page_id % 10 = 0").select(F.regexp_replace("host", r"^[^.]*\.", "").alias("scope")).distinct()
+    scopes = h.select(F.regexp_replace("host", r"^[^.]*\.", "").alias("scope")).distinct()
     return E.in_scope(h, "host", scopes, "scope").select("page_id", "host", "scope")
 
 
@@ -118,46 +118,88 @@ def backed_value(spark, d):
 
 # claims --------------------------------------------------------------------------------
 
-_AMEND = """am as (select l_orderkey * 10 + l_linenumber as amendment_id, l_orderkey as o_orderkey,
-  case l_returnflag when 'R' then 'withdraw' when 'A' then 'correct' when 'N' then case when l_quantity < 3 then 'other' end end as operation,
-  case when l_linenumber > 1 and l_quantity > 25 then l_orderkey * 10 + l_linenumber - 1 end as supersedes from lineitem where l_returnflag <> 'N' or l_quantity < 3)"""
+_AMEND = """am as (select distinct l_orderkey * 10 + l_linenumber as amendment_id, l_orderkey as o_orderkey, case when l_linenumber > 1 and l_quantity > 25 then l_orderkey * 10 + l_linenumber - 1 end as supersedes,
+  case l_returnflag when 'R' then 'withdraw' when 'A' then 'correct' else case when l_linenumber % 2 = 0 then 'dispute' else 'reinstate' end end as operation,
+  case when l_quantity = 7 then 'unresolved' else 'match' end as support, case when l_quantity = 9 then 'unsupported' when l_shipdate < timestamp '1998-01-01' then 'match' else 'no_match' end as available from lineitem where l_quantity < 40)"""
+_STATES = f"""{_AMEND}, act as (select * from am where support = 'match' and available = 'match'),
+cur as (select * from act where amendment_id not in (select supersedes from act where supersedes is not null)),
+g as (select o_orderkey, bool_or(operation = 'withdraw') as w, bool_or(operation = 'correct') as c, bool_or(operation = 'dispute') as d, bool_or(operation = 'reinstate') as r from cur group by 1),
+u as (select distinct o_orderkey, true as u from am where support <> 'match' or available = 'unsupported'),
+st as (select o.o_orderkey, o_custkey, case when u then 'unresolved_amendment_context' when d or (r and (w or c)) then 'contested' when c then 'corrected' when w then 'withdrawn' else 'reported' end as state
+  from orders o left join g using (o_orderkey) left join u using (o_orderkey))"""
 
 
-@query(f"""with {_AMEND}, cur as (select * from am where amendment_id not in (select supersedes from am where supersedes is not null)),
-g as (select o_orderkey, count(*) filter (operation = 'withdraw') as w, count(*) filter (operation = 'correct') as c, count(*) filter (operation is null or operation not in ('withdraw', 'correct')) as u from cur group by 1)
-select o.o_orderkey, case when u > 0 then 'unresolved_amendment_context' when w > 0 and c > 0 then 'contested' when c > 0 then 'corrected' when w > 0 then 'withdrawn' else 'reported' end as state from orders o left join g using (o_orderkey)""")
-def amendment_states(spark, d):
-    l, key = table(spark, d, "lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    op = F.when(F.col("l_returnflag") == "R", "withdraw").when(F.col("l_returnflag") == "A", "correct").when(F.col("l_quantity") < 3, "other")
-    am = l.filter("l_returnflag <> 'N' or l_quantity < 3").select(key.alias("amendment_id"), F.col("l_orderkey").alias("o_orderkey"), op.alias("operation"), F.when((F.col("l_linenumber") > 1) & (F.col("l_quantity") > 25), key - 1).alias("supersedes"))
-    return G.amendment_state(table(spark, d, "orders").select("o_orderkey"), am, "o_orderkey")
+def _amendments(spark, d):
+    l, key, q = table(spark, d, "lineitem").filter("l_quantity < 40"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")
+    flag = F.col("l_returnflag")
+    op = F.when(flag == "R", "withdraw").when(flag == "A", "correct").when(F.col("l_linenumber") % 2 == 0, "dispute").otherwise("reinstate")
+    available = F.when(q == 9, S.UNSUPPORTED).when(F.col("l_shipdate") < F.expr("timestamp_ntz'1998-01-01'"), S.YES).otherwise(S.NO)
+    return l.select(
+        key.alias("amendment_id"), F.col("l_orderkey").alias("o_orderkey"), op.alias("operation"), F.when((F.col("l_linenumber") > 1) & (q > 25), key - 1).alias("supersedes"),
+        F.when(q == 7, S.UNRESOLVED).otherwise(S.YES).alias("support"), available.alias("available")).distinct()
 
 
-_PAIRS = "pairs as (select distinct l_suppkey as id, l_partkey % (select count(*) from supplier) as supersedes from lineitem where l_linenumber = 1 and l_quantity > 49)"
+@query(f"with {_STATES} select o_orderkey, state from st")
+def amendment_states(spark, d):
+    return G.amendment_state(table(spark, d, "orders").select("o_orderkey"), _amendments(spark, d), "o_orderkey")
 
 
-@query(f"""with recursive {_PAIRS}, walk as (select id as start, supersedes as cur, 1 as depth from pairs union select start, p.supersedes, depth + 1 from walk join pairs p on p.id = walk.cur where depth < 3 and start <> cur)
-select distinct start as id from walk where start = cur""")
-def supersession_cycles(spark, d):
-    n = table(spark, d, "supplier").count()
-    pairs = table(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity > 49").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % n).alias("supersedes")).distinct()
-    return G.supersession_cycles(pairs, 3)
+@query(f"""with {_STATES}, p as (select o_custkey, bool_or(state in ('unresolved_amendment_context', 'contested')) as gaps, bool_or(state in ('corrected', 'withdrawn')) as ended from st group by 1),
+q as (select o_orderkey, state, case when gaps then 'unresolved' when ended then 'no_match' else 'match' end as support_status, o_orderkey % 2 = 0 as enabled from st join p using (o_custkey)),
+f as (select *, case when not enabled then 'not_selected' when state in ('unresolved_amendment_context', 'contested') then 'unresolved' when state in ('corrected', 'withdrawn') then 'suppressed' else 'retained_in_supplied_scope' end as chosen from q),
+m as (select o_orderkey, 'retain_reports' as mode, chosen as disposition from f union all select o_orderkey, 'require_unwithdrawn_in_scope', case when support_status = 'match' then chosen else support_status end from f)
+select o_orderkey, mode, disposition, disposition in ('not_selected', 'retained_in_supplied_scope') as returned from m""")
+def amendment_filter(spark, d):
+    states = G.amendment_state(table(spark, d, "orders").select("o_orderkey", "o_custkey"), _amendments(spark, d), "o_orderkey")
+    rows = states.join(G.amendment_support(states, "o_custkey"), "o_custkey")
+    run = lambda mode: G.amendment_filter(rows, mode, F.col("o_orderkey") % 2 == 0).select("o_orderkey", F.lit(mode).alias("mode"), "disposition", "returned")
+    return run("retain_reports").unionByName(run("require_unwithdrawn_in_scope"))
 
 
-_POLICY = """r as (select l_orderkey, l_linenumber, l_suppkey as scope_key, l_partkey % 3 as part_key, case when l_tax > 0.07 and l_quantity > 45 then 'match' when l_tax > 0.07 and l_quantity > 40 then 'unresolved' else 'no_match' end as w,
-  case when l_discount < 0.01 and l_quantity > 48 then 'match' else 'no_match' end as a, case when l_quantity = 1 and l_tax = 0.0 then 'match' else 'no_match' end as x from lineitem where l_shipdate >= timestamp '2001-06-01')"""
+_SUPERSEDES = "am as (select distinct l_orderkey, l_linenumber as id, l_partkey % 7 + 1 as supersedes from lineitem)"
 
 
-@query(f"""with {_POLICY}, g as (select scope_key, part_key, bool_or(w = 'match') as w, bool_or(a = 'match') as a, bool_or(x = 'match') as x, bool_or(w in ('unresolved', 'unsupported')) as u from r group by all),
-v as (select scope_key, part_key, case when x or (w and a) then 'contested' when w then 'suppress' when u then 'unresolved' else 'keep' end as verdict from g), s as (select scope_key, bool_or(verdict = 'suppress') as gone from v group by 1)
-select l_orderkey, l_linenumber, case when gone then 'suppressed' when verdict = 'keep' then 'kept' else verdict end as decision, count(*) as n from r join v using (scope_key, part_key) join s using (scope_key) group by all""")
+@query(f"""with recursive {_SUPERSEDES}, e as (select a.* from am a where exists (select 1 from am b where b.l_orderkey = a.l_orderkey and b.id = a.supersedes)),
+walk as (select l_orderkey, id as start, supersedes as cur from e union select w.l_orderkey, start, e.supersedes from walk w join e on e.l_orderkey = w.l_orderkey and e.id = w.cur)
+select distinct l_orderkey from walk where start = cur""")
+def supersession_cycles(spark, d):
+    am = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), (F.col("l_partkey") % 7 + 1).cast("long").alias("supersedes"))
+    return G.supersession_cycles(am, "l_orderkey").select("l_orderkey")
+
+
+_POLICY = """raw as (select distinct l_orderkey, l_linenumber, l_orderkey as scope_key, case when l_linenumber <> 7 then l_linenumber % 3 end as part_key, l_quantity <> 13 as enabled, l_linenumber = 1 as required, l_discount > 0.05 and l_quantity = 50 as cut,
+  case when l_returnflag = 'N' and l_quantity < 10 then 'no_match' when l_quantity = 11 then 'unresolved' else 'match' end as applies,
+  case when l_tax > 0.07 and l_quantity > 49 then 'match' when l_tax > 0.07 and l_quantity > 48 then 'unresolved' else 'no_match' end as w0,
+  case when l_discount < 0.01 and l_quantity > 48 then 'match' when l_quantity = 30 then 'unsupported' else 'no_match' end as a0, case when l_quantity = 1 and l_tax = 0.0 and l_discount = 0.0 then 'match' else 'no_match' end as x0 from lineitem),
+r as (select *, case when applies = 'no_match' then 'no_match' when part_key is null then 'unresolved' when applies <> 'match' then applies else w0 end as w,
+  case when applies = 'no_match' then 'match' when part_key is null then 'unresolved' when applies <> 'match' then applies else a0 end as a,
+  case when applies = 'no_match' then 'no_match' when part_key is null then 'unresolved' else x0 end as x from raw where enabled),
+g as (select scope_key, part_key, bool_or(w = 'match') as w, bool_or(a = 'match') as a, bool_or(x = 'match') as x, bool_or(w in ('unresolved', 'unsupported')) as u, bool_or(cut) as p from r group by all),
+v as (select scope_key, part_key, case when x or (w and a) then 'contested' when p then 'unresolved' when w then 'suppress' when u then 'unresolved' else 'keep' end as verdict from g), s as (select scope_key, bool_or(verdict = 'suppress') as gone from v group by 1),
+d as (select r.*, case when gone then 'suppressed' when verdict = 'keep' then 'kept' else verdict end as decision from r join v on v.scope_key = r.scope_key and v.part_key is not distinct from r.part_key join s on s.scope_key = r.scope_key)"""
+
+
+def _decided(spark, d):
+    q, t, dis = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").alias("scope_key"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") % 3).alias("part_key"),
+        (q != 13).alias("enabled"), (F.col("l_linenumber") == 1).alias("required"), ((dis > 0.05) & (q == 50)).alias("cut"),
+        F.when((F.col("l_returnflag") == "N") & (q < 10), S.NO).when(q == 11, S.UNRESOLVED).otherwise(S.YES).alias("applies"),
+        F.when((t > 0.07) & (q > 49), S.YES).when((t > 0.07) & (q > 48), S.UNRESOLVED).otherwise(S.NO).alias("when"),
+        F.when((dis < 0.01) & (q > 48), S.YES).when(q == 30, S.UNSUPPORTED).otherwise(S.NO).alias("allow"),
+        F.when((q == 1) & (t == 0.0) & (dis == 0.0), S.YES).otherwise(S.NO).alias("conflict")).distinct()
+    return G.resolve_policies(G.policy_statuses(rows), "part_key", "scope_key", "cut")
+
+
+@query(f"with {_POLICY} select l_orderkey, l_linenumber, decision, count(*) as n from d group by all")
 def policy_decisions(spark, d):
-    q, t = F.col("l_quantity"), F.col("l_tax")
-    when = F.when((t > 0.07) & (q > 45), S.YES).when((t > 0.07) & (q > 40), S.UNRESOLVED).otherwise(S.NO)
-    rows = table(spark, d, "lineitem").filter("l_shipdate >= timestamp_ntz'2001-06-01'").select(
-        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("scope_key"), (F.col("l_partkey") % 3).alias("part_key"), when.alias("when"),
-        F.when((F.col("l_discount") < 0.01) & (q > 48), S.YES).otherwise(S.NO).alias("allow"), F.when((q == 1) & (t == 0.0), S.YES).otherwise(S.NO).alias("conflict"))
-    return G.resolve_policies(rows, "part_key", "scope_key").groupBy("l_orderkey", "l_linenumber", "decision").agg(F.count(F.lit(1)).alias("n"))
+    return _decided(spark, d).groupBy("l_orderkey", "l_linenumber", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_POLICY}, e as (select *, case when decision in ('contested', 'unresolved') then 'unresolved' else w end as own from d)
+select l_orderkey, l_linenumber, case when decision = 'suppressed' then 'suppressed' when not required or (own = 'no_match' and a = 'match') then 'returned' when own = 'unsupported' or a = 'unsupported' then 'unsupported' else 'unresolved' end as control, count(*) as n from e group by all""")
+def required_controls(spark, d):
+    return G.required_controls(_decided(spark, d)).groupBy("l_orderkey", "l_linenumber", "control").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with e as (select user_id, event_id, epoch_us(ts) as lo, epoch_us(ts) + event_id % 1000 * 3600000000 as hi from events),
@@ -177,13 +219,13 @@ def novelty(spark, d):
     return G.novelty(rows, "claim", "at", us("2024-01-02"), us("2024-01-31"))
 
 
-@query("""with m as (select distinct l_suppkey, sha256(l_returnflag || chr(31) || l_linestatus || chr(31) || l_linenumber) as h from lineitem where l_quantity > 45),
+@query("""with m as (select distinct l_suppkey, sha256(l_returnflag || chr(31) || l_linestatus || chr(31) || l_linenumber) as h from lineitem),
 s as (select l_suppkey, count(*) as members, sha256(string_agg(h, '' order by h)) as digest from m group by 1)
 select l_suppkey, members, digest, count(*) over (partition by digest) as equal_sets from s""")
 def file_sets(spark, d):
     from pyspark.sql import Window
 
-    sets = G.set_digests(table(spark, d, "lineitem").filter("l_quantity > 45"), "l_suppkey", ["l_returnflag", "l_linestatus", "l_linenumber"])
+    sets = G.set_digests(table(spark, d, "lineitem"), "l_suppkey", ["l_returnflag", "l_linestatus", "l_linenumber"])
     return sets.withColumn("equal_sets", F.count(F.lit(1)).over(Window.partitionBy("digest")))
 
 
@@ -215,19 +257,22 @@ def uri_parts(spark, d):
     return p.select("page_id", F.lower("u.scheme").alias("scheme"), "u.authority", "u.path", "u.query", "u.fragment", I.dns_name(I.authority_host(F.col("u.authority"))).alias("host"), I.host_kind(F.col("u.authority")).alias("host_kind"))
 
 
-@query("""select doc_id, sha256(text) as computed, strlen(text) as bytes, case when doc_id % 9 = 0 then 'unresolved' when doc_id % 10 = 0 then 'unsupported' else 'match' end as status from documents""")
+@query("""select doc_id, sha256(text) as computed, strlen(text) as bytes, case when doc_id % 9 = 0 then 'unresolved' when doc_id % 10 = 0 then 'unsupported'
+  when doc_id % 7 = 0 and sha256(text) <> sha256(coalesce(lang, '') || text) then 'invalid' when doc_id % 8 = 0 and strlen(text) <> n_chars then 'invalid' else 'match' end as status from documents""")
 def content_matches(spark, d):
     k, text = F.col("doc_id"), F.col("text")
-    reported = F.when(k % 9 != 0, F.upper(F.sha2(text, 256)))
-    status = F.when(reported.isNull(), S.UNRESOLVED).when(k % 10 == 0, S.UNSUPPORTED).when(I.digest(reported, "sha256") == F.sha2(text, 256), S.YES).otherwise(S.NO)
+    reported = F.when(k % 9 == 0, None).when(k % 7 == 0, F.sha2(F.concat(F.coalesce("lang", F.lit("")), "text"), 256)).otherwise(F.upper(F.sha2(text, 256)))
+    length = F.when(k % 8 == 0, F.col("n_chars")).otherwise(F.octet_length(text))
+    status = I.content_matches(text, I.digest(reported, "sha256"), length, F.when(k % 10 == 0, "normalised_text").otherwise("exact_source_bytes"))
     return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("computed"), F.octet_length(text).cast("long").alias("bytes"), status.alias("status"))
 
 
-@query("""select a.doc_id as a, b.doc_id as b, case when a.source = b.source then 'match' else 'unresolved' end as status from documents a join documents b on a.text = b.text and a.doc_id < b.doc_id""")
+@query("""with s as (select doc_id, text, min(doc_id) over (partition by text) as class_id, source from documents where text is not null), g as (select class_id, count(*) as members, count(distinct source) as recipes from s group by 1),
+r as (select class_id, source, count(*) as own from s group by all)
+select doc_id, class_id, own - 1 as matches, members - own as unresolved from s join g using (class_id) join r using (class_id, source)""")
 def typed_equal(spark, d):
-    s = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("value"))
-    j = s.select(F.col("doc_id").alias("a"), F.col("source").alias("ra"), "value").join(s.select(F.col("doc_id").alias("b"), F.col("source").alias("rb"), "value"), "value").filter("a < b")
-    return j.select("a", "b", I.compare(F.lit("sha256"), F.col("ra"), F.col("value"), F.lit("sha256"), F.col("rb"), F.col("value")).alias("status"))
+    s = table(spark, d, "documents").filter("text is not null").select("doc_id", F.col("source").alias("recipe"), F.sha2("text", 256).alias("value"))
+    return I.equality_classes(s, "doc_id", "recipe", "value").select("doc_id", "class_id", "matches", "unresolved")
 
 
 @query("select event_id, md5(user_id || ',' || event_type || ',' || event_id % 7) as ja3, case when event_id % 2 = 0 then 'client' else 'server' end as role from events")
@@ -236,11 +281,27 @@ def fingerprints(spark, d):
     return table(spark, d, "events").select("event_id", I.digest(F.md5(text), "md5").alias("ja3"), F.when(F.col("event_id") % 2 == 0, "client").otherwise("server").alias("role"))
 
 
-@query("""select p_partkey, p_brand as issuer, lower(to_hex(p_partkey + 255)) as serial, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8','9','a','b'][(instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 + 1] || substring(h, 18, 3) || '-' || substring(h, 21, 12) as file_id
+@query("""select p_partkey, p_brand as issuer, lower(to_hex(p_partkey + 255)) as serial, 'ff' || repeat('0', 28) || printf('%08x', p_partkey) as long_serial, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8','9','a','b'][(instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 + 1] || substring(h, 18, 3) || '-' || substring(h, 21, 12) as file_id
 from (select *, sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode(p_name || ' ' || p_partkey)) as h from part)""")
 def issuer_serials(spark, d):
     serial = (F.col("p_partkey") + 255).cast("string")
-    return table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("issuer"), I.serial_hex(serial, 10).alias("serial"), I.file_uuid("6BA7B8119DAD11D180B400C04FD430C8", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("file_id"))
+    # 255 * 2^144 and the key, as 160-bit serials in decimal digits
+    wide = F.concat(F.lit(str((255 << 144) // 10**12)), F.lpad((F.lit((255 << 144) % 10**12) + F.col("p_partkey")).cast("string"), 12, "0"))
+    return table(spark, d, "part").select(
+        "p_partkey", F.col("p_brand").alias("issuer"), I.serial_hex(serial, 10).alias("serial"), I.serial_hex(wide, 10).alias("long_serial"),
+        I.file_uuid("6BA7B8119DAD11D180B400C04FD430C8", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("file_id"))
+
+
+@query("""select doc_id, sha256(encode(text)) as spki_sha256, md5(encode(text)) as md5, sha1(encode(text)) as sha1, 'der|' || coalesce(lang, '') || '|' || sha256(encode(text)) as material,
+  case when source is null or lang is null then 'unresolved' when lang = 'en' then 'match' else 'unresolved' end as same_as_english from documents""")
+def material_digests(spark, d):
+    docs = table(spark, d, "documents")
+    pem = F.concat(F.lit("-----BEGIN CERTIFICATE-----\n"), F.base64(F.encode("text", "utf-8")), F.lit("\n-----END CERTIFICATE-----"))
+    der = I.der_bytes(pem)
+    own = I.material(F.lit("der"), F.col("lang"), der)
+    same = I.compare(own["kind"], own["recipe"], own["value"], F.lit("der"), F.lit("en"), own["value"])
+    return docs.select("doc_id", F.sha2(der, 256).alias("spki_sha256"), F.md5(der).alias("md5"), F.sha1(der).alias("sha1"), F.concat_ws("|", own["kind"], F.coalesce(own["recipe"], F.lit("")), own["value"]).alias("material"),
+                       F.when(F.col("source").isNull() | F.col("lang").isNull(), S.UNRESOLVED).otherwise(same).alias("same_as_english"))
 
 
 _SCAN = " union all ".join(f"select doc_id, '{k}' as kind, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, p in {**C.INDICATORS, **C.CREDENTIALS}.items())
@@ -284,10 +345,16 @@ def validity_durations(spark, d):
     return j.select("l_orderkey", "l_linenumber", s).withColumn("in_range", F.col("seconds").between(86400, 2592000)).groupBy("l_orderkey", "l_linenumber", "seconds", "in_range").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with c as (select unnest(['p_type', 'p_brand', 'p_size']) as field), p as (select p_partkey, p_type = 'ECONOMY' as a, p_brand in ('Brand#1', 'Brand#2', 'Brand#3') as b, p_size between 5 and 30 as c from part)
-select p_partkey, case when a and b and c then 'match' else 'no_match' end as profile from p""")
+@query("""with g as (select p_partkey, case when bool_and(b) then 'match' when bool_or(b = false) then 'no_match' else 'unresolved' end as economy from (
+  select p_partkey, unnest([p_type = 'ECONOMY', p_brand = 'Brand#1' or p_brand = 'Brand#3', p_size between 5 and 30]) as b from part) group by 1),
+h as (select p_partkey, case when p_size between 31 and 50 then 'match' else 'no_match' end as large from part)
+select p_partkey, 'economy' as profile, economy as status from g union all select p_partkey, 'large', large from h""")
 def profile_matches(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.all_of(S.equal(F.col("p_type"), F.lit("ECONOMY")), S.is_in(F.col("p_brand"), F.array(*[F.lit(f"Brand#{i}") for i in (1, 2, 3)])), S.known(F.col("p_size").between(5, 30), F.col("p_size"))).alias("profile"))
+    values = table(spark, d, "part").select("p_partkey", F.explode(F.expr("map('p_type', p_type, 'p_brand', p_brand, 'p_size', cast(p_size as string))")).alias("field", "value"))
+    criteria = spark.createDataFrame(
+        [("economy", "p_type", "text", ["ECONOMY"], None, None), ("economy", "p_brand", "text", ["Brand#1", "Brand#3"], None, None), ("economy", "p_size", "range", None, 5.0, 30.0), ("large", "p_size", "range", None, 31.0, 50.0)],
+        "profile string, field string, kind string, allowed array<string>, low double, high double")
+    return E.profile_matches(table(spark, d, "part").select("p_partkey"), "p_partkey", values, criteria)
 
 
 # checks and exports --------------------------------------------------------------------
@@ -335,13 +402,55 @@ def snapshot_digests(spark, d):
     return G.set_digests(rows, "source", ["mode", "doc_id", "n_chars", "sha"])
 
 
-@query(f"""with {EDGES_SQL}, {NODES_SQL} select type, count(*) as objects from (select 'file' as type from nodes where form in ('nation', 'region') union all
-select 'observed-data' from edges where relation in ('LOCATED_IN', 'PART_OF') union all select 'relationship' from edges where relation in ('LOCATED_IN', 'PART_OF')) group by 1""")
+_UUID = "substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-5' || substring({h}, 14, 3) || '-' || ['8','9','a','b'][(instr('0123456789abcdef', substring({h}, 17, 1)) - 1) % 4 + 1] || substring({h}, 18, 3) || '-' || substring({h}, 21, 12)"
+
+
+@query(f"""with {EDGES_SQL}, {NODES_SQL}, e as (select distinct * from edges where relation in ('LOCATED_IN', 'PLACED')), ends as (select distinct unnest([src, dst]) as id from e),
+o as (select 'file' as type, 'file|' || id as name from ends join nodes using (id) union all
+  select k, k || '|' || concat_ws('|', src, dst, relation, coalesce(cast(seen as varchar), ''), source) from e, (select unnest(['observed-data', 'relationship', 'note']) as k) x
+  union all select 'extension-definition', 'extension-definition|pivot-evidence')
+select type, type || '--' || {_UUID.format(h="h")} as id from (select *, sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode(name)) as h from o)""")
 def stix_objects(spark, d):
     from pivotloom.sources.exports import to_stix
 
-    e = edges(spark, d).filter("relation in ('LOCATED_IN', 'PART_OF')")
-    return to_stix(nodes(spark, d).filter("form in ('nation', 'region')"), e).groupBy("type").agg(F.count(F.lit(1)).alias("objects"))
+    e = edges(spark, d).filter("relation in ('LOCATED_IN', 'PLACED')")
+    return to_stix(nodes(spark, d), e).select("type", "id")
+
+
+@query(f"""with {EDGES_SQL}, e as (select distinct * from edges where relation in ('LOCATED_IN', 'PLACED')) select 'open' as fault, count(*) as objects from (
+  select src from e where src like 'customer:%' and split_part(src, ':', 2)::bigint % 100 = 3 union all select src from e where dst like 'customer:%' and split_part(dst, ':', 2)::bigint % 100 = 3) x having count(*) > 0""")
+def stix_closure(spark, d):
+    """Objects of an export whose references are open when every hundredth customer's file is missing."""
+    from pivotloom.operators import results as R
+    from pivotloom.sources.exports import to_stix
+
+    e = edges(spark, d).filter("relation in ('LOCATED_IN', 'PLACED')")
+    objects = to_stix(nodes(spark, d), e)
+    lost = nodes(spark, d).filter("form = 'customer' and cast(substring_index(id, ':', -1) as bigint) % 100 = 3").select("id")
+    from pivotloom.sources.exports import stix_id
+
+    kept = objects.join(lost.select(stix_id("file", F.col("id")).alias("id")), "id", "left_anti")
+    return R.identity_faults(kept).filter("id like 'relationship%'").groupBy("fault").agg(F.count(F.lit(1)).alias("objects"))
+
+
+@query("""with t as (select o_orderkey as id, 'customer:' || o_custkey as subject, case when o_orderstatus <> 'P' then 'status:' || o_orderstatus end as object from orders),
+l as (select l_orderkey, l_linenumber, l_suppkey, l_returnflag, count(*) as n from lineitem group by all), o as (select distinct l_orderkey, l_linenumber, l_suppkey, l_returnflag from lineitem)
+select type, count(*) as edges, 0 as faults from (select 'SUBJECT' as type from t union all select 'OBJECT' from t where object is not null union all select 'EVIDENCE' from o
+  union all select 'TIME_OBJECT' from o where l_returnflag = 'R' union all select 'TIME_OCCURRENCE' from o where l_returnflag <> 'R') group by 1""")
+def evidence_encoding(spark, d):
+    from pivotloom.sources.exports import encoding_faults, evidence_edges
+
+    line = F.struct("l_linenumber", "l_suppkey", "l_returnflag")
+    refs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    role = lambda on: lambda x: F.struct(x["l_returnflag"].alias("role"), F.when(x["l_returnflag"] == "R", x["l_suppkey"].cast("string")).alias("object"), F.when(x["l_returnflag"] != "R", x["l_suppkey"].cast("string")).alias("occurrence"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("customer:"), "o_custkey").alias("subject"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("status:"), "o_orderstatus")).alias("object"))
+    records = o.join(refs, "id", "left").select(
+        F.col("id").cast("string").alias("id"), "subject", "object",
+        F.coalesce(F.transform("lines", lambda x: F.struct(x["l_suppkey"].cast("string").alias("source_id"), x["l_linenumber"].cast("string").alias("field"))), F.array().cast("array<struct<source_id: string, field: string>>")).alias("evidence"),
+        F.coalesce(F.transform("lines", role(None)), F.array().cast("array<struct<role: string, object: string, occurrence: string>>")).alias("times"))
+    rows = evidence_edges(records)
+    faults = encoding_faults(rows).groupBy("type").agg(F.count(F.lit(1)).alias("faults"))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("edges")).join(faults, "type", "left").select("type", "edges", F.coalesce("faults", F.lit(0)).alias("faults"))
 
 
 @query(f"with {EDGES_SQL} select relation, count(*) as edges_before, count(*) as edges_after, 0 as differing from edges group by relation")
@@ -354,8 +463,17 @@ def graph_round_trip(spark, d):
     return rows.groupBy("relation").agg(F.sum("b").alias("edges_before"), F.sum("a").alias("edges_after"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("differing"))
 
 
-@query(f"""with {EDGES_SQL}, h as (select relation, sha256(concat_ws(chr(31), src, dst, relation, coalesce(cast(seen as varchar), ''), source)) as h from edges), p as (select relation, substring(h, 1, 2) as b, sha256(string_agg(h, '' order by h)) as d, count(*) as n from h group by all)
-select relation, sum(n)::bigint as edge_count, sha256(string_agg(d, '' order by b)) as digest from p group by 1""")
+def _digest_levels(leaf: int, deepest: int) -> str:
+    """SQL of `claims.digest_tree` for sets h (relation, h) of up to leaf * 16^deepest members."""
+    parts = [f"z as (select relation, greatest(0, cast(ceil(round(ln(count(*) / {leaf}.0::double) / ln(16), 9)) as int)) as d from h group by 1)"]
+    parts.append("t0 as (select relation, d, substring(h, 1, d) as b, sha256(string_agg(h, '' order by h)) as h, count(*) as n from h join z using (relation) group by all)")
+    for i, left in enumerate(range(deepest, 0, -1)):
+        parts.append(f"""t{i + 1} as (select relation, d, substring(b, 1, {left - 1}) as b, sha256(string_agg(b || ':' || h, '' order by b || ':' || h)) as h, sum(n)::bigint as n from t{i} where d >= {left} group by relation, d, substring(b, 1, {left - 1})
+          union all select relation, d, b, h, n from t{i} where d < {left})""")
+    return ", ".join(parts) + f" select relation, n as edge_count, h as digest from t{deepest}"
+
+
+@query(f"with {EDGES_SQL}, h as (select relation, sha256(concat_ws(chr(31), src, dst, relation, coalesce(cast(seen as varchar), ''), source)) as h from edges), " + _digest_levels(G.LEAF, 5))
 def graph_digest(spark, d):
     from pivotloom.sources.exports import graph_digest
 

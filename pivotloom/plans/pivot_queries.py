@@ -28,30 +28,31 @@ def _customers(spark, d, segment):
     return table(spark, d, "customer").filter(F.col("c_mktsegment") == segment).select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
 
 
-PLACED_LAST_YEAR = P.PivotSpec("customer", (P.Hop("PLACED", "out", "order"),), 365, (("customer", "negative_balance"), ("order", "negative_balance")), "source")
+PLACED_LAST_YEAR = P.PivotSpec("customer", (P.Hop("PLACED", "out", "order"),), 365, (("customer", "negative_balance"), ("order", "negative_balance")))
 
 
 @query(f"""with {NODES_SQL}, {EDGES_SQL}
-select e.src as source_id, e.dst as target_id, e.relation, cast(e.seen as varchar) as seen, e.source as edge_source, not list_contains(n.negative_lists, 'negative_balance') as included
-from edges e join nodes n on n.id = e.src join customer c on 'customer:' || c_custkey = n.id
-where c_mktsegment = 'BUILDING' and relation = 'PLACED' and seen between date '{AS_OF}' - 365 and date '{AS_OF}'""")
+select e.src as source_id, e.dst as target_id, e.relation, cast(e.seen as varchar) as seen, e.source as edge_source,
+  not list_contains(n.negative_lists, 'negative_balance') and seen between date '{AS_OF}' - 365 and date '{AS_OF}' as included
+from edges e join nodes n on n.id = e.src join nodes m on m.id = e.dst join customer c on 'customer:' || c_custkey = n.id
+where c_mktsegment = 'BUILDING' and relation = 'PLACED' and m.form = 'order' and n.form = 'customer'""")
 def pivot_outbound(spark, d):
     paths = P.pivot(_customers(spark, d, "BUILDING"), nodes(spark, d), edges(spark, d), PLACED_LAST_YEAR, AS_OF)
     return paths.select(F.col("seed").alias("source_id"), F.col("target").alias("target_id"), F.col("path")[1].alias("relation"), F.col("seens")[0].cast("string").alias("seen"), F.col("sources")[0].alias("edge_source"), "included")
 
 
-@query(f"""with {EDGES_SQL}
-select e.dst as source_id, e.src as target_id, count(*) as paths from edges e join part p on 'part:' || p_partkey = e.dst
-where p_size = 7 and relation = 'CONTAINS' and seen between date '{AS_OF}' - 90 and date '{AS_OF}' group by all""")
+@query(f"""with {EDGES_SQL}, {NODES_SQL}
+select e.dst as source_id, e.src as target_id, count(*) filter (seen between date '{AS_OF}' - 90 and date '{AS_OF}') as paths, count(*) filter (not seen between date '{AS_OF}' - 90 and date '{AS_OF}') as outside
+from edges e join part p on 'part:' || p_partkey = e.dst join nodes m on m.id = e.src and m.form = 'order' where p_size = 7 and relation = 'CONTAINS' group by all""")
 def pivot_inbound(spark, d):
     seeds = table(spark, d, "part").filter("p_size = 7").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
     spec = P.PivotSpec("part", (P.Hop("CONTAINS", "in", "order"),), 90)
-    return P.pivot(seeds, nodes(spark, d), edges(spark, d), spec, AS_OF).groupBy(F.col("seed").alias("source_id"), F.col("target").alias("target_id")).agg(F.count(F.lit(1)).alias("paths"))
+    return P.pivot(seeds, nodes(spark, d), edges(spark, d), spec, AS_OF).groupBy(F.col("seed").alias("source_id"), F.col("target").alias("target_id")).agg(F.count_if("included").alias("paths"), F.count_if(~F.col("included")).alias("outside"))
 
 
 @query(f"""with {NODES_SQL}, {EDGES_SQL}
 select src as seed, coalesce(string_agg(distinct dst, ',' order by dst) filter (not noisy), '') as included, coalesce(string_agg(distinct dst, ',' order by dst) filter (noisy), '') as suppressed
-from (select e.*, list_contains(n.negative_lists, 'common_brand') as noisy from edges e join nodes n on n.id = e.dst where e.relation = 'CONTAINS' and e.seen between date '{AS_OF}' - 30 and date '{AS_OF}') x group by src""")
+from (select e.*, list_contains(n.negative_lists, 'common_brand') or not e.seen between date '{AS_OF}' - 30 and date '{AS_OF}' as noisy from edges e join nodes n on n.id = e.dst where n.form = 'part' and e.relation = 'CONTAINS') x group by src""")
 def pivot_target_sets(spark, d):
     seeds = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"))
     spec = P.PivotSpec("order", (P.Hop("CONTAINS", "out", "part"),), 30, (("part", "common_brand"), ("supplier", "negative_balance")))
@@ -59,8 +60,8 @@ def pivot_target_sets(spark, d):
     return sets.select("seed", F.array_join("included", ",").alias("included"), F.array_join("suppressed", ",").alias("suppressed"))
 
 
-@query(f"""with {EDGES_SQL}
-select src as seed, dst as target, relation from edges where relation in ('LOCATED_IN', 'SUPPLIED_BY') and split_part(src, ':', 1) in ('supplier', 'customer') and split_part(dst, ':', 1) in ('nation', 'region')""")
+@query(f"""with {EDGES_SQL}, {NODES_SQL}
+select src as seed, dst as target, relation from edges join nodes a on a.id = src join nodes b on b.id = dst where relation in ('LOCATED_IN', 'SUPPLIED_BY') and a.form in ('supplier', 'customer') and b.form in ('nation', 'region')""")
 def pivot_alternatives(spark, d):
     spec = P.PivotSpec("customer | supplier", (P.Hop("LOCATED_IN|SUPPLIED_BY", "out", "nation|region"),))
     everyone = nodes(spark, d)
@@ -68,14 +69,16 @@ def pivot_alternatives(spark, d):
 
 
 THREE_HOPS = P.PivotSpec("supplier", (P.Hop("SUPPLIED_BY", "in", "part"), P.Hop("CONTAINS", "in", "order"), P.Hop("PLACED", "in", "customer")), 60)
-_THREE_HOPS_SQL = f"""with {EDGES_SQL}, w as (select * from edges where seen between date '{AS_OF}' - 60 and date '{AS_OF}'),
+_THREE_HOPS_SQL = f"""with {EDGES_SQL}, {NODES_SQL}, w as (select * from edges where seen between date '{AS_OF}' - 60 and date '{AS_OF}'),
 paths as (select a.dst as seed, c.src as target, a.src as p, b.src as o, a.seen as s1, b.seen as s2, c.seen as s3, a.source as f1, b.source as f2, c.source as f3
-  from w a join w b on b.dst = a.src and b.relation = 'CONTAINS' join w c on c.dst = b.src and c.relation = 'PLACED' where a.relation = 'SUPPLIED_BY')"""
+  from w a join nodes x on x.id = a.dst join nodes y on y.id = a.src join w b on b.dst = a.src and b.relation = 'CONTAINS' join nodes z on z.id = b.src
+  join w c on c.dst = b.src and c.relation = 'PLACED' join nodes u on u.id = c.src
+  where a.relation = 'SUPPLIED_BY' and x.form = 'supplier' and y.form = 'part' and z.form = 'order' and u.form = 'customer')"""
 
 
 def _three_hops(spark, d):
     seeds = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"))
-    return P.pivot(seeds, nodes(spark, d), edges(spark, d), THREE_HOPS, AS_OF)
+    return P.pivot(seeds, nodes(spark, d), edges(spark, d), THREE_HOPS, AS_OF).filter("included")
 
 
 @query(_THREE_HOPS_SQL + " select seed, target, concat_ws('>', seed, 'SUPPLIED_BY', p, 'CONTAINS', o, 'PLACED', target) as path, s1 <= s2 and s2 <= s3 as in_order, count(*) as n from paths group by all")
@@ -84,8 +87,9 @@ def pivot_multi_hop(spark, d):
 
 
 @query(_THREE_HOPS_SQL + f""", u as (select *, unnest([f1, f2, f3]) as f from paths)
-select seed, target, 3 as path_length, least(n, 3) as path_count_capped, vendor_diversity, days_since_support, novelty_flag, temporal_consistency from (
-  select seed, target, count(*) as n, date '{AS_OF}' - max(greatest(s1, s2, s3)) as days_since_support, min(least(s1, s2, s3)) >= date '{AS_OF}' - 45 as novelty_flag,
+select seed, target, multi_source_ratio, 3 as path_length, least(n, 3) as path_count_capped, vendor_diversity, days_since_support, novelty_flag, temporal_consistency from (
+  select seed, target, count(*) as n, round((case when count(distinct f1) > 1 then 1 else 0 end + case when count(distinct f2) > 1 then 1 else 0 end + case when count(distinct f3) > 1 then 1 else 0 end) / 3.0::double, 6) as multi_source_ratio,
+    date '{AS_OF}' - max(greatest(s1, s2, s3)) as days_since_support, min(least(s1, s2, s3)) >= date '{AS_OF}' - 45 as novelty_flag,
     round(sum(case when s1 <= s2 and s2 <= s3 then 1 else 0 end) / count(*)::double, 6) as temporal_consistency from paths group by all)
 join (select seed, target, count(distinct f) as vendor_diversity from u group by all) using (seed, target)""")
 def pivot_features(spark, d):
@@ -99,18 +103,23 @@ def pivot_top_paths(spark, d):
     return P.top_paths(_three_hops(spark, d), 2).select("seed", "target", F.array_join("path", ">").alias("path"), F.array_max("seens").cast("string").alias("newest"), "place")
 
 
-@query(f"with {EDGES_SQL} select src as id, relation, count(*) as degree, round(ln((select count(*) from edges) / count(*)::double), 6) as rarity_idf, round(1 / (1 + ln(count(*))), 6) as popular_penalty from edges group by all")
+@query(f"""with {EDGES_SQL}, {NODES_SQL}, f as (select form, count(*) as nodes from nodes group by 1), g as (select src as id, relation, count(*) as degree from edges group by all)
+select id, form, relation, degree, round(ln(nodes / degree::double), 6) as rarity_idf, round(1 / (1 + ln(degree)), 6) as popular_penalty from g join nodes using (id) join f using (form)""")
 def node_degree(spark, d):
-    every = edges(spark, d)
-    total = every.agg(F.count(F.lit(1))).first()[0]
-    n = F.count(F.lit(1))
-    return every.groupBy(F.col("src").alias("id"), "relation").agg(n.alias("degree"), F.round(F.log(F.lit(total) / n), 6).alias("rarity_idf"), F.round(1 / (1 + F.log(n)), 6).alias("popular_penalty"))
+    return P.degree_features(nodes(spark, d), edges(spark, d))
+
+
+@query(f"""with {EDGES_SQL}, {NODES_SQL} select src as at_id, relation, count(*) as degree from edges join nodes n on n.id = dst
+where relation = 'PLACED' and n.form = 'order' and seen between date '{AS_OF}' - 365 and date '{AS_OF}' group by all having count(*) > 2""")
+def cut_starts(spark, d):
+    found = P.cut_starts(nodes(spark, d), edges(spark, d), P.Hop("PLACED", "out", "order", cap=2), AS_OF, 365)
+    return found.withColumnRenamed("at", "at_id")
 
 
 @query(f"""with {EDGES_SQL}, s as (select dst as at_id, src as to_id, relation from edges where relation = 'LOCATED_IN'), g as (select at_id, relation, count(*) as degree from s group by all)
 select at_id, to_id, degree, degree > 62 as capped from s join g using (at_id, relation)""")
 def degree_cap(spark, d):
-    steps = P.step(edges(spark, d), P.Hop("LOCATED_IN", "in", "customer|supplier"), AS_OF, None)
+    steps = P.step(nodes(spark, d), edges(spark, d), P.Hop("LOCATED_IN", "in", "customer|supplier"), AS_OF, None)
     return P.cap_degree(steps, 62).select(F.col("at").alias("at_id"), F.col("to").alias("to_id"), "degree", "capped")
 
 
@@ -155,7 +164,7 @@ def grouped_counts(spark, d):
 @query(f"""with {NODES_SQL} select s.id as supplier, n.id as nation, r.id as region, list_contains(s.negative_lists, 'negative_balance') as suppressed
 from nodes s join supplier on s.id = 'supplier:' || s_suppkey join nodes n on n.id = 'nation:' || s_nationkey join nation on n_nationkey = s_nationkey join nodes r on r.id = 'region:' || n_regionkey""")
 def suppression_by_side(spark, d):
-    spec = P.PivotSpec("supplier", (P.Hop("LOCATED_IN", "out", "nation"), P.Hop("PART_OF", "out", "region")), None, (("supplier", "negative_balance"),), "source")
+    spec = P.PivotSpec("supplier", (P.Hop("LOCATED_IN", "out", "nation"), P.Hop("PART_OF", "out", "region")), None, (("supplier", "negative_balance"),))
     every = nodes(spark, d)
     found = P.pivot(every.filter("form = 'supplier'").select("id"), every, edges(spark, d), spec, AS_OF)
     return found.select(F.col("seed").alias("supplier"), F.col("path")[2].alias("nation"), F.col("target").alias("region"), (~F.col("included")).alias("suppressed"))

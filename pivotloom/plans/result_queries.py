@@ -29,14 +29,14 @@ def constructed_results(spark, d):
     return R.construct(o, "order-", "order", ["o_custkey", "o_orderpriority", "state"]).select("o_orderkey", "result_id")
 
 
-_SEEDS = "seeds as (select case when event_id % 50 <> 0 then user_id end as c_custkey, event_type as kind from events where event_id % 20 = 0)"
+_SEEDS = "seeds as (select case when event_id % 50 <> 0 then user_id end as c_custkey, event_type as kind from events)"
 
 
 @query(f"""with {_SEEDS} select coalesce(c_custkey, -1) as c_custkey, fault, count(*) as n from (select c_custkey, 'missing' as fault from seeds where c_custkey is null union all select c_custkey, 'kind' from seeds where kind not in ('view', 'click')
 union all select c_custkey, 'repeated' from seeds where c_custkey is not null group by 1 having count(*) > 1 union all select distinct c_custkey, 'unknown' from seeds where c_custkey is not null and c_custkey not in (select c_custkey from customer where c_acctbal > 1000)) group by 1, 2""")
 def seed_faults(spark, d):
     k = F.col("event_id")
-    seeds = table(spark, d, "events").filter(k % 20 == 0).select(F.when(k % 50 != 0, F.col("user_id")).alias("c_custkey"), F.col("event_type").alias("kind"))
+    seeds = table(spark, d, "events").select(F.when(k % 50 != 0, F.col("user_id")).alias("c_custkey"), F.col("event_type").alias("kind"))
     known = table(spark, d, "customer").filter("c_acctbal > 1000").select("c_custkey")
     return R.parameter_faults(seeds, known, "c_custkey", ["view", "click"]).groupBy(F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"), "fault").agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,28 +49,44 @@ def open_references(spark, d):
 
 
 @query("""select l_orderkey, l_linenumber, p_partkey as package, s_suppkey as repository, case when l_linenumber = p_size or false then case when s_nationkey = n_nationkey then 'match' else 'no_match' end else 'no_match' end as status, count(*) as n
-from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = p_partkey % 25 where l_quantity > 30 group by all""")
+from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = p_partkey % 25 group by all""")
 def package_declarations(spark, d):
-    declared = table(spark, d, "lineitem").filter("l_quantity > 30").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.col("l_suppkey").alias("repository"), F.col("l_linenumber").alias("declared_version"))
+    declared = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.col("l_suppkey").alias("repository"), F.col("l_linenumber").alias("declared_version"))
     packages = table(spark, d, "part").select(F.col("p_partkey").alias("package"), F.col("p_size").alias("version"), (F.col("p_partkey") % 25).cast("int").alias("registry"))
     repositories = table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository"), F.col("s_nationkey").alias("source_registry"))
     return R.declarations(declared, packages, repositories).groupBy("l_orderkey", "l_linenumber", "package", "repository", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with e as (select o_custkey, count(*) as n, min(o_orderdate) as low, max(o_orderdate) as high, sha256(string_agg(cast(o_orderkey as varchar), ',' order by cast(o_orderkey as varchar))) as digest from orders where o_orderstatus = 'F' group by 1)
-select c_custkey, coalesce(n, 0) as n, digest, case when n is null then 'unresolved' when n = c_nationkey % 6 + 1 and low >= timestamp '1995-01-01' and high <= timestamp '2001-06-01' then 'match' else 'no_match' end as status from customer left join e on o_custkey = c_custkey""")
+@query("""with h as (select o_custkey, cast(o_orderdate as date) as day, sha256(o_orderkey || chr(31) || cast(cast(o_orderdate as date) as varchar)) as h from orders where o_orderstatus = 'F'),
+e as (select o_custkey, count(*) as n, min(day) as low, max(day) as high, sha256(string_agg(h, '' order by h)) as digest from h group by 1),
+m as (select c_custkey, c_nationkey, n, digest, low, high, case when c_nationkey % 5 = 0 then c_nationkey % 6 + 1 else n end as declared, case when c_nationkey % 7 = 0 then sha256('x') else digest end as told from customer left join e on o_custkey = c_custkey)
+select c_custkey, coalesce(n, 0) as n, digest, case when c_nationkey = 24 then 'invalid' when n is null or declared <> n then 'unresolved' when told <> digest then 'invalid' when c_nationkey % 11 = 0 then 'unresolved'
+  when low >= date '1995-01-01' and high <= date '2001-06-01' then 'match' else 'no_match' end as status from m""")
 def history_gate(spark, d):
     e = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("at"), F.col("o_orderkey").alias("item"))
     day = lambda t: F.lit(t).cast("date")
-    m = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 6 + 1).alias("declared"), day("1995-01-01").alias("origin"), day("2001-06-01").alias("through"))
+    k = F.col("c_nationkey")
+    own = G.digest_tree(e.select("c_custkey", F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h")), "c_custkey").withColumnRenamed("n", "listed").withColumnRenamed("digest", "own")
+    m = table(spark, d, "customer").join(own, "c_custkey", "left").select(
+        "c_custkey", F.when(k % 5 == 0, k % 6 + 1).otherwise(F.col("listed")).alias("declared"), F.when(k % 7 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("own")).alias("declared_digest"),
+        F.when(k % 11 == 0, "unknown").otherwise("complete_declared_scope").alias("coverage"), F.when(k == 24, day("2001-07-01")).otherwise(day("1995-01-01")).alias("origin"), day("2001-06-01").alias("through"))
     return R.history_gate(e, m, "c_custkey").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "digest", "status")
 
 
-@query("""select o_orderkey, count(*) as support, count(*) filter (l_shipdate > o_orderdate + interval 60 day) as late, case when count(*) filter (l_shipdate > o_orderdate + interval 60 day) = 0 then 'match' else 'no_match' end as status from orders join lineitem on l_orderkey = o_orderkey group by 1""")
+@query("""with s as (select l_orderkey as o_orderkey, l_linenumber, case when l_quantity <> 17 then max(cast(l_shipdate as date)) end as available from lineitem group by l_orderkey, l_linenumber, l_quantity),
+q as (select distinct l_orderkey as o_orderkey, l_linenumber from lineitem where l_quantity > 1 and l_tax >= 0 union select o_orderkey, 9 from orders where o_orderstatus = 'P'),
+b as (select coalesce(s.o_orderkey, q.o_orderkey) as o_orderkey, s.o_orderkey is not null as s, q.o_orderkey is not null as q, available from s full join q on s.o_orderkey = q.o_orderkey and s.l_linenumber = q.l_linenumber),
+g as (select o_orderkey, count(*) filter (s) as support, count(*) filter (not s or not q) as differing, count(*) filter (s and available > cast(o_orderdate as date) + 60) as late, count(*) filter (s and available is null) as open from b join orders using (o_orderkey) group by 1)
+select o_orderkey, support, differing, late, case when differing > 0 or open > 0 then 'unresolved' when late = 0 then 'match' else 'no_match' end as status from g""")
 def establishment_support(spark, d):
+    l = table(spark, d, "lineitem")
     c = table(spark, d, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 60).alias("established"))
-    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("available"))
-    return R.establishment_supported(c, s, "o_orderkey", F.col("established")).select("o_orderkey", "support", "late", "status")
+    s = l.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity").agg(F.max(F.to_date("l_shipdate")).alias("seen"))
+    s = s.select("o_orderkey", "l_linenumber", F.when(F.col("l_quantity") != 17, F.col("seen")).alias("available"))
+    q = l.filter("l_quantity > 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    q = q.unionByName(table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.lit(9).alias("l_linenumber")))
+    found = R.establishment_supported(c, s, q, "o_orderkey", "l_linenumber", F.col("established"))
+    return found.select("o_orderkey", "support", "differing", "late", "status")
 
 
 @query("""with e as (select user_id, event_id, event_type, epoch_us(ts) as lo, epoch_us(ts) + 60000000 as hi from events), c as (select user_id, min(hi) as hi from e where event_type <> 'error' group by 1),

@@ -135,17 +135,33 @@ def time_within(spark, d):
     return _spans(spark, d).select("o_orderkey", good.alias("well_formed"), *[F.when(~good, "invalid").otherwise(T.within(x, p, mode, "state")).alias(name) for mode, name in (("contained", "contained"), ("some", "some_time"), ("all", "all_time"))])
 
 
-@query(f"with {_SPANS} select o_custkey, count(*) as states, case when max(lo) <= min(hi) then 'match' else 'no_match' end as coexist from spans where lo <= hi group by 1")
+@query(f"""with {_SPANS}, p as (select *, {_P} from spans where lo <= hi), g as (select o_custkey, count(*) as states, max(lo) as low, min(hi) as high, greatest(max(lo), max(p_lo)) as p_low, least(min(hi), max(p_hi)) as p_high, max(p_hi) as p_hi, bool_or(o_orderkey % 50 = 0) as moment from p group by 1)
+select o_custkey, states, case when low <= high then 'match' else 'no_match' end as coexist, case when p_low < p_high or (p_low = p_high and p_high < p_hi) then 'match' else 'no_match' end as in_period,
+  case when moment then 'unsupported' when low <= high then 'match' else 'no_match' end as as_states from g""")
 def time_coexists(spark, d):
-    return _spans(spark, d).filter(T.well_formed(F.col("x"))).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("states"), T.coexistence(F.col("x")).alias("coexist"))
+    x = F.col("x")
+    v = _spans(spark, d).filter(T.well_formed(x)).groupBy("o_custkey")
+    return v.agg(F.count(F.lit(1)).alias("states"), T.coexistence(x).alias("coexist"), T.coexistence(x, T.query_period(_FROM, _TO)).alias("in_period"), T.coexistence(x, None, F.col("o_orderkey") % 50 == 0).alias("as_states"))
+
+
+@query(_BOUNDS + """, w as (select event_id, user_id, ts, precision = 'minute' as state, case when precision <> 'minute' or event_id % 4 = 0 then lo - event_id % 4 * 1000000 end as lo, hi + event_id % 4 * 1000000 as hi, hi_inc from t),
+n as (select *, lead(lo) over v as lo2, lead(hi) over v as hi2, lead(hi_inc) over v as hi_inc2, lead(state) over v as state2 from w window v as (partition by user_id order by ts, event_id))
+select event_id, case when lo is null or lo2 is null then 'unresolved' when state or state2 then 'unsupported' when hi < lo2 or (hi = lo2 and not hi_inc) then 'match' when lo >= hi2 then 'no_match' else 'unresolved' end as lt from n""")
+def clock_uncertainty(spark, d):
+    from pyspark.sql import Window
+
+    state = F.col("precision") == "minute"
+    e = _times(spark, d).select("event_id", "user_id", "ts", state.alias("state"), T.widen(F.col("x"), F.col("event_id") % 4, state).alias("x"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = e.withColumn("y", F.lead("x").over(w)).withColumn("state2", F.coalesce(F.lead("state").over(w), F.lit(False)))
+    return n.select("event_id", T.compare(F.col("x"), F.col("y"), "lt", F.col("state") | F.col("state2")).alias("lt"))
 
 
 @query(f"""with {_SPANS}, v as (select * from spans where lo <= hi)
 select a.o_custkey, a.o_orderkey as a, b.o_orderkey as b from v a join v b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.lo <= b.hi and b.lo <= a.hi""")
 def interval_overlap_join(spark, d):
     v = _spans(spark, d).filter(T.well_formed(F.col("x")))
-    a, b = v.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("x").alias("xa")), v.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, "o_custkey").filter((F.col("a") < F.col("b")) & ~T.disjoint(F.col("xa"), F.col("xb"))).select("o_custkey", "a", "b")
+    return T.overlaps(v, "o_custkey", "o_orderkey", "x", 30 * 86_400).select("o_custkey", "a", "b")
 
 
 @query("""with e as (select event_id, case when event_id % 7 <> 0 then cast(ts as varchar) end as v, case event_id % 5 when 0 then 'GPS' when 1 then null else 'UTC' end as clock,
@@ -166,8 +182,8 @@ def stix_timestamps(spark, d):
 
 @query(f"""with {_SPANS}, e as (select e.event_id, e.user_id, epoch_us(e.ts) - 883612800000000 as tt from events e)
 select event_id, o_orderkey, case when tt < lo or tt > hi then 'no_match' else case when tt >= epoch_us(timestamp '1996-01-01') and tt < epoch_us(timestamp '1997-01-01') then 'match' else 'no_match' end end as within_at
-from e join spans on o_custkey = user_id where lo <= hi and event_id % 10 = 0""")
+from e join spans on o_custkey = user_id where lo <= hi""")
 def event_in_state(spark, d):
-    e = table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.col("user_id").alias("o_custkey"), (T.seconds(F.col("ts")) - 883612800).cast(T.SECONDS).alias("at"))
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), (T.seconds(F.col("ts")) - 883612800).cast(T.SECONDS).alias("at"))
     j = e.join(_spans(spark, d).filter(T.well_formed(F.col("x"))), "o_custkey")
     return j.select("event_id", "o_orderkey", T.within_at(T.interval(F.col("at"), F.col("at"), True, True), F.col("x"), T.query_period("1996-01-01", "1996-12-31")).alias("within_at"))

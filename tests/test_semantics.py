@@ -39,7 +39,7 @@ def run(graph, spec, seed="key:1"):
 def test_window_ends_multiplicity_direction_and_scoped_lists(graph):
     lists = (("ip", "cdn"), ("name", "parked"))
     spec = P.PivotSpec("key", (P.Hop("SEEN_AT", "out", "ip|name"),), 30, lists)
-    assert run(graph, spec) == [("ip:1", True), ("ip:1", True), ("ip:2", False), ("ip:3", True), ("name:1", True)]
+    assert run(graph, spec) == [("ip:1", True), ("ip:1", True), ("ip:2", False), ("ip:3", True), ("ip:4", False), ("name:1", True)]
     assert run(graph, P.PivotSpec("key", (P.Hop("SEEN_AT", "in", "ip"),), 30)) == [("ip:5", True)]
     assert run(graph, P.PivotSpec("key", (P.Hop("OTHER|NONE", "out", "ip"),), 30)) == [("ip:5", True)]
     assert run(graph, P.PivotSpec("ip", (P.Hop("SEEN_AT", "out", "ip"),), 30)) == []
@@ -53,6 +53,22 @@ def test_two_hops_leave_the_seed_out_and_caps_cut(graph):
     assert run(graph, capped) == [] and run(graph, capped, "key:2") == [("ip:1", True)]
 
 
+def test_forms_come_from_nodes_and_both_ends_may_be_listed(spark, tmp_path):
+    made = {
+        "nodes": [{"id": "k1", "form": "key"}, {"id": "ip:9", "form": "key", "negative_node_list": "shared"}, *({"id": f"n{i}", "form": "ip"} for i in range(4)), {"id": "n9", "form": "ip", "negative_node_list": "cdn"}, {"id": "x", "form": "name"}],
+        "relationships": [{"from": a, "to": b, "type": "SEEN_AT", "properties": {"seen": day, "source": "s"}} for a, b, day in [
+            ("k1", "n0", "2024-06-30"), ("k1", "n1", "2024-05-31"), ("k1", "n1", "2024-06-01"), ("k1", "n2", "2024-05-30"), ("k1", "n3", "2024-07-01"), ("k1", "n9", "2024-06-20"), ("k1", "x", "2024-06-20"), ("ip:9", "n0", "2024-06-20"), ("k1", "gone", "2024-06-20"), ("k1", "n0", "20240620")]],
+    }
+    (tmp_path / "g.json").write_text(json.dumps(made))
+    found = exports.read_pivot_graph(spark, str(tmp_path / "g.json"))
+    spec = P.PivotSpec("key", (P.Hop("SEEN_AT", "out", "ip"),), 30, (("ip", "cdn"), ("key", "shared")))
+    nodes, edges = found
+    sets = {r["seed"]: (r["included"], r["suppressed"]) for r in P.target_sets(P.pivot(nodes.select("id"), nodes, edges, spec, AS_OF)).collect()}
+    assert sets == {"k1": (["n0", "n1"], ["n2", "n3", "n9"]), "ip:9": ([], ["n0"])}
+    cut = P.cut_starts(nodes, edges, P.Hop("SEEN_AT", "out", "ip", cap=2), AS_OF, 30).collect()
+    assert [(r["at"], r["degree"]) for r in cut] == [("k1", 4)]
+
+
 def test_wide_fan_out(spark):
     edges = spark.range(50_001).select(F.lit("key:1").alias("src"), F.concat(F.lit("ip:"), "id").alias("dst"), F.lit("SEEN_AT").alias("relation"), F.lit("2024-06-01").cast("date").alias("seen"), F.lit("s").alias("source"))
     nodes = edges.select(F.col("dst").alias("id"), F.lit("ip").alias("form"), F.lit("x").alias("label"), F.array().cast("array<string>").alias("negative_lists")).union(spark.sql("select 'key:1', 'key', 'k', cast(array() as array<string>)"))
@@ -137,3 +153,117 @@ def test_graph_files_round_trip(spark, tmp_path):
     assert digest(edges) == digest(edges.orderBy(F.desc("seen")).repartition(3))
     files = exports.read_source_bytes(spark, str(tmp_path / "g.json"))
     assert files.first()["bytes"] == len(json.dumps(graph))
+
+
+def test_amendments_by_operation_support_and_supersession(spark):
+    rows = [
+        ("withdrawn", "a", "withdraw", None, "match", "match"), ("both", "b1", "withdraw", None, "match", "match"), ("both", "b2", "correct", None, "match", "match"),
+        ("disputed", "c", "dispute", None, "match", "match"), ("back", "d1", "withdraw", None, "match", "match"), ("back", "d2", "reinstate", "d1", "match", "match"),
+        ("beside", "e1", "withdraw", None, "match", "match"), ("beside", "e2", "reinstate", None, "match", "match"),
+        ("open", "f1", "withdraw", None, "match", "match"), ("open", "f2", "reinstate", "f1", "unresolved", "match"),
+        ("later", "g1", "withdraw", None, "match", "no_match"), ("held", "h1", "withdraw", None, "match", "match"), ("held", "h2", "reinstate", "h1", "match", "no_match"), ("unknown", "i", "correct", None, "match", "unsupported"),
+    ]
+    am = spark.createDataFrame(rows, "claim string, amendment_id string, operation string, supersedes string, support string, available string")
+    claims = am.select("claim").distinct().union(spark.sql("select 'none'"))
+    got = {r["claim"]: r["state"] for r in G.amendment_state(claims, am, "claim").collect()}
+    gap = "unresolved_amendment_context"
+    assert got == {"withdrawn": "withdrawn", "both": "corrected", "disputed": "contested", "back": "reported", "beside": "contested", "open": gap, "later": "reported", "held": "withdrawn", "unknown": gap, "none": "reported"}
+
+
+def test_cycles_of_any_length(spark):
+    rows = [("ring", i, (i + 1) % 9) for i in range(9)] + [("chain", i, i + 1) for i in range(9)] + [("self", 1, 1), ("tail", 1, 2), ("tail", 2, 3), ("tail", 3, 2), ("tail", 3, 4), ("none", 1, None)]
+    am = spark.createDataFrame(rows, "claim string, id int, supersedes int")
+    assert {r["claim"] for r in G.supersession_cycles(am, "claim").collect()} == {"ring", "self", "tail"}
+
+
+def test_policies_that_are_off_or_cut_and_required_controls(spark):
+    yes, no, un = S.YES, S.NO, S.UNRESOLVED
+    rows = [
+        ("gone", "s1", "p", True, yes, yes, no, no, True, False), ("off", "s2", "p", False, yes, yes, no, no, True, False), ("elsewhere", "s3", "p", True, no, yes, no, yes, True, False),
+        ("unsure", "s4", "p", True, un, yes, no, no, True, False), ("cut", "s5", "p", True, yes, yes, no, no, False, True), ("both", "s6", "p", True, yes, yes, yes, no, False, False),
+        ("no part", "s7", None, True, yes, yes, yes, no, True, False), ("clear", "s8", "p", True, yes, no, yes, no, True, False), ("uncleared", "s9", "p", True, yes, no, no, no, True, False),
+    ]
+    df = spark.createDataFrame(rows, "name string, scope_key string, part_key string, enabled boolean, applies string, `when` string, allow string, conflict string, required boolean, cut boolean")
+    decided = G.required_controls(G.resolve_policies(G.policy_statuses(df), "part_key", "scope_key", "cut"))
+    got = {r["name"]: (r["decision"], r["control"]) for r in decided.collect()}
+    assert got == {
+        "gone": ("suppressed", "suppressed"), "elsewhere": ("kept", "returned"), "unsure": ("unresolved", "unresolved"), "cut": ("unresolved", "returned"), "both": ("contested", "returned"),
+        "no part": ("unresolved", "unresolved"), "clear": ("kept", "returned"), "uncleared": ("kept", "unresolved")}
+
+
+def test_digest_trees_follow_from_their_own_set(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def tree(hashes, leaf):
+        digits = 0
+        while len(hashes) > leaf * 16**digits:
+            digits += 1
+        level = {}
+        for h in sorted(hashes):
+            level.setdefault(h[:digits], []).append(h)
+        level = {b: sha("".join(hs)) for b, hs in level.items()}
+        for left in range(digits, 0, -1):
+            up = {}
+            for b, h in level.items():
+                up.setdefault(b[: left - 1], []).append(f"{b}:{h}")
+            level = {b: sha("".join(sorted(hs))) for b, hs in up.items()}
+        return level[""]
+
+    sets = {"a": [sha(str(i)) for i in range(3)], "b": [sha(str(i)) for i in range(70)], "c": [sha(str(i)) for i in range(900)], "d": [sha("x")] * 40}
+    df = spark.createDataFrame([(k, h) for k, hs in sets.items() for h in hs], "k string, h string")
+    got = {r["k"]: (r["n"], r["digest"]) for r in G.digest_tree(df, "k", leaf=4).collect()}
+    assert got == {k: (len(hs), tree(hs, 4)) for k, hs in sets.items()}
+
+
+def test_long_serials_and_pem(spark):
+    for n in (0, 7, 255, 2**64, 2**64 - 1, 10**18, 2**159 + 12345, 2**160 - 1):
+        assert one(spark, I.serial_hex(F.col("s"), 10), s=str(n)) == f"{n:x}"
+        assert one(spark, I.serial_hex(F.col("s"), 16), s=f"00{n:X}") == f"{n:x}"
+    assert one(spark, I.serial_hex(F.col("s"), 10), s="12a") is None and one(spark, I.serial_hex(F.col("s"), 16), s="xyz") is None
+    pem = "-----BEGIN CERTIFICATE-----\nAAEC\nAwQ=\n-----END CERTIFICATE-----\n"
+    assert bytes(one(spark, I.der_bytes(F.col("s")), s=pem)) == bytes(range(5))
+
+
+def test_history_gate_compares_the_digest(spark):
+    day = dt.date
+    e = spark.createDataFrame([(k, i, day(2024, 1, i)) for k in ("good", "wrong", "short", "early", "open") for i in (2, 3)], "claim string, item int, at date")
+    own = G.digest_tree(e.select("claim", F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h")), "claim")
+    told = {r["claim"]: r["digest"] for r in own.collect()}
+    whole = "complete_declared_scope"
+    m = spark.createDataFrame(
+        [("good", 2, told["good"], whole, day(2024, 1, 1), day(2024, 2, 1)), ("wrong", 2, "0" * 64, whole, day(2024, 1, 1), day(2024, 2, 1)), ("short", 3, told["short"], whole, day(2024, 1, 1), day(2024, 2, 1)),
+         ("early", 2, told["early"], whole, day(2024, 1, 3), day(2024, 2, 1)), ("open", 2, told["open"], "unknown", day(2024, 1, 1), day(2024, 2, 1)), ("none", 0, None, whole, day(2024, 1, 1), day(2024, 2, 1))],
+        "claim string, declared int, declared_digest string, coverage string, origin date, through date")
+    from pivotloom.operators import results as R
+
+    assert {r["claim"]: r["status"] for r in R.history_gate(e, m, "claim").collect()} == {"good": S.YES, "wrong": "invalid", "short": S.UNRESOLVED, "early": S.NO, "open": S.UNRESOLVED, "none": S.UNRESOLVED}
+
+
+def test_wildcards_and_prefix_lengths(spark):
+    names = spark.createDataFrame([(1, "*.a.example"), (2, "b.a.example"), (3, "*.example")], "id int, name string")
+    scopes = spark.createDataFrame([("a.example",), ("example",)], "scope string")
+    got = sorted((r["id"], r["scope"], r["wildcard"]) for r in E.in_scope(names, "name", scopes, "scope").collect())
+    assert got == [(1, "a.example", True), (1, "example", True), (2, "a.example", False), (2, "example", False), (3, "example", True)]
+    ips = spark.createDataFrame([(1, 0), (2, 2**32 - 1), (3, 10 * 2**24 + 5)], "id int, v long")
+    nets = spark.createDataFrame([("0.0.0.0/0",), ("10.0.0.0/8",), ("10.0.0.4/31",), ("255.255.255.255/32",), ("10.0.0.5/31",)], "prefix string")
+    got = sorted((r["id"], r["prefix"]) for r in E.in_prefix(ips, "v", nets, "prefix").collect())
+    assert got == [(1, "0.0.0.0/0"), (2, "0.0.0.0/0"), (2, "255.255.255.255/32"), (3, "0.0.0.0/0"), (3, "10.0.0.0/8"), (3, "10.0.0.4/31")]
+    assert E.in_prefix(ips, "v", nets.filter("false"), "prefix").count() == 0
+
+
+def test_encoded_evidence_is_checked(spark):
+    records = spark.sql("select 'r1' id, 's' subject, cast(null as string) object, array(named_struct('source_id', 'x', 'field', '/a'), named_struct('source_id', 'y', 'field', '/b')) evidence, array(named_struct('role', 'published', 'object', cast(null as string), 'occurrence', 'r1')) times")
+    rows = exports.evidence_edges(records)
+    assert sorted((r["type"], r["ordinal"], r["dst"]) for r in rows.collect()) == [("EVIDENCE", 0, "x"), ("EVIDENCE", 1, "y"), ("SUBJECT", 0, "s"), ("TIME_OCCURRENCE", 0, "r1")]
+    assert exports.encoding_faults(rows).count() == 0
+    broken = rows.withColumn("payload", F.when(F.col("type") == "SUBJECT", "{}").otherwise(F.col("payload"))).filter("not (type = 'EVIDENCE' and ordinal = 0)")
+    assert sorted((r["type"], r["fault"]) for r in exports.encoding_faults(broken).collect()) == [("EVIDENCE", "ordinal"), ("SUBJECT", "digest")]
+
+
+def test_bucketed_overlaps_come_once(spark):
+    rows = [(1, i, lo, lo + n) for i, (lo, n) in enumerate([(0, 100), (5, 3), (50, 0), (99, 500), (100, 1), (-7, 3), (8, 2)])]
+    df = spark.createDataFrame(rows, "k int, i int, lo int, hi int").select("k", "i", T.interval(F.col("lo"), F.col("hi"), True, True).alias("x"))
+    got = sorted((r["a"], r["b"]) for r in T.overlaps(df, "k", "i", "x", 10).collect())
+    assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3])
