@@ -5,26 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Endings of names under which anyone may register.
+SENSITIVE_TLDS = ("ai", "app", "biz", "cloud", "cn", "co", "com", "dev", "edu", "gov", "info", "int", "io", "mil", "net", "online", "org", "ru", "site", "top", "uk", "us", "xyz")
 # Patterns of indicators, credentials and commands.
 INDICATORS = {
     "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
     "url": r"https?://[^\s<>\"]+",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "domain": r"\b(?:[a-z0-9-]+\.)+(?:" + "|".join(SENSITIVE_TLDS) + r")\b",
     "sha256": r"\b[a-f0-9]{64}\b",
     "md5": r"\b[a-f0-9]{32}\b",
     "cve": r"CVE-[0-9]{4}-[0-9]{4,7}",
 }
 CREDENTIALS = {
-    "cloud_key": r"AKIA[0-9A-Z]{16}",
+    "cloud_key": r"\bA[KS]IA[0-9A-Z]{16}\b",
+    "map_key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "code_token": r"\bgh[a-z]_[0-9A-Za-z]{36,}",
+    "chat_token": r"\bxox[a-z]-[0-9A-Za-z-]{10,}",
     "token": r"token = \"[0-9a-f]{40}\"",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "password": r"password=[^\s]{8,}",
 }
-COMMANDS = {"shell": r"\b(?:bash|powershell|cmd\.exe)\b", "download": r"\b(?:curl|wget)\s", "yara": r"\brule\s+\w+\s*\{"}
+COMMANDS = {
+    "shell": r"\b(?:bash|powershell|cmd\.exe)\b", "download": r"\b(?:curl|wget)\s", "yara": r"\brule\s+\w+\s*\{",
+    "scanner": r"\b(?:nc|netcat|nmap|msfconsole|meterpreter)\b", "exploit": r"(?i)\b(?:shellcode|reverse shell|exploit payload)\b",
+}
+#: Credentials that say themselves that they are none.
+REDACTED = r"(?i)example|redacted|placeholder|changeme|x{6,}|\*{4,}"
+# Networks for documentation (RFC 5737) and names for special use (RFC 2606, RFC 6761).
 DOCUMENTATION_NETS = ("192.0.2.", "198.51.100.", "203.0.113.")
 SPECIAL_DOMAINS = ("example.com", "example.net", "example.org", "test", "invalid", "localhost", "example")
 
 
+def counts_as_find(kind: Column, value: Column) -> Column:
+    """Addresses and names for documentation, and redacted credentials, are no finds."""
+    net, redacted = F.lit(False), value.rlike(REDACTED)
+    for start in DOCUMENTATION_NETS:
+        net = net | F.startswith(value, F.lit(start))
+    return (
+        F.when(kind == "ipv4", ~net).when(kind == "domain", ~special_use(value))
+        .when(kind.isin(*CREDENTIALS), ~redacted).otherwise(True)
+    )
+
+
+def sensitive_tld(host: Column) -> Column:
+    return F.substring_index(host, ".", -1).isin(*SENSITIVE_TLDS) & (F.instr(host, ".") > 0)
+
+
 def extract(rows: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """key, kind, value of every match, one pass over the text."""
     found = F.flatten(F.array(*[_matches(text, k, p) for k, p in patterns.items()]))

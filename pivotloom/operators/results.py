@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pivotloom.functions import status as S
 from pivotloom.operators.claims import digest_tree
+from pivotloom.operators.pivot import PivotSpec, alternatives
 
 
 def construct(rows: DataFrame, prefix: str, form: str, identity: list[str]) -> DataFrame:
@@ -39,6 +40,32 @@ def identity_faults(objects: DataFrame) -> DataFrame:
     return twice.unionByName(open_references(objects).select("id", F.lit("open").alias("fault")).distinct())
 
 
+#: Roles of an expected traversal whose candidates must be joined too.
+JOINED_ROLES = ("weak_positive", "cautionary_positive", "high_cardinality")
+
+
+def topology_faults(nodes: DataFrame, edges: DataFrame, expected: DataFrame, spec: PivotSpec) -> DataFrame:
+    """start, target and fault of expected traversals (start, target, list, role) that the graph doesn't bear out.
+
+    Lists are included, suppressed and candidate. Faults: start_form and target_form, no_hop
+    (an included or suppressed target, or a candidate of a positive role, isn't joined),
+    unexpected_hop (a candidate of the negative role is), lists_overlap (a target on two lists).
+    """
+    hop = spec.hops[0]
+    ends = ("src", "dst") if hop.direction == "out" else ("dst", "src")
+    hops = edges.filter(F.col("relation").isin(alternatives(hop.relation))).select(F.col(ends[0]).alias("start"), F.col(ends[1]).alias("target")).distinct().withColumn("hop", F.lit(True))
+    good = lambda forms, name: nodes.filter(F.col("form").isin(alternatives(forms))).select(F.col("id").alias(name), F.lit(True).alias(f"{name}_ok"))
+    j = expected.join(hops, ["start", "target"], "left").join(good(spec.source, "start"), "start", "left").join(good(hop.form, "target"), "target", "left")
+    there = F.coalesce("hop", F.lit(False))
+    needed = (F.col("list") != "candidate") | F.col("role").isin(*JOINED_ROLES)
+    faults = F.filter(F.array(
+        F.when(F.col("start_ok").isNull(), "start_form"), F.when(F.col("target_ok").isNull(), "target_form"), F.when(needed & ~there, "no_hop"),
+        F.when(there & (F.col("list") == "candidate") & (F.col("role") == "negative"), "unexpected_hop"),
+    ), lambda x: x.isNotNull())
+    twice = expected.groupBy("start", "target").agg(F.count_distinct("list").alias("n")).filter("n > 1").select("start", "target", F.lit("lists_overlap").alias("fault"))
+    return j.select("start", "target", F.explode(faults).alias("fault")).unionByName(twice)
+
+
 def declarations(declared: DataFrame, packages: DataFrame, repositories: DataFrame) -> DataFrame:
     """Package to repository declarations with a status: the versions must agree, a missing one leaves it open."""
     j = declared.join(packages, "package").join(repositories, "repository")

@@ -305,11 +305,15 @@ def material_digests(spark, d):
 
 
 _SCAN = " union all ".join(f"select doc_id, '{k}' as kind, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, p in {**C.INDICATORS, **C.CREDENTIALS}.items())
+_ENDS = " or ".join(f"value = '{n}' or ends_with(value, '.{n}')" for n in C.SPECIAL_DOMAINS)
+_FIND = f"""case when kind = 'ipv4' then not ({' or '.join(f"starts_with(value, '{n}')" for n in C.DOCUMENTATION_NETS)}) when kind = 'domain' then not ({_ENDS})
+  when kind in ({', '.join(f"'{k}'" for k in C.CREDENTIALS)}) then not regexp_matches(value, '{C.REDACTED}') else true end"""
 
 
-@query(f"select doc_id, kind, value, count(*) as n from ({_SCAN}) group by all")
+@query(f"select doc_id, kind, value, count(*) as n from ({_SCAN}) where {_FIND} group by all")
 def content_scan(spark, d):
-    return C.extract(table(spark, d, "documents"), "doc_id", "text", {**C.INDICATORS, **C.CREDENTIALS}).groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = C.extract(table(spark, d, "documents"), "doc_id", "text", {**C.INDICATORS, **C.CREDENTIALS})
+    return found.filter(C.counts_as_find(F.col("kind"), F.col("value"))).groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select conv_id, turn, " + ", ".join(f"regexp_matches(text, '{p}') as {k}" for k, p in C.COMMANDS.items()) + ", count(*) as n from conversations group by all")
@@ -330,12 +334,12 @@ def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), C.pointer_path("/k"), "bigint").alias("k"), C.canonical_digest(F.col("props")).alias("digest"))
 
 
-@query(f"""with {_HOSTS} select page_id, host, ends_with(host, '.example.com') or ends_with(host, '.example.net') or ends_with(host, '.example.org') as special,
+@query(f"""with {_HOSTS} select page_id, host, ends_with(host, '.example.com') or ends_with(host, '.example.net') or ends_with(host, '.example.org') as special, split_part(host, '.', -1) in ('com', 'net', 'org', 'io', 'dev') as sensitive,
   not regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '//|/$') as literal_path from hosts join pages using (page_id)""")
 def host_and_path_checks(spark, d):
     p = table(spark, d, "pages").select("page_id", I.uri_parts(F.col("url")).alias("u"))
     host = I.dns_name(I.authority_host(F.col("u.authority")))
-    return p.select("page_id", host.alias("host"), C.special_use(host).alias("special"), C.literal_path(F.col("u.path")).alias("literal_path"))
+    return p.select("page_id", host.alias("host"), C.special_use(host).alias("special"), C.sensitive_tld(host).alias("sensitive"), C.literal_path(F.col("u.path")).alias("literal_path"))
 
 
 @query("""select l_orderkey, l_linenumber, epoch(l_shipdate)::bigint - epoch(o_orderdate)::bigint as seconds, epoch(l_shipdate) - epoch(o_orderdate) between 86400 and 2592000 as in_range, count(*) as n from lineitem join orders on o_orderkey = l_orderkey group by all""")
@@ -453,6 +457,31 @@ def evidence_encoding(spark, d):
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("edges")).join(faults, "type", "left").select("type", "edges", F.coalesce("faults", F.lit(0)).alias("faults"))
 
 
+_EXPECTED = """t as (select 'customer:' || o_custkey as start, case when o_orderkey % 100 = 0 then 'order:' || (o_orderkey + 1) when o_orderkey % 101 = 0 then 'part:1' else 'order:' || o_orderkey end as target,
+  case o_orderstatus when 'F' then 'included' when 'O' then 'suppressed' else 'candidate' end as list, case when o_orderkey % 3 = 0 then 'negative' when o_orderkey % 3 = 1 then 'weak_positive' else 'open' end as role from orders)"""
+
+
+@query(f"""with {EDGES_SQL}, {NODES_SQL}, {_EXPECTED}, h as (select distinct src, dst, true as hop from edges where relation = 'PLACED'),
+j as (select t.*, coalesce(hop, false) as hop, form from t left join h on src = start and dst = target left join nodes on id = target),
+f as (select start, target, 'target_form' as fault from j where form is distinct from 'order'
+  union all select start, target, 'no_hop' from j where not hop and (list <> 'candidate' or role in ('weak_positive', 'cautionary_positive', 'high_cardinality'))
+  union all select start, target, 'unexpected_hop' from j where hop and list = 'candidate' and role = 'negative'
+  union all select start, target, 'lists_overlap' from j group by all having count(distinct list) > 1)
+select start, target, fault, count(*) as n from f group by all""")
+def topology_faults(spark, d):
+    from pivotloom.operators import pivot as P
+    from pivotloom.operators import results as R
+
+    k = F.col("o_orderkey")
+    order = F.concat(F.lit("order:"), (k + F.when(k % 100 == 0, 1).otherwise(0)).cast("string"))
+    status = F.col("o_orderstatus")
+    expected = table(spark, d, "orders").select(
+        F.concat(F.lit("customer:"), "o_custkey").alias("start"), F.when((k % 101 == 0) & (k % 100 != 0), "part:1").otherwise(order).alias("target"),
+        F.when(status == "F", "included").when(status == "O", "suppressed").otherwise("candidate").alias("list"), F.when(k % 3 == 0, "negative").when(k % 3 == 1, "weak_positive").otherwise("open").alias("role"))
+    found = R.topology_faults(nodes(spark, d), edges(spark, d), expected, P.PivotSpec("customer", (P.Hop("PLACED", "out", "order"),)))
+    return found.groupBy("start", "target", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {EDGES_SQL} select relation, count(*) as edges_before, count(*) as edges_after, 0 as differing from edges group by relation")
 def graph_round_trip(spark, d):
     from pivotloom.sources.exports import decode_graph, encode_graph
