@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; make one only where none is named."""
+    """Use the folder named by spark.checkpoint.dir; where none is named, one for a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pivotloom-checkpoint-"))
 
 
@@ -22,6 +24,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df written down and counted; to be broadcast if it is small, else joined by a shuffle."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold_of(doc_id) -> F.Column:
     """crc32 of the id written as text, modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -30,13 +42,15 @@ def fold_of(doc_id) -> F.Column:
 def per_class_sample(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
     """The `rows` rows of each label whose hashed key is smallest.
 
-    Labels are counted first, so that only about four times the rows wanted of each label
-    pass a cut on the hashed key and meet in the ranking, whatever the table's size.
+    A key that repeats counts once, with its smallest label. Labels are counted first, so
+    that only about four times the rows wanted of each label pass a cut on the hashed key and
+    meet in the ranking, whatever the table's size; labels that are themselves unbounded in
+    number are no classes.
     """
     unit = 1 << 40
     place = F.pmod(F.xxhash64(key), F.lit(unit))
-    counts = df.groupBy(label).agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count(F.lit(1))).alias("_share"))
-    cut = df.join(counts, label).filter(place <= F.col("_share") * unit)
+    counts = df.groupBy(label).agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.approx_count_distinct(key)).alias("_share"))
+    cut = df.join(F.broadcast(counts), label).filter(place <= F.col("_share") * unit).groupBy(key).agg(F.min(label).alias(label), F.max("_share").alias("_share"))
     w = Window.partitionBy(label).orderBy(place, key)
     return cut.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank", "_share")
 
@@ -62,19 +76,20 @@ def longs(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge, root being the smallest node reachable.
 
     Alternates the large-star and small-star steps on distinct edges. Every step is a
     partially aggregated minimum and an equi join, so a hub node neither gathers its
     neighbours in a task nor multiplies them; the joins can be split by AQE. Each round
-    is checkpointed, and the rounds grow with the logarithm of the longest chain.
+    is checkpointed, and the rounds grow with the logarithm of the longest chain. It ends
+    when a round changes nothing.
     """
     e = checkpoint(
         edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v").distinct()
     )
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

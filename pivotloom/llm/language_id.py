@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +122,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
           rows: int = TRAIN_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on at most `rows` rows of each language outside fold 0.
 
-    The sample is chosen on ids alone; only then are the texts of the chosen rows read,
-    and they are turned into sparse counts on the executors.
+    The sample is chosen on ids alone; only then are the texts of the chosen rows read (of
+    rows that share an id the smallest text), and they are turned into sparse counts on the
+    executors.
     """
     chosen = per_class_sample(
         docs.select(F.col(key).alias("k"), F.col(lang).alias("l")).filter("l is not null").filter(fold_of(F.col("k")) != 0), "l", "k", rows
     )
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "k").select("l", "t")
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "k")
+    sample = sample.groupBy("k").agg(F.min("l").alias("l"), F.min("t").alias("t")).select("l", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -190,10 +193,11 @@ def limits_of(held: list[tuple[int, float]]) -> list[tuple[float, float]]:
 def predictor(model: LanguageModel):
     """A column function: text to struct<lang_pred, score, rejected>."""
 
-    @F.pandas_udf(RESULT)
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield pd.DataFrame([model.predict(x) for x in t], columns=["lang_pred", "score", "rejected"])
+            lang, score, rejected = zip(*(model.predict(x.as_py()) for x in t)) if len(t) else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
     return predict
 

@@ -33,6 +33,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,22 +149,20 @@ def cut(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "do
     """One row per piece: full windows, then the rest; a map without a shuffle."""
     end = np.uint32(end_id)
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for b in batches:
-            out = []
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                for k, ids in zip(part["k"].tolist(), coder.encode(part["t"].tolist())):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for k, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                     ids = np.append(ids, end)
                     for s in range(0, len(ids), window):
                         piece = ids[s : s + window]
                         out.append((k, s, len(piece), zlib.crc32(piece), len(ids)))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(pieces, PIECES)
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(pieces, PIECES)
 
 
 class RoomTree:

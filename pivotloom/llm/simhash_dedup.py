@@ -30,24 +30,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pivotloom.llm import shingle_links
-from pivotloom.llm.common import checkpoint, connected_components
+from pivotloom.llm.common import checkpoint, connected_components, small_side
 
 SEED = 42
 RADIUS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 CROWD = 256
 SLICE = 1 << 15
+#: Fingerprints whose balls one task emits.
+SPREAD_ROWS = 10_000
 #: A fingerprint of more than 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE such.
 HOT_SHARE = 1000
-#: Ids of dropped documents that are broadcast at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -67,15 +66,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
-    """key and fp of every row; a map without a shuffle."""
+def fingerprint_column(width: int = 3):
+    """A column function: text to its fingerprint."""
 
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield pd.Series([fingerprint(x, width) for x in t], dtype="int64")
+            yield pa.array([fingerprint(x.as_py(), width) for x in t], pa.int64())
+
+    return of
+
 
-    return docs.select(F.col(key).alias("key"), of(F.col(text)).alias("fp"))
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
+    """key and fp of every row; a map without a shuffle."""
+    return docs.select(F.col(key).alias("key"), fingerprint_column(width)(F.col(text)).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -165,54 +169,94 @@ def crowded_links(crowded: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """src and dst of fingerprints whose classes are the components at distance 3."""
-    sorted_rows = ball(distinct).repartition("variant").sortWithinPartitions("variant", "fp")
+    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD_ROWS)), "fp")
+    sorted_rows = ball(spread).repartition("variant").sortWithinPartitions("variant", "fp")
     found = checkpoint(sorted_rows.mapInArrow(lambda b: scan_buckets(b, crowd), "src long, dst long").distinct())
     own = found.filter("src <> dst")
     crowded = found.filter("src = dst").select(F.col("src").alias("fp"))
     return own if crowded.isEmpty() else own.unionByName(crowded_links(crowded))
 
 
-def classes(marks: DataFrame, crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
-    """key, fp and component of every row of `marks` (key, fp), which should be cheap to read.
+def linked_roots(distinct: DataFrame, crowd: int) -> DataFrame:
+    """fp and root (the smallest fingerprint reachable) of fingerprints with a link."""
+    roots = connected_components(links(distinct, crowd))
+    return roots.select(F.col("node").alias("fp"), "root")
+
+
+def named(marks: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, fp, component and kept_fp of every row of `marks`.
 
-    `more` has further links (src, dst) between fingerprints.
+    `distinct` has fp, its smallest key `first` and its rows `n`; `roots` the classes of linked
+    fingerprints. The class's kept row has the smallest key and, of ids that repeat, the
+    smallest fingerprint.
     """
-    distinct = marks.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    found = links(distinct.select("fp"), crowd)
-    roots = connected_components(found if more is None else found.unionByName(more))
-    joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    low = joined.groupBy("root").agg(F.min("first").alias("low"))
+    joined = distinct.join(roots, "fp")
+    low = joined.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp"))).alias("low"))
     linked = joined.join(low, "root").select("fp", "low")
-    named = checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component"), "n"))
+    alone = F.struct("first", F.col("fp"))
+    each = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", alone).alias("low"), "n")
+    each = checkpoint(each.select("fp", F.col("low.first").alias("component"), F.col("low.fp").alias("kept_fp"), "n"))
     hot = F.col("n") > marks.count() / HOT_SHARE
-    often = F.broadcast(named.filter(hot).select("fp", "component"))
-    rare = named.filter(~hot).select("fp", "component")
+    often = F.broadcast(each.filter(hot).drop("n"))
+    rare = each.filter(~hot).drop("n")
     rows = marks.join(often, "fp").unionByName(marks.join(often.select("fp"), "fp", "left_anti").join(rare, "fp"))
-    return rows.select("key", "fp", "component")
+    return rows.select("key", "fp", "component", "kept_fp")
+
+
+def _distinct(marks: DataFrame) -> DataFrame:
+    return checkpoint(marks.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
+
+
+def classes(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """key, fp, component and kept_fp of every row of `marks` (key, fp), which should be cheap to read."""
+    distinct = _distinct(marks)
+    return named(marks, distinct, linked_roots(distinct.select("fp"), crowd))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, crowd: int = CROWD) -> DataFrame:
     """key, fp (long) and component (smallest key reachable) of every row."""
-    return classes(checkpoint(fingerprints(docs, text, key, width)), crowd)
+    return classes(checkpoint(fingerprints(docs, text, key, width)), crowd).drop("kept_fp")
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, crowd: int = CROWD) -> DataFrame:
-    """As near_duplicates, also linking documents of a five-word Jaccard of 0.8 or more."""
-    marks = checkpoint(fingerprints(docs, text, key, width))
-    return classes(marks, crowd, shingle_links.links(docs, marks, text, key))
+    """As `classes`, also linking documents of a five-word Jaccard of 0.8 or more."""
 
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, classes_of=near_duplicates) -> DataFrame:
-    """The rows without the near-duplicates: of each component the row of its smallest key.
-
-    Of rows that repeat a key one stays; rows with a null key all stay.
+    @F.arrow_udf("fp long, " + shingle_links.SIGNED)
+    def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            rows = [(fingerprint(x, width), *shingle_links.signature(x)) for x in (x.as_py() for x in t)]
+            fp, own, n, bands = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip((fp, own, n, bands), kinds)], names=["fp", "id", "n", "bands"])
+
+    marks = checkpoint(docs.select(F.col(key).alias("key"), mark(F.col(text)).alias("m")).select("key", "m.*"))
+    distinct = _distinct(marks)
+    roots = checkpoint(linked_roots(distinct.select("fp"), crowd))
+    placed = marks.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    more = connected_components(shingle_links.links(docs, placed, text, key)).select(F.col("node").alias("root"), F.col("root").alias("low"))
+    fps = distinct.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = fps.join(more, "root", "left").select("fp", F.coalesce("low", "root").alias("root"))
+    return named(marks.select("key", "fp"), distinct, joined)
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, classes_of=None) -> DataFrame:
+    """The rows without the near-duplicates: of each class the row of its smallest key.
+
+    A row is told by its key and fingerprint, so a row whose key another row has too is judged
+    by its own text; of rows with both alike one stays. Rows with a null key all stay.
     """
-    found = checkpoint(classes_of(docs, text, key, width).select("key", "component"))
-    gone = found.filter("key <> component").select("key").distinct()
-    repeated = found.filter("key is not null").groupBy("key").count().filter("count > 1")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs[key] == gone["key"], "left_anti")
+    find = classes_of or (lambda *a: classes(checkpoint(fingerprints(*a))))
+    found = checkpoint(find(docs, text, key, width).filter("key is not null").select("key", "fp", F.expr("key = component and fp = kept_fp").alias("stays")))
+    repeated = checkpoint(found.groupBy(F.col("key").alias("_key_")).agg(F.count(F.lit(1)).alias("_n_")).filter("_n_ > 1").select("_key_"))
+    gone = found.filter("not stays").select(F.col("key").alias("_key_")).distinct()
     if repeated.isEmpty():
-        return kept
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in kept.columns]))
-    return kept.select("*", F.when(F.col(key).isNull(), 1).otherwise(place).alias("_place_")).filter("_place_ = 1").drop("_place_")
+        gone = small_side(gone)
+        return docs.join(gone, docs[key] == gone["_key_"], "left_anti")
+    elsewhere = small_side(gone.unionByName(repeated).distinct())
+    single = docs.join(elsewhere, docs[key] == elsewhere["_key_"], "left_anti")
+    own = docs.join(repeated, docs[key] == repeated["_key_"], "left_semi")
+    marked = own.select(F.struct(*[own[c] for c in own.columns]).alias("_row_"), own[key].alias("_key_"), fingerprint_column(width)(own[text]).alias("_fp_"))
+    staying = found.filter("stays").join(repeated, F.col("key") == F.col("_key_")).select("_key_", F.col("fp").alias("_fp_")).distinct()
+    place = F.row_number().over(Window.partitionBy("_key_", "_fp_").orderBy(*[F.col("_row_").getField(c) for c in docs.columns]))
+    kept = marked.join(staying, ["_key_", "_fp_"]).withColumn("_place_", place).filter("_place_ = 1")
+    return single.unionByName(kept.select("_row_.*"))

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +81,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: in
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
           rows: int = TRAIN_ROWS, features: int = FEATURES) -> ToxicityModel:
-    """Fit on at most `rows` labelled texts of each class outside fold 0."""
+    """Fit on at most `rows` labelled texts of each class outside fold 0, one text an id."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("k")) != 0)
     share = marked.agg(F.avg("y")).first()[0]
     blank = ToxicityModel(np.zeros(1 << BITS, np.int16), np.zeros(1, np.float32), -500.0)
     if share in (None, 0.0, 1.0):
         return blank
     chosen = per_class_sample(marked, "y", "k", rows)
-    sample = checkpoint(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "t", "y"))
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    sample = checkpoint(texts.groupBy("k").agg(F.min("t").alias("t"), F.min("y").alias("y")))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, rows_of = np.zeros((2, 1 << BITS), np.int32), [0, 0]
@@ -138,10 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def scorer(model: ToxicityModel):
     """A column function: text to its score."""
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield pd.Series([model.score(x) for x in t], dtype="float64")
+            yield pa.array([model.score(x.as_py()) for x in t], pa.float64())
 
     return score
 
