@@ -201,6 +201,42 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert len(full[full.query_id == 0]) == 6
 
 
+@pytest.mark.parametrize("norm", [1e5, 1e160, 1e-170])
+def test_nearest_neighbours_are_exact_at_any_norm(spark, norm):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=8) + 1e-4 * rng.normal(size=(300, 8))
+    x = norm * np.concatenate([near / np.linalg.norm(near, axis=1, keepdims=True), rng.normal(size=(50, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = multi_index.search(df, cells=4, share=1.0).toPandas()
+    for q in range(0, 350, 100):
+        d = np.sqrt((((x - x[q]) / norm) ** 2).sum(1))
+        d[q] = np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine.vec_id) == list(np.lexsort((np.arange(350), d))[:10]) and np.allclose(mine.score / norm, np.sort(d)[:10], rtol=1e-9)
+
+
+def test_nearest_neighbours_by_default_on_the_given_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    clash = e.selectExpr("*", "1 as id", "'x' as v", "2 as rep", "3 as g", "4 as q", "5 as i", "6 as score", "7 as rank")
+    got = {q: set(v.vec_id) for q, v in multi_index.search(clash).toPandas().groupby("query_id")}
+    d = e.toPandas().sort_values("vec_id")
+    ids, x = d.vec_id.to_numpy(), np.array(d.embedding.tolist(), float)
+    hit = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[i]) ** 2).sum(1))
+        far[i] = np.inf
+        want = set(ids[np.lexsort((ids, far))[:10]])
+        hit, total = hit + len(want & got[ids[i]]), total + 10
+    assert hit >= 0.9 * total
+
+
+def test_an_id_with_two_vectors_stands_for_the_smaller(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (100, [3.0, 0.0]), (100, [0.5, 0.0])]
+    got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 100, 2]
+    assert got[got.query_id == 100].sort_values("rank").vec_id.tolist() == [0, 1, 2]
+
+
 def test_url_parts_rules_and_classifier(spark):
     urls = [None, "no scheme", "HTTP://A.Ads-Track.Example.COM:80?x", "x://H.net/de/8#a/b", "a://", "https://m.example.net/de/81?u", "s://example.com/en/7", "s://notexample.com/en/7"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -257,6 +293,8 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_class_sample_is_bounded(spark):
     df = spark.range(5000).selectExpr("id as k", "if(id % 10 = 0, 1, 0) as y")
     assert {r["y"]: r["count"] for r in per_class_sample(df, "y", "k", 50).groupBy("y").count().collect()} == {0: 50, 1: 50}
+    same = df.unionByName(spark.range(600).selectExpr("3L as k", "0 as y"))
+    assert per_class_sample(same, "y", "k", 50).groupBy("k").count().agg(F.max("count")).first()[0] == 1
 
 
 def test_packing_is_whole_and_equal_to_direct_encoding(spark, odd):
