@@ -3,17 +3,17 @@
 A paragraph is a line of a text, or a run of lines joined by spaces. Its features are the
 word uni- and bigrams of the training vocabulary that occur in it; a softmax regression
 gives each licence family and the class `unknown` a score, scores are calibrated by a
-temperature fitted on held-out variants, and a family is predicted where its probability
+temperature fitted on variants of held-out templates, and a family is predicted where its probability
 beats all others, including unknown's. A prediction is confirmed if at least `CONFIRM` of
-the bigrams of one of the family's templates occur in the paragraph.
+the bigrams of one of the family's templates occur in the paragraph, and one of them is in
+no other family's templates (half of a GPL notice is close to an LGPL one).
 
 Every line is classified. Notices are mostly wrapped, so runs of lines are too, where the
 first and the last line add a bigram of a template (others can't begin or end a notice) and
 the lines between hold at most `BETWEEN` words, which no notice exceeds that could be
 confirmed by its own words. Marks of comments are no words, and lines without a word are
-passed over. A run counts if it is confirmed, holds a bigram that no other family's
-templates have (half of a GPL notice is close to an LGPL one), and no line or shorter run
-within it is so confirmed for the same family.
+passed over. A run counts if it is confirmed, and no line or shorter run within it is so
+confirmed for the same family.
 
 Training runs on the driver over variants that a fixed rule makes of `TEMPLATES` and
 `OTHER_TEXT` (a few thousand rows, whatever the data). Scanning is one expression over
@@ -45,6 +45,10 @@ LEAST_FEATURES = 2
 
 # Notices and first sentences of public licences, by family.
 TEMPLATES = {
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -63,6 +67,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
     "CC0": [
         "Dedicated to the public domain under CC0 1.0.", "This work has been marked as dedicated to the public domain.",
         "SPDX-License-Identifier: CC0-1.0",
@@ -72,6 +80,10 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL version 2.",
     ],
+    "ISC": [
+        "Released under the ISC License.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
@@ -140,28 +152,29 @@ def vocabulary_of_templates() -> list[int]:
     return sorted({h for ts in TEMPLATES.values() for t in ts for h in grams_of(t)})
 
 
-def variants() -> list[tuple[str, str]]:
-    """(family, paragraph) rows: whole templates, with words before and behind, cut and thinned."""
+def variants() -> list[tuple[str, str, int]]:
+    """(family, paragraph, source): whole templates, with words before and behind, cut and thinned.
+
+    Rows made of one template or text have one source number.
+    """
     rng = np.random.default_rng(11)
     words = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()} | {w for t in OTHER_TEXT for w in t.split()})
-    rows = []
-    for family, ts in TEMPLATES.items():
-        for t in ts:
-            w = t.split()
-            rows += [(family, t)] * 4
-            for n in range(16):
-                extra = list(rng.choice(words, size=rng.integers(0, 6)))
-                kept = [x for x in w if rng.random() > 0.06]
-                rows.append((family, " ".join(extra + kept if n % 2 else kept + extra)))
+    rows, source = [], 0
+    for family, t in [(f, t) for f, ts in TEMPLATES.items() for t in ts]:
+        w = t.split()
+        rows += [(family, t, source)] * 4
+        for n in range(16):
+            extra = list(rng.choice(words, size=rng.integers(0, 6)))
+            kept = [x for x in w if rng.random() > 0.06]
+            rows.append((family, " ".join(extra + kept if n % 2 else kept + extra), source))
+        rows += [(UNKNOWN, " ".join(w[: max(1, len(w) // 4)]), source), (UNKNOWN, " ".join(rng.permutation(w)), source)]
+        source += 1
     for t in OTHER_TEXT:
-        rows += [(UNKNOWN, t)] * 4
+        rows += [(UNKNOWN, t, source)] * 4
+        source += 1
     for n in range(1200):
-        rows.append((UNKNOWN, " ".join(rng.choice(words, size=rng.integers(1, 25)))))
-    for family, ts in TEMPLATES.items():
-        for t in ts:
-            w = t.split()
-            rows += [(UNKNOWN, " ".join(w[: max(1, len(w) // 4)])), (UNKNOWN, " ".join(rng.permutation(w)))]
-    return rows + [(UNKNOWN, "")] * 50
+        rows.append((UNKNOWN, " ".join(rng.choice(words, size=rng.integers(1, 25))), source + n))
+    return rows + [(UNKNOWN, "", source + 1200)] * 50
 
 
 @dataclass
@@ -184,28 +197,33 @@ class LicenceModel:
         p = self.probabilities(paragraph)
         family, own = self.classes[int(p.argmax())], bigrams_of(paragraph)
         shares = [len(own & b) / len(b) for t in TEMPLATES.get(family, []) if (b := bigrams_of(t))]
-        return family, float(p.max()), max(shares, default=0.0) >= CONFIRM
+        return family, float(p.max()), max(shares, default=0.0) >= CONFIRM and bool(own & bigrams_of_one_family(family))
 
 
 def train(rounds: int = 400, penalty: float = 1e-3) -> LicenceModel:
+    """Weights are fitted on four of five sources, the temperature on the fifth; then the weights on all."""
     rows = variants()
-    grams = [grams_of(p) for _, p in rows]
+    grams = [grams_of(p) for _, p, _ in rows]
     vocabulary = vocabulary_of_templates()
     at = {h: i for i, h in enumerate(vocabulary)}
     classes = [*TEMPLATES, UNKNOWN]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for r, g in enumerate(grams):
         x[r, [at[h] for h in g if h in at]] = 1
-    y = np.eye(len(classes), dtype=np.float32)[[classes.index(c) for c, _ in rows]]
-    held = np.arange(len(rows)) % 5 == 4
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    xs, ys = x[~held], y[~held]
-    for _ in range(rounds):
-        z = xs @ w + b
-        e = np.exp(z - z.max(1, keepdims=True))
-        g = e / e.sum(1, keepdims=True) - ys
-        w -= 0.5 * (xs.T @ g / len(xs) * 4 + penalty * w)
-        b -= 0.5 * g.mean(0)
+    y = np.eye(len(classes), dtype=np.float32)[[classes.index(c) for c, _, _ in rows]]
+    held = np.array([source for _, _, source in rows]) % 5 == 4
+
+    def fit(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+        for _ in range(rounds):
+            z = xs @ w + b
+            e = np.exp(z - z.max(1, keepdims=True))
+            g = e / e.sum(1, keepdims=True) - ys
+            w -= 0.5 * (xs.T @ g / len(xs) * 4 + penalty * w)
+            b -= 0.5 * g.mean(0)
+        return w, b
+
+    w, b = fit(x[~held], y[~held])
     z = x[held] @ w + b
 
     def loss(t: float) -> float:
@@ -214,6 +232,7 @@ def train(rounds: int = 400, penalty: float = 1e-3) -> LicenceModel:
         return float((np.log(np.exp(s - top).sum(1)) + top[:, 0] - (s * y[held]).sum(1)).mean())
 
     grid = np.exp(np.linspace(-1.5, 1.5, 61))
+    w, b = fit(x, y)
     return LicenceModel(classes, vocabulary, np.round(w.astype(float), 6), np.round(b.astype(float), 6), round(float(min(grid, key=loss)), 6))
 
 
@@ -271,7 +290,7 @@ def line_column(line: Column, number: Column, model: LicenceModel) -> Column:
     return let(words_column(line), after_words)
 
 
-def hits_result(hits: Column, model: LicenceModel, run: bool = False) -> Column:
+def hits_result(hits: Column, model: LicenceModel) -> Column:
     """struct<family, probability, confirmed> of a line or run with these features; null for too few."""
     place = {h: i + 1 for i, h in enumerate(model.vocabulary)}
     weights = [numbers([0.0, *model.weights[:, c].tolist()]) for c in range(len(model.classes))]
@@ -295,8 +314,7 @@ def hits_result(hits: Column, model: LicenceModel, run: bool = False) -> Column:
             fits = own[0]
             for o in own[1:]:
                 fits = fits | o
-            if run:
-                fits = fits & F.arrays_overlap(hits, longs([place[h] for h in sorted(bigrams_of_one_family(f))]))
+            fits = fits & F.arrays_overlap(hits, longs([place[h] for h in sorted(bigrams_of_one_family(f))]))
             confirmed = F.when(family == f, fits).otherwise(confirmed)
         return F.struct(family.alias("family"), probability.alias("probability"), confirmed.alias("confirmed"))
 
@@ -354,7 +372,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text",
     def of_run(lines: Column, cross: Column, r: Column) -> Column:
         own = F.flatten(F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: x["hits"]))
         hits = F.array_distinct(F.concat(own, F.filter(F.slice(cross, r["a"] + 1, r["b"] - r["a"]), lambda f: f > 0)))
-        return let(hits_result(hits, model, run=True), lambda x: entry(lines[r["a"]]["i"], lines[r["b"]]["i"], x))
+        return let(hits_result(hits, model), lambda x: entry(lines[r["a"]]["i"], lines[r["b"]]["i"], x))
 
     rows = rows.select(key, "n_paragraphs", alone.alias("_alone"), let(F.filter("_lines", lambda x: x["n"] > 0), joined).alias("_runs"))
     sure = F.filter("_runs", lambda x: F.coalesce(x["confirmed"], F.lit(False)))
