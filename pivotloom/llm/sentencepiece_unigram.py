@@ -36,6 +36,8 @@ UNUSED = -1e8
 BYTE_PENALTY = 10.0
 LOCKSTEP = 48
 CACHE_WORDS = 300_000
+#: Words of more places are never remembered, so the cache is bounded in bytes too.
+LONG_WORD = 64
 DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, exact boolean"
 
 _codecs: dict[str, "Codec"] = {}
@@ -207,8 +209,10 @@ class Codec:
         coded = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(fresh, self.cut(fresh))}
         if len(known) + len(coded) > CACHE_WORDS:
             self.known = known = {"": b"", **{w: known[w] for w in every if w in known}}
+        long = {w: coded.pop(w) for w in fresh if len(w) > LONG_WORD}
         known.update(coded)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        at_hand = {**{w: known[w] for w in every if w in known}, **long} if long else known
+        return [b"".join(map(at_hand.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

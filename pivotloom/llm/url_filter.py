@@ -25,7 +25,6 @@ SEED = 42
 #: Held fixed: an address without any n-gram is allowed.
 INTERCEPT = -0.5
 DIGITS, ZEROS = "123456789", "000000000"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Labelled hosts and paths. 1 is to be blocked.
 LABELLED = [
@@ -70,10 +69,15 @@ RULES = [
 ]
 
 
+def _lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, place by place, in time that follows the length."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when((c >= "A") & (c <= "Z"), F.lower(c)).otherwise(c)), "")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
-    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
+    host = _lower_ascii(F.regexp_extract(rest, "^[^/?#]*", 0))
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -120,13 +124,23 @@ def probability(host: Column, path: Column, model: UrlModel) -> Column:
     """The chance that a URL is to be blocked."""
     weights = F.expr(f"cast(split('{','.join(map(repr, model.weights.tolist()))}', ',') as array<double>)")
 
-    def total(part: Column, n: int) -> Column:
-        starts = F.when(F.length(part) >= n, F.sequence(F.lit(1), F.length(part) - n + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.transform(starts, lambda i: (F.pmod(F.xxhash64(F.substring(part, i, F.lit(n))), F.lit(BUCKETS)) + 1).cast("int"))
-        return F.aggregate(at, F.lit(0.0), lambda z, i: z + F.element_at(weights, i))
+    def total(part: Column) -> Column:
+        """Weights of all n-grams; a part is cut in characters once, so that its time follows its length."""
+        def weight(gram: Column) -> Column:
+            return F.element_at(weights, (F.pmod(F.xxhash64(gram), F.lit(BUCKETS)) + 1).cast("int"))
+
+        def of_size(chars: Column, n: int) -> Column:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
+            grams = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+            return F.aggregate(grams, F.lit(0.0), lambda z, g: z + weight(g))
+
+        def of(chars: Column) -> Column:
+            return sum((of_size(chars, n) for n in SIZES), F.lit(0.0))
+
+        return F.transform(F.array(F.filter(F.split(part, ""), lambda c: c != "")), of)[0]
 
-    parts = tuple(F.translate(p, DIGITS, ZEROS) for p in (F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("|"), path, F.lit("$"))))
-    z = sum((total(p, n) for p in parts for n in SIZES), F.lit(model.intercept))
+    parts = tuple(F.regexp_replace(p, "[1-9]", "0") for p in (F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("|"), path, F.lit("$"))))
+    z = sum((total(p) for p in parts), F.lit(model.intercept))
     return 1 / (1 + F.exp(-z))
 
 
