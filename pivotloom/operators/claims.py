@@ -170,6 +170,11 @@ def digest_tree(hashes: DataFrame, key: str, leaf: int = LEAF) -> DataFrame:
     return level.select(key, "n", F.col("h").alias("digest"))
 
 
+def visit_priority(at: Column, start: Column, end: Column) -> Column:
+    """0 for what lies in the focus, 1 outside it, 2 undated."""
+    return F.when(at.isNull(), 2).when(at.between(start, end), 0).otherwise(1)
+
+
 def ranked_results(rows: DataFrame, seed: str, order: list[Column], limit: int) -> DataFrame:
     """Candidates of a seed within its budget, with a mark on seeds that were cut."""
     w = Window.partitionBy(seed)

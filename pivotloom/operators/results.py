@@ -28,6 +28,56 @@ def parameter_faults(seeds: DataFrame, known: DataFrame, key: str, kinds: list[s
     return own.unionByName(repeated).unionByName(unknown)
 
 
+def rule_faults(parameters: DataFrame, key: str, rules: dict[str, dict]) -> DataFrame:
+    """key, name and fault of sets of query parameters (key, name, items) that break their rules.
+
+    A rule may say required, enum (allowed items), min_items, unique, requires_when and
+    allowed_when (a pair of another parameter's name and an item it must hold). Parameters
+    without a rule are `unknown`. A set has few parameters, so they meet in one map.
+    """
+    sets = parameters.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("p"))
+    items = lambda name: F.coalesce(F.element_at("p", F.lit(name)), F.array().cast("array<string>"))
+    holds = lambda pair: F.array_contains(items(pair[0]), pair[1])
+    found = []
+    for name, rule in rules.items():
+        own, there = items(name), F.size(items(name)) > 0
+        broken = {}
+        if rule.get("required"):
+            broken["missing"] = ~there
+        if "requires_when" in rule:
+            broken["missing_here"] = holds(rule["requires_when"]) & ~there
+        if "allowed_when" in rule:
+            broken["not_allowed"] = there & ~holds(rule["allowed_when"])
+        if "enum" in rule:
+            broken["enum"] = F.size(F.array_except(own, F.array(*[F.lit(x) for x in rule["enum"]]))) > 0
+        if "min_items" in rule:
+            broken["too_few"] = there & (F.size(own) < rule["min_items"])
+        if rule.get("unique"):
+            broken["repeated"] = F.size(F.array_distinct(own)) < F.size(own)
+        found += [F.when(test, F.struct(F.lit(name).alias("name"), F.lit(fault).alias("fault"))) for fault, test in broken.items()]
+    own = sets.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select(key, "f.name", "f.fault")
+    stray = parameters.filter(~F.col("name").isin(*rules)).select(key, "name", F.lit("unknown").alias("fault"))
+    return own.unionByName(stray)
+
+
+def run_outcome(rows: DataFrame, seed: str, limit: int) -> DataFrame:
+    """Per seed the outcome of a run and its counters: examined, qualified, returned, truncated.
+
+    rows has the seed, `qualified`, and the diagnostic `status` of what isn't, or null, with
+    `optional` for context that isn't required. Gaps of optional context qualify a result; of
+    a seed without results the gravest required status decides.
+    """
+    said = lambda *values: F.coalesce(F.max(F.col("status").isin(*values)), F.lit(False))
+    needed = lambda value: F.coalesce(F.max((F.col("status") == value) & ~F.col("optional")), F.lit(False))
+    grave = ("unsupported", "unresolved", "suppressed", "outside_scope")
+    seen = rows.groupBy(seed).agg(
+        F.count(F.lit(1)).alias("examined"), F.count_if("qualified").alias("qualified"), said("unresolved", "unsupported").alias("gaps"), *[needed(x).alias(x) for x in grave])
+    outcome = F.when((F.col("qualified") > 0) & ~F.col("gaps"), "qualified_evidence").when(F.col("qualified") > 0, "qualified_evidence_with_gaps")
+    for x in grave:
+        outcome = outcome.when(F.col(x), x)
+    return seen.select(seed, "examined", "qualified", F.least("qualified", F.lit(limit)).alias("returned"), (F.col("qualified") > limit).alias("truncated"), outcome.otherwise("no_qualifying_result").alias("outcome"))
+
+
 def open_references(objects: DataFrame) -> DataFrame:
     """id and ref of references to objects that aren't there; `refs` is an array."""
     wanted = objects.select("id", F.explode("refs").alias("ref"))

@@ -229,21 +229,53 @@ def file_sets(spark, d):
     return sets.withColumn("equal_sets", F.count(F.lit(1)).over(Window.partitionBy("digest")))
 
 
-@query("""with r as (select *, row_number() over (partition by o_custkey order by case when o_orderdate >= timestamp '1997-01-01' then 0 else 1 end, o_totalprice desc, o_orderkey) as place, count(*) over (partition by o_custkey) as candidates from orders)
-select o_custkey, o_orderkey, place, candidates, candidates > 5 as partial from r where place <= 5""")
+@query("""with d as (select o_custkey, o_orderkey, o_totalprice, case when o_orderkey % 20 <> 0 then o_orderdate end as at_day from orders),
+g as (select *, case when at_day is null then 2 when at_day between timestamp '1997-01-01' and timestamp '1998-12-31' then 0 else 1 end as visit from d),
+r as (select *, row_number() over (partition by o_custkey order by visit, o_totalprice desc, o_orderkey) as place, count(*) over (partition by o_custkey) as candidates from g)
+select o_custkey, o_orderkey, visit, place, candidates, candidates > 5 as partial from r where place <= 5""")
 def candidate_budget(spark, d):
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    order = [F.when(F.col("o_orderdate") >= F.expr("timestamp_ntz'1997-01-01'"), 0).otherwise(1), F.desc("o_totalprice"), F.col("o_orderkey")]
-    return G.ranked_results(rows, "o_custkey", order, 5).select("o_custkey", "o_orderkey", "place", "candidates", "partial")
+    day = lambda t: F.expr(f"timestamp_ntz'{t}'")
+    seen = F.when(F.col("o_orderkey") % 20 != 0, F.col("o_orderdate"))
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", G.visit_priority(seen, day("1997-01-01"), day("1998-12-31")).alias("visit"))
+    order = [F.col("visit"), F.desc("o_totalprice"), F.col("o_orderkey")]
+    return G.ranked_results(rows, "o_custkey", order, 5).select("o_custkey", "o_orderkey", "visit", "place", "candidates", "partial")
 
 
-@query("""with s as (select o_custkey, max(o_orderstatus = 'F') as good, max(o_orderstatus = 'P') as open, count(*) as examined, count(*) filter (o_orderstatus = 'F') as qualified from orders group by 1)
-select c_custkey, coalesce(examined, 0) as examined, coalesce(qualified, 0) as qualified, case when good and open then 'qualified_evidence_with_gaps' when good then 'qualified_evidence' when open then 'unresolved' else 'no_qualifying_result' end as outcome from customer left join s on o_custkey = c_custkey""")
+_DIAGNOSED = """r as (select o_custkey, o_orderstatus = 'F' and o_orderkey % 4 = 0 as qualified, o_orderstatus = 'P' as optional,
+  case when o_orderstatus = 'F' and o_orderkey % 4 = 0 then null when o_orderstatus = 'P' then 'unresolved' when o_orderkey % 31 = 0 then 'unsupported' when o_orderkey % 17 = 0 then 'unresolved' when o_orderkey % 5 = 0 then 'suppressed' when o_orderkey % 3 = 0 then 'outside_scope' end as status from orders)"""
+
+
+@query(f"""with {_DIAGNOSED}, g as (select o_custkey, count(*) as examined, count(*) filter (qualified) as qualified, coalesce(bool_or(status in ('unresolved', 'unsupported')), false) as gaps,
+  list(distinct status) filter (not optional and status is not null) as said from r group by 1)
+select o_custkey, examined, qualified, least(qualified, 2) as returned, qualified > 2 as truncated, case when qualified > 0 then case when gaps then 'qualified_evidence_with_gaps' else 'qualified_evidence' end
+  when list_contains(said, 'unsupported') then 'unsupported' when list_contains(said, 'unresolved') then 'unresolved' when list_contains(said, 'suppressed') then 'suppressed' when list_contains(said, 'outside_scope') then 'outside_scope' else 'no_qualifying_result' end as outcome from g""")
 def run_outcomes(spark, d):
-    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("examined"), F.count_if(F.expr("o_orderstatus = 'F'")).alias("qualified"), F.count_if(F.expr("o_orderstatus = 'P'")).alias("open"))
-    out = F.when((F.col("qualified") > 0) & (F.col("open") > 0), "qualified_evidence_with_gaps").when(F.col("qualified") > 0, "qualified_evidence").when(F.col("open") > 0, "unresolved").otherwise("no_qualifying_result")
-    j = table(spark, d, "customer").select("c_custkey").join(s, "c_custkey", "left")
-    return j.select("c_custkey", F.coalesce("examined", F.lit(0)).alias("examined"), F.coalesce("qualified", F.lit(0)).alias("qualified"), out.alias("outcome"))
+    from pivotloom.operators import results as R
+
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    good = (status == "F") & (k % 4 == 0)
+    said = F.when(good, None).when(status == "P", "unresolved").when(k % 31 == 0, "unsupported").when(k % 17 == 0, "unresolved").when(k % 5 == 0, "suppressed").when(k % 3 == 0, "outside_scope")
+    rows = table(spark, d, "orders").select("o_custkey", good.alias("qualified"), (status == "P").alias("optional"), said.alias("status"))
+    return R.run_outcome(rows, "o_custkey", 2)
+
+
+@query("""with l as (select l_orderkey, list(l_linenumber) as lines from lineitem group by 1), p as (select o_orderkey, o_orderstatus as mode, o_orderpriority as level, coalesce(lines, []) as lines, o_orderkey % 9 = 0 as stray, o_orderkey % 13 = 0 as bare from orders left join l on l_orderkey = o_orderkey)
+select o_orderkey, 'mode' as name, 'missing' as fault from p where bare union all select o_orderkey, 'mode', 'enum' from p where not bare and mode not in ('F', 'O')
+union all select o_orderkey, 'level', 'missing_here' from p where not bare and mode = 'P' and level not in ('1-URGENT', '2-HIGH') union all select o_orderkey, 'lines', 'too_few' from p where len(lines) = 1
+union all select o_orderkey, 'lines', 'repeated' from p where len(list_distinct(lines)) < len(lines) union all select o_orderkey, 'lines', 'not_allowed' from p where len(lines) > 0 and (bare or mode <> 'F') union all select o_orderkey, 'stray', 'unknown' from p where stray""")
+def parameter_rules(spark, d):
+    from pivotloom.operators import results as R
+
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("lines"))
+    o = table(spark, d, "orders").join(l, "o_orderkey", "left")
+    k, one = F.col("o_orderkey"), lambda c: F.array(F.col(c).cast("string"))
+    entry = lambda name, items, when: F.when(when, F.struct(F.lit(name).alias("name"), items.alias("items")))
+    entries = F.array(
+        entry("mode", one("o_orderstatus"), k % 13 != 0), entry("level", one("o_orderpriority"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")),
+        entry("lines", F.col("lines"), F.col("lines").isNotNull()), entry("stray", one("o_orderkey"), k % 9 == 0), entry("note", one("o_orderkey"), F.lit(True)))
+    sets = o.select("o_orderkey", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("e")).select("o_orderkey", "e.name", "e.items")
+    rules = {"mode": {"required": True, "enum": ["F", "O"]}, "level": {"requires_when": ("mode", "P")}, "lines": {"min_items": 2, "unique": True, "allowed_when": ("mode", "F")}, "note": {}}
+    return R.rule_faults(sets, "o_orderkey", rules)
 
 
 # identities and scans ------------------------------------------------------------------

@@ -267,3 +267,20 @@ def test_bucketed_overlaps_come_once(spark):
     df = spark.createDataFrame(rows, "k int, i int, lo int, hi int").select("k", "i", T.interval(F.col("lo"), F.col("hi"), True, True).alias("x"))
     got = sorted((r["a"], r["b"]) for r in T.overlaps(df, "k", "i", "x", 10).collect())
     assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_a_run_is_written_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "seed string, n int")
+    exports.write_run(str(tmp_path / "run"), rows, rows.filter("false"), rows)
+    assert [spark.read.parquet(str(tmp_path / "run" / n)).count() for n in ("results", "diagnostics", "summary")] == [1, 0, 1]
+    assert spark.read.json(str(tmp_path / "run" / "summary_json")).first()["seed"] == "a"
+
+
+def test_uncertain_states_stay_open(spark):
+    x = T.interval(F.lit(10), F.lit(20), True, True)
+    late = T.interval(F.lit(22), F.lit(30), True, True)
+    yes, no = F.lit(True), F.lit(False)
+    assert one(spark, T.compare(T.widen(x, F.lit(1), no), late, "lt", no)) == S.YES
+    assert one(spark, T.compare(T.widen(x, F.lit(3), no), late, "lt", no)) == S.UNRESOLVED
+    assert one(spark, T.compare(T.widen(x, F.lit(1), yes), late, "lt", yes)) == S.UNRESOLVED
+    assert one(spark, T.compare(T.widen(x, F.lit(0), yes), late, "lt", yes)) == S.UNSUPPORTED
