@@ -191,16 +191,21 @@ def later_equivalents(chosen: DataFrame, open_rows: DataFrame, key: str) -> Data
 
 
 def supported_amendments(amendments: DataFrame, claims: DataFrame, key: str) -> DataFrame:
-    """amendments (publisher, issued, superseded_issued) with a status against their claims (publisher, published).
-
-    Another publisher is no match; a missing publisher or date leaves it open; one issued
-    before its claim or before what it supersedes is invalid.
+    """amendments with a status against their claims (key, publisher, namespace).
+
+    amendments has the claim's key, operation, issuer_linked, publisher, namespace,
+    replacement (a claim's key), issued and superseded_issued. An unknown operation, or a
+    replacement beside another operation than correct, is invalid. Open stays one whose issuer
+    isn't linked, whose namespace is missing or another, whose publisher is (but for a
+    dispute), whose correction has no other claim of the same publisher and namespace to put
+    in place, or that was issued before what it supersedes.
     """
-    j = amendments.join(claims.select(key, F.col("publisher").alias("_p"), "published"), key)
-    status = (
-        F.when(F.col("publisher").isNull() | F.col("_p").isNull() | F.col("issued").isNull(), "unresolved")
-        .when(F.col("publisher") != F.col("_p"), "no_match")
-        .when((F.col("issued") < F.col("published")) | F.coalesce(F.col("issued") < F.col("superseded_issued"), F.lit(False)), "invalid")
-        .otherwise("match")
-    )
-    return j.withColumn("status", status).drop("_p", "published")
+    of = lambda name, prefix: claims.select(F.col(key).alias(name), F.col("publisher").alias(f"{prefix}p"), F.col("namespace").alias(f"{prefix}n"))
+    j = amendments.join(of(key, "_"), key).join(of("replacement", "_r"), "replacement", "left")
+    op, known = F.col("operation"), F.col("operation").isin("withdraw", "correct", "dispute", "reinstate")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    replaced = same("_rp", "publisher") & same("_rn", "namespace") & (F.col("replacement") != F.col(key))
+    early = F.coalesce(F.col("issued") < F.col("superseded_issued"), F.lit(False))
+    whole = F.col("issuer_linked") & same("namespace", "_n") & ((op == "dispute") | same("publisher", "_p")) & ((op != "correct") | F.coalesce(replaced, F.lit(False))) & ~early
+    invalid = ~F.coalesce(known, F.lit(False)) | (F.col("replacement").isNotNull() & (op != "correct"))
+    return j.withColumn("status", F.when(invalid, "invalid").when(whole, "match").otherwise("unresolved")).drop("_p", "_n", "_rp", "_rn")

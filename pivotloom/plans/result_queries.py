@@ -98,12 +98,19 @@ def later_equivalents(spark, d):
     return G.later_equivalents(chosen, e.filter("event_type = 'error'"), "user_id")
 
 
-@query("""select l_orderkey, l_linenumber, case when l_linenumber % 6 = 0 then 'unresolved' when l_linestatus <> o_orderstatus then 'no_match' when l_shipdate < o_orderdate + interval 10 day or l_quantity > 45 then 'invalid' else 'match' end as status, count(*) as n
-from lineitem join orders on o_orderkey = l_orderkey where l_returnflag <> 'N' group by all""")
+@query("""with c as (select o_orderkey, o_orderstatus as publisher, case when o_orderkey % 10 = 0 then 'm' else 'n' end as namespace from orders),
+a as (select l_orderkey, l_linenumber, case when l_quantity = 13 then 'other' when l_returnflag = 'R' then 'withdraw' when l_returnflag = 'A' then 'correct' else 'dispute' end as operation, l_quantity <> 11 as linked, l_linestatus as publisher,
+  case when l_linenumber % 6 <> 0 then 'n' end as namespace, case when l_quantity = 14 or l_returnflag = 'A' then l_orderkey - l_linenumber % 3 end as replacement, cast(l_shipdate as date) as issued, case when l_quantity > 45 then cast(l_shipdate as date) + 1 end as before from lineitem)
+select l_orderkey, l_linenumber, case when operation = 'other' or (replacement is not null and operation <> 'correct') then 'invalid'
+  when linked and a.namespace = c.namespace and (operation = 'dispute' or a.publisher = c.publisher) and (operation <> 'correct' or (r.publisher = a.publisher and r.namespace = a.namespace and replacement <> l_orderkey)) and not coalesce(issued < before, false) then 'match' else 'unresolved' end as status, count(*) as n
+from a join c on c.o_orderkey = l_orderkey left join c r on r.o_orderkey = replacement group by all""")
 def supported_amendments(spark, d):
-    day = F.to_date("l_shipdate")
-    a = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(F.col("l_linenumber") % 6 != 0, F.col("l_linestatus")).alias("publisher"), day.alias("issued"), F.when(F.col("l_quantity") > 45, F.date_add(day, 1)).alias("superseded_issued"))
-    c = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("publisher"), F.date_add(F.to_date("o_orderdate"), 10).alias("published"))
+    q, flag, day = F.col("l_quantity"), F.col("l_returnflag"), F.to_date("l_shipdate")
+    a = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(q == 13, "other").when(flag == "R", "withdraw").when(flag == "A", "correct").otherwise("dispute").alias("operation"),
+        (q != 11).alias("issuer_linked"), F.col("l_linestatus").alias("publisher"), F.when(F.col("l_linenumber") % 6 != 0, "n").alias("namespace"),
+        F.when((q == 14) | (flag == "A"), F.col("l_orderkey") - F.col("l_linenumber") % 3).alias("replacement"), day.alias("issued"), F.when(q > 45, F.date_add(day, 1)).alias("superseded_issued"))
+    c = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("publisher"), F.when(F.col("o_orderkey") % 10 == 0, "m").otherwise("n").alias("namespace"))
     found = G.supported_amendments(a, c, "o_orderkey")
     return found.groupBy(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "status").agg(F.count(F.lit(1)).alias("n"))
 
