@@ -18,10 +18,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pivotloom-checkpoint-"))
 
 
+#: Rows of whole texts that go to a Python worker at once, where a step is written down here.
+TEXTS_AT_ONCE = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint, which survives lost executors.
+
+    Meanwhile Arrow batches are small, so that long texts don't fill Python workers.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(TEXTS_AT_ONCE, int(before)) if int(before) > 0 else TEXTS_AT_ONCE))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 #: Rows of a few numbers each that are broadcast at most.
