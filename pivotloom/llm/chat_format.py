@@ -14,9 +14,11 @@ lengths and cumulative offsets in one preallocated buffer, which becomes the res
 Arrow array; a scatter of index ranges copies every segment at once. The loss mask is a
 list of spans in code points over the assistant's texts.
 
-Rows are dealt by conversation, sorted by turn and streamed. A conversation becomes one
-row; one with more than `PART_TURNS` turns or `PART_BYTES` bytes becomes several parts in
-order, so memory is bounded even if one conversation holds a third of all rows.
+Rows are dealt by ranges of conversation and turn, sorted and streamed. A conversation
+becomes one row; one with more than `PART_TURNS` turns or `PART_BYTES` bytes, or one that a
+range's end cuts, becomes several parts, which `task` and `part` put in order. So memory is
+bounded, and a conversation with a third of all rows is formatted by many tasks. Its digest
+is sequential by nature: the parts of a conversation meet in one task, which streams them.
 
 Results for odd rows: a null text or role is empty; a null turn sorts first and ties in
 turn go by role, then text; repeated rows are turns of their own; a null conversation id
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ TURN_END = "</turn>"
 LEARNED = "assistant"
 PART_TURNS = 2048
 PART_BYTES = 16 << 20
-FORMATTED = "conv_id long, part int, n_turns long, formatted string, loss array<struct<start: long, stop: long>>"
+FORMATTED = "conv_id long, task int, part int, n_turns long, formatted string, loss array<struct<start: long, stop: long>>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -89,7 +92,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def assemble(turns: pa.Table) -> pa.RecordBatch:
+def assemble(turns: pa.Table, task: int = 0) -> pa.RecordBatch:
     """Formatted rows of whole parts: turns carry conv_id, role, text and a part number."""
     rows = turns.num_rows
     role, text = (turns.column(c).combine_chunks() for c in ("role", "text"))
@@ -118,13 +121,15 @@ def assemble(turns: pa.Table) -> pa.RecordBatch:
     ends = np.concatenate(([0], np.cumsum(learned)))[bounds].astype(np.int32)
     formatted = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(at[bounds].astype(np.int64)), pa.py_buffer(out)])
     return pa.RecordBatch.from_arrays(
-        [conv.take(pa.array(begins)), pa.array(turns.column("part_in").to_numpy()[begins], pa.int32()), pa.array(np.diff(bounds), pa.int64()), formatted.cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), spans)],
-        names=["conv_id", "part", "n_turns", "formatted", "loss"],
+        [conv.take(pa.array(begins)), pa.array(np.full(len(begins), task), pa.int32()), pa.array(turns.column("part_in").to_numpy()[begins], pa.int32()), pa.array(np.diff(bounds), pa.int64()), formatted.cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), spans)],
+        names=["conv_id", "task", "part", "n_turns", "formatted", "loss"],
     )
 
 
 def format_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted turns to formatted parts; only the last, unended part is held back."""
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
     held: pa.Table | None = None
     state = {"conv": object(), "part": 0, "turns": 0, "bytes": 0, "number": 0}
     for batch in batches:
@@ -132,9 +137,8 @@ def format_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         new = pa.Table.from_batches([batch])
         number, part_in = [], []
-        sizes = zip(new.column("conv_id").to_pylist(), new.column("role").to_pylist(), new.column("text").to_pylist())
-        for conv, role, text in sizes:
-            n = 4 * len(text or "") + 4 * len(role or "")
+        size = sum(pc.fill_null(pc.binary_length(new.column(c)), 0).to_numpy() for c in ("role", "text"))
+        for conv, n in zip(new.column("conv_id").to_pylist(), size.tolist()):
             if conv != state["conv"]:
                 state.update(conv=conv, part=0, turns=0, bytes=0, number=state["number"] + 1)
             elif state["turns"] >= PART_TURNS or state["bytes"] + n > PART_BYTES:
@@ -148,16 +152,16 @@ def format_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         numbers = new.column("part").to_numpy()
         whole = int(np.searchsorted(numbers, numbers[-1]))
         if whole:
-            yield assemble(new.slice(0, whole))
+            yield assemble(new.slice(0, whole), task)
         held = new.slice(whole)
     if held is not None and held.num_rows:
-        yield assemble(held)
+        yield assemble(held, task)
 
 
 def format_conversations(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, part, n_turns, formatted and loss; the parts of a conversation stand in order in one partition."""
+    """conv_id, task, part, n_turns, formatted and loss; task and part order the parts of a conversation."""
     rows = conversations.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
     return rows.mapInArrow(format_stream, FORMATTED)
 
 
@@ -226,5 +230,6 @@ def digest_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests read back from the rows of `format_conversations`, without a shuffle."""
-    return formatted.mapInArrow(digest_stream, DIGEST)
+    """Digests read back from the rows of `format_conversations`, each conversation's parts in order."""
+    parts = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "task", "part")
+    return parts.mapInArrow(digest_stream, DIGEST)

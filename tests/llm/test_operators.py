@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pivotloom.llm import chat_format, imatch, language_id, license_scan, multi_index, packing, sentencepiece_unigram, simhash_dedup, toxicity, url_filter
-from pivotloom.llm.common import connected_components, fold_of, per_class_sample
+from pivotloom.llm.common import connected_components, ensure_checkpoint_dir, fold_of, per_class_sample
 from pivotloom.llm.queries import TOKENIZERS
 
 SF = "/root/testdata/sf0.01"
@@ -393,6 +393,23 @@ def test_chat_round_trip(spark, monkeypatch):
     assert chat_format.digest(chat_format.format_conversations(df.filter("false"))).count() == 0
 
 
+def test_one_conversation_is_formatted_by_many_tasks(spark):
+    ensure_checkpoint_dir(spark)
+    df = spark.range(6000).selectExpr("if(id < 5000, 1, id) as conv_id", "id % 977 as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('say ', id, ' ### x') as text", "'c' as task", "1 as part")
+    formatted = chat_format.format_conversations(df.repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        formatted = formatted.checkpoint()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert formatted.filter("conv_id = 1").select("task").distinct().count() > 1
+    got = {r["conv_id"]: r for r in chat_format.digest(formatted).collect()}
+    own = sorted((r["turn"], r["role"], r["text"]) for r in df.filter("conv_id = 1").collect())
+    assert len(got) == 1001 and got[1]["n_turns"] == 5000
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256("".join(t for _, r, t in own if r == "assistant").encode()).hexdigest()
+
+
 def _digest_here(module, df):
     """The operator's own steps in this process, so that changed limits hold."""
     table = df.toArrow().select(["conv_id", "turn", "role", "text"]).sort_by([(c, "ascending") for c in ("conv_id", "turn", "role", "text")])
