@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pivotloom.llm import chat_format, imatch, language_id, license_scan, multi_index, packing, sentencepiece_unigram, simhash_dedup, toxicity, url_filter
+from pivotloom.llm import chat_format, imatch, language_id, license_scan, line_dedup, multi_index, packing, sentencepiece_unigram, simhash_dedup, spelling_groups, token_alignment, toxicity, url_filter
 from pivotloom.llm.common import fold_of
 
 
@@ -142,5 +142,31 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_multi_index, op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.dedup(docs, line_dedup.build(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = f"""
+with own as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+placed as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as place from own),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from placed),
+common as (select key, max(doc_id) as last from keyed where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS}),
+judged as (select k.doc_id, line, place, c.key is not null and k.doc_id <> c.last as lost from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not lost), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), TOKENIZERS("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_multi_index, op4_language_id, op5_url_filter, op6_simhash_dedup, op7_packing, op8_imatch, op9_toxicity, op10_chat_format, op11_line_dedup, op12_spelling_groups, op13_token_alignment)}
+ORACLE_SQL: dict[str, str] = {"op8_imatch": _op8_sql(), "op10_chat_format": OP10_SQL, "op11_line_dedup": OP11_SQL}
