@@ -29,10 +29,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,15 +213,19 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS)
     """Sequences of the pieces, which must come in the same order whenever they are read."""
     groups = max(1, -(-pieces.count() // group_rows))
 
-    def fill(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").drop(columns="g")
-        number, offset = best_fit(b["length"].to_numpy(), window)
-        use = np.bincount(number, weights=b["length"].to_numpy()).astype(np.int64)
+    def fill(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+        pieces = pieces.drop_columns(["g"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        length = pieces["length"].to_numpy()
+        number, offset = best_fit(length, window)
+        use = np.bincount(number, weights=length).astype(np.int64)
         pad = np.where(use & (use - 1) == 0, 0, window - use)
-        return b.assign(sequence_id=key[0] * (1 << 32) + number, offset=offset, padding=pad[number])
+        placed = {"sequence_id": key[0].as_py() * (1 << 32) + number, "offset": offset, "padding": pad[number]}
+        for name, values in placed.items():
+            pieces = pieces.append_column(name, pa.array(values, pa.int64()))
+        return pieces
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(fill, PACKED)
+    return dealt.groupBy("g").applyInArrow(fill, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:

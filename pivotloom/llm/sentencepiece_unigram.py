@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,19 +251,17 @@ def decoder(path: str):
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Digests of the ids of every text and of what they decode to; a map without a shuffle."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         for b in batches:
-            out = []
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                texts = part["t"].tolist()
-                for k, t, ids in zip(part["k"].tolist(), texts, c.encode(texts)):
+            for at in range(0, b.num_rows, 256):
+                part, out = b.slice(at, 256), []
+                texts = part.column(1).to_pylist()
+                for t, ids in zip(texts, c.encode(texts)):
                     back = c.decode(ids)
                     byte_pieces = int(c.is_byte[np.frombuffer(ids, "<u4")].sum())
-                    out.append((k, len(ids) // 4, byte_pieces, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "exact"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                    out.append((len(ids) // 4, byte_pieces, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*out), kinds))], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "exact"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(digest, DIGEST)
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(digest, DIGEST)
