@@ -321,34 +321,28 @@ def hits_result(hits: Column, model: LicenceModel) -> Column:
     return let(hits, after_hits)
 
 
-def runs_column(lines: Column, cross: Column) -> Column:
-    """array<struct<a, b>>: first and last place in `lines` (with words) of the runs that could be a notice.
+def run_ends(lines: Column, cross: Column, a: Column) -> Column:
+    """Last places in `lines` (with words) of the runs from place a that could be a notice, at most `BETWEEN` + 1 of them.
 
     `cross` has, for each line but the last, the feature of its last and the next line's first word, or 0.
     """
-    n = F.size(lines)
-
-    def begins(k: Column) -> Column:
-        return lines[k]["paired"] | (cross[k] > 0)
-
     def ends(k: Column) -> Column:
         return lines[k]["paired"] | (cross[k - 1] > 0)
 
-    def between(a: Column, b: Column) -> Column:
+    def between(b: Column) -> Column:
         return F.aggregate(F.slice(lines, a + 2, b - a - 1), F.lit(0), lambda s, x: s + x["n"])
 
-    def of(a: Column) -> Column:
-        last = F.sequence(a + 1, F.least(a + 1 + BETWEEN, n - 1))
-        return F.transform(F.filter(last, lambda b: ends(b) & (between(a, b) <= BETWEEN)), lambda b: F.struct(a.alias("a"), b.alias("b")))
-
-    first = F.when(n > 1, F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), begins)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.flatten(F.transform(first, of))
+    last = F.sequence(a + 1, F.least(a + 1 + BETWEEN, F.size(lines) - 1))
+    begins = (a + 1 < F.size(lines)) & (lines[a]["paired"] | (F.get(cross, a) > 0))
+    return F.when(begins, F.filter(last, lambda b: ends(b) & (between(b) <= BETWEEN))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_paragraphs (lines) and found: the licensed lines and runs of lines of every row.
 
-    Of `found`, `paragraph` is the first line's number and `last` the last one's.
+    Of `found`, `paragraph` is the first line's number and `last` the last one's. Confirmed
+    runs stand by the line they begin with, so that each is compared with those within its
+    own lines alone, which are bounded.
     """
     model = model or train()
     feature = feature_column(model)
@@ -359,27 +353,37 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text",
     def entry(a: Column, b: Column, r: Column) -> Column:
         return F.struct(a.alias("paragraph"), b.alias("last"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed"))
 
-    def licensed(found: Column) -> Column:
-        return F.filter(found, lambda x: F.coalesce(x["family"] != UNKNOWN, F.lit(False)))
+    def judged(x: Column) -> Column:
+        own = let(hits_result(x["hits"], model), lambda r: F.when(F.coalesce(r["family"] != UNKNOWN, F.lit(False)), entry(x["i"], x["i"], r)))
+        return F.struct(*[x[c].alias(c) for c in ("i", "n", "first", "last", "hits", "paired")], own.alias("own"))
 
-    alone = licensed(F.transform("_lines", lambda x: let(hits_result(x["hits"], model), lambda r: entry(x["i"], x["i"], r))))
+    rows = rows.select(key, "n_paragraphs", F.transform("_lines", judged).alias("_lines"))
 
     def joined(lines: Column) -> Column:
         m = F.greatest(F.size(lines) - 1, F.lit(0))
         cross = F.zip_with(F.slice(lines, F.lit(1), m), F.slice(lines, F.lit(2), m), lambda x, y: feature(F.xxhash64(x["last"], y["first"])))
-        return let(cross, lambda c: F.transform(runs_column(lines, c), lambda r: of_run(lines, c, r)))
+        return let(cross, lambda c: F.transform(lines, lambda _, a: from_line(lines, c, a)))
 
-    def of_run(lines: Column, cross: Column, r: Column) -> Column:
-        own = F.flatten(F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: x["hits"]))
-        hits = F.array_distinct(F.concat(own, F.filter(F.slice(cross, r["a"] + 1, r["b"] - r["a"]), lambda f: f > 0)))
-        return let(hits_result(hits, model), lambda x: entry(lines[r["a"]]["i"], lines[r["b"]]["i"], x))
+    def from_line(lines: Column, cross: Column, a: Column) -> Column:
+        runs = F.transform(run_ends(lines, cross, a), lambda b: of_run(lines, cross, a, b))
+        return F.filter(runs, lambda x: F.coalesce(x["run"]["confirmed"], F.lit(False)))
 
-    rows = rows.select(key, "n_paragraphs", alone.alias("_alone"), let(F.filter("_lines", lambda x: x["n"] > 0), joined).alias("_runs"))
-    sure = F.filter("_runs", lambda x: F.coalesce(x["confirmed"], F.lit(False)))
-    rows = rows.select(key, "n_paragraphs", "_alone", sure.alias("_runs"))
+    def of_run(lines: Column, cross: Column, a: Column, b: Column) -> Column:
+        own = F.flatten(F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["hits"]))
+        hits = F.array_distinct(F.concat(own, F.filter(F.slice(cross, a + 1, b - a), lambda f: f > 0)))
+        return F.struct(b.alias("b"), let(hits_result(hits, model), lambda x: entry(lines[a]["i"], lines[b]["i"], x)).alias("run"))
+
+    words = F.filter("_lines", lambda x: x["n"] > 0)
+    rows = rows.select(key, "n_paragraphs", F.filter(F.transform("_lines", lambda x: x["own"]), lambda x: x.isNotNull()).alias("_alone"), words.alias("_words"))
+    rows = rows.withColumn("_runs", joined(F.col("_words")))
 
     def within(x: Column, y: Column) -> Column:
-        return y["confirmed"] & (y["family"] == x["family"]) & (y["paragraph"] >= x["paragraph"]) & (y["last"] <= x["last"]) & (y["last"] - y["paragraph"] < x["last"] - x["paragraph"])
+        return F.coalesce(y["confirmed"] & (y["family"] == x["family"]) & (y["last"] <= x["last"]) & (y["last"] - y["paragraph"] < x["last"] - x["paragraph"]), F.lit(False))
+
+    def least(own: Column, a: Column) -> Column:
+        lines, runs = F.col("_words"), F.col("_runs")
+        inner = lambda x, k: within(x["run"], lines[k]["own"]) | F.exists(runs[k], lambda y: within(x["run"], y["run"]))
+        kept = F.filter(own, lambda x: ~F.exists(F.sequence(a, x["b"]), lambda k: inner(x, k)))
+        return F.transform(kept, lambda x: x["run"])
 
-    least = F.filter("_runs", lambda x: ~F.exists(F.concat("_alone", "_runs"), lambda y: within(x, y)))
-    return rows.select(key, "n_paragraphs", F.concat("_alone", least).alias("found"))
+    return rows.select(key, "n_paragraphs", F.concat("_alone", F.flatten(F.transform("_runs", least))).alias("found"))
