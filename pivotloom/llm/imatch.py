@@ -12,9 +12,9 @@ must be in `LOW` of them, the lexicon has at most (mean distinct terms of a text
 members, however many documents there are; it is looked up as a hash table in a constant
 array, so texts are neither exploded nor shuffled for it.
 
-The neighbour of a document in id order comes from one shuffle into id ranges of about
-`RANGE_ROWS` rows, cut at approximate quantiles; a copy of each range's first row is put
-behind the range before it, so no window spans the table.
+The neighbour of a document in id order comes from one shuffle of the texts into ranges of
+about `RANGE_ROWS` rows, however many rows share an id; a copy of each range's first row is
+put behind the range before it, so no window spans the table. Fingerprints are made after it.
 
 Results for odd rows: a null text is an empty one; a text without terms has the hashes of
 an empty list and is like another such text by 1; rows with a null key come last in the
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from pivotloom.llm.common import HashTable, longs
 
 LOW, HIGH = 0.002, 0.01
-RANGE_ROWS = 4000
-MAX_RANGES = 20_000
+RANGE_ROWS = 10_000
+#: Rows looked at for each range, to choose its bounds.
+SAMPLED = 40
 WIDTH = 6
 EMPTY = "-" * WIDTH
 #: Nested subsets: the digit of a term's MD5 (from 1) that must be under a bound.
@@ -65,6 +66,10 @@ def hash_table(lex: DataFrame) -> HashTable:
     return HashTable([r["h"] for r in lex.select("h").collect()])
 
 
+def let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
 def hashes(text: Column, table: HashTable) -> Column:
     """The fingerprint of a text: `HASHES` hashes of `WIDTH` digits in a row."""
 
@@ -78,12 +83,19 @@ def hashes(text: Column, table: HashTable) -> Column:
     def under(at: int, bound: str):
         return lambda s: F.substring(s["m"], at, 1) < bound
 
-    def numbered(j: int):
-        return lambda s: s["k"] == j
-
     def family(m: Column, digits: str, n: int) -> Column:
-        own = F.filter(F.transform(m, lambda s: F.struct(s["t"].alias("t"), F.instr(s["m"], digits).alias("k"))), lambda s: s["k"] > 0)
-        return F.transform(F.array(own), lambda o: F.concat(*[digest(F.filter(o, numbered(j))) for j in range(1, n + 1)]))[0]
+        """Terms are sorted by their subset's number once; each subset is a stretch of them."""
+        own = F.array_sort(F.filter(F.transform(m, lambda s: F.struct(F.instr(s["m"], digits).alias("k"), s["t"].alias("t"))), lambda s: s["k"] > 0))
+        return let(own, lambda o: let(stops(o), lambda at: stretches(o, at, n)))
+
+    def stops(own: Column) -> Column:
+        """Places (from 1) at which a subset's terms begin, and the one behind the last."""
+        first = F.filter(F.transform(own, lambda s, i: F.when((i == 0) | (F.get(own, i - 1)["k"] != s["k"]), i + 1)), lambda i: i.isNotNull())
+        return F.concat(first, F.array(F.size(own) + 1))
+
+    def stretches(own: Column, at: Column, n: int) -> Column:
+        entries = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda i, j: F.struct(own[i - 1]["k"], digest(F.slice(own, i, j - i), True)))
+        return let(F.map_from_entries(entries), lambda found: F.concat(*[F.coalesce(F.try_element_at(found, F.lit(j)), F.lit(EMPTY)) for j in range(1, n + 1)]))
 
     def all_digests(kept: Column) -> Column:
         marked = F.transform(kept, lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("m")))
@@ -101,30 +113,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.transform(F.array(places), lambda p: F.size(F.filter(p, lambda i: cut(a, i) == cut(b, i))) / F.size(p))[0]
 
 
-def with_next(rows: DataFrame, key: str, text: str, columns: list[str]) -> DataFrame:
-    """Each row with the struct `next` of the row after it by falling key, the first after the last."""
-    keyed = rows.withColumn("_at", F.coalesce(F.col(key), F.lit(-(1 << 63))))
-    ids = keyed.select("_at")
-    ranges = max(1, min(MAX_RANGES, -(-ids.count() // RANGE_ROWS)))
-    found = ids.agg(F.percentile_approx("_at", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 10 * ranges)).alias("b")).first()["b"] if ranges > 1 else []
-    bounds = sorted(set(found or []))
-    step = max(1, int(len(bounds) ** 0.5))
+def range_bounds(rows: DataFrame, order: list[str]) -> list[tuple[int, ...]]:
+    """Upper bounds, in falling order, of ranges of about `RANGE_ROWS` rows, from a sample of `SAMPLED` rows a range."""
+    n = rows.count()
+    ranges = -(-n // RANGE_ROWS)
+    if ranges < 2:
+        return []
+    unit = 1 << 40
+    share = int(unit * min(1.0, ranges * SAMPLED / n))
+    found = sorted((tuple(r) for r in rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(unit)) <= share).collect()), reverse=True)
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}, reverse=True) if found else []
+
 
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda b: b < F.col("_at")))
+def with_next(rows: DataFrame, key: str, text: str, columns: list[str], added=None) -> DataFrame:
+    """Each row with the struct `next` of the row after it by falling key, the first after the last.
 
-    coarse = below(longs(bounds[step - 1 :: step])) * step
-    at = (coarse + below(F.slice(longs(bounds), coarse + 1, F.lit(step)))).alias("_range") if bounds else F.lit(0).alias("_range")
-    heads = {r["_range"]: r["top"] for r in ids.select("_at", at).groupBy("_range").agg(F.max("_at").alias("top")).collect()}
-    order = sorted(heads)
-    target = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
-    every = range(len(bounds) + 1)
-    head = F.element_at(longs([heads.get(r, 0) for r in every]), F.col("_range") + 1)
-    to = F.element_at(longs([target.get(r, 0) for r in every]), F.col("_range") + 1).cast("int")
-    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy"))
-    placed = keyed.withColumn("_range", at).withColumn("_p", F.explode(F.when(F.col("_at") == head, F.array(own, F.struct(to.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(own))))
-    w = Window.partitionBy("_p.r").orderBy("_p.copy", F.desc("_at"), F.xxhash64(text))
-    return placed.withColumn("next", F.lead(F.struct(*columns)).over(w)).filter("not _p.copy").drop("_at", "_range", "_p")
+    Rows are ordered by key, text hash and a number of their own, so that ranges part rows of
+    one key, or copies (of which any may be the next one), too. `added` gives the columns that
+    a row gets once it stands in its range, so that they aren't sent. A range's first row is
+    copied behind the range before it, so no window spans two ranges.
+    """
+    order = ["_at", "_h", "_n"]
+    keyed = rows.withColumns({"_at": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(text), "_n": F.monotonically_increasing_id()})
+    bounds = range_bounds(keyed, order)
+    step = max(1, int(len(bounds) ** 0.5))
+    own = F.struct(*order)
+    zipped = lambda some: F.arrays_zip(*[longs([b[i] for b in some]).alias(o) for i, o in enumerate(order)])
+    every, coarse = zipped(bounds), zipped(bounds[step - 1 :: step])
+
+    def not_above(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: own <= F.struct(*[b[o].alias(o) for o in order])))
+
+    if bounds:
+        block = not_above(coarse) * step
+        at = block + F.when(block < len(bounds), not_above(F.slice(every, block + 1, F.lit(step)))).otherwise(0)
+    else:
+        at = F.lit(0)
+    placed = keyed.withColumn("_range", at)
+    named = order[:2]
+    heads = {r["_range"]: r["top"] for r in placed.groupBy("_range").agg(F.max(F.struct(*named)).alias("top")).collect()}
+    ranges = sorted(heads)
+    before = {r: ranges[i - 1] for i, r in enumerate(ranges)}
+    head = F.struct(*[F.element_at(longs([heads[r][i] if r in heads else 0 for r in range(len(bounds) + 1)]), F.col("_range") + 1).alias(o) for i, o in enumerate(named)])
+    to = F.element_at(longs([before.get(r, 0) for r in range(len(bounds) + 1)]), F.col("_range") + 1).cast("int")
+    stay = F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy"))
+    dealt = placed.withColumn("_p", F.explode(F.when(F.struct(*named) == head, F.array(stay, F.struct(to.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(stay))))
+    dealt = dealt.withColumn("_r", F.col("_p.r")).repartition("_r")
+    dealt = added(dealt) if added else dealt
+    w = Window.partitionBy("_r").orderBy("_p.copy", F.desc("_at"), F.desc("_h"), F.desc("_n"))
+    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(w)).filter("not _p.copy").drop(*order, "_range", "_p", "_r")
 
 
 def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -134,10 +171,10 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", low
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     table = hash_table(lexicon(rows, "t", low, high))
-    own = rows.select("doc_id", "t", hashes(F.col("t"), table).alias("fp"))
     half = F.floor(F.length("t") / 2).cast("int")
     edited = F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 2) as int))"), F.substring(F.col("next.t"), F.lit(1), half))
-    pairs = with_next(own, "doc_id", "t", ["t", "fp"]).select("doc_id", F.length("t").cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("e"))
+    own = with_next(rows, "doc_id", "t", ["t", "fp"], lambda df: df.withColumn("fp", hashes(F.col("t"), table)))
+    pairs = own.select("doc_id", F.length("t").cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("e"))
     done = pairs.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("e", 256).alias("edited_sha256"), hashes(F.col("e"), table).alias("edited_fp"))
     return done.select(
         "doc_id", "n_chars", "edited_sha256",
