@@ -2,7 +2,7 @@
 
 A status is one of no_match, unresolved, unsupported and match. Conjunctions take the
 first of no_match, unsupported, unresolved, match; disjunctions the first of match,
-unsupported, unresolved, no_match. Null counts as missing.
+unsupported, unresolved, no_match. A null value is missing, a null status unresolved.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ OR_ORDER = (NO, UNRESOLVED, UNSUPPORTED, YES)
 
 
 def _code(status: Column, order: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in order]), status).cast("int")
+    return F.array_position(F.array(*[F.lit(x) for x in order]), F.coalesce(status, F.lit(UNRESOLVED))).cast("int")
 
 
 def _name(code: Column, order: tuple[str, ...]) -> Column:
@@ -47,7 +47,7 @@ def group_any(status: Column) -> Column:
 
 
 def negate(status: Column) -> Column:
-    return F.when(status == YES, NO).when(status == NO, YES).otherwise(status)
+    return F.when(status == YES, NO).when(status == NO, YES).otherwise(F.coalesce(status, F.lit(UNRESOLVED)))
 
 
 def known(test: Column, *values: Column) -> Column:

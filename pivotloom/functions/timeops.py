@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pivotloom.functions.dyadic import ancestors, cover, levels_of
 from pivotloom.functions.status import NO, UNRESOLVED, UNSUPPORTED, YES
 
 SECONDS = "decimal(20,6)"
@@ -116,17 +117,24 @@ def coexistence(state: Column, period: Column | None = None, occurrence: Column
     return out.when(shared, YES).otherwise(NO)
 
 
-def overlaps(rows: DataFrame, key: str, order: str, x: str, bucket: int) -> DataFrame:
-    """Pairs of rows of one key whose intervals share an instant: the key, a, b, xa and xb.
+def overlaps(rows: DataFrame, key: str, order: str, x: str, leaf: float) -> DataFrame:
+    """Pairs of rows of one key whose intervals share an instant: the key, a, b, xa and xb, a before b in `order`.
 
-    Intervals stand in each bucket of so many seconds that they touch, and rows meet on key
-    and bucket; a pair is taken in the first bucket both touch, so it comes once.
+    Of two such rows the one that begins later begins inside the other. Intervals stand in the
+    few dyadic nodes that cover them, in leaves of so many seconds, and beginnings in their
+    ancestors; both meet on key and node, each pair once, so the work follows the pairs and
+    the logarithm of an interval's length. Rows without both ends take no part.
     """
-    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    side = lambda name, own: rows.select(key, F.col(order).alias(name), F.col(x).alias(own), at(f"{x}.lo").alias(f"{own}_from"), F.explode(F.sequence(at(f"{x}.lo"), at(f"{x}.hi"))).alias("_bucket"))
-    j = side("a", "xa").join(side("b", "xb"), [key, "_bucket"])
-    first = F.col("_bucket") == F.greatest("xa_from", "xb_from")
-    return j.filter(first & (F.col("a") < F.col("b")) & ~disjoint(F.col("xa"), F.col("xb"))).select(key, "a", "b", "xa", "xb")
+    at = lambda c: F.floor(F.col(c) / F.lit(leaf)).cast("long")
+    first = F.struct(F.col(f"{x}.lo").alias("lo"), F.col(order).alias("at"))
+    own = rows.filter(F.col(f"{x}.lo").isNotNull() & F.col(f"{x}.hi").isNotNull())
+    side = lambda n, nodes: own.select(F.col(key), F.col(order).alias(f"_{n}"), F.col(x).alias(f"_x{n}"), first.alias(f"_f{n}"), F.explode(nodes).alias("_n"))
+    covers = side("p", cover(at(f"{x}.lo"), at(f"{x}.hi"))).select("*", "_n.level", "_n.node").drop("_n")
+    starts = side("q", ancestors(at(f"{x}.lo"), levels_of(covers))).select("*", "_n.level", "_n.node").drop("_n")
+    j = covers.join(starts, [key, "level", "node"]).filter((F.col("_fp") < F.col("_fq")) & (F.col("_p") != F.col("_q")) & ~disjoint(F.col("_xp"), F.col("_xq")))
+    low = F.col("_p") < F.col("_q")
+    pick = lambda c, d: F.when(low, F.col(c)).otherwise(F.col(d))
+    return j.select(key, pick("_p", "_q").alias("a"), pick("_q", "_p").alias("b"), pick("_xp", "_xq").alias("xa"), pick("_xq", "_xp").alias("xb"))
 
 
 def metadata_gate(value: Column, clock: Column, zone: Column, precision: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pivotloom.sources.shared import checkpoint
 
 
 def amendment_state(claims: DataFrame, amendments: DataFrame, key: str) -> DataFrame:
@@ -58,23 +57,6 @@ def amendment_filter(rows: DataFrame, mode: str, enabled: Column, excluded: tupl
     return rows.withColumn("returned", F.col("disposition").isin("not_selected", "retained_in_supplied_scope"))
 
 
-def supersession_cycles(amendments: DataFrame, claim: str) -> DataFrame:
-    """Claims of which an amendment supersedes itself, directly or through others: claim and rows on the way.
-
-    amendments has the claim, id and supersedes. Each round drops rows that lead to no other
-    row of the claim or to which none leads; what is left when nothing changes holds a cycle.
-    Rounds are as many as the longest chain, and each is checkpointed.
-    """
-    left = checkpoint(amendments.select(claim, "id", "supersedes").filter("supersedes is not null").distinct())
-    before, n = None, left.count()
-    while n and n != before:
-        starts = left.select(claim, F.col("id").alias("supersedes")).distinct()
-        ends = left.select(claim, F.col("supersedes").alias("id")).distinct()
-        left = checkpoint(left.join(starts, [claim, "supersedes"], "left_semi").join(ends, [claim, "id"], "left_semi").select(claim, "id", "supersedes"))
-        before, n = n, left.count()
-    return left.groupBy(claim).agg(F.count(F.lit(1)).alias("rows_left"))
-
-
 def policy_statuses(rows: DataFrame) -> DataFrame:
     """rows with applied, when, allow and conflict as an enabled policy sees them.
 
@@ -95,17 +77,22 @@ def resolve_policies(rows: DataFrame, group: str, scope: str, partial: str | Non
     Columns when, allow and conflict hold statuses. A group is contested if both sides or a
     conflict match, and unresolved if its decision is open or a search for it was cut
     (`partial`). One suppressing group removes every row of its scope, in other groups too.
+    A row whose policy isn't applicable (`applied` false) is a group of its own: it says
+    nothing on others, but goes with its scope like them. An unknown scope is a scope too.
     """
     has = lambda c, *values: F.count_if(F.col(c).isin(*values)) > 0
     open_ = ("unresolved", "unsupported")
     cut = F.coalesce(F.max(partial), F.lit(False)) if partial else F.max(F.lit(False))
-    groups = rows.groupBy(group, scope).agg(has("when", "match").alias("w"), has("allow", "match").alias("a"), has("conflict", "match").alias("x"), has("when", *open_).alias("u"), cut.alias("p"))
+    applied = F.coalesce("applied", F.lit(True)) if "applied" in rows.columns else F.lit(True)
+    groups = rows.filter(applied).groupBy(group, scope).agg(has("when", "match").alias("w"), has("allow", "match").alias("a"), has("conflict", "match").alias("x"), has("when", *open_).alias("u"), cut.alias("p"))
     verdict = F.when(F.col("x") | (F.col("w") & F.col("a")), "contested").when(F.col("p"), "unresolved").when(F.col("w"), "suppress").when(F.col("u"), "unresolved").otherwise("keep")
     groups = groups.withColumn("verdict", verdict)
-    scopes = groups.groupBy(scope).agg((F.count_if(F.expr("verdict = 'suppress'")) > 0).alias("gone"))
+    scopes = groups.groupBy(F.col(scope).alias("_s")).agg((F.count_if(F.expr("verdict = 'suppress'")) > 0).alias("gone"))
     same = groups.select(F.col(group).alias("_g"), F.col(scope).alias("_s"), "verdict")
-    decided = rows.join(same, F.col(group).eqNullSafe(F.col("_g")) & (F.col(scope) == F.col("_s"))).drop("_g", "_s").join(scopes, scope)
-    return decided.withColumn("decision", F.when(F.col("gone"), "suppressed").when(F.col("verdict") == "keep", "kept").otherwise(F.col("verdict"))).drop("verdict", "gone")
+    own = applied & F.col(group).eqNullSafe(F.col("_g")) & F.col(scope).eqNullSafe(F.col("_s"))
+    decided = rows.join(same, own, "left").drop("_g", "_s").join(scopes, F.col(scope).eqNullSafe(F.col("_s")), "left").drop("_s")
+    decision = F.when(F.col("gone"), "suppressed").when(F.coalesce("verdict", F.lit("keep")) == "keep", "kept").otherwise(F.col("verdict"))
+    return decided.withColumn("decision", decision).drop("verdict", "gone")
 
 
 def required_controls(decided: DataFrame) -> DataFrame:
@@ -123,15 +110,18 @@ def required_controls(decided: DataFrame) -> DataFrame:
 def earliest(rows: DataFrame, key: str, lo: str, hi: str, order: str) -> DataFrame:
     """Per claim the establishment no later than every other, or a row marked unresolved.
 
-    A row is earliest if its upper bound isn't above the lower bound of any other; the two
-    smallest lower bounds of a claim decide that, so two aggregates suffice.
+    A row is earliest if its upper bound isn't above the lower bound of any other. Only the row
+    of the smallest upper bound can be, or one that ties with it on both bounds, of which the
+    smallest in `order` is taken; so two aggregates suffice, one of them without that row. A row
+    without an upper bound isn't earliest, one without a lower bound leaves all open.
     """
-    lows = rows.groupBy(key).agg(F.min(F.struct(lo, order)).alias("m"), F.count(F.lit(1)).alias("n"))
-    marked = rows.join(lows, key)
-    rest = marked.filter(F.col(order) != F.col(f"m.{order}")).groupBy(key).agg(F.min(lo).alias("next_lo"))
-    first = marked.filter(F.col(order) == F.col(f"m.{order}")).join(rest, key, "left")
-    ok = F.col("next_lo").isNull() | (F.col(hi) <= F.col("next_lo"))
-    return first.select(key, F.when(ok, F.col(order)).alias("earliest"), F.when(ok, "resolved").otherwise("unresolved").alias("status"), "n")
+    bounded = F.when(F.col(lo).isNotNull() & F.col(hi).isNotNull(), F.struct(hi, lo, order))
+    firsts = rows.groupBy(key).agg(F.min(bounded).alias("m"), F.count(F.lit(1)).alias("n"))
+    others = rows.join(firsts.select(key, "m"), key).filter(F.col(order) != F.col(f"m.{order}")).groupBy(key).agg(F.min(lo).alias("other_lo"), F.count_if(F.col(lo).isNull()).alias("open"))
+    j = firsts.join(others, key, "left")
+    ok = F.coalesce(F.col(f"m.{hi}") <= F.coalesce(F.col("other_lo"), F.col(f"m.{hi}")), F.lit(False))
+    ok = ok & (F.coalesce("open", F.lit(0)) == 0)
+    return j.select(key, F.when(ok, F.col(f"m.{order}")).alias("earliest"), F.when(ok, "resolved").otherwise("unresolved").alias("status"), "n")
 
 
 def novelty(rows: DataFrame, key: str, at: str, start: Column, end: Column) -> DataFrame:
@@ -140,36 +130,6 @@ def novelty(rows: DataFrame, key: str, at: str, start: Column, end: Column) -> D
     return seen.withColumn("novel", F.col("first_seen").between(start, end))
 
 
-#: Members whose hashes one array holds, about.
-LEAF = 4096
-
-
-def set_digests(members: DataFrame, key: str, fields: list[str], leaf: int = LEAF) -> DataFrame:
-    """Per set the number and the digest of its distinct members."""
-    row = F.sha2(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in fields]), 256)
-    return digest_tree(members.select(key, row.alias("h")).distinct(), key, leaf).withColumnRenamed("n", "members")
-
-
-def digest_tree(hashes: DataFrame, key: str, leaf: int = LEAF) -> DataFrame:
-    """key, n and digest over hashes (key, h), in their order and in levels.
-
-    Hashes meet by as many leading digits as leave about `leaf` of their set together; then
-    groups meet sixteen at a time until one is left. So no task holds a set, and a digest
-    follows from its own set alone. A set of up to `leaf` has the digest of its joined hashes.
-    """
-    sizes = hashes.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    digits = F.greatest(F.lit(0), F.ceil(F.round(F.log(16.0, F.col("n") / leaf), 9))).cast("int")
-    most = sizes.agg(F.max(digits).alias("d")).first()["d"] or 0
-    level = hashes.join(sizes.select(key, digits.alias("d")), key).select(key, "d", F.expr("substring(h, 1, d)").alias("b"), "h", F.lit(1).alias("n"))
-    joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
-    level = level.groupBy(key, "d", "b").agg(joined.alias("h"), F.sum("n").alias("n"))
-    for left in range(most, 0, -1):
-        deep = F.col("d") >= left
-        up = level.select(key, "d", F.when(deep, F.substring("b", 1, left - 1)).otherwise(F.col("b")).alias("b"), F.when(deep, F.concat("b", F.lit(":"), "h")).otherwise(F.col("h")).alias("h"), "n")
-        level = up.groupBy(key, "d", "b").agg(F.when(deep, joined).otherwise(F.min("h")).alias("h"), F.sum("n").alias("n"))
-    return level.select(key, "n", F.col("h").alias("digest"))
-
-
 def visit_priority(at: Column, start: Column, end: Column) -> Column:
     """0 for what lies in the focus, 1 outside it, 2 undated."""
     return F.when(at.isNull(), 2).when(at.between(start, end), 0).otherwise(1)
@@ -190,22 +150,27 @@ def later_equivalents(chosen: DataFrame, open_rows: DataFrame, key: str) -> Data
     return j.withColumn("status", F.when(F.col("open_lo").isNull() | (F.col("hi") < F.col("open_lo")), "match").otherwise("unresolved")).drop("open_lo")
 
 
-def supported_amendments(amendments: DataFrame, claims: DataFrame, key: str) -> DataFrame:
+def supported_amendments(amendments: DataFrame, claims: DataFrame, key: str, cyclic: DataFrame | None = None) -> DataFrame:
     """amendments with a status against their claims (key, publisher, namespace).
 
-    amendments has the claim's key, operation, issuer_linked, publisher, namespace,
-    replacement (a claim's key), issued and superseded_issued. An unknown operation, or a
-    replacement beside another operation than correct, is invalid. Open stays one whose issuer
-    isn't linked, whose namespace is missing or another, whose publisher is (but for a
-    dispute), whose correction has no other claim of the same publisher and namespace to put
-    in place, or that was issued before what it supersedes.
+    amendments has an id, the claim's key, operation, issuer_linked, publisher, namespace,
+    replacement (a claim's key), issued and supersedes (an id or null). An unknown claim or
+    operation, a replacement beside another operation than correct, or a claim of `cyclic` is
+    invalid. Open stays one whose issuer isn't linked, whose namespace is missing or another,
+    whose publisher is (but for a dispute), whose correction has no other claim of the same
+    publisher and namespace to put in place, or that supersedes what isn't another amendment of
+    its claim by its publisher in its namespace, or what was issued after it.
     """
-    of = lambda name, prefix: claims.select(F.col(key).alias(name), F.col("publisher").alias(f"{prefix}p"), F.col("namespace").alias(f"{prefix}n"))
-    j = amendments.join(of(key, "_"), key).join(of("replacement", "_r"), "replacement", "left")
+    of = lambda name, prefix: claims.select(F.col(key).alias(name), F.col("publisher").alias(f"{prefix}p"), F.col("namespace").alias(f"{prefix}n"), F.lit(True).alias(f"{prefix}there"))
+    old = amendments.select(F.col("id").alias("supersedes"), F.col(key).alias("_oc"), F.col("publisher").alias("_op"), F.col("namespace").alias("_on"), F.col("issued").alias("_oi")).dropDuplicates(["supersedes"])
+    bad = (cyclic if cyclic is not None else claims.limit(0)).select(key).distinct().withColumn("_cyclic", F.lit(True))
+    j = amendments.join(of(key, "_"), key, "left").join(of("replacement", "_r"), "replacement", "left").join(old, "supersedes", "left").join(bad, key, "left")
     op, known = F.col("operation"), F.col("operation").isin("withdraw", "correct", "dispute", "reinstate")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     replaced = same("_rp", "publisher") & same("_rn", "namespace") & (F.col("replacement") != F.col(key))
-    early = F.coalesce(F.col("issued") < F.col("superseded_issued"), F.lit(False))
-    whole = F.col("issuer_linked") & same("namespace", "_n") & ((op == "dispute") | same("publisher", "_p")) & ((op != "correct") | F.coalesce(replaced, F.lit(False))) & ~early
-    invalid = ~F.coalesce(known, F.lit(False)) | (F.col("replacement").isNotNull() & (op != "correct"))
-    return j.withColumn("status", F.when(invalid, "invalid").when(whole, "match").otherwise("unresolved")).drop("_p", "_n", "_rp", "_rn")
+    chronology = F.coalesce(F.col("_oi") <= F.col("issued"), F.lit(True))
+    superseding = F.col("supersedes").isNull() | (same("_oc", key) & same("_op", "publisher") & same("_on", "namespace") & (F.col("supersedes") != F.col("id")) & chronology)
+    whole = F.col("issuer_linked") & same("namespace", "_n") & ((op == "dispute") | same("publisher", "_p")) & ((op != "correct") | F.coalesce(replaced, F.lit(False))) & superseding
+    invalid = F.col("_there").isNull() | F.col("_cyclic") | ~F.coalesce(known, F.lit(False)) | (F.col("replacement").isNotNull() & (op != "correct"))
+    hidden = ["_p", "_n", "_there", "_rp", "_rn", "_rthere", "_oc", "_op", "_on", "_oi", "_cyclic"]
+    return j.withColumn("status", F.when(invalid, "invalid").when(whole, "match").otherwise("unresolved")).drop(*hidden)

@@ -68,20 +68,32 @@ def in_scope(names: DataFrame, name: str, scopes: DataFrame, scope: str) -> Data
     return names.withColumn("wildcard", star).withColumn(scope, F.explode(suffixes(bare))).join(scopes, scope)
 
 
+#: Profiles that give every entity a row.
+PROFILES = 1000
+
+
 def profile_matches(entities: DataFrame, key: str, values: DataFrame, criteria: DataFrame) -> DataFrame:
     """key, profile and status of every entity and profile: all criteria of the profile must match.
 
     values has key, field, value; criteria profile, field, kind (text: one of `allowed`;
-    range: a number between low and high). A field without a value leaves it open; an entity
-    without any value of a profile's fields has no row.
+    range: a number between low and high), each field once a profile. Values of one field
+    are one criterion's status: match or no_match if all say so, unresolved if they differ, can't
+    be read or aren't there. For very many profiles see `containment.matching_profiles`.
     """
-    profiles = criteria.groupBy("profile").agg(F.count(F.lit(1)).alias("_wanted"))
     number = F.col("value").try_cast("double")
     test = F.when(F.col("kind") == "range", number.between(F.col("low"), F.col("high"))).otherwise(F.array_contains("allowed", F.col("value")))
-    met = values.join(criteria, "field").withColumn("_t", test).groupBy(key, "profile").agg(F.count("_t").alias("_known"), F.count_if(~F.col("_t")).alias("_no"))
-    j = met.join(profiles, "profile")
-    status = F.when(F.col("_no") > 0, NO).when(F.col("_known") < F.col("_wanted"), UNRESOLVED).otherwise(YES)
-    return j.join(entities.select(key).distinct(), key, "left_semi").select(key, "profile", status.alias("status"))
+    said = values.join(criteria, "field").withColumn("_t", test).groupBy(key, "profile", "field").agg(
+        F.count_if(F.col("_t")).alias("_yes"), F.count_if(~F.col("_t")).alias("_no"), F.count_if(F.col("_t").isNull()).alias("_open"))
+    open_ = (F.col("_open") > 0) | ((F.col("_yes") > 0) & (F.col("_no") > 0))
+    said = said.withColumn("_s", F.when(open_, UNRESOLVED).when(F.col("_no") > 0, NO).otherwise(YES))
+    met = said.groupBy(key, "profile").agg(F.count_if(F.col("_s") == NO).alias("_no"), F.count_if(F.col("_s") == YES).alias("_yes"))
+    profiles = criteria.groupBy("profile").agg(F.count_distinct("field").alias("_wanted"))
+    if profiles.count() > PROFILES:
+        raise ValueError("too many profiles for a row of each; use containment.matching_profiles")
+    each = entities.select(key).distinct().withColumn("profile", F.explode(F.array(*[F.lit(r["profile"]) for r in profiles.select("profile").collect()]).cast("array<string>")))
+    j = each.join(profiles, "profile").join(met, [key, "profile"], "left")
+    status = F.when(F.coalesce("_no", F.lit(0)) > 0, NO).when(F.coalesce("_yes", F.lit(0)) < F.col("_wanted"), UNRESOLVED).otherwise(YES)
+    return j.select(key, "profile", status.alias("status"))
 
 
 def received_claims(claims: DataFrame, receipts: DataFrame, key: str, cutoff: Column) -> DataFrame:

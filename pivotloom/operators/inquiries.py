@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pivotloom.functions import status as S
 from pivotloom.functions import timeops as T
 from pivotloom.operators import evidence as E
+from pivotloom.operators.claims import amendment_state, ranked_results
 
 
 def listed_counterparties(relations: DataFrame, listings: DataFrame, party: str, mode: str, period: Column, at: Column | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def listed_counterparties(relations: DataFrame, listings: DataFrame, party: str,
 
     Relations carry an interval `state` or an instant `at`; listings an interval `listed`.
     Modes: retrospective (any time), historical_some and historical_all (the listing meets
-    or covers the period), historical_at (the event lies in both).
+    or covers the period), historical_at (the event lies in both). Open rows stay.
     """
     j = relations.join(listings, party)
     status = {
@@ -24,7 +25,29 @@ def listed_counterparties(relations: DataFrame, listings: DataFrame, party: str,
         "historical_all": lambda: T.within(F.col("listed"), period, "all", "state"),
         "historical_at": lambda: T.within_at(T.interval(at, at, True, True), F.col("listed"), period),
     }[mode]()
-    return j.withColumn("status", status).filter(F.col("status") == S.YES)
+    return j.withColumn("status", status).filter(F.col("status") != S.NO)
+
+
+def listed_as_known(relations: DataFrame, listings: DataFrame, amendments: DataFrame, party: str, period: Column, at: Column, cutoffs: list[Column]) -> DataFrame:
+    """Relations at an event with the listings as they were known at each of a few cutoffs.
+
+    listings has the party, claim, `listed` and `known` (when it was received, null if that is
+    unknown); amendments those of `claims.amendment_state`, by claim, with `received` in place
+    of availability. A listing received later says nothing yet, one of unknown receipt leaves
+    the relation open, as do contested and unresolved claims; a withdrawn or corrected one is
+    no match. Open rows stay, those that don't match go.
+    """
+    each = F.explode(F.array(*cutoffs)).alias("cutoff")
+    known = F.when(F.col("known").isNull(), S.UNRESOLVED).when(F.col("known") <= F.col("cutoff"), S.YES).otherwise(S.NO)
+    seen = listings.select("*", each).withColumn("_known", known).filter(F.col("_known") != S.NO).withColumn("_c", F.struct("claim", "cutoff"))
+    received = F.when(F.col("received").isNull(), S.UNSUPPORTED).when(F.col("received") <= F.col("cutoff"), S.YES).otherwise(S.NO)
+    at_cutoff = lambda c: F.concat(F.col(c).cast("string"), F.lit("@"), F.col("cutoff").cast("string")).alias(c)
+    told = amendments.select("*", each).select(at_cutoff("amendment_id"), at_cutoff("supersedes"), F.struct("claim", "cutoff").alias("_c"), "operation", "support", received.alias("available"))
+    states = amendment_state(seen.select("_c").distinct(), told, "_c")
+    standing = F.when(F.col("state").isin("unresolved_amendment_context", "contested"), S.UNRESOLVED).when(F.col("state").isin("withdrawn", "corrected"), S.NO).otherwise(S.YES)
+    j = relations.join(seen.join(states, "_c"), party)
+    status = S.all_of(T.within_at(T.interval(at, at, True, True), F.col("listed"), period), F.col("_known"), standing)
+    return j.withColumn("status", status).filter(F.col("status") != S.NO).drop("_known", "_c")
 
 
 def named_in_exchange(messages: DataFrame, names: DataFrame, exchange: list[str], at: str, seconds: int) -> DataFrame:
@@ -71,13 +94,12 @@ def package_infrastructure(declared: DataFrame, used: DataFrame, key: str, as_of
 def expanded_certificates(certificates: DataFrame, seeds: DataFrame, profiles: DataFrame, key: str, name: str, limit: int) -> DataFrame:
     """Certificates in a seed's scope whose profile matches, once for each seed: key, scope, wildcard, profile.
 
-    Of each seed at most `limit` distinct ones come, in order of their key, with the number there are.
+    Of each seed at most `limit` distinct certificates come, in order of their key, with the
+    number there are; a certificate with several matching profiles has a row of each.
     """
-    scoped = E.in_scope(certificates, name, seeds, "scope").select(key, "scope", "wildcard").distinct()
-    kept = scoped.join(profiles.filter(F.col("status") == S.YES).select(key, "profile"), key)
-    from pivotloom.operators.claims import ranked_results
-
-    return ranked_results(kept, "scope", [F.col(key), F.col("profile"), F.col("wildcard")], limit)
+    matching = profiles.filter(F.col("status") == S.YES).select(key, "profile")
+    scoped = E.in_scope(certificates, name, seeds, "scope").select(key, "scope", "wildcard").distinct().join(matching.select(key).distinct(), key, "left_semi")
+    return ranked_results(scoped, "scope", [F.col(key), F.col("wildcard")], limit).join(matching, key)
 
 
 def signing_reports(files: DataFrame, signatures: DataFrame, key: str, at: Column) -> DataFrame:

@@ -164,24 +164,68 @@ def degree_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.select("id", "form", "relation", "degree", F.round(F.log(F.col("nodes") / n), 6).alias("rarity_idf"), F.round(1 / (1 + F.log(n)), 6).alias("popular_penalty"))
 
 
-def sequences(events: DataFrame, key: str, at: str, max_gap_seconds: int, min_events: int) -> DataFrame:
-    """Runs of one key's events whose gaps stay within the limit: key, run, n, first, last (epoch microseconds)."""
-    w = Window.partitionBy(key).orderBy(at, "event_id")
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = us - F.lag(us).over(w)
-    marked = events.withColumn("_new", F.when(gap <= max_gap_seconds * 1_000_000, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("first"), F.max(us).alias("last")).filter(F.col("n") >= min_events)
+#: Stretches of time into which a sequence or a place is cut.
+STRETCHES = 128
+
+
+def stretch_of(events: DataFrame, at: Column, stretches: int = STRETCHES) -> Column:
+    """The number of a time's stretch; stretches hold about as many rows each, by approximate quantiles."""
+    found = events.agg(F.percentile_approx(at, [i / stretches for i in range(1, stretches)], 1000).alias("b")).first()["b"]
+    bounds = sorted(set(found or []))
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at)) if bounds else F.lit(0)
 
 
-def co_occurrences(events: DataFrame, key: str, place: str, at: str, seconds: int) -> DataFrame:
+def sequences(events: DataFrame, key: str, at: str, max_gap_seconds: int, min_events: int, stretches: int = STRETCHES) -> DataFrame:
+    """Runs of one key's events whose gaps stay within the limit: key, run, n, first, last (epoch microseconds).
+
+    A segmented scan in two phases: runs are closed within a key's stretches of time, each a
+    group of its own, so that a key with a third of all rows is worked on by many tasks; then
+    the ends of stretches, one row a key and stretch, say which runs go on and how many came
+    before. No window spans a key's events. Undated events are in no run.
+    """
+    us, gap = F.unix_micros(F.col(at).cast("timestamp")), max_gap_seconds * 1_000_000
+    rows = events.select(F.col(key), us.alias("us"), "event_id").filter("us is not null")
+    rows = rows.withColumn("part", stretch_of(rows, F.col("us"), stretches))
+    w = Window.partitionBy(key, "part").orderBy("us", "event_id")
+    fresh = F.when(F.coalesce(F.col("us") - F.lag("us").over(w) > gap, F.lit(False)), 1).otherwise(0)
+    local = rows.withColumn("fresh", fresh).withColumn("own", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = local.groupBy(key, "part", "own").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
+    ends = runs.groupBy(key, "part").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.max("own").alias("more"))
+    by_key = Window.partitionBy(key).orderBy("part")
+    opens = F.when(F.col("lo") - F.lag("hi").over(by_key) <= gap, 0).otherwise(1)
+    carried = ends.withColumn("opens", opens).withColumn("before", F.sum(F.col("opens") + F.col("more")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("more"))
+    joined = runs.join(carried.select(key, "part", "before"), [key, "part"]).withColumn("run", F.col("before") + F.col("own"))
+    return joined.groupBy(key, "run").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("n") >= min_events)
+
+
+#: Events of a block in a crowded place and bucket.
+BLOCK = 512
+
+
+def co_occurrences(events: DataFrame, key: str, place: str, at: str, seconds: int, block: int = BLOCK) -> DataFrame:
     """Pairs of keys at one place within so many seconds, counted: a, b, meetings.
 
-    An equi join on place and time bucket, one side standing in the buckets next to its own
-    too; AQE splits a bucket that is hot. Pairs are as many as meetings.
+    Events stand in buckets of that many seconds, and a bucket in blocks of about `block`
+    rows. Each event goes to the pairs of blocks (of its own and the next bucket) that its block
+    is in, so a task meets two blocks, however crowded a place is, and its pairs are added up
+    before they are sent. Rows sent grow with a bucket's blocks, pairs are as many as meetings.
     """
+    width = seconds * 1_000_000
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    a = events.select(F.col(key).alias("a"), F.col(place).alias("p"), us.alias("ta"), F.floor(us / (seconds * 1_000_000)).alias("bucket"))
-    b = events.select(F.col(key).alias("b"), F.col(place).alias("p"), us.alias("tb"), F.explode(F.array(*[F.floor(us / (seconds * 1_000_000)) + i for i in (-1, 0, 1)])).alias("bucket"))
-    near = a.join(b, ["p", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= seconds * 1_000_000))
-    return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("meetings"))
+    own = events.select(F.col(key).alias("k"), F.col(place).alias("p"), us.alias("t"), F.floor(us / width).alias("bucket")).dropna()
+    sizes = own.groupBy("p", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    after = sizes.select("p", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next"))
+    before = sizes.select("p", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("last"))
+    zero = F.lit(0).cast("long")
+    known = sizes.join(after, ["p", "bucket"], "left").join(before, ["p", "bucket"], "left").select("p", "bucket", "blocks", F.coalesce("next", zero).alias("next"), F.coalesce("last", zero).alias("last"))
+    rows = own.join(known, ["p", "bucket"]).withColumn("x", F.pmod(F.xxhash64("k", "t"), F.col("blocks")))
+    upto = lambda n: F.filter(F.sequence(zero, F.greatest(n - 1, zero)), lambda i: i < n)
+    cell = lambda bucket, x, y, later: F.struct(bucket.alias("c"), x.alias("x"), y.alias("y"), F.lit(later).alias("later"))
+    # as the earlier block of a pair, and as the later one; blocks of one bucket meet once, in order
+    first = F.concat(F.transform(F.filter(upto(F.col("blocks")), lambda y: y >= F.col("x")), lambda y: cell(F.col("bucket"), F.col("x"), y, False)), F.transform(upto(F.col("next")), lambda y: cell(F.col("bucket"), F.col("x"), y, True)))
+    second = F.concat(F.transform(F.filter(upto(F.col("blocks")), lambda x: x <= F.col("x")), lambda x: cell(F.col("bucket"), x, F.col("x"), False)), F.transform(upto(F.col("last")), lambda x: cell(F.col("bucket") - 1, x, F.col("x"), True)))
+    side = lambda cells, k, t: rows.select("p", F.col("k").alias(k), F.col("t").alias(t), F.explode(cells).alias("cell"))
+    met = side(first, "ka", "ta").join(side(second, "kb", "tb"), ["p", "cell"]).filter((F.col("ka") != F.col("kb")) & (F.abs(F.col("ta") - F.col("tb")) <= width))
+    # within one block both orders of a pair are met
+    met = met.filter(F.col("cell.later") | (F.col("cell.x") < F.col("cell.y")) | (F.col("ka") < F.col("kb")))
+    return met.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.count(F.lit(1)).alias("meetings"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pivotloom.functions import status as S
-from pivotloom.operators.claims import digest_tree
+from pivotloom.operators.merkle import member_hash, member_text, roots
 from pivotloom.operators.pivot import PivotSpec, alternatives
 
 
@@ -15,7 +15,7 @@ def construct(rows: DataFrame, prefix: str, form: str, identity: list[str]) -> D
     whole = F.lit(True)
     for c in identity:
         whole = whole & (F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) > 0)
-    key = F.concat_ws("\u001f", F.lit(form), *[F.col(c).cast("string") for c in identity])
+    key = member_text([F.lit(form), *[F.col(c) for c in identity]])
     return rows.filter(whole).withColumn("result_id", F.concat(F.lit(prefix), F.sha2(key, 256)))
 
 
@@ -28,15 +28,20 @@ def parameter_faults(seeds: DataFrame, known: DataFrame, key: str, kinds: list[s
     return own.unionByName(repeated).unionByName(unknown)
 
 
-def rule_faults(parameters: DataFrame, key: str, rules: dict[str, dict]) -> DataFrame:
+def rule_faults(parameters: DataFrame, key: str, rules: dict[str, dict], keys: DataFrame | None = None) -> DataFrame:
     """key, name and fault of sets of query parameters (key, name, items) that break their rules.
 
     A rule may say required, enum (allowed items), min_items, unique, requires_when and
     allowed_when (a pair of another parameter's name and an item it must hold). Parameters
-    without a rule are `unknown`. A set has few parameters, so they meet in one map.
+    without a rule are `unknown`; one given twice is `given_twice`, and judged by all its items.
+    `keys` names the sets, so that those without parameters are judged too. A set has few
+    parameters, so they meet in one map.
     """
-    sets = parameters.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("p"))
-    items = lambda name: F.coalesce(F.element_at("p", F.lit(name)), F.array().cast("array<string>"))
+    each = parameters.groupBy(key, "name").agg(F.flatten(F.collect_list(F.coalesce("items", F.array().cast("array<string>")))).alias("items"), F.count(F.lit(1)).alias("times"))
+    sets = each.filter("name is not null").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("p"))
+    if keys is not None:
+        sets = keys.select(key).distinct().join(sets, key, "left").withColumn("p", F.coalesce("p", F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<array<string>>))")))
+    items = lambda name: F.coalesce(F.try_element_at("p", F.lit(name)), F.array().cast("array<string>"))
     holds = lambda pair: F.array_contains(items(pair[0]), pair[1])
     found = []
     for name, rule in rules.items():
@@ -57,7 +62,8 @@ def rule_faults(parameters: DataFrame, key: str, rules: dict[str, dict]) -> Data
         found += [F.when(test, F.struct(F.lit(name).alias("name"), F.lit(fault).alias("fault"))) for fault, test in broken.items()]
     own = sets.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select(key, "f.name", "f.fault")
     stray = parameters.filter(~F.col("name").isin(*rules)).select(key, "name", F.lit("unknown").alias("fault"))
-    return own.unionByName(stray)
+    twice = each.filter("times > 1").select(key, "name", F.lit("given_twice").alias("fault"))
+    return own.unionByName(stray).unionByName(twice)
 
 
 def run_outcome(rows: DataFrame, seed: str, limit: int) -> DataFrame:
@@ -131,9 +137,9 @@ def history_gate(establishments: DataFrame, manifest: DataFrame, key: str) -> Da
     origin; unresolved: no establishment is there, some are unlisted or missing, or the
     coverage isn't declared complete; no_match: one lies outside origin and through.
     """
-    items = establishments.select(key, F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h"))
+    items = establishments.select(key, member_hash(["item", "at"]).alias("h"))
     times = establishments.groupBy(key).agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    j = manifest.join(digest_tree(items, key), key, "left").join(times, key, "left")
+    j = manifest.join(roots(items, key), key, "left").join(times, key, "left")
     inside = (F.col("low") >= F.col("origin")) & (F.col("high") <= F.col("through"))
     status = (
         F.when(F.col("origin") > F.col("through"), "invalid").when(F.col("n").isNull() | (F.col("n") != F.col("declared")), S.UNRESOLVED)

@@ -8,7 +8,10 @@ from pivotloom.functions import identity as I
 from pivotloom.functions import scans as C
 from pivotloom.functions import status as S
 from pivotloom.operators import claims as G
+from pivotloom.operators import containment as K
 from pivotloom.operators import evidence as E
+from pivotloom.operators import merkle as M
+from pivotloom.operators.cycles import cycle_members
 from pivotloom.sources.views import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 QUERIES: dict = {}
@@ -38,12 +41,11 @@ def ordered_bindings(spark, d):
     return E.bind(joined, table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"]).select("o_orderkey", "p_partkey", "s_suppkey", "status")
 
 
-@query("""select c_custkey, count(o_orderkey) filter (o_orderstatus = 'F') as matches,
-  case when count(o_orderkey) filter (o_orderstatus = 'F') > 0 then 'BOUND' when count(o_orderkey) filter (o_orderstatus = 'P') > 0 then 'UNRESOLVED' else 'ABSENT' end as binding
-from customer left join (select * from orders where o_totalprice > 450000) o on o_custkey = c_custkey group by c_custkey""")
+@query("""with o as (select o_custkey, o_totalprice > 450000 and o_orderstatus = 'F' as yes, o_totalprice > 450000 and o_orderstatus = 'P' as open from orders)
+select c_custkey, count(*) filter (yes) as matches, case when count(*) filter (yes) > 0 then 'BOUND' when count(*) filter (open) > 0 then 'UNRESOLVED' else 'ABSENT' end as binding from customer left join o on o_custkey = c_custkey group by c_custkey""")
 def optional_binding(spark, d):
-    status = F.when(F.col("o_orderstatus") == "F", S.YES).when(F.col("o_orderstatus") == "P", S.UNRESOLVED).otherwise(S.NO)
-    o = table(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"), status.alias("status"))
+    status = F.when(F.col("o_totalprice") <= 450000, S.NO).when(F.col("o_orderstatus") == "F", S.YES).when(F.col("o_orderstatus") == "P", S.UNRESOLVED).otherwise(S.NO)
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), status.alias("status"))
     return E.optional_binding(table(spark, d, "customer").select("c_custkey"), "c_custkey", o).select("c_custkey", "matches", "binding")
 
 
@@ -120,7 +122,7 @@ def backed_value(spark, d):
 
 _AMEND = """am as (select distinct l_orderkey * 10 + l_linenumber as amendment_id, l_orderkey as o_orderkey, case when l_linenumber > 1 and l_quantity > 25 then l_orderkey * 10 + l_linenumber - 1 end as supersedes,
   case l_returnflag when 'R' then 'withdraw' when 'A' then 'correct' else case when l_linenumber % 2 = 0 then 'dispute' else 'reinstate' end end as operation,
-  case when l_quantity = 7 then 'unresolved' else 'match' end as support, case when l_quantity = 9 then 'unsupported' when l_shipdate < timestamp '1998-01-01' then 'match' else 'no_match' end as available from lineitem where l_quantity < 40)"""
+  case when l_quantity = 7 then 'unresolved' else 'match' end as support, case when l_quantity = 9 then 'unsupported' when l_shipdate < timestamp '1998-01-01' then 'match' else 'no_match' end as available from lineitem)"""
 _STATES = f"""{_AMEND}, act as (select * from am where support = 'match' and available = 'match'),
 cur as (select * from act where amendment_id not in (select supersedes from act where supersedes is not null)),
 g as (select o_orderkey, bool_or(operation = 'withdraw') as w, bool_or(operation = 'correct') as c, bool_or(operation = 'dispute') as d, bool_or(operation = 'reinstate') as r from cur group by 1),
@@ -130,7 +132,7 @@ st as (select o.o_orderkey, o_custkey, case when u then 'unresolved_amendment_co
 
 
 def _amendments(spark, d):
-    l, key, q = table(spark, d, "lineitem").filter("l_quantity < 40"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")
+    l, key, q = table(spark, d, "lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")
     flag = F.col("l_returnflag")
     op = F.when(flag == "R", "withdraw").when(flag == "A", "correct").when(F.col("l_linenumber") % 2 == 0, "dispute").otherwise("reinstate")
     available = F.when(q == 9, S.UNSUPPORTED).when(F.col("l_shipdate") < F.expr("timestamp_ntz'1998-01-01'"), S.YES).otherwise(S.NO)
@@ -164,25 +166,36 @@ walk as (select l_orderkey, id as start, supersedes as cur from e union select w
 select distinct l_orderkey from walk where start = cur""")
 def supersession_cycles(spark, d):
     am = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), (F.col("l_partkey") % 7 + 1).cast("long").alias("supersedes"))
-    return G.supersession_cycles(am, "l_orderkey").select("l_orderkey")
+    return cycle_members(am, "l_orderkey", "id", "supersedes").select("l_orderkey").distinct()
 
 
-_POLICY = """raw as (select distinct l_orderkey, l_linenumber, l_orderkey as scope_key, case when l_linenumber <> 7 then l_linenumber % 3 end as part_key, l_quantity <> 13 as enabled, l_linenumber = 1 as required, l_discount > 0.05 and l_quantity = 50 as cut,
+@query(f"""with recursive {_SUPERSEDES}, walk as (select l_orderkey, id as start, supersedes as cur from am union select w.l_orderkey, start, e.supersedes from walk w join am e on e.l_orderkey = w.l_orderkey and e.id = w.cur),
+m as (select distinct l_orderkey, start as node from walk where start = cur), r as (select distinct l_orderkey, start, cur from walk)
+select m.l_orderkey, m.node, count(*) as cycle_size from m join r a on a.l_orderkey = m.l_orderkey and a.start = m.node join r b on b.l_orderkey = m.l_orderkey and b.start = a.cur and b.cur = m.node group by all""")
+def supersession_cycle_members(spark, d):
+    """Every amendment that supersedes itself through others, with how many stand on cycles with it."""
+    am = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), (F.col("l_partkey") % 7 + 1).cast("long").alias("supersedes"))
+    found = cycle_members(am, "l_orderkey", "id", "supersedes")
+    sizes = found.groupBy("l_orderkey", "cycle").agg(F.count(F.lit(1)).alias("cycle_size"))
+    return found.join(sizes, ["l_orderkey", "cycle"]).select("l_orderkey", "node", "cycle_size")
+
+
+_POLICY = """raw as (select distinct l_orderkey, l_linenumber, case when l_quantity <> 12 then l_orderkey end as scope_key, case when l_linenumber <> 7 then l_linenumber % 3 end as part_key, l_quantity <> 13 as enabled, l_linenumber = 1 as required, l_discount > 0.05 and l_quantity = 50 as cut,
   case when l_returnflag = 'N' and l_quantity < 10 then 'no_match' when l_quantity = 11 then 'unresolved' else 'match' end as applies,
   case when l_tax > 0.07 and l_quantity > 49 then 'match' when l_tax > 0.07 and l_quantity > 48 then 'unresolved' else 'no_match' end as w0,
   case when l_discount < 0.01 and l_quantity > 48 then 'match' when l_quantity = 30 then 'unsupported' else 'no_match' end as a0, case when l_quantity = 1 and l_tax = 0.0 and l_discount = 0.0 then 'match' else 'no_match' end as x0 from lineitem),
 r as (select *, case when applies = 'no_match' then 'no_match' when part_key is null then 'unresolved' when applies <> 'match' then applies else w0 end as w,
   case when applies = 'no_match' then 'match' when part_key is null then 'unresolved' when applies <> 'match' then applies else a0 end as a,
   case when applies = 'no_match' then 'no_match' when part_key is null then 'unresolved' else x0 end as x from raw where enabled),
-g as (select scope_key, part_key, bool_or(w = 'match') as w, bool_or(a = 'match') as a, bool_or(x = 'match') as x, bool_or(w in ('unresolved', 'unsupported')) as u, bool_or(cut) as p from r group by all),
+g as (select scope_key, part_key, bool_or(w = 'match') as w, bool_or(a = 'match') as a, bool_or(x = 'match') as x, bool_or(w in ('unresolved', 'unsupported')) as u, bool_or(cut) as p from r where applies <> 'no_match' group by all),
 v as (select scope_key, part_key, case when x or (w and a) then 'contested' when p then 'unresolved' when w then 'suppress' when u then 'unresolved' else 'keep' end as verdict from g), s as (select scope_key, bool_or(verdict = 'suppress') as gone from v group by 1),
-d as (select r.*, case when gone then 'suppressed' when verdict = 'keep' then 'kept' else verdict end as decision from r join v on v.scope_key = r.scope_key and v.part_key is not distinct from r.part_key join s on s.scope_key = r.scope_key)"""
+d as (select r.*, case when gone then 'suppressed' when applies = 'no_match' or verdict = 'keep' then 'kept' else verdict end as decision from r left join v on v.scope_key is not distinct from r.scope_key and v.part_key is not distinct from r.part_key left join s on s.scope_key is not distinct from r.scope_key)"""
 
 
 def _decided(spark, d):
     q, t, dis = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     rows = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_orderkey").alias("scope_key"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") % 3).alias("part_key"),
+        "l_orderkey", "l_linenumber", F.when(q != 12, F.col("l_orderkey")).alias("scope_key"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") % 3).alias("part_key"),
         (q != 13).alias("enabled"), (F.col("l_linenumber") == 1).alias("required"), ((dis > 0.05) & (q == 50)).alias("cut"),
         F.when((F.col("l_returnflag") == "N") & (q < 10), S.NO).when(q == 11, S.UNRESOLVED).otherwise(S.YES).alias("applies"),
         F.when((t > 0.07) & (q > 49), S.YES).when((t > 0.07) & (q > 48), S.UNRESOLVED).otherwise(S.NO).alias("when"),
@@ -202,13 +215,13 @@ def required_controls(spark, d):
     return G.required_controls(_decided(spark, d)).groupBy("l_orderkey", "l_linenumber", "control").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with e as (select user_id, event_id, epoch_us(ts) as lo, epoch_us(ts) + event_id % 1000 * 3600000000 as hi from events),
-f as (select user_id, min((lo, event_id)) as m, count(*) as n from e group by 1),
-r as (select e.user_id, e.event_id, e.hi, n, (select min(lo) from e e2 where e2.user_id = e.user_id and e2.event_id <> e.event_id) as next_lo from e join f on f.user_id = e.user_id and (e.lo, e.event_id) = m)
-select user_id, case when next_lo is null or hi <= next_lo then event_id else -1 end as earliest, case when next_lo is null or hi <= next_lo then 'resolved' else 'unresolved' end as status, n from r""")
+@query("""with e as (select user_id, event_id, epoch_us(date_trunc('hour', ts)) as lo, case when event_id % 977 <> 0 then epoch_us(date_trunc('hour', ts)) + event_id % 3 * 1800000000 end as hi from events),
+o as (select a.user_id, a.event_id, min(b.lo) as other from e a left join (select user_id, event_id, lo from e) b on b.user_id = a.user_id and b.event_id <> a.event_id group by all)
+select e.user_id, coalesce(min(e.event_id) filter (hi <= coalesce(other, hi)), -1) as earliest, case when count(*) filter (hi <= coalesce(other, hi)) > 0 then 'resolved' else 'unresolved' end as status, count(*) as n from e join o using (event_id) group by all""")
 def earliest_establishment(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, d, "events").select("user_id", "event_id", us.alias("lo"), (us + F.col("event_id") % 1000 * 3_600_000_000).alias("hi"))
+    lo = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", lo.alias("lo"), F.when(k % 977 != 0, lo + k % 3 * 1_800_000_000).alias("hi"))
     return G.earliest(rows, "user_id", "lo", "hi", "event_id").withColumn("earliest", F.coalesce("earliest", F.lit(-1)))
 
 
@@ -219,14 +232,59 @@ def novelty(spark, d):
     return G.novelty(rows, "claim", "at", us("2024-01-02"), us("2024-01-31"))
 
 
-@query("""with m as (select distinct l_suppkey, sha256(l_returnflag || chr(31) || l_linestatus || chr(31) || l_linenumber) as h from lineitem),
-s as (select l_suppkey, count(*) as members, sha256(string_agg(h, '' order by h)) as digest from m group by 1)
-select l_suppkey, members, digest, count(*) over (partition by digest) as equal_sets from s""")
+@query(f"""with m as (select distinct l_suppkey, {M.member_sql('l_returnflag', 'l_linestatus', 'l_linenumber')} as h from lineitem), r as {M.roots_sql('m', 'l_suppkey')}
+select l_suppkey, n as members, digest, count(*) over (partition by digest) as equal_sets from r""")
 def file_sets(spark, d):
-    from pyspark.sql import Window
+    return M.equal_sets(M.set_digests(table(spark, d, "lineitem"), "l_suppkey", ["l_returnflag", "l_linestatus", "l_linenumber"]))
+
+
+_FILES = """f as (select l_suppkey as s, l_partkey % 40 as path, max(l_linenumber) as content, l_suppkey % 2 as half from lineitem group by l_suppkey, l_partkey % 40, l_suppkey % 2),
+p as (select s_suppkey as a, s_suppkey + 1 as b from supplier where s_suppkey + 1 in (select s_suppkey from supplier)), k as (select distinct a, b, path from p join f on s = a or s = b)"""
+
+
+def _files(spark, d):
+    f = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 40).alias("path")).agg(F.max("l_linenumber").alias("content"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"))
+    return f, s.withColumn("b", F.col("a") + 1).join(s.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
 
-    sets = G.set_digests(table(spark, d, "lineitem"), "l_suppkey", ["l_returnflag", "l_linestatus", "l_linenumber"])
-    return sets.withColumn("equal_sets", F.count(F.lit(1)).over(Window.partitionBy("digest")))
+
+@query(f"""with {_FILES} select k.a, k.b, k.path, case when y.s is null then 'missing' when x.s is null then 'extra' else 'changed' end as fault
+from k left join f x on x.s = k.a and x.path = k.path left join f y on y.s = k.b and y.path = k.path where x.s is null or y.s is null or x.content <> y.content""")
+def file_set_differences(spark, d):
+    """Files by which each supplier's set differs from the next one's."""
+    f, pairs = _files(spark, d)
+    return M.differences(f, pairs, "s", "path", ["content"])
+
+
+@query(f"""with {_FILES}, c as (select distinct a, path from p join f on s = a where content = 7), n as (select p.a, p.b, c.path from p left join c on c.a = p.a)
+select n.a, n.b, count(n.path) as chosen, count(y.s) as shared, case when count(n.path) = 0 then 'unresolved' when count(n.path) = count(y.s) then 'match' else 'no_match' end as status from n left join f y on y.s = n.b and y.path = n.path group by all""")
+def paths_in_both(spark, d):
+    """Whether each supplier's last files stand in the next one's set too."""
+    f, pairs = _files(spark, d)
+    return K.paths_in_both(f, pairs, "s", "path", f.filter("content = 7").select(F.col("s").alias("a"), "path"))
+
+
+@query("""with m as (select distinct o_custkey as s, o_orderpriority || o_orderstatus || year(o_orderdate) as m from orders), z as (select s, count(*) as n from m group by 1),
+j as (select x.s as a, y.s as b, count(*) as held from m x join m y on x.m = y.m and x.s <> y.s group by all) select a, b, n as size from j join z on z.s = a where held = n""")
+def contained_sets(spark, d):
+    """Customers all of whose kinds of orders another customer has too."""
+    kind = F.concat("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("string"))
+    return K.contained_sets(table(spark, d, "orders").select("o_custkey", kind.alias("kind")), "o_custkey", "kind")
+
+
+@query("""with c as (select s_suppkey as profile, 'Brand#' || (s_suppkey % 5 + 1) as brand, s_suppkey % 46 + s_acctbal / 10000 as low, s_suppkey % 46 + 4.5 + s_acctbal / 10000 as high, s_suppkey % 3 = 0 as loose from supplier)
+select p_partkey, profile from part join c on (loose or p_brand = brand) and p_size between low and high and p_partkey % 9 <> 0""")
+def profile_index(spark, d):
+    """Parts and the suppliers' profiles that they meet, a ninth of them with a second size that meets none."""
+    p, k = table(spark, d, "part"), F.col("s_suppkey")
+    value = lambda name, c: F.struct(F.lit(name).alias("field"), c.cast("string").alias("value"))
+    second = F.when(F.col("p_partkey") % 9 == 0, value("size", F.lit(-1000)))
+    values = p.select("p_partkey", F.explode(F.filter(F.array(value("brand", F.col("p_brand")), value("size", F.col("p_size")), second), lambda x: x.isNotNull())).alias("v")).select("p_partkey", "v.field", "v.value")
+    none, low = F.lit(None).cast("double"), k % 46 + F.col("s_acctbal") / 10000
+    text = F.struct(F.lit("brand").alias("field"), F.lit("text").alias("kind"), F.array(F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"))).alias("allowed"), none.alias("low"), none.alias("high"))
+    size = F.struct(F.lit("size").alias("field"), F.lit("range").alias("kind"), F.array().cast("array<string>").alias("allowed"), low.alias("low"), (k % 46 + 4.5 + F.col("s_acctbal") / 10000).alias("high"))
+    criteria = table(spark, d, "supplier").select(k.alias("profile"), F.explode(F.filter(F.array(F.when(k % 3 != 0, text), size), lambda x: x.isNotNull())).alias("c")).select("profile", "c.*")
+    return K.matching_profiles(values, criteria, "p_partkey")
 
 
 @query("""with d as (select o_custkey, o_orderkey, o_totalprice, case when o_orderkey % 20 <> 0 then o_orderdate end as at_day from orders),
@@ -262,7 +320,7 @@ def run_outcomes(spark, d):
 @query("""with l as (select l_orderkey, list(l_linenumber) as lines from lineitem group by 1), p as (select o_orderkey, o_orderstatus as mode, o_orderpriority as level, coalesce(lines, []) as lines, o_orderkey % 9 = 0 as stray, o_orderkey % 13 = 0 as bare from orders left join l on l_orderkey = o_orderkey)
 select o_orderkey, 'mode' as name, 'missing' as fault from p where bare union all select o_orderkey, 'mode', 'enum' from p where not bare and mode not in ('F', 'O')
 union all select o_orderkey, 'level', 'missing_here' from p where not bare and mode = 'P' and level not in ('1-URGENT', '2-HIGH') union all select o_orderkey, 'lines', 'too_few' from p where len(lines) = 1
-union all select o_orderkey, 'lines', 'repeated' from p where len(list_distinct(lines)) < len(lines) union all select o_orderkey, 'lines', 'not_allowed' from p where len(lines) > 0 and (bare or mode <> 'F') union all select o_orderkey, 'stray', 'unknown' from p where stray""")
+union all select o_orderkey, 'mode', 'given_twice' from p where not bare and o_orderkey % 17 = 0 union all select o_orderkey, 'lines', 'repeated' from p where len(list_distinct(lines)) < len(lines) union all select o_orderkey, 'lines', 'not_allowed' from p where len(lines) > 0 and (bare or mode <> 'F') union all select o_orderkey, 'stray', 'unknown' from p where stray""")
 def parameter_rules(spark, d):
     from pivotloom.operators import results as R
 
@@ -271,11 +329,11 @@ def parameter_rules(spark, d):
     k, one = F.col("o_orderkey"), lambda c: F.array(F.col(c).cast("string"))
     entry = lambda name, items, when: F.when(when, F.struct(F.lit(name).alias("name"), items.alias("items")))
     entries = F.array(
-        entry("mode", one("o_orderstatus"), k % 13 != 0), entry("level", one("o_orderpriority"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")),
-        entry("lines", F.col("lines"), F.col("lines").isNotNull()), entry("stray", one("o_orderkey"), k % 9 == 0), entry("note", one("o_orderkey"), F.lit(True)))
+        entry("mode", one("o_orderstatus"), k % 13 != 0), entry("mode", one("o_orderstatus"), (k % 13 != 0) & (k % 17 == 0)), entry("level", one("o_orderpriority"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")),
+        entry("lines", F.col("lines"), F.col("lines").isNotNull()), entry("stray", one("o_orderkey"), k % 9 == 0))
     sets = o.select("o_orderkey", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("e")).select("o_orderkey", "e.name", "e.items")
-    rules = {"mode": {"required": True, "enum": ["F", "O"]}, "level": {"requires_when": ("mode", "P")}, "lines": {"min_items": 2, "unique": True, "allowed_when": ("mode", "F")}, "note": {}}
-    return R.rule_faults(sets, "o_orderkey", rules)
+    rules = {"mode": {"required": True, "enum": ["F", "O"]}, "level": {"requires_when": ("mode", "P")}, "lines": {"min_items": 2, "unique": True, "allowed_when": ("mode", "F")}}
+    return R.rule_faults(sets, "o_orderkey", rules, o.select("o_orderkey"))
 
 
 # identities and scans ------------------------------------------------------------------
@@ -432,61 +490,120 @@ def multiset_difference(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(side).alias("surplus")).filter("surplus <> 0")
 
 
-@query("""with m as (select source, sha256('100644' || chr(31) || doc_id || chr(31) || n_chars || chr(31) || sha256(text)) as h from documents) select source, count(*) as members, sha256(string_agg(h, '' order by h)) as digest from (select distinct * from m) group by 1""")
+@query(f"""with m as (select distinct source, {M.member_sql("'100644'", 'doc_id', 'n_chars', 'sha256(text)')} as h from documents), r as {M.roots_sql('m', 'source')} select source, n as members, digest from r""")
 def snapshot_digests(spark, d):
     rows = table(spark, d, "documents").select("source", F.lit("100644").alias("mode"), "doc_id", "n_chars", F.sha2("text", 256).alias("sha"))
-    return G.set_digests(rows, "source", ["mode", "doc_id", "n_chars", "sha"])
+    return M.set_digests(rows, "source", ["mode", "doc_id", "n_chars", "sha"])
 
 
 _UUID = "substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-5' || substring({h}, 14, 3) || '-' || ['8','9','a','b'][(instr('0123456789abcdef', substring({h}, 17, 1)) - 1) % 4 + 1] || substring({h}, 18, 3) || '-' || substring({h}, 21, 12)"
 
 
-@query(f"""with {EDGES_SQL}, {NODES_SQL}, e as (select distinct * from edges where relation in ('LOCATED_IN', 'PLACED')), ends as (select distinct unnest([src, dst]) as id from e),
-o as (select 'file' as type, 'file|' || id as name from ends join nodes using (id) union all
-  select k, k || '|' || concat_ws('|', src, dst, relation, coalesce(cast(seen as varchar), ''), source) from e, (select unnest(['observed-data', 'relationship', 'note']) as k) x
-  union all select 'extension-definition', 'extension-definition|pivot-evidence')
-select type, type || '--' || {_UUID.format(h="h")} as id from (select *, sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode(name)) as h from o)""")
+def _uuid_sql(kind: str, name: str) -> str:
+    h = f"sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode('{kind}|' || {name}))"
+    return f"'{kind}--' || list_transform([{h}], lambda h: {_UUID.format(h='h')})[1]"
+
+
+_EDGE_NAME = "concat_ws('|', src, dst, relation, coalesce(cast(seen as varchar), ''), source)"
+_STIX = f"""e as (select distinct * from edges), ends as (select distinct unnest([src, dst]) as id from e), extension as (select {_uuid_sql('extension-definition', "'pivot-evidence'")} as x),
+ids as (select *, {_uuid_sql('file', 'src')} as a, {_uuid_sql('file', 'dst')} as b, {_uuid_sql('observed-data', _EDGE_NAME)} as o, {_uuid_sql('relationship', _EDGE_NAME)} as r, {_uuid_sql('note', _EDGE_NAME)} as n from e),
+objects as (select 'file' as type, {_uuid_sql('file', 'id')} as id, '"name":"' || label || '"' as said, []::varchar[] as refs from ends join nodes using (id)
+  union all select 'observed-data', o, '"object_refs":["' || a || '","' || b || '"]' || coalesce(',"first_observed":"' || cast(seen as varchar) || '"', ''), [a, b] from ids
+  union all select 'relationship', r, '"source_ref":"' || a || '","target_ref":"' || b || '","relationship_type":"' || relation || '"', [a, b] from ids
+  union all select 'note', n, '"object_refs":["' || r || '"],"content":"' || source || '"', [r, x] from ids, extension
+  union all select 'extension-definition', x, '"name":"pivot-evidence"', [] from extension)"""
+
+
+@query(f"""with {EDGES_SQL}, {NODES_SQL}, {_STIX} select type, id, sha256('{{"type":"' || type || '","id":"' || id || '",' || said || '}}') as json_sha256 from objects""")
 def stix_objects(spark, d):
+    """Every object of the whole graph's export, with the digest of its JSON text."""
     from pivotloom.sources.exports import to_stix
 
-    e = edges(spark, d).filter("relation in ('LOCATED_IN', 'PLACED')")
-    return to_stix(nodes(spark, d), e).select("type", "id")
+    return to_stix(nodes(spark, d), edges(spark, d)).select("type", "id", F.sha2("json", 256).alias("json_sha256"))
 
 
-@query(f"""with {EDGES_SQL}, e as (select distinct * from edges where relation in ('LOCATED_IN', 'PLACED')) select 'open' as fault, count(*) as objects from (
-  select src from e where src like 'customer:%' and split_part(src, ':', 2)::bigint % 100 = 3 union all select src from e where dst like 'customer:%' and split_part(dst, ':', 2)::bigint % 100 = 3) x having count(*) > 0""")
+@query(f"""with {EDGES_SQL}, {NODES_SQL}, {_STIX}, lost as (select {_uuid_sql('file', 'id')} as id from nodes where form = 'customer' and split_part(id, ':', 2)::bigint % 100 = 3),
+kept as (select * from objects where id not in (select id from lost)), w as (select type, id, unnest(refs) as ref from kept)
+select type, 'open' as fault, count(distinct id) as objects from w where ref not in (select id from kept) group by 1""")
 def stix_closure(spark, d):
     """Objects of an export whose references are open when every hundredth customer's file is missing."""
     from pivotloom.operators import results as R
-    from pivotloom.sources.exports import to_stix
+    from pivotloom.sources.exports import stix_id, to_stix
 
-    e = edges(spark, d).filter("relation in ('LOCATED_IN', 'PLACED')")
-    objects = to_stix(nodes(spark, d), e)
+    objects = to_stix(nodes(spark, d), edges(spark, d))
     lost = nodes(spark, d).filter("form = 'customer' and cast(substring_index(id, ':', -1) as bigint) % 100 = 3").select("id")
-    from pivotloom.sources.exports import stix_id
-
     kept = objects.join(lost.select(stix_id("file", F.col("id")).alias("id")), "id", "left_anti")
-    return R.identity_faults(kept).filter("id like 'relationship%'").groupBy("fault").agg(F.count(F.lit(1)).alias("objects"))
+    return R.identity_faults(kept).groupBy(F.regexp_extract("id", "^(.*?)--", 1).alias("type"), "fault").agg(F.count(F.lit(1)).alias("objects"))
+
 
+_ENCODED = """t as (select o_orderkey as id, 'customer:' || o_custkey as subject, case when o_orderstatus <> 'P' then 'status:' || o_orderstatus end as object from orders),
+o as (select distinct l_orderkey as id, l_linenumber, l_suppkey, l_returnflag from lineitem where l_orderkey in (select o_orderkey from orders)),
+n as (select id, count(*) as lines, count(*) filter (l_returnflag = 'R') as by_object from o group by 1)"""
 
-@query("""with t as (select o_orderkey as id, 'customer:' || o_custkey as subject, case when o_orderstatus <> 'P' then 'status:' || o_orderstatus end as object from orders),
-l as (select l_orderkey, l_linenumber, l_suppkey, l_returnflag, count(*) as n from lineitem group by all), o as (select distinct l_orderkey, l_linenumber, l_suppkey, l_returnflag from lineitem)
-select type, count(*) as edges, 0 as faults from (select 'SUBJECT' as type from t union all select 'OBJECT' from t where object is not null union all select 'EVIDENCE' from o
-  union all select 'TIME_OBJECT' from o where l_returnflag = 'R' union all select 'TIME_OCCURRENCE' from o where l_returnflag <> 'R') group by 1""")
+
+@query(f"""with {_ENCODED}, x as (select 'SUBJECT' as type, count(*) as edges, count(*) filter (id % 97 = 0) as target, 0 as digest, 0 as ordinal, 0 as repeated from t
+  union all select 'OBJECT', count(*), 0, count(*) filter (id % 83 = 0), 0, 0 from t where object is not null
+  union all select 'EVIDENCE', sum(case when id % 89 = 0 then lines - 1 else lines end), 0, 0, count(*) filter (id % 89 = 0 and lines > 1), 0 from n
+  union all select 'TIME_OBJECT', sum(by_object) + count(*) filter (id % 79 = 0 and by_object > 0), 0, 0, 0, count(*) filter (id % 79 = 0 and by_object > 0) from n
+  union all select 'TIME_OCCURRENCE', sum(lines - by_object), 0, 0, 0, 0 from n)
+select type, edges::bigint as edges, digest, target, ordinal, repeated from x where edges > 0""")
 def evidence_encoding(spark, d):
+    """Edges by type and the faults planted in them: targets, digests, a missing and a repeated ordinal."""
+    from pyspark.sql import Window
+
     from pivotloom.sources.exports import encoding_faults, evidence_edges
 
+    rows, k = evidence_edges(_evidence_records(spark, d)), F.col("src").cast("long")
+    is_ = lambda kind: F.col("type") == kind
+    rows = rows.withColumn("dst", F.when(is_("SUBJECT") & (k % 97 == 0), "customer:0").otherwise(F.col("dst")))
+    rows = rows.withColumn("sha256", F.when(is_("OBJECT") & (k % 83 == 0), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    rows = rows.filter(~(is_("EVIDENCE") & (k % 89 == 0) & (F.col("ordinal") == 0)))
+    firsts = rows.filter(is_("TIME_OBJECT") & (k % 79 == 0)).withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("ordinal"))).filter("_n = 1").drop("_n")
+    rows = rows.unionByName(firsts)
+    faults = encoding_faults(rows).groupBy("type").agg(*[F.count_if(F.col("fault") == f).alias(f) for f in ("digest", "target", "ordinal", "repeated")])
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("edges")).join(faults, "type", "left").select("type", "edges", *map(zero, ("digest", "target", "ordinal", "repeated")))
+
+
+@query(f"""with {_ENCODED}, r as (select id, lines, string_agg(l_suppkey || '/' || l_linenumber, ',' order by l_linenumber, l_suppkey, l_returnflag) as sources, string_agg(l_returnflag || case when l_returnflag = 'R' then 'o' else 'c' end || l_suppkey, ',' order by l_linenumber, l_suppkey, l_returnflag) as times from o join n using (id) group by all)
+select cast(t.id as varchar) as id, subject, object, coalesce(lines, 0) as evidence, sha256(coalesce(sources, '') || ';' || coalesce(times, '')) as said from t left join r using (id)""")
+def evidence_decoding(spark, d):
+    """Records put together again from their shuffled edges, arrays in order."""
+    from pivotloom.sources.exports import decode_evidence, evidence_edges
+
+    records = _evidence_records(spark, d)
+    back = decode_evidence(records.select("id"), evidence_edges(records).repartition("dst"))
+    sources = F.array_join(F.transform("evidence", lambda e: F.concat(e["source_id"], F.lit("/"), e["field"])), ",")
+    times = F.array_join(F.transform("times", lambda t: F.concat(t["role"], F.when(t["object"].isNotNull(), F.concat(F.lit("o"), t["object"])).otherwise(F.concat(F.lit("c"), t["occurrence"])))), ",")
+    return back.select("id", "subject", "object", F.size("evidence").cast("long").alias("evidence"), F.sha2(F.concat(sources, F.lit(";"), times), 256).alias("said"))
+
+
+@query(f"""with {_ENCODED}, f as (select id, 'SUBJECT' as type, 'lost' as fault from t where id % 97 = 0 union all select id, 'SUBJECT', 'added' from t where id % 97 = 0
+  union all select id, 'EVIDENCE', unnest(['lost', 'added']) from n where id % 89 = 0 and lines > 1) select cast(id as varchar) as src, type, fault, count(*) as n from f group by all""")
+def reencoding_faults(spark, d):
+    """Edges that encoding the decoded records again doesn't give back: targets changed, and a missing first ordinal."""
+    from pivotloom.sources.exports import evidence_edges
+    from pivotloom.sources.exports import reencoding_faults as faults
+
+    records, k = _evidence_records(spark, d), F.col("src").cast("long")
+    rows = evidence_edges(records)
+    rows = rows.withColumn("dst", F.when((F.col("type") == "SUBJECT") & (k % 97 == 0), F.concat("dst", F.lit("x"))).otherwise(F.col("dst")))
+    rows = rows.filter(~((F.col("type") == "EVIDENCE") & (k % 89 == 0) & (F.col("ordinal") == 0)))
+    return faults(records.select("id"), rows).select("src", "type", "fault").distinct().withColumn("n", F.lit(1).cast("long"))
+
+
+def _evidence_records(spark, d):
+    """Orders as records, their lines as references and times."""
     line = F.struct("l_linenumber", "l_suppkey", "l_returnflag")
     refs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_set(line)).alias("lines"))
-    role = lambda on: lambda x: F.struct(x["l_returnflag"].alias("role"), F.when(x["l_returnflag"] == "R", x["l_suppkey"].cast("string")).alias("object"), F.when(x["l_returnflag"] != "R", x["l_suppkey"].cast("string")).alias("occurrence"))
+    when = lambda x, test: F.when(test, x["l_suppkey"].cast("string"))
+    time = lambda x: F.struct(x["l_returnflag"].alias("role"), when(x, x["l_returnflag"] == "R").alias("object"), when(x, x["l_returnflag"] != "R").alias("occurrence"))
+    source = lambda x: F.struct(x["l_suppkey"].cast("string").alias("source_id"), x["l_linenumber"].cast("string").alias("field"))
+    none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("customer:"), "o_custkey").alias("subject"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("status:"), "o_orderstatus")).alias("object"))
-    records = o.join(refs, "id", "left").select(
-        F.col("id").cast("string").alias("id"), "subject", "object",
-        F.coalesce(F.transform("lines", lambda x: F.struct(x["l_suppkey"].cast("string").alias("source_id"), x["l_linenumber"].cast("string").alias("field"))), F.array().cast("array<struct<source_id: string, field: string>>")).alias("evidence"),
-        F.coalesce(F.transform("lines", role(None)), F.array().cast("array<struct<role: string, object: string, occurrence: string>>")).alias("times"))
-    rows = evidence_edges(records)
-    faults = encoding_faults(rows).groupBy("type").agg(F.count(F.lit(1)).alias("faults"))
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("edges")).join(faults, "type", "left").select("type", "edges", F.coalesce("faults", F.lit(0)).alias("faults"))
+    return o.join(refs, "id", "left").select(
+        F.col("id").cast("string").alias("id"), "subject", "object", F.coalesce(F.transform("lines", source), none("source_id: string, field: string")).alias("evidence"),
+        F.coalesce(F.transform("lines", time), none("role: string, object: string, occurrence: string")).alias("times"))
 
 
 _EXPECTED = """t as (select 'customer:' || o_custkey as start, case when o_orderkey % 100 = 0 then 'order:' || (o_orderkey + 1) when o_orderkey % 101 = 0 then 'part:1' else 'order:' || o_orderkey end as target,
@@ -524,17 +641,7 @@ def graph_round_trip(spark, d):
     return rows.groupBy("relation").agg(F.sum("b").alias("edges_before"), F.sum("a").alias("edges_after"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("differing"))
 
 
-def _digest_levels(leaf: int, deepest: int) -> str:
-    """SQL of `claims.digest_tree` for sets h (relation, h) of up to leaf * 16^deepest members."""
-    parts = [f"z as (select relation, greatest(0, cast(ceil(round(ln(count(*) / {leaf}.0::double) / ln(16), 9)) as int)) as d from h group by 1)"]
-    parts.append("t0 as (select relation, d, substring(h, 1, d) as b, sha256(string_agg(h, '' order by h)) as h, count(*) as n from h join z using (relation) group by all)")
-    for i, left in enumerate(range(deepest, 0, -1)):
-        parts.append(f"""t{i + 1} as (select relation, d, substring(b, 1, {left - 1}) as b, sha256(string_agg(b || ':' || h, '' order by b || ':' || h)) as h, sum(n)::bigint as n from t{i} where d >= {left} group by relation, d, substring(b, 1, {left - 1})
-          union all select relation, d, b, h, n from t{i} where d < {left})""")
-    return ", ".join(parts) + f" select relation, n as edge_count, h as digest from t{deepest}"
-
-
-@query(f"with {EDGES_SQL}, h as (select relation, sha256(concat_ws(chr(31), src, dst, relation, coalesce(cast(seen as varchar), ''), source)) as h from edges), " + _digest_levels(G.LEAF, 5))
+@query(f"with {EDGES_SQL}, h as (select relation, {M.member_sql('src', 'dst', 'relation', 'seen', 'source')} as h from edges), r as {M.roots_sql('h', 'relation')} select relation, n as edge_count, digest from r")
 def graph_digest(spark, d):
     from pivotloom.sources.exports import graph_digest
 

@@ -49,6 +49,32 @@ def sanctions_at_event(spark, d):
     return found.groupBy("l_orderkey", "l_linenumber", "party").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CUTOFFS = ("1997-01-01", "1999-06-01")
+
+
+@query(f"""with l as (select distinct l_suppkey as party, l_orderkey * 10 + l_linenumber as claim, cast(l_shipdate as date) as a, cast(l_shipdate as date) + 400 as b, case when l_quantity <> 30 then cast(l_shipdate as date) + 100 end as known from lineitem where l_returnflag = 'R' qualify row_number() over (partition by l_orderkey, l_linenumber order by l_suppkey, l_shipdate, l_quantity) = 1),
+t as (select unnest([date '{_CUTOFFS[0]}', date '{_CUTOFFS[1]}']) as cutoff), am as (select claim, case claim % 3 when 0 then 'withdraw' when 1 then 'dispute' else 'correct' end as operation, a + 700 as received from l where claim % 4 = 0),
+s as (select l.claim, cutoff, max(operation) as operation from l, t left join am on am.claim = l.claim and received <= cutoff group by all),
+k as (select l.*, t.cutoff, case when known is null then 'unresolved' else 'match' end as k, case operation when 'dispute' then 'unresolved' when 'withdraw' then 'no_match' when 'correct' then 'no_match' else 'match' end as st from l, t join s on s.claim = l.claim and s.cutoff = t.cutoff where known is null or known <= t.cutoff)
+select o_orderkey, party, claim, cast(cutoff as varchar) as cutoff, case when k = 'unresolved' or st = 'unresolved' then 'unresolved' else 'match' end as status from orders join (select s_suppkey, s_nationkey from supplier) on s_suppkey = o_custkey % 10 + 1 join k on party = s_suppkey
+where st <> 'no_match' and cast(o_orderdate as date) between a and b and o_orderdate >= timestamp '{_FROM}' and o_orderdate < timestamp '{_TO}' + interval 1 day""")
+def sanctions_as_known(spark, d):
+    """Orders to parties that were listed then, by what was known before and after the listings' amendments."""
+    from pyspark.sql import Window
+
+    day, number = F.to_date("l_shipdate"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_shipdate", "l_quantity"))
+    l = table(spark, d, "lineitem").filter("l_returnflag = 'R'").withColumn("_f", first).filter("_f = 1").select(
+        F.col("l_suppkey").alias("party"), number.alias("claim"), day.alias("day"), F.when(F.col("l_quantity") != 30, F.date_add(day, 100)).alias("known"))
+    seconds = lambda c: T.seconds(c.cast("timestamp"))
+    listings = l.select("party", "claim", "known", T.interval(seconds(F.col("day")), seconds(F.date_add("day", 400)), True, True).alias("listed"))
+    operation = F.when(F.col("claim") % 3 == 0, "withdraw").when(F.col("claim") % 3 == 1, "dispute").otherwise("correct")
+    amendments = l.filter("claim % 4 = 0").select(F.col("claim").alias("amendment_id"), F.lit(None).cast("long").alias("supersedes"), "claim", operation.alias("operation"), F.lit(S.YES).alias("support"), F.date_add("day", 700).alias("received"))
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 10 + 1).alias("party"), seconds(F.to_date("o_orderdate")).alias("at"))
+    found = Q.listed_as_known(orders, listings, amendments, "party", T.query_period(_FROM, _TO), F.col("at"), [F.lit(c).cast("date") for c in _CUTOFFS])
+    return found.select("o_orderkey", "party", "claim", F.col("cutoff").cast("string").alias("cutoff"), "status")
+
+
 @query(f"""with {_LISTED}, r as (select distinct l_suppkey as party, l_partkey from lineitem)
 select party, l_partkey, 'some' as mode from r join listed using (party) where b >= timestamp '{_FROM}' and a < timestamp '{_TO}' + interval 1 day
 union all select party, l_partkey, 'all' from r join listed using (party) where a <= timestamp '{_FROM}' and b >= timestamp '{_TO}' + interval 1 day
@@ -100,9 +126,9 @@ def equivalent_observations(spark, d):
     return Q.observed_once(o, ["l_partkey", "l_suppkey"], ["l_returnflag", "l_linestatus"]).select("l_partkey", "l_suppkey", "endpoints", "n", "status")
 
 
-@query("""select l_suppkey, count(distinct l_partkey % 50) as held from lineitem where l_partkey % 50 in (1, 2, 3) and l_quantity > 20 group by 1 having count(distinct l_partkey % 50) = 3""")
+@query("""select l_suppkey, count(distinct l_partkey % 50) as held from lineitem where l_partkey % 50 in (1, 2, 3) group by 1 having count(distinct l_partkey % 50) = 3""")
 def shared_paths(spark, d):
-    members = table(spark, d, "lineitem").filter("l_quantity > 20").select("l_suppkey", (F.col("l_partkey") % 50).alias("path"))
+    members = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("path"))
     chosen = table(spark, d, "nation").filter("n_nationkey between 1 and 3").select(F.col("n_nationkey").cast("long").alias("path"))
     return Q.shared_paths(members, "l_suppkey", chosen, "path")
 
@@ -145,15 +171,15 @@ def package_infrastructure(spark, d):
 
 @query(r"""with hosts as (select page_id, case when page_id % 4 = 0 then '*.' else '' end || lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) as host, length(url) as size from pages),
 c as (select page_id, starts_with(host, '*.') as wildcard, regexp_replace(host, '^\*\.', '') as bare, size from hosts), s as (select distinct regexp_replace(bare, '^[^.]*\.', '') as scope from c),
-m as (select page_id, scope, wildcard from c join s on bare = scope or ends_with(bare, '.' || scope) where size between 20 and 60),
+m as (select page_id, scope, wildcard, size from c join s on bare = scope or ends_with(bare, '.' || scope) where size between 20 and 60),
 r as (select *, row_number() over (partition by scope order by page_id, wildcard) as place, count(*) over (partition by scope) as candidates from m)
-select page_id, scope, wildcard, 'usual' as profile, place, candidates, candidates > 50 as partial from r where place <= 50""")
+select page_id, scope, wildcard, profile, place, candidates, candidates > 50 as partial from r join (select unnest(['usual', 'long']) as profile) on profile = 'usual' or size >= 40 where place <= 50""")
 def certificate_expansion(spark, d):
     p = table(spark, d, "pages")
     host = I.dns_name(I.authority_host(I.uri_parts(F.col("url"))["authority"]))
     c = p.select("page_id", F.concat(F.when(F.col("page_id") % 4 == 0, "*.").otherwise(""), host).alias("host"), F.length("url").cast("string").alias("size"))
     seeds = c.select(F.regexp_replace(F.regexp_replace("host", r"^\*\.", ""), r"^[^.]*\.", "").alias("scope")).distinct()
-    criteria = spark.createDataFrame([("usual", "size", "range", None, 20.0, 60.0)], "profile string, field string, kind string, allowed array<string>, low double, high double")
+    criteria = spark.createDataFrame([("usual", "size", "range", None, 20.0, 60.0), ("long", "size", "range", None, 40.0, 60.0)], "profile string, field string, kind string, allowed array<string>, low double, high double")
     profiles = E.profile_matches(c.select("page_id"), "page_id", c.select("page_id", F.lit("size").alias("field"), F.col("size").alias("value")), criteria)
     return Q.expanded_certificates(c, seeds, profiles, "page_id", "host", 50).select("page_id", "scope", "wildcard", "profile", "place", "candidates", "partial")
 

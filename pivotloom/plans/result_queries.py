@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pivotloom.operators import claims as G
+from pivotloom.operators import documents as D
 from pivotloom.operators import evidence as E
+from pivotloom.operators import merkle as M
 from pivotloom.operators import results as R
+from pivotloom.operators.cycles import cycle_members
 from pivotloom.sources.views import EDGES_SQL, edges, table
 
 QUERIES: dict = {}
@@ -23,7 +26,7 @@ def query(sql: str | None):
     return keep
 
 
-@query("""select o_orderkey, 'order-' || sha256('order' || chr(31) || o_custkey || chr(31) || o_orderpriority || chr(31) || o_orderstatus) as result_id from orders where o_orderstatus <> 'P'""")
+@query(f"""select o_orderkey, 'order-' || {M.member_sql("'order'", 'o_custkey', 'o_orderpriority', 'o_orderstatus')} as result_id from orders where o_orderstatus <> 'P'""")
 def constructed_results(spark, d):
     o = table(spark, d, "orders").withColumn("state", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
     return R.construct(o, "order-", "order", ["o_custkey", "o_orderpriority", "state"]).select("o_orderkey", "result_id")
@@ -57,8 +60,8 @@ def package_declarations(spark, d):
     return R.declarations(declared, packages, repositories).groupBy("l_orderkey", "l_linenumber", "package", "repository", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with h as (select o_custkey, cast(o_orderdate as date) as day, sha256(o_orderkey || chr(31) || cast(cast(o_orderdate as date) as varchar)) as h from orders where o_orderstatus = 'F'),
-e as (select o_custkey, count(*) as n, min(day) as low, max(day) as high, sha256(string_agg(h, '' order by h)) as digest from h group by 1),
+@query(f"""with h as (select o_custkey, cast(o_orderdate as date) as day, {M.member_sql('o_orderkey', 'cast(o_orderdate as date)')} as h from orders where o_orderstatus = 'F'),
+e as (select o_custkey, n, digest, low, high from {M.roots_sql('h', 'o_custkey')} join (select o_custkey, min(day) as low, max(day) as high from h group by 1) using (o_custkey)),
 m as (select c_custkey, c_nationkey, n, digest, low, high, case when c_nationkey % 5 = 0 then c_nationkey % 6 + 1 else n end as declared, case when c_nationkey % 7 = 0 then sha256('x') else digest end as told from customer left join e on o_custkey = c_custkey)
 select c_custkey, coalesce(n, 0) as n, digest, case when c_nationkey = 24 then 'invalid' when n is null or declared <> n then 'unresolved' when told <> digest then 'invalid' when c_nationkey % 11 = 0 then 'unresolved'
   when low >= date '1995-01-01' and high <= date '2001-06-01' then 'match' else 'no_match' end as status from m""")
@@ -66,13 +69,74 @@ def history_gate(spark, d):
     e = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("at"), F.col("o_orderkey").alias("item"))
     day = lambda t: F.lit(t).cast("date")
     k = F.col("c_nationkey")
-    own = G.digest_tree(e.select("c_custkey", F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h")), "c_custkey").withColumnRenamed("n", "listed").withColumnRenamed("digest", "own")
+    own = M.roots(e.select("c_custkey", M.member_hash(["item", "at"]).alias("h")), "c_custkey").withColumnRenamed("n", "listed").withColumnRenamed("digest", "own")
     m = table(spark, d, "customer").join(own, "c_custkey", "left").select(
         "c_custkey", F.when(k % 5 == 0, k % 6 + 1).otherwise(F.col("listed")).alias("declared"), F.when(k % 7 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("own")).alias("declared_digest"),
         F.when(k % 11 == 0, "unknown").otherwise("complete_declared_scope").alias("coverage"), F.when(k == 24, day("2001-07-01")).otherwise(day("1995-01-01")).alias("origin"), day("2001-06-01").alias("through"))
     return R.history_gate(e, m, "c_custkey").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "digest", "status")
 
 
+_FAULTS = """case when k % 31 = 0 then 'manifest_not_linked' when k % 29 = 0 then 'source_unknown' when k % 37 = 0 then 'manifest_bytes_unavailable' when k % 41 = 0 then 'manifest_without_digest' when k % 43 = 0 then 'manifest_digest_scope'
+  when k % 47 = 0 then 'manifest_digest_mismatch' when k % 53 = 0 then 'manifest_identity' when k % 59 = 0 then 'contract' when k % 61 = 0 then 'other_collection' when k % 67 = 0 then 'qualification'
+  when n > 0 and k % 71 = 0 then 'unlisted_establishment' when k % 73 = 0 then 'missing_record' when n > 0 and k % 79 = 0 then 'record_digest' when k % 83 = 0 then 'coverage' when k % 89 = 0 then 'endpoints' when k % 97 = 0 then 'endpoints_reversed'
+  when n = 0 then 'no_establishment' else 'all_checks' end"""
+
+
+@query(f"""with e as (select o_custkey as k, count(*) as orders from orders where o_orderstatus = 'F' group by 1), c as (select c_custkey as k, coalesce(orders, 0) as n from customer left join e on e.k = c_custkey), r as (select k, n, {_FAULTS} as reason from c)
+select k as history, case when reason = 'all_checks' then 'match' when reason in ('manifest_digest_mismatch', 'manifest_identity', 'record_digest', 'endpoints_reversed') then 'invalid' when reason in ('manifest_digest_scope', 'contract', 'qualification') then 'unsupported'
+  when reason = 'other_collection' then 'no_match' else 'unresolved' end as status, reason, case when k % 37 = 0 then 0 else n - (case when n > 0 and k % 71 = 0 then 1 else 0 end) + (case when k % 73 = 0 then 1 else 0 end) end as establishments from r""")
+def preserved_histories(spark, d):
+    """Customers' histories of finished orders, each from its preserved manifest, with a planted fault of every kind."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    own = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), text(F.col("o_orderkey")).alias("record_id"), F.sha2(F.concat_ws("/", text(F.col("o_orderkey")), F.to_date("o_orderdate").cast("string")), 256).alias("sha256"), F.to_date("o_orderdate").alias("at"))
+    ends = table(spark, d, "nation").select(F.lit("end").alias("kind"), F.col("n_nationkey")).filter("n_nationkey < 2").select(F.concat(F.lit("end:"), text(F.col("n_nationkey"))).alias("record_id"), F.lit(None).cast("long").alias("history"), F.lit("x").alias("sha256"), F.date_add(F.lit("1990-01-01").cast("date"), F.col("n_nationkey").cast("int") * 9000).alias("at"))
+    records = own.select("record_id", F.col("c_custkey").alias("history"), "sha256", "at").unionByName(ends)
+    first = own.groupBy("c_custkey").agg(F.min("record_id").alias("first"), F.sort_array(F.collect_list(F.struct("record_id", "sha256"))).alias("all"))
+    c = table(spark, d, "customer").select("c_custkey").join(first, "c_custkey", "left")
+    entries = F.coalesce("all", F.array().cast("array<struct<record_id: string, sha256: string>>"))
+    entries = F.when(k % 71 == 0, F.filter(entries, lambda x: x["record_id"] != F.col("first"))).otherwise(entries)
+    entries = F.when(k % 79 == 0, F.transform(entries, lambda x: F.struct(x["record_id"].alias("record_id"), F.when(x["record_id"] == F.element_at(entries, -1)["record_id"], "0").otherwise(x["sha256"]).alias("sha256")))).otherwise(entries)
+    entries = F.when(k % 73 == 0, F.concat(entries, F.array(F.struct(F.lit("gone").alias("record_id"), F.lit("1").alias("sha256"))))).otherwise(entries)
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    manifest = F.struct(
+        pick(53, "other", text(k)).alias("history_id"), F.lit("r1").alias("revision"), pick(59, "new", "history").alias("contract"), F.lit("1").alias("version"), pick(61, "elsewhere", "here").alias("collection_id"), pick(67, "weak", "strict").alias("qualification"),
+        pick(83, "unknown", "complete_declared_scope").alias("coverage"), F.when(k % 89 == 0, "nowhere").when(k % 97 == 0, "end:1").otherwise("end:0").alias("origin_id"), pick(97, "end:0", "end:1").alias("through_id"), entries.alias("establishments"))
+    made = c.select("c_custkey", F.to_json(F.struct(manifest.alias("manifest"))).cast("binary").alias("content"))
+    sources = made.select(k.alias("source_id"), F.lit("d").alias("document"), F.when(k % 29 != 0, "r1").alias("revision"), F.lit("here").alias("collection"), pick(43, "normalized_text", "exact_source_bytes").alias("scope"), F.when(k % 41 != 0, F.when(k % 47 == 0, F.sha2(F.lit("y"), 256)).otherwise(F.sha2("content", 256))).alias("sha256"))
+    preserved = made.filter(k % 37 != 0).select(k.alias("source_id"), "content")
+    histories = c.select(k.alias("history"), k.alias("source_id"), (k % 31 != 0).alias("linked"))
+    return D.preserved_histories(histories, sources, preserved, records, "/manifest", "here", "strict", ("history", "1"))
+
+
+_DECLARED = """case when k % 29 = 0 then 'sidecar_bytes_unavailable' when k % 31 = 0 then 'sidecar_digest_mismatch' when k % 37 = 0 then 'metadata_digest_scope' when k % 41 = 0 then 'sidecar_shape' when k % 43 = 0 then 'normalized_absent' when k % 47 = 0 then 'normalized_differs'
+  when k % 53 = 0 then 'other_pattern' when k % 59 = 0 then 'other_kind' when k % 61 = 0 then 'package_unknown' when k % 67 = 0 then 'other_package' when k % 71 = 0 then 'repository_unknown' when k % 73 = 0 then 'other_repository' when k % 79 = 0 then 'registry_unknown'
+  when k % 83 = 0 then 'other_anchor' else 'all_checks' end"""
+
+
+@query(f"""with r as (select p_partkey as k, {_DECLARED} as reason from part) select k as declaration, case when reason = 'all_checks' then 'match' when reason in ('sidecar_digest_mismatch', 'sidecar_shape') then 'invalid' when reason = 'metadata_digest_scope' then 'unsupported'
+  when reason in ('normalized_differs', 'other_pattern', 'other_kind', 'other_package', 'other_repository', 'other_anchor') then 'no_match' else 'unresolved' end as status, reason from r""")
+def preserved_declarations(spark, d):
+    """Parts' declarations of their repositories, each from its preserved sidecar and registry document, with a planted fault of every kind."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    uri = F.concat(F.lit("https://code.example/"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))))
+    identity = F.struct(F.lit("reg").alias("registry"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"))
+    registry = F.to_json(F.struct(F.col("p_name").alias("name"), uri.alias("repository"))).cast("binary")
+    anchor = F.struct(F.sha2(registry, 256).alias("sha256"), F.lit("r2").alias("revision"), F.lit("pub").alias("publisher"), F.lit("col").alias("collection"), F.lit("doc").alias("uri"), pick(83, "/other", "/repository/url").alias("field"))
+    kind = F.struct(pick(59, "mirror", "version_source_repository").alias("kind"), anchor.alias("evidence"))
+    said = F.struct(pick(53, "OTHER", "PATTERN").alias("pattern_id"), F.lit("3.0.0").alias("pattern_version"), identity.alias("package"), uri.alias("repository_uri"), kind.alias("declaration"))
+    side = p.select(k.alias("sidecar"), F.when(k % 41 == 0, F.lit("[1, 2]").cast("binary")).otherwise(F.to_json(said).cast("binary")).alias("content"), F.to_json(said).alias("text"))
+    side = side.select("sidecar", F.when(F.col("sidecar") % 29 != 0, F.col("content")).alias("content"), F.lit("exact_source_bytes").alias("scope"), F.when(F.col("sidecar") % 31 == 0, F.sha2(F.lit("y"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"),
+                       F.when(F.col("sidecar") % 43 != 0, F.when(F.col("sidecar") % 47 == 0, F.replace("text", F.lit("reg"), F.lit("tab"))).otherwise(F.col("text"))).alias("normalized"))
+    meta = p.select(k.alias("metadata"), registry.alias("content"), pick(37, "normalized_text", "exact_source_bytes").alias("scope"), F.sha2(registry, 256).alias("sha256"), k.alias("source_id"), F.lit("doc").alias("document"), F.lit("r2").alias("revision"), F.when(k % 79 != 0, "pub").alias("publisher"), F.lit("col").alias("collection"))
+    declared = p.select(*[k.alias(c) for c in ("declaration", "package", "repository", "sidecar", "metadata", "source_id")], F.lit("/repository").alias("field"))
+    known = F.struct(F.lit("reg").alias("registry"), pick(67, "another", F.col("p_name")).alias("name"), F.when(k % 61 != 0, F.col("p_size").cast("string")).alias("version"))
+    packages = p.select(k.alias("package"), known.alias("identity"))
+    repositories = p.select(k.alias("repository"), F.when(k % 71 != 0, F.when(k % 73 == 0, F.concat(uri, F.lit("/x"))).otherwise(uri)).alias("uri"))
+    return D.preserved_declarations(declared, packages, repositories, side, meta, ("PATTERN", "3.0.0"))
+
+
 @query("""with s as (select l_orderkey as o_orderkey, l_linenumber, case when l_quantity <> 17 then max(cast(l_shipdate as date)) end as available from lineitem group by l_orderkey, l_linenumber, l_quantity),
 q as (select distinct l_orderkey as o_orderkey, l_linenumber from lineitem where l_quantity > 1 and l_tax >= 0 union select o_orderkey, 9 from orders where o_orderstatus = 'P'),
 b as (select coalesce(s.o_orderkey, q.o_orderkey) as o_orderkey, s.o_orderkey is not null as s, q.o_orderkey is not null as q, available from s full join q on s.o_orderkey = q.o_orderkey and s.l_linenumber = q.l_linenumber),
@@ -98,21 +162,29 @@ def later_equivalents(spark, d):
     return G.later_equivalents(chosen, e.filter("event_type = 'error'"), "user_id")
 
 
-@query("""with c as (select o_orderkey, o_orderstatus as publisher, case when o_orderkey % 10 = 0 then 'm' else 'n' end as namespace from orders),
-a as (select l_orderkey, l_linenumber, case when l_quantity = 13 then 'other' when l_returnflag = 'R' then 'withdraw' when l_returnflag = 'A' then 'correct' else 'dispute' end as operation, l_quantity <> 11 as linked, l_linestatus as publisher,
-  case when l_linenumber % 6 <> 0 then 'n' end as namespace, case when l_quantity = 14 or l_returnflag = 'A' then l_orderkey - l_linenumber % 3 end as replacement, cast(l_shipdate as date) as issued, case when l_quantity > 45 then cast(l_shipdate as date) + 1 end as before from lineitem)
-select l_orderkey, l_linenumber, case when operation = 'other' or (replacement is not null and operation <> 'correct') then 'invalid'
-  when linked and a.namespace = c.namespace and (operation = 'dispute' or a.publisher = c.publisher) and (operation <> 'correct' or (r.publisher = a.publisher and r.namespace = a.namespace and replacement <> l_orderkey)) and not coalesce(issued < before, false) then 'match' else 'unresolved' end as status, count(*) as n
-from a join c on c.o_orderkey = l_orderkey left join c r on r.o_orderkey = replacement group by all""")
+@query("""with c as (select o_orderkey, o_orderstatus as publisher, case when o_orderkey % 10 = 0 then 'm' else 'n' end as namespace from orders where o_orderkey % 101 <> 0),
+a as (select distinct l_orderkey * 10 + l_linenumber as id, l_orderkey, l_linenumber, case when l_quantity = 13 then 'other' when l_returnflag = 'R' then 'withdraw' when l_returnflag = 'A' then 'correct' else 'dispute' end as operation, l_quantity <> 11 as linked, l_linestatus as publisher,
+  case when l_linenumber % 6 <> 0 then 'n' end as namespace, case when l_quantity = 14 or l_returnflag = 'A' then l_orderkey - l_linenumber % 3 end as replacement, cast(l_shipdate as date) as issued, case when l_quantity > 45 then l_orderkey * 10 + l_linenumber - 1 when l_quantity = 44 then l_orderkey * 10 + l_linenumber end as supersedes from lineitem
+  qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_shipdate) = 1),
+y as (select distinct l_orderkey from a where supersedes = id)
+select a.l_orderkey, a.l_linenumber, case when c.o_orderkey is null or y.l_orderkey is not null or a.operation = 'other' or (a.replacement is not null and a.operation <> 'correct') then 'invalid'
+  when a.linked and a.namespace = c.namespace and (a.operation = 'dispute' or a.publisher = c.publisher) and (a.operation <> 'correct' or (r.publisher = a.publisher and r.namespace = a.namespace and a.replacement <> a.l_orderkey))
+    and (a.supersedes is null or (o.l_orderkey = a.l_orderkey and o.publisher = a.publisher and o.namespace = a.namespace and o.id <> a.id and o.issued <= a.issued)) then 'match' else 'unresolved' end as status
+from a left join c on c.o_orderkey = a.l_orderkey left join c r on r.o_orderkey = a.replacement left join a o on o.id = a.supersedes left join y on y.l_orderkey = a.l_orderkey""")
 def supported_amendments(spark, d):
-    q, flag, day = F.col("l_quantity"), F.col("l_returnflag"), F.to_date("l_shipdate")
-    a = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(q == 13, "other").when(flag == "R", "withdraw").when(flag == "A", "correct").otherwise("dispute").alias("operation"),
-        (q != 11).alias("issuer_linked"), F.col("l_linestatus").alias("publisher"), F.when(F.col("l_linenumber") % 6 != 0, "n").alias("namespace"),
-        F.when((q == 14) | (flag == "A"), F.col("l_orderkey") - F.col("l_linenumber") % 3).alias("replacement"), day.alias("issued"), F.when(q > 45, F.date_add(day, 1)).alias("superseded_issued"))
-    c = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("publisher"), F.when(F.col("o_orderkey") % 10 == 0, "m").otherwise("n").alias("namespace"))
-    found = G.supported_amendments(a, c, "o_orderkey")
-    return found.groupBy(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "status").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+
+    q, flag, day, number = F.col("l_quantity"), F.col("l_returnflag"), F.to_date("l_shipdate"), F.col("l_linenumber")
+    own = F.col("l_orderkey") * 10 + number
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
+    a = table(spark, d, "lineitem").withColumn("_f", first).filter("_f = 1").select(
+        own.alias("id"), F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(q == 13, "other").when(flag == "R", "withdraw").when(flag == "A", "correct").otherwise("dispute").alias("operation"),
+        (q != 11).alias("issuer_linked"), F.col("l_linestatus").alias("publisher"), F.when(number % 6 != 0, "n").alias("namespace"),
+        F.when((q == 14) | (flag == "A"), F.col("l_orderkey") - number % 3).alias("replacement"), day.alias("issued"), F.when(q > 45, own - 1).when(q == 44, own).alias("supersedes"))
+    c = table(spark, d, "orders").filter("o_orderkey % 101 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("publisher"), F.when(F.col("o_orderkey") % 10 == 0, "m").otherwise("n").alias("namespace"))
+    cyclic = cycle_members(a, "o_orderkey", "id", "supersedes").select("o_orderkey")
+    found = G.supported_amendments(a, c, "o_orderkey", cyclic)
+    return found.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "status")
 
 
 @query("""select o_orderkey, count(l_linenumber) as evidence, o_orderstatus <> 'P' and count(l_linenumber) > 0 and coalesce(min(l_quantity) > 3, false) as supported from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderstatus""")

@@ -11,6 +11,7 @@ from pivotloom.functions import scans as C
 from pivotloom.functions import status as S
 from pivotloom.functions import timeops as T
 from pivotloom.operators import claims as G
+from pivotloom.operators import merkle as M
 from pivotloom.operators import evidence as E
 from pivotloom.operators import pivot as P
 from pivotloom.sources import exports
@@ -170,12 +171,6 @@ def test_amendments_by_operation_support_and_supersession(spark):
     assert got == {"withdrawn": "withdrawn", "both": "corrected", "disputed": "contested", "back": "reported", "beside": "contested", "open": gap, "later": "reported", "held": "withdrawn", "unknown": gap, "none": "reported"}
 
 
-def test_cycles_of_any_length(spark):
-    rows = [("ring", i, (i + 1) % 9) for i in range(9)] + [("chain", i, i + 1) for i in range(9)] + [("self", 1, 1), ("tail", 1, 2), ("tail", 2, 3), ("tail", 3, 2), ("tail", 3, 4), ("none", 1, None)]
-    am = spark.createDataFrame(rows, "claim string, id int, supersedes int")
-    assert {r["claim"] for r in G.supersession_cycles(am, "claim").collect()} == {"ring", "self", "tail"}
-
-
 def test_policies_that_are_off_or_cut_and_required_controls(spark):
     yes, no, un = S.YES, S.NO, S.UNRESOLVED
     rows = [
@@ -191,32 +186,6 @@ def test_policies_that_are_off_or_cut_and_required_controls(spark):
         "no part": ("unresolved", "unresolved"), "clear": ("kept", "returned"), "uncleared": ("kept", "unresolved")}
 
 
-def test_digest_trees_follow_from_their_own_set(spark):
-    import hashlib
-
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-
-    def tree(hashes, leaf):
-        digits = 0
-        while len(hashes) > leaf * 16**digits:
-            digits += 1
-        level = {}
-        for h in sorted(hashes):
-            level.setdefault(h[:digits], []).append(h)
-        level = {b: sha("".join(hs)) for b, hs in level.items()}
-        for left in range(digits, 0, -1):
-            up = {}
-            for b, h in level.items():
-                up.setdefault(b[: left - 1], []).append(f"{b}:{h}")
-            level = {b: sha("".join(sorted(hs))) for b, hs in up.items()}
-        return level[""]
-
-    sets = {"a": [sha(str(i)) for i in range(3)], "b": [sha(str(i)) for i in range(70)], "c": [sha(str(i)) for i in range(900)], "d": [sha("x")] * 40}
-    df = spark.createDataFrame([(k, h) for k, hs in sets.items() for h in hs], "k string, h string")
-    got = {r["k"]: (r["n"], r["digest"]) for r in G.digest_tree(df, "k", leaf=4).collect()}
-    assert got == {k: (len(hs), tree(hs, 4)) for k, hs in sets.items()}
-
-
 def test_long_serials_and_pem(spark):
     for n in (0, 7, 255, 2**64, 2**64 - 1, 10**18, 2**159 + 12345, 2**160 - 1):
         assert one(spark, I.serial_hex(F.col("s"), 10), s=str(n)) == f"{n:x}"
@@ -229,7 +198,7 @@ def test_long_serials_and_pem(spark):
 def test_history_gate_compares_the_digest(spark):
     day = dt.date
     e = spark.createDataFrame([(k, i, day(2024, 1, i)) for k in ("good", "wrong", "short", "early", "open") for i in (2, 3)], "claim string, item int, at date")
-    own = G.digest_tree(e.select("claim", F.sha2(F.concat_ws("\u001f", F.col("item").cast("string"), F.col("at").cast("string")), 256).alias("h")), "claim")
+    own = M.roots(e.select("claim", M.member_hash(["item", "at"]).alias("h")), "claim")
     told = {r["claim"]: r["digest"] for r in own.collect()}
     whole = "complete_declared_scope"
     m = spark.createDataFrame(
@@ -259,7 +228,7 @@ def test_encoded_evidence_is_checked(spark):
     assert sorted((r["type"], r["ordinal"], r["dst"]) for r in rows.collect()) == [("EVIDENCE", 0, "x"), ("EVIDENCE", 1, "y"), ("SUBJECT", 0, "s"), ("TIME_OCCURRENCE", 0, "r1")]
     assert exports.encoding_faults(rows).count() == 0
     broken = rows.withColumn("payload", F.when(F.col("type") == "SUBJECT", "{}").otherwise(F.col("payload"))).filter("not (type = 'EVIDENCE' and ordinal = 0)")
-    assert sorted((r["type"], r["fault"]) for r in exports.encoding_faults(broken).collect()) == [("EVIDENCE", "ordinal"), ("SUBJECT", "digest")]
+    assert sorted((r["type"], r["fault"]) for r in exports.encoding_faults(broken).collect()) == [("EVIDENCE", "ordinal"), ("SUBJECT", "digest"), ("SUBJECT", "target")]
 
 
 def test_bucketed_overlaps_come_once(spark):
