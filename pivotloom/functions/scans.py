@@ -5,30 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Endings of names under which anyone may register.
-SENSITIVE_TLDS = ("ai", "app", "biz", "cloud", "cn", "co", "com", "dev", "edu", "gov", "info", "int", "io", "mil", "net", "online", "org", "ru", "site", "top", "uk", "us", "xyz")
-# Patterns of indicators, credentials and commands.
-INDICATORS = {
-    "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
-    "url": r"https?://[^\s<>\"]+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "domain": r"\b(?:[a-z0-9-]+\.)+(?:" + "|".join(SENSITIVE_TLDS) + r")\b",
-    "sha256": r"\b[a-f0-9]{64}\b",
-    "md5": r"\b[a-f0-9]{32}\b",
-    "cve": r"CVE-[0-9]{4}-[0-9]{4,7}",
-}
+#: Endings by which text is taken for a host's name: the generic ones of RFC 1591, those of the
+#: year 2000, and some of countries. A parameter of `sensitive_tld` and `indicators`.
+ENDINGS = ("com", "edu", "gov", "int", "mil", "net", "org", "arpa", "aero", "biz", "coop", "info", "museum", "name", "pro", "at", "br", "ch", "de", "es", "eu", "fr", "in", "it", "jp", "nl", "pl", "se", "uk", "us")
+#: Programs and phrases of `commands`; a caller has lists of their own.
+TOOLS = ("nmap", "masscan", "sqlmap", "nikto", "hydra", "hashcat", "mimikatz", "netcat")
+PHRASES = ("bind shell", "reverse shell", "buffer overflow", "privilege escalation", "remote code execution")
+
+
+def indicators(endings: tuple[str, ...] = ENDINGS) -> dict[str, str]:
+    """Patterns of addresses, names, digests and vulnerability numbers."""
+    return {
+        "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
+        "url": r"https?://[^\s<>\"]+",
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+        "domain": r"\b(?:[a-z0-9-]+\.)+(?:" + "|".join(endings) + r")\b",
+        "sha256": r"\b[a-f0-9]{64}\b",
+        "md5": r"\b[a-f0-9]{32}\b",
+        "cve": r"CVE-[0-9]{4}-[0-9]{4,7}",
+    }
+
+
+def commands(tools: tuple[str, ...] = TOOLS, phrases: tuple[str, ...] = PHRASES) -> dict[str, str]:
+    """Patterns of lines that run something: an interpreter with a flag, a download, a rule's head, named tools and phrases."""
+    return {
+        "interpreter": r"(?i)\b(?:ba|z|k|da)?sh\s+-[a-z]|\b(?:python3?|perl|ruby|node|pwsh)\s+-[a-z]",
+        "download": r"(?i)\b(?:curl|wget|invoke-webrequest)\s+[^\s.,;]",
+        "rule_head": r"\brule\s+[A-Za-z_][A-Za-z0-9_]{0,127}\s*(?::[\sA-Za-z0-9_]+)?\{",
+        "tool": r"(?i)\b(?:" + "|".join(tools) + r")\b",
+        "phrase": r"(?i)\b(?:" + "|".join(phrases) + r")\b",
+    }
+
+
+INDICATORS = indicators()
+COMMANDS = commands()
+# Beginnings and lengths of tokens as their vendors publish them.
 CREDENTIALS = {
-    "cloud_key": r"\bA[KS]IA[0-9A-Z]{16}\b",
-    "map_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "code_token": r"\bgh[a-z]_[0-9A-Za-z]{36,}",
-    "chat_token": r"\bxox[a-z]-[0-9A-Za-z-]{10,}",
+    "cloud_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    "map_key": r"\bAIza[A-Za-z0-9_-]{35}",
+    "code_token": r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}",
+    "chat_token": r"\bxox(?:b|p|a|r|s|e)-[A-Za-z0-9-]{10,}",
     "token": r"token = \"[0-9a-f]{40}\"",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "password": r"password=[^\s]{8,}",
 }
-COMMANDS = {
-    "shell": r"\b(?:bash|powershell|cmd\.exe)\b", "download": r"\b(?:curl|wget)\s", "yara": r"\brule\s+\w+\s*\{",
-    "scanner": r"\b(?:nc|netcat|nmap|msfconsole|meterpreter)\b", "exploit": r"(?i)\b(?:shellcode|reverse shell|exploit payload)\b",
+#: What a text must hold for a pattern to be tried at all.
+GUARDS = {
+    "url": "http", "email": "@", "cve": "CVE-", "cloud_key": "IA", "map_key": "AIza", "code_token": "gh", "chat_token": "xox", "token": "token = ", "private_key": "PRIVATE KEY", "password": "password=",
 }
 #: Credentials that say themselves that they are none.
 REDACTED = r"(?i)example|redacted|placeholder|changeme|x{6,}|\*{4,}"
@@ -48,8 +71,8 @@ def counts_as_find(kind: Column, value: Column) -> Column:
     )
 
 
-def sensitive_tld(host: Column) -> Column:
-    return F.substring_index(host, ".", -1).isin(*SENSITIVE_TLDS) & (F.instr(host, ".") > 0)
+def sensitive_tld(host: Column, endings: tuple[str, ...] = ENDINGS) -> Column:
+    return F.substring_index(host, ".", -1).isin(*endings) & (F.instr(host, ".") > 0)
 
 
 def extract(rows: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -59,7 +82,10 @@ def extract(rows: DataFrame, key: str, text: str, patterns: dict[str, str]) -> D
 
 
 def _matches(text: str, kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    every = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    if kind in GUARDS:
+        every = F.when(F.contains(F.col(text), F.lit(GUARDS[kind])), every).otherwise(F.array().cast("array<string>"))
+    return F.transform(every, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
 def flags(text: Column, patterns: dict[str, str]) -> list[Column]:

@@ -424,7 +424,7 @@ def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), C.pointer_path("/k"), "bigint").alias("k"), C.canonical_digest(F.col("props")).alias("digest"))
 
 
-@query(f"""with {_HOSTS} select page_id, host, ends_with(host, '.example.com') or ends_with(host, '.example.net') or ends_with(host, '.example.org') as special, split_part(host, '.', -1) in ('com', 'net', 'org', 'io', 'dev') as sensitive,
+@query(f"""with {_HOSTS} select page_id, host, ends_with(host, '.example.com') or ends_with(host, '.example.net') or ends_with(host, '.example.org') as special, split_part(host, '.', -1) in {C.ENDINGS} as sensitive,
   not regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '//|/$') as literal_path from hosts join pages using (page_id)""")
 def host_and_path_checks(spark, d):
     p = table(spark, d, "pages").select("page_id", I.uri_parts(F.col("url")).alias("u"))
