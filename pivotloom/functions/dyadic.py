@@ -1,8 +1,9 @@
 """Ranges by the nodes of a binary tree over whole numbers.
 
-A range is covered by few nodes (at most two of each size, however long it is), and a number
-lies in just one of them, an ancestor of its own leaf. So a range meets the numbers in it by
-an equi join on nodes, each pair once, and no range is spelled out.
+A range stands in the nodes of its own size that it touches, three or four at most however
+long it is, and a number in one node of each size, an ancestor of its own leaf. So a range meets
+the numbers near it by an equi join on nodes, each number at most once, and no range is
+spelled out; what a node holds beside the range is a constant factor, left to an exact filter.
 """
 
 from __future__ import annotations
@@ -11,31 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _shift(x: Column, k: Column) -> Column:
-    return F.call_function("shiftright", x, k)
+def with_nodes(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """rows with level and node, once for each node that lo to hi, both included, stands in; reversed and null ranges go."""
+    level = F.floor(F.log2((hi - lo + 1).cast("double"))).cast("int")
+    kept = rows.filter(lo <= hi).withColumn("level", level)
+    shifted = lambda x: F.call_function("shiftright", x, F.col("level"))
+    return kept.withColumn("node", F.explode(F.sequence(shifted(lo), shifted(hi))))
 
 
-def cover(lo: Column, hi: Column) -> Column:
-    """array<struct<level, node>> of the nodes that together hold lo to hi, both included; empty if reversed or null."""
-    def at_level(k: Column) -> Column:
-        first = _shift(lo + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
-        last = _shift(hi + 1, k) - 1
-        node = lambda x: F.struct(k.alias("level"), x.alias("node"))
-        odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
-        return F.array(F.when((first <= last) & odd(first), node(first)), F.when((first <= last) & ~odd(last), node(last)))
-
-    levels = F.sequence(F.lit(0), F.floor(F.log2((hi - lo + 1).cast("double"))).cast("int") + 1)
-    nodes = F.filter(F.flatten(F.transform(levels, at_level)), lambda x: x.isNotNull())
-    return F.when(lo <= hi, nodes).otherwise(F.expr("cast(array() as array<struct<level: int, node: bigint>>)"))
-
-
-def levels_of(covers: DataFrame) -> list[int]:
+def levels_of(rows: DataFrame) -> list[int]:
     """The levels that nodes (column level) stand on: at most 64 numbers, whatever the rows."""
-    return sorted(r["level"] for r in covers.select("level").distinct().collect())
+    return sorted(r["level"] for r in rows.select("level").distinct().collect())
 
 
-def ancestors(at: Column, levels: list[int]) -> Column:
-    """array<struct<level, node>> of a number's nodes on these levels."""
-    if not levels:
-        return F.expr("cast(array() as array<struct<level: int, node: bigint>>)")
-    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in levels])
+def with_ancestors(rows: DataFrame, at: Column, levels: list[int]) -> DataFrame:
+    """rows with level and node, once for each of these levels."""
+    nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in levels]).cast("array<struct<level: int, node: bigint>>")
+    return rows.withColumn("_d", F.explode(nodes)).withColumns({"level": F.col("_d.level"), "node": F.col("_d.node")}).drop("_d")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pivotloom.functions.dyadic import ancestors, cover, levels_of
+from pivotloom.functions.dyadic import levels_of, with_ancestors, with_nodes
 from pivotloom.functions.status import NO, UNRESOLVED, UNSUPPORTED, YES
+from pivotloom.sources.shared import written
 
 SECONDS = "decimal(20,6)"
 
@@ -120,17 +121,17 @@ def coexistence(state: Column, period: Column | None = None, occurrence: Column
 def overlaps(rows: DataFrame, key: str, order: str, x: str, leaf: float) -> DataFrame:
     """Pairs of rows of one key whose intervals share an instant: the key, a, b, xa and xb, a before b in `order`.
 
-    Of two such rows the one that begins later begins inside the other. Intervals stand in the
-    few dyadic nodes that cover them, in leaves of so many seconds, and beginnings in their
-    ancestors; both meet on key and node, each pair once, so the work follows the pairs and
-    the logarithm of an interval's length. Rows without both ends take no part.
+    Of two such rows the one that begins later begins inside the other. Intervals stand in
+    dyadic nodes of their own size, in leaves of so many seconds, and beginnings in the nodes
+    of every size that occurs; both meet on key and node, each pair once, so the work follows
+    the pairs and the number of sizes, never an interval's length. The rows are written down
+    once, as those sizes must be known first. Rows without both ends take no part.
     """
-    at = lambda c: F.floor(F.col(c) / F.lit(leaf)).cast("long")
-    first = F.struct(F.col(f"{x}.lo").alias("lo"), F.col(order).alias("at"))
-    own = rows.filter(F.col(f"{x}.lo").isNotNull() & F.col(f"{x}.hi").isNotNull())
-    side = lambda n, nodes: own.select(F.col(key), F.col(order).alias(f"_{n}"), F.col(x).alias(f"_x{n}"), first.alias(f"_f{n}"), F.explode(nodes).alias("_n"))
-    covers = side("p", cover(at(f"{x}.lo"), at(f"{x}.hi"))).select("*", "_n.level", "_n.node").drop("_n")
-    starts = side("q", ancestors(at(f"{x}.lo"), levels_of(covers))).select("*", "_n.level", "_n.node").drop("_n")
+    at = lambda c: F.floor(c / F.lit(leaf)).cast("long")
+    own = written(rows.select(F.col(key), F.col(order).alias("i"), F.col(x).alias("x")).filter(F.col("x.lo").isNotNull() & F.col("x.hi").isNotNull()))
+    side = lambda n: own.select(F.col(key), F.col("i").alias(f"_{n}"), F.col("x").alias(f"_x{n}"), F.struct(F.col("x.lo").alias("lo"), F.col("i").alias("at")).alias(f"_f{n}"))
+    covers = with_nodes(side("p"), at(F.col("_xp.lo")), at(F.col("_xp.hi")))
+    starts = with_ancestors(side("q"), at(F.col("_xq.lo")), levels_of(covers))
     j = covers.join(starts, [key, "level", "node"]).filter((F.col("_fp") < F.col("_fq")) & (F.col("_p") != F.col("_q")) & ~disjoint(F.col("_xp"), F.col("_xq")))
     low = F.col("_p") < F.col("_q")
     pick = lambda c, d: F.when(low, F.col(c)).otherwise(F.col(d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pivotloom.functions import status as S
-from pivotloom.functions.dyadic import ancestors, cover, levels_of
+from pivotloom.functions.dyadic import levels_of, with_ancestors, with_nodes
 from pivotloom.sources.shared import checkpoint
 
 
@@ -57,9 +57,9 @@ def matching_profiles(values: DataFrame, criteria: DataFrame, key: str, leaf: fl
     text = criteria.filter("kind = 'text'").select("profile", "field", F.explode(F.array_distinct("allowed")).alias("value"))
     by_text = values.join(text, ["field", "value"]).select(key, "profile", "field", "value")
     at = lambda c: F.floor(c / F.lit(leaf)).cast("long")
-    ranges = criteria.filter("kind = 'range'").select("profile", "field", "low", "high", F.explode(cover(at(F.col("low")), at(F.col("high")))).alias("d")).select("profile", "field", "low", "high", "d.level", "d.node")
-    number = values.withColumn("x", F.col("value").try_cast("double")).filter("x is not null")
-    numbers = number.select(key, "field", "value", "x", F.explode(ancestors(at(F.col("x")), levels_of(ranges))).alias("d")).select(key, "field", "value", "x", "d.level", "d.node")
+    ranges = with_nodes(criteria.filter("kind = 'range'").select("profile", "field", "low", "high"), at(F.col("low")), at(F.col("high")))
+    number = values.select(key, "field", "value", F.col("value").try_cast("double").alias("x")).filter("x is not null")
+    numbers = with_ancestors(number, at(F.col("x")), levels_of(ranges))
     by_range = numbers.join(ranges, ["field", "level", "node"]).filter(F.col("x").between(F.col("low"), F.col("high"))).select(key, "profile", "field", "value")
     met = by_text.unionByName(by_range).distinct().groupBy(key, "profile", "field").agg(F.count(F.lit(1)).alias("met"))
     there = values.select(key, "field", "value").distinct().groupBy(key, "field").agg(F.count(F.lit(1)).alias("values"))

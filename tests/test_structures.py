@@ -24,15 +24,21 @@ from pivotloom.sources import exports as X
 SF = "/root/testdata/sf0.001"
 
 
-def test_nodes_cover_a_range_once(spark):
+def test_ranges_stand_in_few_nodes(spark):
     rng = random.Random(5)
-    ranges = [(0, 0), (-1, 0), (-5, 9), (7, 7), (3, 2)] + [(a, a + rng.randrange(200)) for a in (rng.randrange(-300, 300) for _ in range(60))] + [(-(1 << 40), (1 << 40) + 3)]
-    got = spark.createDataFrame(ranges, "lo long, hi long").select("lo", "hi", N.cover(F.col("lo"), F.col("hi")).alias("c")).collect()
-    for r in got:
-        held = [(n["node"] << n["level"], (n["node"] + 1 << n["level"]) - 1) for n in r["c"]]
-        assert len(held) <= 90 and sum(b - a + 1 for a, b in held) == max(0, r["hi"] - r["lo"] + 1)
-        assert all(r["lo"] <= a and b <= r["hi"] for a, b in held)
-        assert all(x[1] < y[0] for x, y in zip(sorted(held), sorted(held)[1:]))
+    ranges = [(0, 0), (-1, 0), (-5, 9), (7, 7), (3, 2), (None, 1)] + [(a, a + rng.randrange(200)) for a in (rng.randrange(-300, 300) for _ in range(60))] + [(-(1 << 40), (1 << 40) + 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "i int, lo long, hi long")
+    nodes = defaultdict(list)
+    for r in N.with_nodes(df, F.col("lo"), F.col("hi")).collect():
+        nodes[r["i"]].append((r["node"] << r["level"], (r["node"] + 1 << r["level"]) - 1))
+    for i, (lo, hi) in enumerate(ranges):
+        held = sorted(nodes.get(i, []))
+        assert bool(held) == (lo is not None and lo <= hi) and len(held) <= 4
+        if held:
+            assert held[0][0] <= lo and held[-1][1] >= hi and all(x[1] + 1 == y[0] for x, y in zip(held, held[1:]))
+    points = N.with_ancestors(df.filter("i = 2"), F.col("lo"), [0, 3]).select("level", "node").collect()
+    assert sorted(tuple(r) for r in points) == [(0, -5), (3, -1)]
+    assert N.with_ancestors(df, F.col("lo"), []).count() == 0
 
 
 def test_very_long_intervals_beside_short_ones(spark):
