@@ -139,3 +139,23 @@ def file_uuid(namespace_hex: str, name: Column) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), name.cast("binary")))
     variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+# The namespace of deterministic identifiers of exported objects, as the standard
+# publishes it, and the order in which it prefers hashes.
+OBJECT_NAMESPACE = "00ABEDB4AA42466C9C01FED23315A9B7"
+HASH_ORDER = ("MD5", "SHA-1", "SHA-256", "SHA-512")
+
+
+def chosen_hash(hashes: Column) -> Column:
+    """Of a map of hashes the one entry that identifies a file: the first preferred one, else the first by name; null without any."""
+    kept = F.map_filter(hashes, lambda k, v: v.isNotNull())
+    first = F.coalesce(*[F.when(F.map_contains_key(kept, k), F.lit(k)) for k in HASH_ORDER], F.array_min(F.map_keys(kept)))
+    return F.when(first.isNotNull(), F.create_map(first, F.try_element_at(kept, first)))
+
+
+def file_ref(hashes: Column, name: Column) -> Column:
+    """The identifier of a file that its chosen hash and its name contribute to; null if it has neither."""
+    name = F.when(F.length(name) > 0, name)
+    said = F.to_json(F.struct(chosen_hash(hashes).alias("hashes"), name.alias("name")))
+    return F.when(said != "{}", F.concat(F.lit("file--"), file_uuid(OBJECT_NAMESPACE, said)))

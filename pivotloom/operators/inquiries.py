@@ -118,9 +118,19 @@ def signing_reports(files: DataFrame, signatures: DataFrame, key: str, at: Colum
 
 
 def observed_once(observations: DataFrame, scope: list[str], endpoints: list[str]) -> DataFrame:
-    """Per scope match if all observations agree on endpoints and time, else unresolved."""
-    same = observations.groupBy(*scope).agg(F.count_distinct(*endpoints).alias("endpoints"), F.count_distinct("x").alias("times"), F.count(F.lit(1)).alias("n"))
-    return same.withColumn("status", F.when((F.col("endpoints") == 1) & (F.col("times") == 1), S.YES).otherwise(S.UNRESOLVED))
+    """Per scope match if all observations agree on endpoints and time, each seen before it was available, else unresolved.
+
+    observations has `x` and `available`. A copy without the first part of its scope, but with
+    the others, may be one of any scope that has these, which leaves them open; it has no row.
+    """
+    first, rest = scope[0], scope[1:]
+    late = F.count_if(F.col("available").isNull() | (F.col("x") > F.col("available")))
+    same = observations.filter(F.col(first).isNotNull()).groupBy(*scope).agg(
+        F.count_distinct(*endpoints).alias("endpoints"), F.count_distinct("x").alias("times"), F.count(F.lit(1)).alias("n"), late.alias("late"))
+    copies = observations.filter(F.col(first).isNull()).select(*rest).distinct().withColumn("copied", F.lit(True))
+    j = same.join(copies, rest, "left") if rest else same.withColumn("copied", F.lit(None).cast("boolean"))
+    whole = (F.col("endpoints") == 1) & (F.col("times") == 1) & (F.col("late") == 0) & F.col("copied").isNull()
+    return j.withColumn("status", F.when(whole, S.YES).otherwise(S.UNRESOLVED)).drop("late", "copied")
 
 
 def shared_paths(members: DataFrame, key: str, chosen: DataFrame, field: str) -> DataFrame:

@@ -96,6 +96,35 @@ def identity_faults(objects: DataFrame) -> DataFrame:
     return twice.unionByName(open_references(objects).select("id", F.lit("open").alias("fault")).distinct())
 
 
+IDENTITY = r"^identity--[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+INSTANT = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3,}Z$"
+
+
+def creator_faults(objects: DataFrame, key: str, own_prefix: str = "x_") -> DataFrame:
+    """key and fault of exports whose creator isn't declared as it must be.
+
+    objects has the export's key, `expected` (the declared creator's id), id, type and json.
+    Faults: identities (not just one), ref_shape, ref_dangling, ref_type and ref_other of an
+    extension's creator; creator_other, spec_version, name, class, evidence (extensions or own
+    fields), created, modified and order of an identity.
+    """
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+    said = lambda tests: F.explode(F.filter(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(f)) for f, t in tests.items()]), lambda x: x.isNotNull())).alias("fault")
+    counts = objects.groupBy(key).agg(F.count_if(F.col("type") == "identity").alias("n")).filter("n <> 1").select(key, F.lit("identities").alias("fault"))
+    ids = objects.select(key, F.col("id").alias("ref"), F.col("type").alias("ref_type")).dropDuplicates([key, "ref"])
+    ext = objects.filter("type = 'extension-definition'").select(key, "expected", field("created_by_ref").alias("ref")).join(ids, [key, "ref"], "left")
+    good = F.coalesce(F.col("ref").rlike(IDENTITY), F.lit(False))
+    of_ext = ext.select(key, said({"ref_shape": ~good, "ref_dangling": good & F.col("ref_type").isNull(), "ref_type": good & F.coalesce(F.col("ref_type") != "identity", F.lit(False)), "ref_other": ~F.col("ref").eqNullSafe(F.col("expected"))}))
+    names = F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>"))
+    at = lambda c: F.when(field(c).rlike(INSTANT), F.try_to_timestamp(field(c)))
+    of_identity = objects.filter("type = 'identity'").select(key, said({
+        "creator_other": ~F.col("id").eqNullSafe(F.col("expected")), "spec_version": field("spec_version") != "2.1", "name": blank(field("name")), "class": field("identity_class") != "group",
+        "evidence": F.exists(names, lambda n: (n == "extensions") | F.startswith(n, F.lit(own_prefix))), "created": at("created").isNull(), "modified": at("modified").isNull(),
+        "order": F.coalesce(at("modified") < at("created"), F.lit(False))}))
+    return counts.unionByName(of_ext).unionByName(of_identity)
+
+
 #: Roles of an expected traversal whose candidates must be joined too.
 JOINED_ROLES = ("weak_positive", "cautionary_positive", "high_cardinality")
 

@@ -382,6 +382,19 @@ def issuer_serials(spark, d):
         I.file_uuid("6BA7B8119DAD11D180B400C04FD430C8", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("file_id"))
 
 
+_FILE = """case doc_id % 5 when 0 then '{"hashes":{"MD5":"' || md5(text) || '"},"name":"' || source || '"}' when 1 then '{"hashes":{"SHA-256":"' || sha256(text) || '"}}' when 2 then '{"hashes":{"AAA":"x"},"name":"' || source || '"}' when 3 then '{"name":"' || source || '"}' end"""
+
+
+@query(f"""select doc_id, 'file--' || substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8','9','a','b'][(instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 + 1] || substring(h, 18, 3) || '-' || substring(h, 21, 12) as file_ref
+from (select doc_id, sha1(unhex('{I.OBJECT_NAMESPACE}') || encode({_FILE})) as h from documents where text is not null and source is not null)""")
+def file_refs(spark, d):
+    """Files' identifiers by their chosen hash and name, of which some have only one and some neither."""
+    k, text = F.col("doc_id") % 5, F.col("text")
+    hashes = F.when(k == 0, F.create_map(F.lit("SHA-256"), F.sha2(text, 256), F.lit("MD5"), F.md5(text))).when(k == 1, F.create_map(F.lit("ZZZ"), F.lit("y"), F.lit("SHA-256"), F.sha2(text, 256), F.lit("MD5"), F.lit(None).cast("string"))).when(k == 2, F.create_map(F.lit("ZZZ"), F.lit("y"), F.lit("AAA"), F.lit("x")))
+    docs = table(spark, d, "documents").filter("text is not null and source is not null")
+    return docs.select("doc_id", I.file_ref(hashes, F.when(k.isin(0, 2, 3), F.col("source")).otherwise("")).alias("file_ref"))
+
+
 @query("""select doc_id, sha256(encode(text)) as spki_sha256, md5(encode(text)) as md5, sha1(encode(text)) as sha1, 'der|' || coalesce(lang, '') || '|' || sha256(encode(text)) as material,
   case when source is null or lang is null then 'unresolved' when lang = 'en' then 'match' else 'unresolved' end as same_as_english from documents""")
 def material_digests(spark, d):

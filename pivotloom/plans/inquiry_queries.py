@@ -120,10 +120,16 @@ def listing_assertions(spark, d):
     return Q.listing_assertions(ips, nets, said).select("doc_id", "ip", "assertion")
 
 
-@query("""select l_partkey, l_suppkey, count(distinct l_returnflag || l_linestatus) as endpoints, count(*) as n, case when count(distinct l_returnflag || l_linestatus) = 1 and count(distinct l_shipdate) = 1 then 'match' else 'unresolved' end as status from lineitem group by all""")
+@query("""with o as (select case when l_quantity <> 8 or l_partkey % 5 <> 0 then l_partkey end as l_partkey, l_suppkey, l_linenumber, l_returnflag || l_linestatus as e, cast(l_shipdate as date) as x,
+  case when l_quantity <> 3 then cast(l_shipdate as date) + case when l_quantity = 5 then -1 else 3 end end as available from lineitem),
+c as (select distinct l_suppkey, l_linenumber from o where l_partkey is null),
+g as (select l_partkey, l_suppkey, l_linenumber, count(distinct e) as endpoints, count(*) as n, count(distinct x) as times, count(*) filter (available is null or x > available) as late from o where l_partkey is not null group by all)
+select l_partkey, l_suppkey, l_linenumber, endpoints, n, case when endpoints = 1 and times = 1 and late = 0 and c.l_suppkey is null then 'match' else 'unresolved' end as status from g left join c using (l_suppkey, l_linenumber)""")
 def equivalent_observations(spark, d):
-    o = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("x"))
-    return Q.observed_once(o, ["l_partkey", "l_suppkey"], ["l_returnflag", "l_linestatus"]).select("l_partkey", "l_suppkey", "endpoints", "n", "status")
+    q, day = F.col("l_quantity"), F.to_date("l_shipdate")
+    available = F.when(q != 3, F.date_add(day, F.when(q == 5, -1).otherwise(3)))
+    o = table(spark, d, "lineitem").select(F.when((q != 8) | (F.col("l_partkey") % 5 != 0), F.col("l_partkey")).alias("l_partkey"), "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", day.alias("x"), available.alias("available"))
+    return Q.observed_once(o, ["l_partkey", "l_suppkey", "l_linenumber"], ["l_returnflag", "l_linestatus"]).select("l_partkey", "l_suppkey", "l_linenumber", "endpoints", "n", "status")
 
 
 @query("""select l_suppkey, count(distinct l_partkey % 50) as held from lineitem where l_partkey % 50 in (1, 2, 3) group by 1 having count(distinct l_partkey % 50) = 3""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pivotloom.functions import identity as I
 from pivotloom.operators import claims as G
 from pivotloom.operators import documents as D
 from pivotloom.operators import evidence as E
@@ -76,6 +77,32 @@ def history_gate(spark, d):
     return R.history_gate(e, m, "c_custkey").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "digest", "status")
 
 
+_CREATORS = [
+    ("identities", "k % 13 = 0"), ("ref_shape", "k % 11 = 0"), ("ref_other", "k % 11 = 0 or k % 7 = 0 or k % 5 = 0 or k % 43 = 0"), ("ref_dangling", "k % 7 = 0 and k % 11 <> 0"), ("ref_type", "k % 5 = 0 and k % 7 <> 0 and k % 11 <> 0"),
+    ("spec_version", "k % 17 = 0"), ("name", "k % 19 = 0"), ("class", "k % 23 = 0"), ("evidence", "k % 29 = 0"), ("created", "k % 31 = 0"), ("modified", "k % 37 = 0"), ("order", "k % 41 = 0 and k % 31 <> 0 and k % 37 <> 0"), ("creator_other", "k % 43 = 0")]
+
+
+@query("select k as c_custkey, fault, count(*) as n from (" + " union all ".join(f"select c_custkey as k, '{fault}' as fault from customer where {test.replace('k %', 'c_custkey %')}" for fault, test in _CREATORS if fault != "creator_other")
+       + " union all select c_custkey, 'creator_other' from customer where c_custkey % 43 = 0 union all select c_custkey, 'creator_other' from customer where c_custkey % 13 = 0) group by all")
+def creator_faults(spark, d):
+    """Customers' exports, each with an extension and its creator, with a planted fault of every kind."""
+    k = F.col("c_custkey")
+    uuid = lambda kind: F.concat(F.lit(f"{kind}--"), I.file_uuid(I.OBJECT_NAMESPACE, F.concat(F.lit(kind), k.cast("string"))))
+    own, note = uuid("identity"), uuid("note")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    ref = F.when(k % 11 == 0, "someone").when(k % 7 == 0, F.concat(F.lit("identity--"), F.lit("00000000-0000-4000-8000-000000000000"))).when(k % 5 == 0, F.concat(F.lit("identity--"), F.substring(note, 7, 36))).otherwise(own)
+    stray = F.struct(F.concat(F.lit("identity--"), F.substring(note, 7, 36)).alias("id"), F.lit("note").alias("type"), F.lit("{}").alias("json"))
+    ext = F.struct(uuid("extension-definition").alias("id"), F.lit("extension-definition").alias("type"), F.to_json(F.struct(ref.alias("created_by_ref"))).alias("json"))
+    made = F.struct(
+        pick(17, "2.0", "2.1").alias("spec_version"), pick(19, " ", F.col("c_name")).alias("name"), pick(23, "individual", "group").alias("identity_class"), F.when(k % 29 == 0, "e").alias("x_evidence"),
+        pick(31, "2024-01-01", "2024-01-01T00:00:00.000Z").alias("created"), F.when(k % 37 == 0, "soon").when(k % 41 == 0, "2023-01-01T00:00:00.000Z").otherwise("2024-01-02T00:00:00.000Z").alias("modified"))
+    identity = lambda id_: F.struct(id_.alias("id"), F.lit("identity").alias("type"), F.to_json(made).alias("json"))
+    plain = F.struct(F.lit("identity--second").alias("id"), F.lit("identity").alias("type"), F.lit('{"spec_version": "2.1", "name": "n", "identity_class": "group", "created": "2024-01-01T00:00:00.000Z", "modified": "2024-01-01T00:00:00.000Z"}').alias("json"))
+    every = F.filter(F.array(ext, stray, identity(own), F.when(k % 13 == 0, plain)), lambda x: x.isNotNull())
+    objects = table(spark, d, "customer").select("c_custkey", pick(43, "identity--other", own).alias("expected"), F.explode(every).alias("o")).select("c_custkey", "expected", "o.*")
+    return R.creator_faults(objects, "c_custkey").groupBy("c_custkey", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
 _FAULTS = """case when k % 31 = 0 then 'manifest_not_linked' when k % 29 = 0 then 'source_unknown' when k % 37 = 0 then 'manifest_bytes_unavailable' when k % 41 = 0 then 'manifest_without_digest' when k % 43 = 0 then 'manifest_digest_scope'
   when k % 47 = 0 then 'manifest_digest_mismatch' when k % 53 = 0 then 'manifest_identity' when k % 59 = 0 then 'contract' when k % 61 = 0 then 'other_collection' when k % 67 = 0 then 'qualification'
   when n > 0 and k % 71 = 0 then 'unlisted_establishment' when k % 73 = 0 then 'missing_record' when n > 0 and k % 79 = 0 then 'record_digest' when k % 83 = 0 then 'coverage' when k % 89 = 0 then 'endpoints' when k % 97 = 0 then 'endpoints_reversed'
