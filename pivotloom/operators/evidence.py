@@ -31,6 +31,11 @@ def covers(parent: Column, field: Column) -> Column:
     return (parent == field) | F.startswith(field, F.concat(parent, F.lit("/")))
 
 
+def with_context(records: DataFrame, bundles: DataFrame, key: str) -> DataFrame:
+    """records with the collection_id of the bundle they came in, an operand like their own columns; null for an unknown bundle."""
+    return records.join(bundles.select(key, "collection_id"), key, "left")
+
+
 def source_supported(refs: DataFrame, record: str = "record_id", required: tuple[str, ...] = ("document", "revision", "collection")) -> DataFrame:
     """Per record whether it has references and all are fully named, with its sorted sources."""
     whole = F.lit(True)

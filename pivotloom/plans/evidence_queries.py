@@ -118,6 +118,17 @@ def backed_value(spark, d):
     return E.backed_value(v, links).select("record_id", "revision", "n", "status")
 
 
+@query("""with r as (select l_orderkey, l_linenumber, case l_returnflag when 'N' then 'O' when 'A' then 'F' end as declared, case when o_orderstatus <> 'P' then o_orderstatus end as collection_id from lineitem left join orders on o_orderkey = l_orderkey and o_orderkey % 50 <> 0)
+select l_orderkey, l_linenumber, case when declared is null or collection_id is null then 'unresolved' when declared = collection_id then 'match' else 'no_match' end as status, count(*) as n from r group by all""")
+def collection_context(spark, d):
+    """Whether records name the collection of the bundle they came in."""
+    flag = F.col("l_returnflag")
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(flag == "N", "O").when(flag == "A", "F").alias("declared"))
+    b = table(spark, d, "orders").filter("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("collection_id"))
+    j = E.with_context(r, b, "l_orderkey").withColumn("status", S.equal(F.col("declared"), F.col("collection_id")))
+    return j.groupBy("l_orderkey", "l_linenumber", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # claims --------------------------------------------------------------------------------
 
 _AMEND = """am as (select distinct l_orderkey * 10 + l_linenumber as amendment_id, l_orderkey as o_orderkey, case when l_linenumber > 1 and l_quantity > 25 then l_orderkey * 10 + l_linenumber - 1 end as supersedes,
