@@ -128,3 +128,38 @@ def test_keep_one_keeps_a_unique_text_whose_id_repeats(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta", "quite other words stand here now", "third text of its own making here")
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (None, a)], "doc_id long, text string")
     assert texts(simhash_dedup.keep_one(docs)) == [(False, 0, a), (True, 1, a), (True, 2, b), (True, 3, c)]
+
+
+def test_crowded_bands_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(shingle_links, "MEET", 1)  # parts only spare work, so their size changes no result
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(6):
+        for i in range(122):
+            words = [f"w{g}x{k}" for k in range(150)]
+            for at in rng.choice(30, 4 if i > 1 else 1 + i, replace=False):
+                words[5 * at + 2] = f"e{g}x{i}x{at}"
+            texts.append(" ".join(words))
+    sets = [shingle_links.shingles(t) for t in texts]
+    bands = [shingle_links.band_hashes(s) for s in sets]
+    fps = [simhash_dedup.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    near = [(a, b) for a in root for b in range(a + 1, len(texts))
+            if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3 or (bands[a] == bands[b]).any() and shingle_links.jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in root:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, None).select("doc_id").collect()}
+    assert near and kept == {d for d, r in enumerate(root) if d == r}
+
+
+def test_bitmaps_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 32, 33, 300, 40_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 1 << 64, n // 4, dtype=np.uint64))))
+        x, y = sorted((shingle_links.bitmap(a), shingle_links.bitmap(b)), key=len)
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        assert len(x) == len(y) and len(x) <= shingle_links.MOST_LONGS
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
