@@ -1,5 +1,7 @@
 """The pipeline's stages on whole small tables, and on odd rows."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -163,3 +165,17 @@ def test_bitmaps_bound_the_difference_of_sets():
         y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
         assert len(x) == len(y) and len(x) <= shingle_links.MOST_LONGS
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_duplicate_stage_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: disk.getAllFiles().mkString("\n").count("/shuffle_")
+    rows = [(i, " ".join(f"a{i // 2}b{j}" for j in range(40)) + f" {i}") for i in range(40)]
+    before = shuffled()
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert out.count() == 20
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
