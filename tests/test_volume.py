@@ -1,11 +1,17 @@
 """Results whose pairs or copies are many: right, and without sending every pair."""
 
+import os
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from pivotloom.operators import containment as K
+from pivotloom.operators import results as R
+from pivotloom.plans import catalogue
+from pivotloom.sources import exports as X
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def sent(spark, action):
@@ -56,3 +62,27 @@ def test_profiles_equal_brute_force(spark, monkeypatch):
     want = sorted((k, p) for k in own for p in by if all(own[k].get(f) and all(fits(*r, v) for v in own[k][f]) for f, *r in by[p]))
     got = K.matching_profiles(spark.createDataFrame(values, "k int, field string, value string"), spark.createDataFrame(rules, "profile int, field string, kind string, allowed array<string>, low double, high double"), "k")
     assert want and sorted(tuple(r) for r in got.collect()) == want
+
+
+ODD_NODES = [("a", "A"), ("b", "B"), ("b", "B2"), ("c", "C"), ("c", "C"), ("gone", "G"), ("gone", "H"), ("alone", "X"), ("alone", "Y"), ("p|q", "P"), (None, "N")]
+ODD_EDGES = [("a", "b", "r", None, "s"), ("a", "b", "r", None, "s"), ("a", "c", "r", "2020-01-01", "s"), ("a", "c", "r", "2020-01-01", "s"), ("a", "gone", "r", None, "s"), ("a", "none", "r", None, "s"), ("a", "c", None, None, "s"),
+             ("a", "c", "r", None, None), ("a", "c", "r|", None, None), ("a|c", "p", "r", None, "s"), ("a", "c|p", "r", None, "s"), ("a", "c", "p|r", None, "s"), (None, "c", "r", None, "s"), ("a", "p|q", "r", None, "s"), ("c", "a", "r", None, "x|y")]
+
+
+def odd_graph(spark):
+    edges = spark.createDataFrame(ODD_EDGES, "src string, dst string, relation string, seen string, source string")
+    return spark.createDataFrame(ODD_NODES, "id string, label string"), edges.withColumn("seen", F.col("seen").cast("date"))
+
+
+def test_faults_of_an_export_equal_those_of_its_objects(spark):
+    nodes, edges = odd_graph(spark)
+    for lost in ([], ["gone"], ["a", "b", "nowhere"]):
+        missing = spark.createDataFrame([(x,) for x in lost], "id string")
+        kept = X.to_stix(nodes, edges).join(missing.select(X.stix_id("file", F.col("id")).alias("id")), "id", "left_anti")
+        want = sorted(tuple(r) for r in R.identity_faults(kept).collect())
+        assert want and sorted(tuple(r) for r in X.stix_faults(nodes, edges, missing).collect()) == want
+
+
+def test_closure_sends_no_objects(spark):
+    got, rows = sent(spark, lambda: catalogue.QUERIES["stix_closure"](spark, SF).collect())
+    assert len(got) == 2 and rows < 60_000  # it was 183,566
