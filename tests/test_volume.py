@@ -4,18 +4,20 @@ import os
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from pivotloom.operators import containment as K
 from pivotloom.operators import results as R
 from pivotloom.plans import catalogue
 from pivotloom.sources import exports as X
+from pivotloom.sources import shared
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def sent(spark, action):
-    """What an action gives, and how many rows its shuffles wrote."""
+def sent(spark, action, what="Records"):
+    """What an action gives, and how many rows (or Bytes) its shuffles wrote."""
     sc = spark.sparkContext
     jvm, none = spark._jvm, sc._gateway.new_array(spark._jvm.double, 0)
     empty = jvm.java.util.ArrayList()
@@ -23,7 +25,7 @@ def sent(spark, action):
     def written():
         sc._jsc.sc().listenerBus().waitUntilEmpty()
         stages = sc._jsc.sc().statusStore().stageList(empty, False, False, none, empty)
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+        return {(s.stageId(), s.attemptId()): getattr(s, f"shuffleWrite{what}")() for s in (stages.apply(i) for i in range(stages.size()))}
 
     before = written()
     out = action()
@@ -86,3 +88,21 @@ def test_faults_of_an_export_equal_those_of_its_objects(spark):
 def test_closure_sends_no_objects(spark):
     got, rows = sent(spark, lambda: catalogue.QUERIES["stix_closure"](spark, SF).collect())
     assert len(got) == 2 and rows < 60_000  # it was 183,566
+
+
+def test_objects_of_edges_are_made_without_sending_the_edges(spark):
+    nodes = spark.createDataFrame([("a", "A")], "id string, label string")
+    wide = spark.range(4000).repartition(4).select(F.lit("a").alias("src"), F.lit("a").alias("dst"), F.lit("r").alias("relation"), F.lit(None).cast("date").alias("seen"), F.concat(*[F.sha2(F.concat("id", F.lit(str(i))), 512) for i in range(8)]).alias("source"))
+    wide = wide.localCheckpoint()
+    wide = wide.unionByName(wide.limit(3))
+    n, size = sent(spark, lambda: X.to_stix(nodes, wide).filter(F.length("json") > 0).count(), "Bytes")
+    assert n == 1 + 3 * 4000 + 1 and size < 400_000  # their sources alone have 4 MB
+
+
+@pytest.mark.parametrize("most", [0, 2, 100])
+def test_distinct_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "NEAR", most)
+    rows = spark.createDataFrame([(i % 7, None if i % 3 else "x") for i in range(40)] + [(99, "y"), (None, "x"), (None, None)], "a int, b string")
+    assert sorted(shared.distinct_rows(rows).collect(), key=str) == sorted(rows.distinct().collect(), key=str)
+    alone = rows.filter("a = 99")
+    assert shared.distinct_rows(alone).collect() == alone.collect()
