@@ -3,10 +3,13 @@
 import os
 import random
 from collections import defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from pivotloom.functions import timeops as T
+from pivotloom.operators import bindings as B
 from pivotloom.operators import containment as K
 from pivotloom.operators import results as R
 from pivotloom.plans import catalogue
@@ -126,3 +129,30 @@ def test_pairs_of_equal_sets_are_not_sent(spark):
     rows = spark.range(2000).repartition(4).select(F.col("id").alias("s"), F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("m"))
     n, sent_rows = sent(spark, lambda: K.contained_sets(rows, "s", "m").count())
     assert n == 2000 * 1999 and sent_rows < 60_000  # nearly four million pairs
+
+
+def creatives(spark, refs):
+    """Findings of references (capture, input, uri, role, establishment, lo, hi) alone, each capture's own input being its text."""
+    refs = spark.createDataFrame(refs, "capture long, input string, uri string, role string, establishment long, lo decimal(20,6), hi decimal(20,6)").repartition(4)
+    refs = refs.withColumn("x", T.interval(F.col("lo"), F.col("hi"), True, True)).drop("lo", "hi").localCheckpoint()
+    inputs = refs.select("capture", "input").distinct().localCheckpoint()
+    none = spark.createDataFrame([], "capture long, input string, request long, establishment long, uri string, stage string, traced boolean, host string, list string, says string").withColumn("x", T.interval(F.lit(0), F.lit(0)))
+    requests = none.select("request", "capture", "uri", "stage", "traced")
+    links = none.select("capture", "input", "request", "establishment", "x")
+    return B.creative_findings(inputs, inputs.limit(0), refs, requests, links, none.select("host", "list", "says"), ["l"], T.query_period("1997-01-01", "1997-12-31"))
+
+
+def test_findings_of_creatives_are_sent_once(spark):
+    refs = [(i, str(i), f"https://h{i}.example.net/", "navigation", i, Decimal(i), Decimal(i)) for i in range(3000)]
+    found, size = sent(spark, lambda: creatives(spark, refs).groupBy("status", "control").agg(F.count("finding"), F.min("earliest"), F.sum(F.length("host"))).collect(), "Bytes")
+    assert [(r["status"], r["control"], r["count(finding)"]) for r in found] == [("resolved", "unresolved", 3000)]
+    assert size < 700_000
+
+
+def test_earliest_of_creatives(spark):
+    wide, far = Decimal("20000000000000.5"), Decimal("30000000000000.5")  # more than 18 digits
+    rows = {"one": [(1, 5, 9)], "tie": [(4, 3, 3), (2, 3, 3)], "later": [(1, 0, 4), (2, 4, 6)], "over": [(1, 0, 5), (2, 4, 6)], "open": [(1, 0, None), (2, 5, 6)], "low": [(1, None, 3), (2, 4, 5)], "same": [(1, 0, 3), (1, 0, 9)], "wide": [(1, wide, wide), (2, wide, far)], "none": [(1, None, None)]}
+    refs = [(7, name, "urn:x", "navigation", e, *[None if v is None else Decimal(v) for v in ends]) for name, own in rows.items() for e, *ends in own]
+    got = {r["input"]: (r["earliest"], r["status"], r["novel"]) for r in creatives(spark, refs).collect()}
+    past, un = "no_match", (None, "unresolved", "unresolved")
+    assert got == {"one": (1, "resolved", past), "tie": (2, "resolved", past), "later": (1, "resolved", past), "over": un, "open": un, "low": un, "same": (1, "resolved", past), "wide": (1, "resolved", past), "none": un}
