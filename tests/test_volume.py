@@ -1,5 +1,6 @@
 """Results whose pairs or copies are many: right, and without sending every pair."""
 
+import hashlib
 import os
 import random
 from collections import defaultdict
@@ -156,3 +157,33 @@ def test_earliest_of_creatives(spark):
     got = {r["input"]: (r["earliest"], r["status"], r["novel"]) for r in creatives(spark, refs).collect()}
     past, un = "no_match", (None, "unresolved", "unresolved")
     assert got == {"one": (1, "resolved", past), "tie": (2, "resolved", past), "later": (1, "resolved", past), "over": un, "open": un, "low": un, "same": (1, "resolved", past), "wide": (1, "resolved", past), "none": un}
+
+
+def plain_reencoding_faults(ids, rows):
+    again = X.evidence_edges(X.decode_evidence(ids, rows))
+    columns = ["src", "type", "ordinal", "dst", "payload", "sha256"]
+    both = rows.select(*columns, F.lit(1).alias("n")).unionByName(again.select(*columns, F.lit(-1).alias("n"))).groupBy(*columns).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return both.select("src", "type", "ordinal", F.when(F.col("n") > 0, "lost").otherwise("added").alias("fault")).distinct()
+
+
+def test_odd_edges_encoded_again(spark):
+    said, time, sha = '{"source_id":"s","field":"f"}', '{"role":"r","object":"o","occurrence":"c"}', lambda t: hashlib.sha256(t.encode()).hexdigest()
+    own, whole = '{"id":"x"}', []
+    for k, rows in {
+        "good": [("SUBJECT", 0, "x", own), ("EVIDENCE", 0, "s", said)], "twice": [("EVIDENCE", 0, "s", said), ("EVIDENCE", 0, "s", said), ("OBJECT", 0, "x", own)], "gap": [("EVIDENCE", 1, "s", said)], "two": [("SUBJECT", 0, "b", own), ("SUBJECT", 0, "a", own)],
+        "times": [("TIME_OBJECT", 0, "o", time), ("TIME_OCCURRENCE", 0, "c", time)], "half": [("TIME_OBJECT", 0, "o", time)], "torn": [("EVIDENCE", 0, "s", '{"source_id":'), ("EVIDENCE", 1, "s", said)], "null": [("SUBJECT", 0, None, None), ("EVIDENCE", 0, None, None)],
+        "spaced": [("EVIDENCE", 0, "s", said.replace(":", ": "))], "kind": [("OTHER", 0, "x", own), (None, None, "x", own)], "unknown": [("SUBJECT", 0, "x", own)], None: [("SUBJECT", 0, "x", own)],
+    }.items():
+        whole += [(k, *r, r[3] and sha(r[3])) for r in rows]
+    whole += [("digest", "SUBJECT", 0, "x", own, "no"), ("bare", "SUBJECT", 0, "x", own, None)]
+    rows = spark.createDataFrame(whole, "src string, type string, ordinal int, dst string, payload string, sha256 string")
+    ids = spark.createDataFrame([(k,) for k in {r[0] for r in whole} - {"unknown"} | {"empty"}], "id string")
+    want = sorted(plain_reencoding_faults(ids, rows).collect(), key=str)
+    assert len(want) > 15 and sorted(X.reencoding_faults(ids, rows).collect(), key=str) == want
+
+
+def test_edges_encoded_again_are_sent_once(spark):
+    said = spark.range(500).repartition(4).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("subject"), F.lit("y").alias("object"), F.expr("transform(sequence(1, 20), i -> named_struct('source_id', string(i * id), 'field', string(i)))").alias("evidence"), F.expr("cast(array() as array<struct<role: string, object: string, occurrence: string>>)").alias("times")).localCheckpoint()
+    rows = X.evidence_edges(said).localCheckpoint()
+    n, size = sent(spark, lambda: X.reencoding_faults(said.select("id"), rows).count(), "Bytes")
+    assert n == 0 and size < 500_000
